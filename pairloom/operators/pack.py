@@ -210,7 +210,8 @@ def greedy_bounds(
         levels.append(materialise(table, "pack-steps"))
         count = -(-count // fan)
 
-    entry = rows.select("grp").distinct()
+    # a column of its own, since the entries meet the rows again
+    entry = rows.select(F.col("grp").alias("grp")).distinct()
     if carry is None:
         entry = entry.select(
             "grp",
@@ -219,7 +220,7 @@ def greedy_bounds(
         )
     else:
         entry = entry.join(carry, "grp", "left").select(
-            "grp",
+            F.col("grp").alias("grp"),
             (F.lit(size) - F.coalesce("open_tokens", F.lit(0))).cast("bigint").alias("missing"),
             F.coalesce("shard", F.lit(0)).cast("bigint").alias("shard"),
         )

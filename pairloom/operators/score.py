@@ -221,7 +221,7 @@ def canonical_tokens(
         .join(canonical, "token", "left")
         .groupBy(key)
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct("pos", F.coalesce("canonical", "token").alias("token")))
             ).alias("_mapped")
         )
@@ -328,7 +328,7 @@ def bert_score(vectors: DataFrame) -> DataFrame:
     blocks = (
         vectors.withColumn("block", int_div(F.col("pos"), VECTOR_BLOCK))
         .groupBy("pair_id", "side", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("vecs"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("vecs"))
         .withColumn("vecs", F.col("vecs.vec"))
     )
 
@@ -393,6 +393,6 @@ def decode_predictions(ids: DataFrame, tokenizer, key: str = "pair_id") -> DataF
     """Text of each ``key`` from one id per position (``pos``, ``id``)."""
     return (
         ids.groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_ids"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_ids"))
         .select(key, tokenizer.decode(F.col("_ids.id")).alias("text"))
     )

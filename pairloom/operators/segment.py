@@ -61,7 +61,7 @@ def rechunk(runs: DataFrame, size: int) -> DataFrame:
     )
     return (
         pieces.groupBy(*STREAM, "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("p"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "tokens"))).alias("p"))
         .select(*STREAM, (F.col("chunk") * size).alias("pos"), F.flatten("p.tokens").alias("tokens"))
     )
 
@@ -166,7 +166,7 @@ def sequences(
 
     def side_tokens(side: str):
         mine = F.filter("pieces", lambda p: p["side"] == side)
-        return F.flatten(F.transform(F.array_sort(mine), lambda p: p["tokens"]))
+        return F.flatten(F.transform(F.sort_array(mine), lambda p: p["tokens"]))
 
     def present(side: str):
         # a sequence with its marker last exists once a marker has closed it

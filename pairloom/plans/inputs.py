@@ -16,6 +16,7 @@ LANG_PAIR = "en-xx"
 MAX_LEN = 512
 SHARD_SIZE = 4000
 CHUNK = 1000
+SEQUENCE_LEN = 256
 VOCABULARY = 32_768
 BYTES = ByteTokenizer()
 
@@ -121,7 +122,13 @@ def flat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loaded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences found in the flat shards, truncated, numbered over all shards."""
-    found = segment.sequences(flat_shards(spark, sf_dir), BYTES.eos_id, "first", max_len=256)
+
+    def write(path: str) -> None:
+        segment.sequences(
+            flat_shards(spark, sf_dir), BYTES.eos_id, "first", SEQUENCE_LEN
+        ).write.parquet(path)
+
+    found = spark.read.parquet(_once(spark, sf_dir, "sequences", write))
     return segment.number_sequences(found)
 
 

@@ -92,7 +92,6 @@ def manifest_files(spark, sf_dir):
     return archives.manifest_files(manifests)
 
 
-@arrow_udf("binary")
 def _zipped(name: pa.Array, body: pa.Array) -> pa.Array:
     out = []
     for member, content in zip(name.to_pylist(), body.to_pylist()):
@@ -107,7 +106,7 @@ def archive_lines(spark, sf_dir):
     documents = inputs.table(spark, sf_dir, "documents")
     member = F.concat_ws(".", "doc_id", "lang")
     packed = documents.select(
-        F.concat("source", F.lit(".zip")).alias("path"), _zipped(member, "text").alias("content")
+        F.concat("source", F.lit(".zip")).alias("path"), arrow_udf(_zipped, "binary")(member, "text").alias("content")
     )
     return archives.zip_lines(packed)
 
