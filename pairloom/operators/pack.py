@@ -145,9 +145,9 @@ def _hand_down(key, children: pa.Table, entry: pa.Table) -> pa.Table:
 
 
 def _place_bounds(size: int, width: int) -> Callable:
-    def place(key, rows: pa.Table, entry: pa.Table) -> pa.Table:
+    def place(key, rows: pa.Table, missing: int, shard: int) -> pa.Table:
         keys, ends = _segment_rows(rows)
-        at = int(np.searchsorted(ends, entry.column("missing")[0].as_py()))
+        at = int(np.searchsorted(ends, missing))
         closing = []
         while at < len(ends):
             closing.append(at)
@@ -156,7 +156,6 @@ def _place_bounds(size: int, width: int) -> Callable:
         blocks = np.unique(keys // width)
         lows = np.searchsorted(closing, blocks * width)
         highs = np.searchsorted(closing, (blocks + 1) * width)
-        shard = entry.column("shard")[0].as_py()
         return pa.table(
             [
                 pa.array([key[0].as_py()] * len(blocks), pa.string()),
@@ -172,6 +171,18 @@ def _place_bounds(size: int, width: int) -> Callable:
     return place
 
 
+def _from_start(size: int, width: int) -> Callable:
+    place = _place_bounds(size, width)
+    return lambda key, rows: place(key, rows, size, 0)
+
+
+def _from_entry(size: int, width: int) -> Callable:
+    place = _place_bounds(size, width)
+    return lambda key, rows, entry: place(
+        key, rows, entry.column("missing")[0].as_py(), entry.column("shard")[0].as_py()
+    )
+
+
 def greedy_bounds(
     rows: DataFrame,
     size: int,
@@ -199,6 +210,12 @@ def greedy_bounds(
     width = 1 << (width.bit_length() - 1)
 
     rows = rows.withColumn("seg", int_div(F.col("ord"), segment_rows) - first)
+    in_segments = rows.groupBy("grp", "seg")
+    if segments == 1 and carry is None:
+        bounds = in_segments.applyInArrow(_from_start(size, width), _BOUNDS_SCHEMA)
+        return materialise(bounds, "pack-bounds"), width
+
+    # up: reduce the segments, then groups of them, until one group holds all
     levels: list[DataFrame] = []
     count = segments
     while count > 1:
@@ -206,25 +223,24 @@ def greedy_bounds(
             grouped = levels[-1].withColumn("up", int_div(F.col("seg"), fan)).groupBy("grp", "up")
             table = grouped.applyInArrow(_reduce_steps(size), _STEPS_SCHEMA)
         else:
-            table = rows.groupBy("grp", "seg").applyInArrow(_reduce_rows(size), _STEPS_SCHEMA)
+            table = in_segments.applyInArrow(_reduce_rows(size), _STEPS_SCHEMA)
         levels.append(materialise(table, "pack-steps"))
         count = -(-count // fan)
 
-    # a column of its own, since the entries meet the rows again
+    # down: from the start of the order to the entry of each segment
+    # (the group column is a new one, since the entries meet the rows again)
     entry = rows.select(F.col("grp").alias("grp")).distinct()
-    if carry is None:
-        entry = entry.select(
-            "grp",
-            F.lit(size).cast("bigint").alias("missing"),
-            F.lit(0).cast("bigint").alias("shard"),
-        )
-    else:
-        entry = entry.join(carry, "grp", "left").select(
-            F.col("grp").alias("grp"),
-            (F.lit(size) - F.coalesce("open_tokens", F.lit(0))).cast("bigint").alias("missing"),
-            F.coalesce("shard", F.lit(0)).cast("bigint").alias("shard"),
-        )
-    entry = entry.withColumn("seg", F.lit(0).cast("bigint"))
+    missing, shard = F.lit(size), F.lit(0)
+    if carry is not None:
+        entry = entry.join(carry, "grp", "left")
+        missing = missing - F.coalesce("open_tokens", F.lit(0))
+        shard = F.coalesce("shard", F.lit(0))
+    entry = entry.select(
+        F.col("grp").alias("grp"),
+        F.lit(0).cast("bigint").alias("seg"),
+        missing.cast("bigint").alias("missing"),
+        shard.cast("bigint").alias("shard"),
+    )
     for level in reversed(levels):
         children = level.withColumn("up", int_div(F.col("seg"), fan))
         entry = (
@@ -232,10 +248,8 @@ def greedy_bounds(
             .cogroup(entry.withColumnRenamed("seg", "up").groupBy("grp", "up"))
             .applyInArrow(_hand_down, _ENTRY_SCHEMA)
         )
-    bounds = (
-        rows.groupBy("grp", "seg")
-        .cogroup(entry.groupBy("grp", "seg"))
-        .applyInArrow(_place_bounds(size, width), _BOUNDS_SCHEMA)
+    bounds = in_segments.cogroup(entry.groupBy("grp", "seg")).applyInArrow(
+        _from_entry(size, width), _BOUNDS_SCHEMA
     )
     return materialise(bounds, "pack-bounds"), width
 

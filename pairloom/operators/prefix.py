@@ -26,6 +26,12 @@ def int_div(column: Column, divisor: int) -> Column:
     return F.call_function("div", column, F.lit(divisor))
 
 
+def _never_null(column: Column) -> Column:
+    # keeps the planner from adding null filters to one use of the block totals
+    # only, which would have them computed twice
+    return F.coalesce(column.cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def _combine(op: str, left: Column, right: Column) -> Column:
     if op == "sum":
         return F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
@@ -55,7 +61,7 @@ def ordered_prefix(
     inputs = {name: f"_in_{name}" for name in values}
     rows = df.select(
         "*",
-        block.cast("bigint").alias("_block"),
+        _never_null(block).alias("_block"),
         *[column.alias(inputs[name]) for name, (_, column) in values.items()],
     )
 
@@ -76,7 +82,7 @@ def ordered_prefix(
         )
 
     per_block = totals(rows, ["_block"]).withColumn(
-        "_group", int_div(F.col("_block"), BLOCKS_PER_GROUP)
+        "_group", _never_null(int_div(F.col("_block"), BLOCKS_PER_GROUP))
     )
     per_group = before(totals(per_block, ["_group"]), [], "_group", "_g_")
     offsets = (

@@ -46,10 +46,17 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversation_pairs`` with a dense ``pair_id`` in the order of the turns."""
-    return dense_ids(conversation_pairs(spark, sf_dir), ["conv_id", "turn"], "pair_id").drop(
-        "conv_id", "turn"
-    )
+    """``conversation_pairs`` with a dense ``pair_id`` in the order of the turns.
+
+    Numbered once and written: this is the pairs table that every later stage
+    scans with its own columns and filters.
+    """
+
+    def write(path: str) -> None:
+        pairs = conversation_pairs(spark, sf_dir)
+        dense_ids(pairs, ["conv_id", "turn"], "pair_id").drop("conv_id", "turn").write.parquet(path)
+
+    return spark.read.parquet(_once(spark, sf_dir, "pairs", write))
 
 
 def document_lines(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
@@ -74,11 +81,11 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_ids(
-        line_pairs(spark, sf_dir).withColumn("line_no", F.col("line_no").cast("bigint")),
-        ["file_no", "line_no"],
-        "pair_id",
-    )
+    def write(path: str) -> None:
+        pairs = line_pairs(spark, sf_dir).withColumn("line_no", F.col("line_no").cast("bigint"))
+        dense_ids(pairs, ["file_no", "line_no"], "pair_id").write.parquet(path)
+
+    return spark.read.parquet(_once(spark, sf_dir, "line-pairs", write))
 
 
 def kept_pairs(pairs: DataFrame) -> DataFrame:
