@@ -1,9 +1,8 @@
 """BLEU, METEOR and BERTScore of prediction pairs.
 
-One pair is one row, so BLEU and METEOR are computed inside the row, without a
-shuffle: the items of both sides are sorted together, equal items become runs,
-and the run of one side lies next to the run of the other. The cost is that of
-sorting the row.
+One pair is one row, so BLEU and METEOR are counted inside the row, without a
+shuffle of n-grams; the counts of a record batch are made together, and the
+scores from the counts are built-in expressions.
 """
 
 from __future__ import annotations
@@ -12,102 +11,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
+from pairloom.operators.matching import clipped_matches, matches_and_chunks, rows_of
 from pairloom.operators.prefix import int_div
 
 # Fixed values of the published definitions.
 BLEU_ORDERS = (1, 2, 3, 4)
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3, 0.5
 
-CANDIDATE, REFERENCE = 0, 1
 VECTOR_BLOCK = 512
 
 
-def _run_starts(items: Column, differs) -> Column:
-    """Positions in a sorted array at which a new run of equal items starts."""
-    return F.filter(
-        F.transform(
-            items, lambda item, i: F.when((i == 0) | differs(item, F.get(items, i - 1)), i)
-        ),
-        lambda i: i.isNotNull(),
-    )
-
-
-def _runs(items: Column, starts: Column) -> Column:
-    """For each run its first item, start and length."""
-    return F.transform(
-        starts,
-        lambda at, j: F.struct(
-            F.get(items, at).alias("item"),
-            at.alias("at"),
-            (F.coalesce(F.get(starts, j + 1), F.size(items)) - at).alias("n"),
-        ),
-    )
-
-
 # --- BLEU ------------------------------------------------------------------------
 
 
-def _grams(tokens: Column, side: int) -> Column:
-    def of_order(n: int) -> Column:
-        count = F.size(tokens) - (n - 1)
-        return F.when(
-            count > 0,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-                lambda i: F.struct(
-                    F.lit(n).alias("n"),
-                    F.slice(tokens, i, F.lit(n)).alias("gram"),
-                    F.lit(side).alias("side"),
-                ),
-            ),
-        ).otherwise(F.array().cast("array<struct<n:int,gram:array<string>,side:int>>"))
-
-    return F.concat(*[of_order(n) for n in BLEU_ORDERS])
+def _clipped(candidate: pa.Array, reference: pa.Array) -> pa.Array:
+    return rows_of(clipped_matches(candidate, reference, len(BLEU_ORDERS)))
 
 
 def bleu_counts(pairs: DataFrame) -> DataFrame:
     """Add the clipped matches ``match_1..4``, the candidate's n-gram counts
     ``total_1..4`` and the lengths ``c_len``, ``r_len`` of token arrays
     ``candidate`` and ``reference``."""
-    other = lambda a, b: (a["n"] != b["n"]) | (a["gram"] != b["gram"]) | (a["side"] != b["side"])
-    runs = (
-        pairs.withColumn(
-            "_items",
-            F.sort_array(
-                F.concat(
-                    _grams(F.col("candidate"), CANDIDATE), _grams(F.col("reference"), REFERENCE)
-                )
-            ),
-        )
-        .withColumn("_starts", _run_starts(F.col("_items"), other))
-        .withColumn("_runs", _runs(F.col("_items"), F.col("_starts")))
+    matched = pairs.withColumn(
+        "_matches", arrow_udf(_clipped, "array<bigint>")("candidate", "reference")
     )
-
-    def clipped(run: Column, j: Column) -> Column:
-        following = F.get("_runs", j + 1)
-        same = (
-            (run["item"]["side"] == CANDIDATE)
-            & (following["item"]["n"] == run["item"]["n"])
-            & (following["item"]["gram"] == run["item"]["gram"])
-        )
-        return F.struct(
-            run["item"]["n"].alias("n"),
-            F.when(same, F.least(run["n"], following["n"])).otherwise(0).alias("match"),
-        )
-
-    matched = runs.withColumn("_matches", F.transform("_runs", clipped))
-
-    def matches(n: int) -> Column:
-        return F.aggregate(
-            F.filter("_matches", lambda m: m["n"] == n),
-            F.lit(0).cast("bigint"),
-            lambda total, m: total + m["match"],
-        )
-
     return matched.select(
         *pairs.columns,
-        *[matches(n).alias(f"match_{n}") for n in BLEU_ORDERS],
+        *[F.get("_matches", F.lit(n - 1)).alias(f"match_{n}") for n in BLEU_ORDERS],
         *[
             F.greatest(F.size("candidate") - (n - 1), F.lit(0)).cast("bigint").alias(f"total_{n}")
             for n in BLEU_ORDERS
@@ -154,60 +86,12 @@ def bleu_corpus(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 # --- METEOR ----------------------------------------------------------------------
 
 
-def _match_stage(df: DataFrame, candidate: Column, reference: Column, out: str) -> DataFrame:
-    """Add the matched positions (``c``, ``r``) of two arrays of ``(token, pos)``.
-
-    The k-th last occurrence of a token meets the k-th last of the other side.
-    """
-
-    def items(side_items: Column, side: int) -> Column:
-        return F.transform(
-            side_items,
-            lambda x: F.struct(
-                x["token"].alias("token"), F.lit(side).alias("side"), (-x["pos"]).alias("back")
-            ),
-        )
-
-    other = lambda a, b: (a["token"] != b["token"]) | (a["side"] != b["side"])
-    runs = (
-        df.withColumn(
-            "_items",
-            F.sort_array(F.concat(items(candidate, CANDIDATE), items(reference, REFERENCE))),
-        )
-        .withColumn("_starts", _run_starts(F.col("_items"), other))
-        .withColumn("_runs", _runs(F.col("_items"), F.col("_starts")))
-    )
-
-    def paired(run: Column, j: Column) -> Column:
-        following = F.get("_runs", j + 1)
-        same = (run["item"]["side"] == CANDIDATE) & (
-            following["item"]["token"] == run["item"]["token"]
-        )
-        return F.when(
-            same,
-            F.transform(
-                F.sequence(F.lit(0), F.least(run["n"], following["n"]) - 1),
-                lambda k: F.struct(
-                    (-F.get("_items", run["at"] + k)["back"]).alias("c"),
-                    (-F.get("_items", following["at"] + k)["back"]).alias("r"),
-                ),
-            ),
-        ).otherwise(F.array().cast("array<struct<c:int,r:int>>"))
-
-    return runs.withColumn(out, F.flatten(F.transform("_runs", paired))).drop(
-        "_items", "_starts", "_runs"
-    )
-
-
-def _with_positions(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
+def _one_stage(c: pa.Array, r: pa.Array) -> pa.Array:
+    return rows_of(matches_and_chunks([(c, r)]))
 
 
-def _unmatched(canonical: Column, matches: Column, side: str) -> Column:
-    """``(canonical token, pos)`` of the positions a stage left over."""
-    positions = F.transform(canonical, lambda _, i: i)
-    left = F.array_except(positions, F.transform(matches, lambda m: m[side]))
-    return F.transform(left, lambda i: F.struct(F.get(canonical, i).alias("token"), i.alias("pos")))
+def _two_stages(c: pa.Array, r: pa.Array, cc: pa.Array, rc: pa.Array) -> pa.Array:
+    return rows_of(matches_and_chunks([(c, r), (cc, rc)]))
 
 
 def canonical_tokens(
@@ -247,33 +131,16 @@ def meteor(
             "_r": F.transform("reference", F.lower),
         }
     )
-    matched = _match_stage(
-        lower, _with_positions(F.col("_c")), _with_positions(F.col("_r")), "_matches"
-    )
+    forms = ["_c", "_r"]
     if canonical is not None:
-        matched = canonical_tokens(matched, key, "_c", canonical, "_cc")
-        matched = canonical_tokens(matched, key, "_r", canonical, "_rc")
-        matched = _match_stage(
-            matched,
-            _unmatched(F.col("_cc"), F.col("_matches"), "c"),
-            _unmatched(F.col("_rc"), F.col("_matches"), "r"),
-            "_more",
-        ).withColumn("_matches", F.concat("_matches", "_more"))
-    in_order = matched.withColumn("_matches", F.sort_array("_matches"))
-
-    def starts_chunk(match: Column, i: Column) -> Column:
-        previous = F.get("_matches", i - 1)
-        goes_on = (match["c"] == previous["c"] + 1) & (match["r"] == previous["r"] + 1)
-        return F.when((i > 0) & goes_on, 0).otherwise(1)
-
-    counted = in_order.select(
+        lower = canonical_tokens(lower, key, "_c", canonical, "_cc")
+        lower = canonical_tokens(lower, key, "_r", canonical, "_rc")
+        forms += ["_cc", "_rc"]
+    stages = _two_stages if canonical is not None else _one_stage
+    counted = lower.withColumn("_counts", arrow_udf(stages, "array<bigint>")(*forms)).select(
         *pairs.columns,
-        F.size("_matches").cast("bigint").alias("matches"),
-        F.aggregate(
-            F.transform("_matches", starts_chunk),
-            F.lit(0).cast("bigint"),
-            lambda total, x: total + x,
-        ).alias("chunks"),
+        F.get("_counts", F.lit(0)).alias("matches"),
+        F.get("_counts", F.lit(1)).alias("chunks"),
     )
     m = F.nullif(F.col("matches"), F.lit(0))
     precision, recall = m / F.size("candidate"), m / F.size("reference")

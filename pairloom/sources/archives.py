@@ -35,35 +35,32 @@ def manifest_files(manifests: DataFrame, column: str = "manifest") -> DataFrame:
 
 
 def _member_lines(batches):
+    """Numbered lines of all members, in batches across members."""
+    rows: list[tuple] = []
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content")):
-            with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
-                for member in archive.infolist():
-                    if not member.is_dir():
-                        with archive.open(member) as raw:
-                            yield from _text_lines(path.as_py(), member.filename, raw)
-
-
-def _text_lines(path: str, member: str, raw):
-    lines, start = [], 0
-    for line in io.TextIOWrapper(raw, encoding="utf-8"):
-        lines.append(line.removesuffix("\n"))
-        if len(lines) == _LINES_PER_BATCH:
-            yield _line_batch(path, member, start, lines)
-            lines, start = [], start + len(lines)
-    if lines:
-        yield _line_batch(path, member, start, lines)
-
-
-def _line_batch(path: str, member: str, start: int, lines: list[str]) -> pa.RecordBatch:
-    n = len(lines)
+            for member, line_no, line in _text_lines(content):
+                rows.append((path.as_py(), member, line_no, line))
+                if len(rows) == _LINES_PER_BATCH:
+                    yield _line_batch(rows)
+                    rows = []
+    if rows:
+        yield _line_batch(rows)
+
+
+def _text_lines(content: pa.BinaryScalar):
+    with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
+        for member in archive.infolist():
+            if not member.is_dir():
+                with archive.open(member) as raw:
+                    for line_no, line in enumerate(io.TextIOWrapper(raw, encoding="utf-8")):
+                        yield member.filename, line_no, line.removesuffix("\n")
+
+
+def _line_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.string(), pa.int64(), pa.string()]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([path] * n),
-            pa.array([member] * n),
-            pa.array(range(start, start + n), pa.int64()),
-            pa.array(lines, pa.string()),
-        ],
+        [pa.array(column, kind) for column, kind in zip(zip(*rows), types)],
         names=["path", "member", "line_no", "line"],
     )
 
