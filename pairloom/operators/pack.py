@@ -120,7 +120,7 @@ def _read_steps(table: pa.Table):
 
 
 def _reduce_rows(size: int) -> Callable:
-    def reduce(key, table: pa.Table) -> pa.Table:
+    def reduce(key, table):
         _, ends = _segment_rows(table)
         return _steps_table(key[0].as_py(), key[1].as_py(), _steps_of_rows(ends, size))
 
@@ -128,14 +128,14 @@ def _reduce_rows(size: int) -> Callable:
 
 
 def _reduce_steps(size: int) -> Callable:
-    def reduce(key, table: pa.Table) -> pa.Table:
+    def reduce(key, table):
         parts = [steps for _, steps in _read_steps(table)]
         return _steps_table(key[0].as_py(), key[1].as_py(), _compose(parts, size))
 
     return reduce
 
 
-def _hand_down(key, children: pa.Table, entry: pa.Table) -> pa.Table:
+def _hand_down(key, children, entry):
     missing, shard = _column(entry, "missing"), _column(entry, "shard")
     out = []
     for segment, steps in _read_steps(children):
@@ -145,7 +145,7 @@ def _hand_down(key, children: pa.Table, entry: pa.Table) -> pa.Table:
 
 
 def _place_bounds(size: int, width: int) -> Callable:
-    def place(key, rows: pa.Table, missing: int, shard: int) -> pa.Table:
+    def place(key, rows, missing: int, shard: int) -> pa.Table:
         keys, ends = _segment_rows(rows)
         at = int(np.searchsorted(ends, missing))
         closing = []
