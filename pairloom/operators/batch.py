@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,13 @@ def assign_batches(seqs: DataFrame, batch_size: int, position: str = "position")
     )
 
 
-def pad_batches(batched: DataFrame, pad: int = 0) -> DataFrame:
+def pad_batches(
+    batched: DataFrame, pad: int = 0, keys: Sequence[str] = ("batch_id",)
+) -> DataFrame:
     """Pad each side with ``pad`` to the longest sequence of the batch, and add
-    the lengths before padding (``src_lengths``, ``tgt_lengths``)."""
-    batch = Window.partitionBy("batch_id")
+    the lengths before padding (``src_lengths``, ``tgt_lengths``). ``keys``
+    tell the batches apart."""
+    batch = Window.partitionBy(*keys)
     lengths = batched.withColumns(
         {"src_lengths": F.size("source"), "tgt_lengths": F.size("target")}
     ).withColumns(
@@ -57,7 +62,11 @@ def pad_batches(batched: DataFrame, pad: int = 0) -> DataFrame:
 
 
 def collate(
-    batched: DataFrame, pad: int = 0, mask_from: str = "value", shifted_masks: bool = False
+    batched: DataFrame,
+    pad: int = 0,
+    mask_from: str = "value",
+    shifted_masks: bool = False,
+    keys: Sequence[str] = ("batch_id",),
 ) -> DataFrame:
     """The training columns of each row of a padded batch.
 
@@ -65,7 +74,7 @@ def collate(
     id is a real token. The target masks cover the full target, one longer than
     its shifted forms; ``shifted_masks`` adds masks of that length.
     """
-    padded = pad_batches(batched, pad)
+    padded = pad_batches(batched, pad, keys)
 
     def masks(side: str, ids: str) -> dict[str, Column]:
         if mask_from == "length":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import arrays, text
 from pairloom.functions.tokenizers import Tokenizer
-from pairloom.operators.prefix import row_positions
+from pairloom.operators.prefix import number_rows, row_positions
 
 
 def strip_pairs(pairs: DataFrame) -> DataFrame:
@@ -56,8 +56,23 @@ def within_length(pairs: DataFrame, max_len: int) -> DataFrame:
     return pairs.where((F.col("n_src") <= max_len) & (F.col("n_tgt") <= max_len))
 
 
+def number_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``pair_id``, dense from 0 in the order of ``keys`` in each language pair.
+
+    The pairs are written on the way, so later stages scan a numbered table.
+    """
+    numbered = number_rows(pairs, ["lang_pair", *keys], "_n")
+    counts = numbered.groupBy("lang_pair").agg(F.min("_n").alias("_first"))
+    return numbered.join(counts, "lang_pair").select(
+        *pairs.columns, (F.col("_n") - F.col("_first")).alias("pair_id")
+    )
+
+
 def limit_examined(pairs: DataFrame, max_pairs: int) -> DataFrame:
-    """The first ``max_pairs`` input pairs, before any filter. ``pair_id`` is dense."""
+    """The first ``max_pairs`` input pairs of a language pair, before any filter.
+
+    ``pair_id`` is dense in the language pair.
+    """
     return pairs.where(F.col("pair_id") < max_pairs)
 
 

@@ -94,10 +94,14 @@ def kept_pairs(pairs: DataFrame) -> DataFrame:
     return tokens.within_length(counted, MAX_LEN)
 
 
-def packed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_packed(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The whole ingest after numbering: filter, pack, split, tokenise, write."""
     packed = pack.pack_greedy(kept_pairs(numbered_pairs(spark, sf_dir)), SHARD_SIZE)
-    encoded = tokens.encode_pairs(packed, BYTES, "first").withColumn("split", pack.split_name())
-    return encoded.drop("src_text", "tgt_text")
+
+    def encode(placed: DataFrame) -> DataFrame:
+        return tokens.encode_pairs(placed, BYTES, "first").drop("src_text", "tgt_text")
+
+    write_shards(packed.withColumn("split", pack.split_name()), path, encode=encode)
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
@@ -112,7 +116,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
 
 def shards(spark: SparkSession, sf_dir: str, **partitions) -> DataFrame:
     """The packed pairs as written shards, the input of all loading stages."""
-    path = _once(spark, sf_dir, "shards", lambda p: write_shards(packed_pairs(spark, sf_dir), p))
+    path = _once(spark, sf_dir, "shards", lambda p: write_packed(spark, sf_dir, p))
     return read_shards(spark, path, **partitions)
 
 

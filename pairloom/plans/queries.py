@@ -124,7 +124,7 @@ def shard_read(spark, sf_dir):
 
 def shard_roundtrip(spark, sf_dir):
     path = new_path(spark, "roundtrip")
-    shards.write_shards(inputs.packed_pairs(spark, sf_dir), path)
+    inputs.write_packed(spark, sf_dir, path)
     return shards.read_shards(spark, path).select(
         "lang_pair",
         "split",

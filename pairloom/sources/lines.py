@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.prefix import number_rows, ordered_prefix
 from pairloom.session import materialise
-from pairloom.sources.pairs import align_lines
+from pairloom.sources.pairs import align_lines, from_nested
 
 
 def base_name(path: Column) -> Column:
@@ -62,7 +62,8 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     offsets = ordered_prefix(
         splits, "split", {"start": ("sum", F.col("n"))}, by=["path"], inclusive=False
     )
-    # a third of all lines may be in one file, but splits are of bounded size
+    # one row per split: written, so that the planner broadcasts it when it is small
+    offsets = materialise(offsets.drop("n"), "line-offsets")
     return lines.join(offsets, ["path", "split"]).select(
         "path", (F.col("start") + F.col("row") - F.col("first_row")).alias("line_no"), "line"
     )
@@ -84,3 +85,16 @@ def read_aligned(
         )
 
     return align_lines(side(source_suffix, "src_path"), side(target_suffix, "tgt_path"))
+
+
+def read_nested(spark: SparkSession, path: str, lang_pair: str) -> DataFrame:
+    """Nested pairs from JSON lines, in file and line order:
+    ``lang_pair, path, line_no, src_text, tgt_text``."""
+    schema = "translation map<string,string>"
+    parsed = read_lines(spark, path).select(
+        F.lit(lang_pair).alias("lang_pair"),
+        "path",
+        "line_no",
+        F.from_json("line", schema)["translation"].alias("translation"),
+    )
+    return from_nested(parsed)
