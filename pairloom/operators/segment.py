@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import arrays
 from pairloom.operators.prefix import int_div, ordered_prefix
+from pairloom.session import materialise
 
 STREAM = ["shard_idx", "side"]
 
@@ -190,9 +191,11 @@ def number_sequences(seqs: DataFrame) -> DataFrame:
     Sequence numbers are dense in a shard, so the shards' counts give the offset.
     """
     counts = seqs.groupBy("shard_idx").agg((F.max("seq_id") + 1).alias("_count"))
-    offsets = ordered_prefix(
+    starts = ordered_prefix(
         counts, "shard_idx", {"_start": ("sum", F.col("_count"))}, inclusive=False
-    ).drop("_count")
+    )
+    # one row per shard: written, so that the planner broadcasts it when it is small
+    offsets = materialise(starts.drop("_count"), "shard-starts")
     return seqs.join(offsets, "shard_idx").select(
         *seqs.columns, (F.col("_start") + F.col("seq_id")).cast("bigint").alias("n")
     )

@@ -14,7 +14,8 @@ from pairloom.sources.shards import read_shards, write_shards
 
 LANG_PAIR = "en-xx"
 MAX_LEN = 512
-SHARD_SIZE = 4000
+# a thousandth of the corpus, between a size for small data and the usual 10^8
+SMALLEST_SHARD, LARGEST_SHARD, SHARDS = 4000, 10**8, 1000
 CHUNK = 1000
 SEQUENCE_LEN = 256
 VOCABULARY = 32_768
@@ -60,7 +61,8 @@ def numbered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
-    """Lines of the even (0) or odd (1) documents as numbered lines of files."""
+    """Lines of the even (0) or odd (1) documents as numbered lines of files:
+    document 2k is the source file k and document 2k + 1 its target file."""
     documents = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == side)
     return documents.select(
         int_div(F.col("doc_id"), 2).alias("file_no"),
@@ -72,12 +74,9 @@ def document_lines(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned lines of document pairs, in the language pairs of their left side."""
     source, target = (document_lines(spark, sf_dir, side) for side in (0, 1))
-    documents = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0)
-    languages = documents.select(
-        int_div(F.col("doc_id"), 2).alias("file_no"),
-        F.concat("lang", F.lit("-xx")).alias("lang_pair"),
+    return align_lines(source.withColumn("lang_pair", F.concat("lang", F.lit("-xx"))), target).drop(
+        "lang"
     )
-    return align_lines(source, target).join(languages, "file_no")
 
 
 def numbered_line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +93,24 @@ def kept_pairs(pairs: DataFrame) -> DataFrame:
     return tokens.within_length(counted, MAX_LEN)
 
 
+def shard_size(kept: DataFrame) -> int:
+    """Tokens of a shard for a corpus of this size."""
+    total = kept.agg(F.sum(F.col("n_src") + F.col("n_tgt"))).first()[0] or 0
+    return min(LARGEST_SHARD, max(SMALLEST_SHARD, total // SHARDS))
+
+
+def packed_pairs(kept: DataFrame) -> DataFrame:
+    """Kept pairs with their shard and split."""
+    return pack.pack_greedy(kept, shard_size(kept)).withColumn("split", pack.split_name())
+
+
 def write_packed(spark: SparkSession, sf_dir: str, path: str) -> None:
     """The whole ingest after numbering: filter, pack, split, tokenise, write."""
-    packed = pack.pack_greedy(kept_pairs(numbered_pairs(spark, sf_dir)), SHARD_SIZE)
 
     def encode(placed: DataFrame) -> DataFrame:
         return tokens.encode_pairs(placed, BYTES, "first").drop("src_text", "tgt_text")
 
-    write_shards(packed.withColumn("split", pack.split_name()), path, encode=encode)
+    write_shards(packed_pairs(kept_pairs(numbered_pairs(spark, sf_dir))), path, encode=encode)
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
@@ -125,10 +134,9 @@ def flat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(path: str) -> None:
         runs = segment.runs_of_pairs(shards(spark, sf_dir))
-        segment.rechunk(runs, CHUNK).write.partitionBy("shard_idx").parquet(path)
+        segment.rechunk(runs, CHUNK).write.parquet(path)
 
-    flat = spark.read.parquet(_once(spark, sf_dir, "flat", write))
-    return flat.withColumn("shard_idx", F.col("shard_idx").cast("bigint"))
+    return spark.read.parquet(_once(spark, sf_dir, "flat", write))
 
 
 def loaded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

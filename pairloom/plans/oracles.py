@@ -6,7 +6,7 @@ Common steps are named tables; each query names those it needs.
 from __future__ import annotations
 
 from pairloom.functions.text import SPACE_CLASS
-from pairloom.plans.inputs import CHUNK, MAX_LEN, SEQUENCE_LEN, SHARD_SIZE, VOCABULARY
+from pairloom.plans.inputs import CHUNK, MAX_LEN, SEQUENCE_LEN, VOCABULARY
 
 BATCH_SIZE = 8
 FULL_STOP = ord(".") + 3
@@ -75,13 +75,15 @@ def _kept(source: str, keys: str) -> str:
 def _greedy(source: str, order: str) -> str:
     """Rows of ``source`` (lang_pair, ``order``, tok) with their shard, row by row."""
     return f"""
-        SELECT lang_pair, {order}, 0 AS shard_idx, tok AS open_tokens, rn
-        FROM {source} WHERE rn = 1
+        SELECT lang_pair, {order}, 0 AS shard_idx, tok AS open_tokens, rn, size
+        FROM {source}, (SELECT least(100000000, greatest(4000, sum(tok) // 1000)) AS size
+                        FROM {source})
+        WHERE rn = 1
         UNION ALL
         SELECT k.lang_pair, k.{order},
-               CASE WHEN g.open_tokens >= {SHARD_SIZE} THEN g.shard_idx + 1 ELSE g.shard_idx END,
-               CASE WHEN g.open_tokens >= {SHARD_SIZE} THEN k.tok ELSE g.open_tokens + k.tok END,
-               k.rn
+               CASE WHEN g.open_tokens >= g.size THEN g.shard_idx + 1 ELSE g.shard_idx END,
+               CASE WHEN g.open_tokens >= g.size THEN k.tok ELSE g.open_tokens + k.tok END,
+               k.rn, g.size
         FROM greedy g JOIN {source} k ON k.lang_pair = g.lang_pair AND k.rn = g.rn + 1"""
 
 
@@ -338,7 +340,7 @@ STEPS["numbered"] = f"""
         FROM tokens"""
 STEPS["cut"] = f"""
         SELECT shard_idx, side, seq_id,
-               coalesce(array_to_string(list(token ORDER BY pos) FILTER (token <> {FULL_STOP}), ' '), '') AS seq
+               {_text(f"(list(token ORDER BY pos) FILTER (token <> {FULL_STOP}))[1:{MAX_LEN}]")} AS seq
         FROM numbered
         GROUP BY shard_idx, side, seq_id
         HAVING count(*) FILTER (token = {FULL_STOP}) > 0"""

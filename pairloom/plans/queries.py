@@ -13,7 +13,7 @@ from pyspark.sql.functions import arrow_udf
 from pairloom.functions import arrays, text
 from pairloom.operators import batch, pack, profile, ranks, score, segment, tokens
 from pairloom.plans import inputs
-from pairloom.plans.inputs import BYTES, MAX_LEN, SHARD_SIZE
+from pairloom.plans.inputs import BYTES, MAX_LEN
 from pairloom.session import new_path
 from pairloom.sources import archives, lines, runlog, shards
 from pairloom.sources import pairs as pair_sources
@@ -138,8 +138,7 @@ def shard_roundtrip(spark, sf_dir):
 def shard_summary(spark, sf_dir):
     """The flagship: strip, tokenise, filter, pack, split, sum up."""
     kept = inputs.kept_pairs(inputs.numbered_pairs(spark, sf_dir))
-    packed = pack.pack_greedy(kept, SHARD_SIZE).withColumn("split", pack.split_name())
-    return shards.shard_summary(packed)
+    return shards.shard_summary(inputs.packed_pairs(kept))
 
 
 # --- projections, filters, limits ---------------------------------------------------
@@ -346,22 +345,23 @@ def step_throughput(spark, sf_dir):
 
 def pack_greedy(spark, sf_dir):
     kept = inputs.kept_pairs(inputs.numbered_line_pairs(spark, sf_dir))
-    return pack.pack_greedy(kept, SHARD_SIZE).select("lang_pair", "pair_id", "shard_idx")
+    return inputs.packed_pairs(kept).select("lang_pair", "pair_id", "shard_idx")
 
 
 def pack_batched(spark, sf_dir):
     kept = inputs.kept_pairs(inputs.numbered_pairs(spark, sf_dir))
-    return pack.pack_batched(kept, SHARD_SIZE, batch_rows=10).select("pair_id", "shard_idx")
+    packed = pack.pack_batched(kept, inputs.shard_size(kept), batch_rows=10)
+    return packed.select("pair_id", "shard_idx")
 
 
 def split_assign(spark, sf_dir):
     kept = inputs.kept_pairs(inputs.numbered_line_pairs(spark, sf_dir))
-    packed = pack.pack_greedy(kept, SHARD_SIZE).withColumn("split", pack.split_name())
+    packed = inputs.packed_pairs(kept)
     return packed.groupBy("lang_pair", "split").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def segment_prefix(spark, sf_dir):
-    found = segment.sequences(inputs.flat_shards(spark, sf_dir), MARKER, "first")
+    found = segment.sequences(inputs.flat_shards(spark, sf_dir), MARKER, "first", MAX_LEN)
     return found.select(
         "shard_idx", "seq_id", as_text("source").alias("source"), as_text("target").alias("target")
     )
@@ -369,7 +369,7 @@ def segment_prefix(spark, sf_dir):
 
 def segment_suffix(spark, sf_dir):
     """The streams cut before their full stops."""
-    found = segment.sequences(inputs.flat_shards(spark, sf_dir), FULL_STOP, "last")
+    found = segment.sequences(inputs.flat_shards(spark, sf_dir), FULL_STOP, "last", MAX_LEN)
     return found.select(
         "shard_idx", "seq_id", as_text("source").alias("source"), as_text("target").alias("target")
     )
@@ -520,11 +520,12 @@ def stream_ingest(spark, sf_dir):
     """Pairs arrive in three parts and are ingested as they come."""
     base = new_path(spark, "stream")
     pairs = inputs.numbered_pairs(spark, sf_dir)
+    size = inputs.shard_size(inputs.kept_pairs(pairs))
     for part in _in_thirds(pairs, "pair_id"):
         part.write.mode("append").parquet(f"{base}/in")
         arriving = spark.readStream.schema(pairs.schema).parquet(f"{base}/in")
         stream_ingest_job.ingest(
-            arriving, f"{base}/out", f"{base}/offsets", BYTES, MAX_LEN, SHARD_SIZE
+            arriving, f"{base}/out", f"{base}/offsets", BYTES, MAX_LEN, size
         ).awaitTermination()
     packed = shards.read_shards(spark, f"{base}/out/pairs")
     return shards.shard_summary(packed)

@@ -78,11 +78,12 @@ def read_aligned(
     )
 
     def side(suffix: str, path: str) -> DataFrame:
-        return read_lines(spark, folder, f"*{suffix}").join(
-            # the scan reports URIs, the listing paths: the name is common to both
-            pairs.select("file_no", base_name(F.col(path)).alias("name")),
-            base_name(F.url_decode("path")) == F.col("name"),
+        # the scan reports URIs, the listing paths: the name is common to both
+        numbers = pairs.select("file_no", base_name(F.col(path)).alias("name"))
+        named = read_lines(spark, folder, f"*{suffix}").select(
+            base_name(F.url_decode("path")).alias("name"), "line_no", "line"
         )
+        return named.join(numbers, "name").drop("name")
 
     return align_lines(side(source_suffix, "src_path"), side(target_suffix, "tgt_path"))
 

@@ -21,9 +21,10 @@ def from_nested(nested: DataFrame) -> DataFrame:
 def align_lines(source: DataFrame, target: DataFrame) -> DataFrame:
     """Line i of a source file with line i of the target file of the same number.
 
-    Both tables have ``file_no, line_no, line``. The shorter file ends the pair;
-    empty lines stay. ``(file_no, line_no)`` is unique, so no key is hot.
+    Both tables have ``file_no, line_no, line``; other columns of the source
+    stay. The shorter file ends the pair; empty lines stay. ``(file_no,
+    line_no)`` is unique, so no key is hot.
     """
-    return source.select("file_no", "line_no", F.col("line").alias("src_text")).join(
+    return source.withColumnRenamed("line", "src_text").join(
         target.select("file_no", "line_no", F.col("line").alias("tgt_text")), ["file_no", "line_no"]
     )
