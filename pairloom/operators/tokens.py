@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import arrays, text
 from pairloom.functions.tokenizers import Tokenizer
 from pairloom.operators.prefix import number_rows, row_positions
+from pairloom.session import materialise
 
 
 def strip_pairs(pairs: DataFrame) -> DataFrame:
@@ -62,8 +63,11 @@ def number_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     The pairs are written on the way, so later stages scan a numbered table.
     """
     numbered = number_rows(pairs, ["lang_pair", *keys], "_n")
-    counts = numbered.groupBy("lang_pair").agg(F.min("_n").alias("_first"))
-    return numbered.join(counts, "lang_pair").select(
+    # one row per language pair: written, so that the planner can broadcast it
+    starts = materialise(
+        numbered.groupBy("lang_pair").agg(F.min("_n").alias("_first")), "language-starts"
+    )
+    return numbered.join(starts, "lang_pair").select(
         *pairs.columns, (F.col("_n") - F.col("_first")).alias("pair_id")
     )
 
@@ -77,9 +81,19 @@ def limit_examined(pairs: DataFrame, max_pairs: int) -> DataFrame:
 
 
 def limit_kept(pairs: DataFrame, max_pairs: int) -> DataFrame:
-    """The first ``max_pairs`` of the pairs that earlier filters kept."""
-    return (
-        row_positions(pairs, "pair_id", "_kept", by=["lang_pair"])
-        .where(F.col("_kept") < max_pairs)
-        .drop("_kept")
+    """The first ``max_pairs`` pairs of a language pair that earlier filters kept.
+
+    Only ids are put in order, to find the last one of each language pair; the
+    pairs themselves are filtered where they are.
+    """
+    if max_pairs <= 0:
+        return pairs.where(F.lit(False))
+    last = (
+        row_positions(pairs.select("lang_pair", "pair_id"), "pair_id", "_kept", by=["lang_pair"])
+        .where(F.col("_kept") == max_pairs - 1)
+        .select("lang_pair", F.col("pair_id").alias("_last"))
+    )
+    bounded = pairs.join(materialise(last, "last-kept"), "lang_pair", "left")
+    return bounded.where(F.col("_last").isNull() | (F.col("pair_id") <= F.col("_last"))).drop(
+        "_last"
     )
