@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.tokenizers import ByteTokenizer, WordTokenizer, build_vocabulary
 from pairloom.operators import pack, segment, tokens
 from pairloom.operators.prefix import dense_ids, int_div
-from pairloom.session import new_path
+from pairloom.session import materialise, new_path
 from pairloom.sources.pairs import align_lines
 from pairloom.sources.shards import read_shards, write_shards
 
@@ -143,12 +143,10 @@ def loaded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences found in the flat shards, truncated, numbered over all shards."""
 
     def write(path: str) -> None:
-        segment.sequences(
-            flat_shards(spark, sf_dir), BYTES.eos_id, "first", SEQUENCE_LEN
-        ).write.parquet(path)
+        found = segment.sequences(flat_shards(spark, sf_dir), BYTES.eos_id, "first", SEQUENCE_LEN)
+        segment.number_sequences(materialise(found, "sequences")).write.parquet(path)
 
-    found = spark.read.parquet(_once(spark, sf_dir, "sequences", write))
-    return segment.number_sequences(found)
+    return spark.read.parquet(_once(spark, sf_dir, "sequences", write))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str, size: int = VOCABULARY) -> DataFrame:

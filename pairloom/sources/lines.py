@@ -15,8 +15,12 @@ def base_name(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths in a folder; no file is opened."""
-    return spark.read.format("binaryFile").load(folder).select("path")
+    """Paths in a folder, and the URIs by which scans name them; no file is opened."""
+    return (
+        spark.read.format("binaryFile")
+        .load(folder)
+        .select("path", F.col("_metadata.file_path").alias("uri"))
+    )
 
 
 def rank_files(files: DataFrame, suffix: str) -> DataFrame:
@@ -73,17 +77,13 @@ def read_aligned(
     spark: SparkSession, folder: str, source_suffix: str, target_suffix: str
 ) -> DataFrame:
     """Pairs of all aligned files of a folder: ``file_no, line_no, src_text, tgt_text``."""
-    pairs = materialise(
-        file_pairs(list_files(spark, folder), source_suffix, target_suffix), "file-pairs"
-    )
+    files = list_files(spark, folder)
+    pairs = materialise(file_pairs(files, source_suffix, target_suffix), "file-pairs")
 
     def side(suffix: str, path: str) -> DataFrame:
-        # the scan reports URIs, the listing paths: the name is common to both
-        numbers = pairs.select("file_no", base_name(F.col(path)).alias("name"))
-        named = read_lines(spark, folder, f"*{suffix}").select(
-            base_name(F.url_decode("path")).alias("name"), "line_no", "line"
-        )
-        return named.join(numbers, "name").drop("name")
+        numbers = pairs.select("file_no", F.col(path).alias("path")).join(files, "path")
+        numbers = materialise(numbers.select("file_no", F.col("uri").alias("path")), "file-numbers")
+        return read_lines(spark, folder, f"*{suffix}").join(numbers, "path").drop("path")
 
     return align_lines(side(source_suffix, "src_path"), side(target_suffix, "tgt_path"))
 

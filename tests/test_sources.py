@@ -45,8 +45,8 @@ def test_lines_keep_their_number_in_split_files(spark, tmp_path):
 
 
 def test_aligned_files_with_unequal_and_empty_lines(spark, tmp_path):
-    (tmp_path / "a 1.en").write_text("e0\n\ne2\n")
-    (tmp_path / "a 1.ko").write_text("k0\nk1\nk2\nk3\nk4\n")
+    (tmp_path / "a+1 ü%20.en").write_text("e0\n\ne2\n")
+    (tmp_path / "a+1 ü%20.ko").write_text("k0\nk1\nk2\nk3\nk4\n")
     with gzip.open(tmp_path / "b.en.gz", "wt") as f:
         f.write("not of this suffix\n")
     rows = lines.read_aligned(spark, str(tmp_path), ".en", ".ko").orderBy("line_no").collect()
