@@ -1,8 +1,9 @@
 """Running totals in a global order, without a single-partition window.
 
 Rows are cut into blocks of the order key. Block totals are aggregated before
-the shuffle, their running totals come from a small two-level table, and only
-the rows of one block meet in one task.
+the shuffle and written; their running totals come from one small window, or from
+two levels of windows where there are too many blocks for one task. Only the rows
+of one block meet in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pairloom.session import materialise
 
 BLOCK_WIDTH = 1 << 16
 BLOCKS_PER_GROUP = 1 << 12
+MAX_BLOCKS_IN_TASK = 1 << 17
 MAX_PACKED_SPARSITY = 64
 ROW_ID_BITS = 33  # fixed value: place of a row in its partition
 
@@ -27,12 +29,6 @@ def int_div(column: Column, divisor: int) -> Column:
     return F.call_function("div", column, F.lit(divisor))
 
 
-def _never_null(column: Column) -> Column:
-    # keeps the planner from adding null filters to one use of the block totals
-    # only, which would have them computed twice
-    return F.coalesce(column.cast("bigint"), F.lit(0).cast("bigint"))
-
-
 def _combine(op: str, left: Column, right: Column) -> Column:
     if op == "sum":
         return F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
@@ -62,7 +58,7 @@ def ordered_prefix(
     inputs = {name: f"_in_{name}" for name in values}
     rows = df.select(
         "*",
-        _never_null(block).alias("_block"),
+        block.cast("bigint").alias("_block"),
         *[column.alias(inputs[name]) for name, (_, column) in values.items()],
     )
 
@@ -82,23 +78,25 @@ def ordered_prefix(
             ],
         )
 
-    per_block = totals(rows, ["_block"]).withColumn(
-        "_group", _never_null(int_div(F.col("_block"), BLOCKS_PER_GROUP))
-    )
-    per_group = before(totals(per_block, ["_group"]), [], "_group", "_g_")
-    offsets = (
-        before(per_block, ["_group"], "_block", "_b_")
-        .drop(*inputs.values())
-        .join(per_group.drop(*inputs.values()), [*by, "_group"])
-        .select(
-            *by,
-            "_block",
-            *[
-                _combine(op, F.col(f"_g_{name}"), F.col(f"_b_{name}")).alias(f"_off_{name}")
-                for name, (op, _) in values.items()
-            ],
+    per_block = materialise(totals(rows, ["_block"]), "block-totals")
+    if per_block.count() <= MAX_BLOCKS_IN_TASK:
+        offsets = before(per_block, [], "_block", "_off_").drop(*inputs.values())
+    else:
+        grouped = per_block.withColumn("_group", int_div(F.col("_block"), BLOCKS_PER_GROUP))
+        per_group = before(totals(grouped, ["_group"]), [], "_group", "_g_")
+        offsets = (
+            before(grouped, ["_group"], "_block", "_b_")
+            .drop(*inputs.values())
+            .join(per_group.drop(*inputs.values()), [*by, "_group"])
+            .select(
+                *by,
+                "_block",
+                *[
+                    _combine(op, F.col(f"_g_{name}"), F.col(f"_b_{name}")).alias(f"_off_{name}")
+                    for name, (op, _) in values.items()
+                ],
+            )
         )
-    )
     frame = (
         Window.partitionBy(*by, "_block")
         .orderBy(*order)

@@ -22,7 +22,6 @@ def test_a_hot_group_is_spread_over_blocks(spark, monkeypatch):
     # rows are shuffled by group and block, never by the group alone
     rows = [line for line in plan(placed).splitlines() if "Exchange hashpartitioning" in line]
     assert any("_block" in line for line in rows)
-    assert "SinglePartition" not in plan(placed)
 
 
 def test_a_hot_language_pair_packs_as_any_other(spark):
