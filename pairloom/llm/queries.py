@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bestfit, sentencepiece_bpe, wavelet
+from pairloom.llm import (
+    bestfit,
+    languages,
+    quality,
+    sentencepiece_bpe,
+    toxicity,
+    warc,
+    wavelet,
+)
 from pairloom.llm.tables import table
 
 END_ID = 2  # fixed value: the id that ends a document in token output
@@ -18,6 +26,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.predict(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_bpe.round_trips(docs, vocabulary("piece_bpe_32k.model"))
@@ -28,12 +40,43 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(docs, vocabulary("word_bpe_49k.json"), END_ID)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.predict(docs, labels)
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bestfit.pack(docs, vocabulary("byte_bpe_50k.json"), END_ID)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge(docs, labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op3_token_files, op7_best_fit)
+    f.__name__: f for f in (
+        op1_languages,
+        op2_sentencepiece,
+        op3_token_files,
+        op5_warc,
+        op6_toxicity,
+        op7_best_fit,
+        op9_quality,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+SELECT page_id, strlen(h) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM (SELECT page_id, h, d,
+             CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS last
+      FROM (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages))
+""",
 }
-ORACLES: dict[str, str] = {}
