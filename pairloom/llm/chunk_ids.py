@@ -10,6 +10,7 @@ new ones reach the encoder. The pool is emptied at ``POOL_CHUNKS``.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ import pyarrow.compute
 from pairloom.llm.spans import byte_hashes, chunk_starts, ranges, text_bytes, worker_cache
 
 POOL_CHUNKS = 1_500_000
+CALL_CHUNKS = 1 << 14  # given to the encoder at once
 
 
 class ChunkPool:
@@ -37,15 +39,18 @@ class ChunkPool:
         self.ids = np.zeros(0, np.int32)
 
     def add(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        found = self.encode(chunks)
-        counts = np.fromiter(map(len, found), np.int32, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.int32, int(counts.sum()))
+        lengths, parts = [], [self.ids]
+        for at in range(0, len(chunks), CALL_CHUNKS):
+            found = self.encode(chunks[at : at + CALL_CHUNKS])
+            lengths.extend(map(len, found))
+            parts.append(np.fromiter(chain.from_iterable(found), np.int32))
+        counts = np.array(lengths, np.int32)
         starts = np.cumsum(counts, dtype=np.int64) - counts + len(self.ids)
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
         self.starts = np.insert(self.starts, at, starts)
         self.counts = np.insert(self.counts, at, counts)
-        self.ids = np.concatenate([self.ids, ids])
+        self.ids = np.concatenate(parts)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)``: ids of all texts, and where those of each text begin."""

@@ -41,7 +41,7 @@ READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
     """The file of one shard."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     body: list[bytes] = []
     size = 0
 
@@ -53,15 +53,17 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
 
     table = json.dumps({"doc_ids": doc_ids, "lengths": lengths.tolist()}).encode()
     header = {"n": len(ids), "bits": bits, "docs": put(table), "planes": []}
+    if bits <= 16:
+        ids = ids.astype(np.uint16)  # half the memory to move
     for level in range(bits - 1, -1, -1):
-        plane = (ids >> level) & 1
+        plane = (ids & (1 << level)) != 0
         ones, blocks = 0, []
         for at in range(0, len(ids), BLOCK_BITS):
             part = plane[at : at + BLOCK_BITS]
-            blocks.append([*put(np.packbits(part.astype(bool)).tobytes()), ones])
-            ones += int(part.sum())
+            blocks.append([*put(np.packbits(part).tobytes()), ones])
+            ones += int(np.count_nonzero(part))
         header["planes"].append({"zeros": len(ids) - ones, "blocks": blocks})
-        ids = np.concatenate([ids[plane == 0], ids[plane == 1]])
+        ids = np.concatenate([ids[~plane], ids[plane]])
     head = json.dumps(header).encode()
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *body])
 
@@ -151,10 +153,10 @@ class WaveletMatrix:
         return [self.select(token, k) for k in range(self.rank(token))]
 
     def tokens(self) -> np.ndarray:
-        """All ids, in order."""
-        out = np.zeros(self.n, np.int32)
-        at = np.arange(self.n)
-        for p, plane in enumerate(self.planes):
+        """All ids, in order: from the last plane upwards each undoes its split."""
+        low = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
+        for p in range(self.bits - 1, -1, -1):
+            plane = self.planes[p]
             bits = np.concatenate(
                 [
                     np.unpackbits(
@@ -165,11 +167,12 @@ class WaveletMatrix:
                 ]
                 or [np.zeros(0, np.uint8)]
             )
-            ones = np.cumsum(bits, dtype=np.int32) - bits
-            here = bits[at]
-            out = out << 1 | here
-            at = np.where(here, plane["zeros"] + ones[at], at - ones[at])
-        return out
+            ones = bits.view(bool)
+            above = np.empty_like(low)
+            above[~ones] = low[: plane["zeros"]]
+            above[ones] = low[plane["zeros"] :] | low.dtype.type(1 << (self.bits - 1 - p))
+            low = above
+        return low
 
 
 def write_shards(
@@ -209,7 +212,9 @@ def write_shards(
                 ids, bounds = encode(texts)
                 flat = np.full(len(ids) + len(own), end_id, np.int32)
                 ends = bounds[1:] + np.arange(1, len(own) + 1)
-                flat[np.setdiff1d(np.arange(len(flat)), ends - 1, True)] = ids
+                is_id = np.ones(len(flat), bool)
+                is_id[ends - 1] = False
+                flat[is_id] = ids
                 starts = np.concatenate([[0], ends[:-1]])
                 first = 0
                 while first < len(own):
