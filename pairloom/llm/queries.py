@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm import (
     bestfit,
     languages,
+    phrases,
     quality,
     sentencepiece_bpe,
     toxicity,
@@ -54,6 +55,10 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(docs, vocabulary("byte_bpe_50k.json"), END_ID)
 
 
+def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.judge(docs, labels)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_warc,
         op6_toxicity,
         op7_best_fit,
+        op8_phrases,
         op9_quality,
     )
 }
