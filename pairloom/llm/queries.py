@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import (
     bestfit,
+    chosen_path,
     languages,
     phrases,
     quality,
@@ -64,6 +65,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, labels)
 
 
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_languages,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_best_fit,
         op8_phrases,
         op9_quality,
+        op10_chosen_path,
     )
 }
 ORACLES: dict[str, str] = {
