@@ -9,9 +9,15 @@ from pairloom.llm.tables import table
 from pairloom.session import materialise
 
 #: ``(name, function)``; a function takes (spark, docs, sf_dir) and returns a DataFrame.
-STAGES = [("best_fit_packing", stages.best_fit_packing)]
+STAGES = [
+    ("known_language", stages.known_language),
+    ("good_quality", stages.good_quality),
+    ("near_deduplicated", stages.near_deduplicated),
+    ("without_repeats", stages.without_repeats),
+    ("best_fit_packing", stages.best_fit_packing),
+]
 
-#: No stage but the last could be written in SQL.
+#: SQL can express neither the learned models nor the tokenizer.
 ORACLE_SQL = None
 
 

@@ -13,6 +13,7 @@ from pairloom.llm import (
     phrases,
     quality,
     sentencepiece_bpe,
+    syncmers,
     toxicity,
     warc,
     wavelet,
@@ -42,6 +43,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(docs, vocabulary("word_bpe_49k.json"), END_ID)
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_languages,
         op2_sentencepiece,
         op3_token_files,
+        op4_syncmers,
         op5_warc,
         op6_toxicity,
         op7_best_fit,

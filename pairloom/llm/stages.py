@@ -4,10 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bestfit
+from pairloom.llm import bestfit, chosen_path, languages, phrases, quality
 from pairloom.llm.queries import END_ID, vocabulary
+from pairloom.llm.tables import table
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which one language makes up a large part; texts without letters go."""
+    return languages.keep_known(docs)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the fixed rules nor the learned list reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest key of each group of near-duplicates."""
+    return chosen_path.keep_one_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that also occur earlier."""
+    return phrases.without_repeats(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of at most 1024 tokens; one row per piece."""
+    """Sequences of at most 1024 tokens; one row per piece of a document."""
     return bestfit.pack(docs, vocabulary("byte_bpe_50k.json"), END_ID)

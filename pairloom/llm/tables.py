@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairloom.llm.spans import slices
 
@@ -33,7 +35,7 @@ def map_texts(
 
     ``inputs`` are columns, the text first. Only these reach Python.
     """
-    out = _arrow_schema(schema)
+    out = to_arrow_schema(T.StructType.fromDDL(schema))  # any types: callers pass columns through
     columns = [
         (F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(inputs)
     ]
