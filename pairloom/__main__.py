@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from pairloom.config import AlignedIngest, Ingest
-from pairloom.functions.tokenizers import ByteTokenizer, TiktokenTokenizer
+from pairloom.functions.tokenizers import ByteTokenizer
 from pairloom.plans import jobs
 
 
@@ -21,7 +21,6 @@ def _arguments() -> argparse.Namespace:
     for name, defaults in (("nested", Ingest()), ("aligned", AlignedIngest())):
         command = commands.add_parser(name)
         command.add_argument("--out", required=True)
-        command.add_argument("--tokenizer", choices=["bytes", "cl100k_base"], default="bytes")
         command.add_argument("-s", "--shard-size", type=int, default=defaults.shard_size)
         command.add_argument("-n", "--max-pairs", type=int, default=defaults.max_pairs)
         command.add_argument("-m", "--max-seq-len", type=int, default=defaults.max_seq_len)
@@ -37,7 +36,7 @@ def _arguments() -> argparse.Namespace:
 def main() -> None:
     args = _arguments()
     spark = SparkSession.builder.appName(f"pairloom {args.command}").getOrCreate()
-    tokenizer = ByteTokenizer() if args.tokenizer == "bytes" else TiktokenTokenizer(args.tokenizer)
+    tokenizer = ByteTokenizer()
     common = (args.shard_size, args.max_pairs, args.max_seq_len)
     if args.command == "nested":
         folders = dict(folder.split("=", 1) for folder in args.folders)

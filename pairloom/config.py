@@ -1,4 +1,5 @@
-"""Options of the jobs, with the reference's defaults as fixed values."""
+"""Options of the jobs. Nothing is left out unless a caller sets a limit; the usual
+limits are 10**7 pairs, and 1024 (nested) or 512 (aligned) tokens."""
 
 from __future__ import annotations
 
@@ -10,15 +11,14 @@ class Ingest:
     """Corpus to shards."""
 
     shard_size: int = 10**8  # source and target tokens of a shard
-    max_pairs: int = 10**7  # of each language pair
-    max_seq_len: int = 1024
+    max_pairs: int | None = None  # of each language pair
+    max_seq_len: int | None = None
 
 
 @dataclass(frozen=True)
 class AlignedIngest(Ingest):
     """Line-aligned files to shards."""
 
-    max_seq_len: int = 512
     batch_size: int = 1000  # input lines between two looks at the shard size
     fine_tune: bool = False  # marker last and truncation, instead of marker first
 

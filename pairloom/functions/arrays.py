@@ -12,8 +12,10 @@ def marker_first(ids: Column, marker: int) -> Column:
     return F.concat(F.array(F.lit(marker)), ids)
 
 
-def marker_last(ids: Column, marker: int, max_len: int) -> Column:
-    """Truncate to ``max_len`` ids of which the marker is the last."""
+def marker_last(ids: Column, marker: int, max_len: int | None) -> Column:
+    """Truncate to ``max_len`` ids, if there is a limit, of which the marker is the last."""
+    if max_len is None:
+        return F.concat(ids, F.array(F.lit(marker)))
     return F.concat(F.slice(ids, 1, max_len - 1), F.array(F.lit(marker)))
 
 

@@ -2,8 +2,7 @@
 
 A tokeniser offers ``encode`` (text to ids), ``count`` (number of ids, without
 making them where that is possible) and ``decode`` (ids to text). The Arrow
-functions work on whole record batches; nothing is done row by row except in
-the adapter for ``tiktoken``.
+functions work on whole record batches; nothing is done row by row.
 """
 
 from collections.abc import Sequence
@@ -54,7 +53,10 @@ def _byte_encode(text: pa.Array) -> pa.Array:
 
 
 def _byte_decode(ids: pa.Array) -> pa.Array:
-    kept = pc.fill_null(pc.greater_equal(ids.flatten(), FIRST_ID), False)
+    flat = ids.flatten()
+    if pc.any(pc.greater(flat, FIRST_ID + 255)).as_py():
+        raise ValueError("an id is no byte")
+    kept = pc.fill_null(pc.greater_equal(flat, FIRST_ID), False)
     flags = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
     lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
     ends = flags[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
@@ -102,41 +104,23 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
 
 
-def build_vocabulary(texts: DataFrame, column: str, size: int) -> DataFrame:
-    """The ``size`` most frequent words, ids from 3 by falling count, then word.
-
-    Counting combines before the shuffle; after the top-k the table is bounded
-    by ``size``, which is what allows the single-partition numbering.
-    """
-    counted = (
+def count_words(texts: DataFrame, column: str) -> DataFrame:
+    """``token, n`` of all words; counted in each task before the shuffle."""
+    return (
         texts.select(F.explode(word_tokens(F.col(column))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(size)
-    )
-    return counted.select(
-        "token",
-        "n",
-        F.expr(f"row_number() over (order by n desc, token) + {FIRST_ID - 1}")
-        .cast("int")
-        .alias("id"),
     )
 
 
 class WordTokenizer:
-    """Words of a vocabulary; ``vocabulary`` lists them from id 3 on."""
+    """Words of a short list, from id 3 on; ``operators.vocabulary`` is for larger ones."""
 
     pad_id, eos_id, unk_id = PAD_ID, EOS_ID, UNK_ID
 
     def __init__(self, vocabulary: Sequence[str]):
         self.vocabulary = list(vocabulary)
 
-    @classmethod
-    def from_table(cls, vocabulary: DataFrame) -> "WordTokenizer":
-        """From ``build_vocabulary``, whose size is bounded by its parameter."""
-        return cls([row["token"] for row in vocabulary.orderBy("id").select("token").collect()])
-
     def encode(self, text: Column) -> Column:
         known = pa.array(self.vocabulary, pa.string())
 
@@ -162,39 +146,3 @@ class WordTokenizer:
 
         found = arrow_udf(decode, "array<string>")(ids)
         return F.array_join(found, " ")
-
-
-def _tiktoken(name: str):
-    """The named encoding; ``tiktoken`` itself keeps it for the life of a worker."""
-    import tiktoken
-
-    return tiktoken.get_encoding(name)
-
-
-class TiktokenTokenizer:
-    """Adapter for ``tiktoken``; its vocabulary file must be in the local cache
-    of every worker."""
-
-    def __init__(self, name: str = "cl100k_base"):
-        self.name = name
-        self.eos_id = _tiktoken(name).eot_token
-
-    def encode(self, text: Column) -> Column:
-        name = self.name
-
-        def encode(texts: pa.Array) -> pa.Array:
-            ids = _tiktoken(name).encode_ordinary_batch(texts.to_pylist())
-            return pa.array(ids, pa.list_(pa.int32()))
-
-        return arrow_udf(encode, "array<int>")(text)
-
-    def count(self, text: Column) -> Column:
-        return F.size(self.encode(text))
-
-    def decode(self, ids: Column) -> Column:
-        name = self.name
-
-        def decode(lists: pa.Array) -> pa.Array:
-            return pa.array(_tiktoken(name).decode_batch(lists.to_pylist()), pa.string())
-
-        return arrow_udf(decode, "string")(ids)

@@ -12,24 +12,30 @@ from pairloom.operators.prefix import int_div, row_positions
 
 TOKENS_PER_STEP = 524_288
 HASH_DIGITS = 15
+MIN_HASH_BITS = 6
 
 
 def shuffled_positions(
-    df: DataFrame, key: str, seed: int, epoch: int, name: str = "position"
+    df: DataFrame,
+    key: str,
+    seed: int,
+    epoch: int,
+    name: str = "position",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Position of each row in a shuffled order fixed by seed, epoch and ``key``.
+    """Position of each row in a shuffled order fixed by seed, epoch and ``key``,
+    within ``by``.
 
     The order is that of ``md5("seed:epoch:key")``, the same on any
     partitioning. The leading hash digits cut it into blocks of even size.
     """
-    rows = df.count()
-    bits = max(0, (rows >> 16).bit_length())
+    bits = max(MIN_HASH_BITS, (df.count() >> 16).bit_length())
     hashed = df.withColumn(
         "_hash", F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string")))
     )
     leading = F.conv(F.substring("_hash", 1, HASH_DIGITS), 16, 10).cast("bigint")
-    block = F.shiftright(leading, 4 * HASH_DIGITS - bits) if bits else F.lit(0)
-    return row_positions(hashed, ["_hash", key], name, block=block).drop("_hash")
+    block = F.shiftright(leading, 4 * HASH_DIGITS - bits)
+    return row_positions(hashed, ["_hash", key], name, by, block).drop("_hash")
 
 
 def assign_batches(seqs: DataFrame, batch_size: int, position: str = "position") -> DataFrame:
@@ -113,16 +119,18 @@ def labels(collated: DataFrame, split: Column) -> DataFrame:
 
 
 def add_prompt(collated: DataFrame, prompt_ids: list[int]) -> DataFrame:
-    """Put the instruction before the source and ones before its attention mask."""
+    """Put the instruction before the source; its masks and length grow with it."""
+    n = len(prompt_ids)
     ids = F.array(*[F.lit(i) for i in prompt_ids])
-    return collated.withColumns(
-        {
-            "source": F.concat(ids, F.col("source")),
-            "src_attn_mask": F.concat(
-                F.array_repeat(F.lit(1.0).cast("float"), len(prompt_ids)), F.col("src_attn_mask")
-            ),
-        }
-    )
+    before = {
+        "source": ids,
+        "src_attn_mask": F.array_repeat(F.lit(1.0).cast("float"), n),
+        "src_padding_mask": F.array_repeat(F.lit(False), n),
+    }
+    grown = {c: F.concat(new, F.col(c)) for c, new in before.items() if c in collated.columns}
+    if "src_lengths" in collated.columns:
+        grown["src_lengths"] = F.col("src_lengths") + n
+    return collated.withColumns(grown)
 
 
 def accumulation_steps(
@@ -136,7 +144,7 @@ def accumulation_steps(
 
 
 def step_plan(batched: DataFrame, accumulation: int) -> DataFrame:
-    """Optimiser step of each batch, and the place of the batch in it."""
+    """Optimiser step of each batch (``batch_id``), and the place of the batch in it."""
     return batched.select(
         "*",
         int_div(F.col("batch_id"), accumulation).alias("step"),

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.prefix import int_div
-from pairloom.session import materialise
+from pairloom.session import join_null_safe, materialise
 
 SEGMENT_ROWS = 1 << 22
 FAN = 16
@@ -100,7 +100,7 @@ def _steps_table(group: str, segment: int, steps) -> pa.Table:
     total, missing, left, closed = steps
     lists = [pa.array([values], pa.list_(pa.int64())) for values in (missing, left, closed)]
     return pa.table(
-        [pa.array([group]), pa.array([segment]), pa.array([total], pa.int64()), *lists],
+        [pa.array([group], pa.string()), pa.array([segment], pa.int64()), pa.array([total], pa.int64()), *lists],
         names=["grp", "seg", "total", "missing", "left", "closed"],
     )
 
@@ -141,7 +141,11 @@ def _hand_down(key, children, entry):
     for segment, steps in _read_steps(children):
         out.append((key[0].as_py(), segment, int(missing[0]), int(shard[0])))
         missing, shard = _advance(steps, missing, shard)
-    return pa.table(list(zip(*out)), names=["grp", "seg", "missing", "shard"])
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.table(
+        [pa.array(values, kind) for values, kind in zip(zip(*out), kinds)],
+        names=["grp", "seg", "missing", "shard"],
+    )
 
 
 def _place_bounds(size: int, width: int) -> Callable:
@@ -171,11 +175,6 @@ def _place_bounds(size: int, width: int) -> Callable:
     return place
 
 
-def _from_start(size: int, width: int) -> Callable:
-    place = _place_bounds(size, width)
-    return lambda key, rows: place(key, rows, size, 0)
-
-
 def _from_entry(size: int, width: int) -> Callable:
     place = _place_bounds(size, width)
     return lambda key, rows, entry: place(
@@ -211,9 +210,6 @@ def greedy_bounds(
 
     rows = rows.withColumn("seg", int_div(F.col("ord"), segment_rows) - first)
     in_segments = rows.groupBy("grp", "seg")
-    if segments == 1 and carry is None:
-        bounds = in_segments.applyInArrow(_from_start(size, width), _BOUNDS_SCHEMA)
-        return materialise(bounds, "pack-bounds"), width
 
     # up: reduce the segments, then groups of them, until one group holds all
     levels: list[DataFrame] = []
@@ -232,7 +228,7 @@ def greedy_bounds(
     entry = rows.select(F.col("grp").alias("grp")).distinct()
     missing, shard = F.lit(size), F.lit(0)
     if carry is not None:
-        entry = entry.join(carry, "grp", "left")
+        entry = join_null_safe(entry, carry, ["grp"], "left")
         missing = missing - F.coalesce("open_tokens", F.lit(0))
         shard = F.coalesce("shard", F.lit(0))
     entry = entry.select(
@@ -263,7 +259,7 @@ def shard_of(
         "*", group.alias("grp"), int_div(F.col(order), width).alias("blk")
     )
     before = F.size(F.filter("bounds", lambda bound: bound < F.col(order)))
-    return keyed.join(bounds, ["grp", "blk"]).select(
+    return join_null_safe(keyed, bounds, ["grp", "blk"]).select(
         *df.columns, (F.col("base") + before).cast("bigint").alias(name)
     )
 

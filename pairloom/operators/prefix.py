@@ -1,9 +1,8 @@
 """Running totals in a global order, without a single-partition window.
 
 Rows are cut into blocks of the order key. Block totals are aggregated before
-the shuffle and written; their running totals come from one small window, or from
-two levels of windows where there are too many blocks for one task. Only the rows
-of one block meet in one task.
+the shuffle and written; their running totals come from two levels of windows, over
+groups of blocks and inside each group. Only the rows of one block meet in one task.
 """
 
 from __future__ import annotations
@@ -13,12 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.session import materialise
+from pairloom.session import join_null_safe, materialise
 
 BLOCK_WIDTH = 1 << 16
 BLOCKS_PER_GROUP = 1 << 12
-MAX_BLOCKS_IN_TASK = 1 << 17
-MAX_PACKED_SPARSITY = 64
 ROW_ID_BITS = 33  # fixed value: place of a row in its partition
 
 _AGGREGATE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -79,30 +76,23 @@ def ordered_prefix(
         )
 
     per_block = materialise(totals(rows, ["_block"]), "block-totals")
-    if per_block.count() <= MAX_BLOCKS_IN_TASK:
-        offsets = before(per_block, [], "_block", "_off_").drop(*inputs.values())
-    else:
-        grouped = per_block.withColumn("_group", int_div(F.col("_block"), BLOCKS_PER_GROUP))
-        per_group = before(totals(grouped, ["_group"]), [], "_group", "_g_")
-        offsets = (
-            before(grouped, ["_group"], "_block", "_b_")
-            .drop(*inputs.values())
-            .join(per_group.drop(*inputs.values()), [*by, "_group"])
-            .select(
-                *by,
-                "_block",
-                *[
-                    _combine(op, F.col(f"_g_{name}"), F.col(f"_b_{name}")).alias(f"_off_{name}")
-                    for name, (op, _) in values.items()
-                ],
-            )
-        )
+    grouped = per_block.withColumn("_group", int_div(F.col("_block"), BLOCKS_PER_GROUP))
+    per_group = before(totals(grouped, ["_group"]), [], "_group", "_g_").drop(*inputs.values())
+    in_group = before(grouped, ["_group"], "_block", "_b_").drop(*inputs.values())
+    offsets = join_null_safe(in_group, per_group, [*by, "_group"]).select(
+        *by,
+        "_block",
+        *[
+            _combine(op, F.col(f"_g_{name}"), F.col(f"_b_{name}")).alias(f"_off_{name}")
+            for name, (op, _) in values.items()
+        ],
+    )
     frame = (
         Window.partitionBy(*by, "_block")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
-    return rows.join(offsets, [*by, "_block"]).select(
+    return join_null_safe(rows, offsets, [*by, "_block"]).select(
         *df.columns,
         *[
             _combine(
@@ -152,25 +142,3 @@ def number_rows(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return ranged.join(offsets, "_range").select(
         *df.columns, (F.col("_start") + F.col("_place") - F.col("_first")).alias(name)
     )
-
-
-def dense_ids(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Dense row numbers from 0 in the order of unique, non-negative BIGINT ``keys``.
-
-    Keys that fill their range well are packed in one number and counted by
-    blocks; others go through ``number_rows``.
-    """
-    stats = df.agg(
-        F.count(F.lit(1)).alias("n"), *[F.max(key).alias(f"max_{i}") for i, key in enumerate(keys)]
-    ).first()
-    if not stats["n"]:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    span = 1
-    packed = F.lit(0).cast("bigint")
-    for i, key in enumerate(keys):
-        width = stats[f"max_{i}"] + 1
-        span *= width
-        packed = packed * F.lit(width).cast("bigint") + F.col(key)
-    if span > MAX_PACKED_SPARSITY * max(stats["n"], BLOCK_WIDTH):
-        return number_rows(df, keys, name)
-    return row_positions(df.withColumn("_packed", packed), "_packed", name).drop("_packed")

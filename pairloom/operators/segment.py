@@ -1,8 +1,8 @@
 """Flat token streams and the sequences in them.
 
-A stream is held as *runs*: ``shard_idx, side, pos, tokens`` with ``pos`` the
-position of the first token; the runs of a shard side follow each other without
-gaps. A run may be a whole pair, a chunk of fixed size, or a single token.
+A stream is held as *runs*: ``lang_pair, split, shard_idx, side, pos, tokens`` with
+``pos`` the position of the first token; the runs of a shard side follow each other
+without gaps. A table of one language pair or split may leave those columns out. A run may be a whole pair, a chunk of fixed size, or a single token.
 """
 
 from __future__ import annotations
@@ -12,22 +12,34 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import arrays
 from pairloom.operators.prefix import int_div, ordered_prefix
-from pairloom.session import materialise
+from pairloom.session import join_null_safe, materialise
 
-STREAM = ["shard_idx", "side"]
+
+def loader_keys(df: DataFrame) -> list[str]:
+    """What tells one loader's data from another's; each numbers its own sequences."""
+    return [c for c in ("lang_pair", "split") if c in df.columns]
+
+
+def shard_keys(df: DataFrame) -> list[str]:
+    return [*loader_keys(df), "shard_idx"]
+
+
+def stream_keys(df: DataFrame) -> list[str]:
+    return [*shard_keys(df), "side"]
 
 
 def runs_of_pairs(packed: DataFrame) -> DataFrame:
     """The streams of packed pairs: one run for each side of a pair."""
+    keys = shard_keys(packed)
     placed = ordered_prefix(
         packed.select(
-            "shard_idx", "pair_id", "src_ids", "tgt_ids",
+            *keys, "pair_id", "src_ids", "tgt_ids",
             F.size("src_ids").cast("bigint").alias("_n_src"),
             F.size("tgt_ids").cast("bigint").alias("_n_tgt"),
         ),
         "pair_id",
         {"src_pos": ("sum", F.col("_n_src")), "tgt_pos": ("sum", F.col("_n_tgt"))},
-        by=["shard_idx"],
+        by=keys,
         inclusive=False,
     )
     sides = F.array(
@@ -40,7 +52,7 @@ def runs_of_pairs(packed: DataFrame) -> DataFrame:
             for side in ("src", "tgt")
         ]
     )
-    return placed.select("shard_idx", F.explode(sides).alias("run")).select("shard_idx", "run.*")
+    return placed.select(*keys, F.explode(sides).alias("run")).select(*keys, "run.*")
 
 
 def rechunk(runs: DataFrame, size: int) -> DataFrame:
@@ -48,6 +60,7 @@ def rechunk(runs: DataFrame, size: int) -> DataFrame:
 
     This is the concatenation of a shard in order, in pieces of bounded size.
     """
+    stream = stream_keys(runs)
     end = F.col("pos") + F.size("tokens")
     start = F.greatest(F.col("pos"), F.col("chunk") * size)
     piece = F.slice(
@@ -58,18 +71,18 @@ def rechunk(runs: DataFrame, size: int) -> DataFrame:
     pieces = (
         runs.where(F.size("tokens") > 0)
         .withColumn("chunk", F.explode(F.sequence(int_div(F.col("pos"), size), int_div(end - 1, size))))
-        .select(*STREAM, "chunk", start.alias("pos"), piece.alias("tokens"))
+        .select(*stream, "chunk", start.alias("pos"), piece.alias("tokens"))
     )
     return (
-        pieces.groupBy(*STREAM, "chunk")
+        pieces.groupBy(*stream, "chunk")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "tokens"))).alias("p"))
-        .select(*STREAM, (F.col("chunk") * size).alias("pos"), F.flatten("p.tokens").alias("tokens"))
+        .select(*stream, (F.col("chunk") * size).alias("pos"), F.flatten("p.tokens").alias("tokens"))
     )
 
 
 def stream_profile(runs: DataFrame, marker: int) -> DataFrame:
     """Tokens and markers of each side of each shard."""
-    return runs.groupBy(*STREAM).agg(
+    return runs.groupBy(*stream_keys(runs)).agg(
         F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"),
         F.sum(arrays.marker_count(F.col("tokens"), marker)).cast("bigint").alias("n_markers"),
     )
@@ -83,7 +96,7 @@ def marker_mismatch(runs: DataFrame, marker: int) -> DataFrame:
 
     return (
         stream_profile(runs, marker)
-        .groupBy("shard_idx")
+        .groupBy(*shard_keys(runs))
         .agg(markers("src").alias("src_markers"), markers("tgt").alias("tgt_markers"))
         .where(F.col("src_markers") != F.col("tgt_markers"))
     )
@@ -91,39 +104,47 @@ def marker_mismatch(runs: DataFrame, marker: int) -> DataFrame:
 
 def marker_positions(runs: DataFrame, marker: int) -> DataFrame:
     """Position of each marker, and the stream length as the end of the last sequence."""
+    stream = stream_keys(runs)
     offsets = arrays.marker_offsets(F.col("tokens"), marker)
-    found = runs.select(*STREAM, "pos", F.explode(offsets).alias("i")).select(
-        *STREAM, (F.col("pos") + F.col("i")).alias("pos")
+    found = runs.select(*stream, "pos", F.explode(offsets).alias("i")).select(
+        *stream, (F.col("pos") + F.col("i")).alias("pos")
     )
-    ends = runs.groupBy(*STREAM).agg(F.sum(F.size("tokens")).cast("bigint").alias("pos"))
+    ends = runs.groupBy(*stream).agg(F.sum(F.size("tokens")).cast("bigint").alias("pos"))
     return found.unionByName(ends)
 
 
 def head(runs: DataFrame, n: int) -> DataFrame:
     """The first ``n`` tokens of each stream, one per row."""
+    stream = stream_keys(runs)
     return (
         runs.where(F.col("pos") < n)
-        .select(*STREAM, "pos", F.posexplode("tokens").alias("i", "token"))
-        .select(*STREAM, (F.col("pos") + F.col("i")).alias("pos"), "token")
+        .select(*stream, "pos", F.posexplode("tokens").alias("i", "token"))
+        .select(*stream, (F.col("pos") + F.col("i")).alias("pos"), "token")
         .where(F.col("pos") < n)
     )
 
 
 def sequences(
-    runs: DataFrame, marker: int, marker_at: str = "first", max_len: int | None = None
+    runs: DataFrame,
+    marker: int,
+    marker_at: str = "first",
+    max_len: int | None = None,
+    strict: bool = True,
 ) -> DataFrame:
-    """Sequences of both sides: ``shard_idx, seq_id, source, target``.
+    """Sequences of both sides: the keys of their shard, ``seq_id, source, target``.
 
     ``marker_at="first"``: a sequence begins with its marker and ends before the
     next one; tokens before the first marker belong to none. ``"last"``: a
     sequence ends before its marker, which is left out; tokens after the last
-    marker belong to none, and empty sequences stay. Only sequences found on
-    both sides are returned (``marker_mismatch`` reports the others).
+    marker belong to none, and empty sequences stay. A sequence found on one side
+    only ends the job; without ``strict`` it is left out (``marker_mismatch``
+    reports such shards).
 
     Pieces beyond ``max_len`` are dropped where they are found, so that a
     sequence meets in one row with no more than ``max_len`` tokens a side.
     """
     first = marker_at == "first"
+    stream, shard = stream_keys(runs), shard_keys(runs)
     with_markers = runs.withColumn("_m", arrays.marker_offsets(F.col("tokens"), marker))
     last_marker = F.when(F.size("_m") > 0, F.col("pos") + F.element_at("_m", -1))
     placed = ordered_prefix(
@@ -133,7 +154,7 @@ def sequences(
             "_before": ("sum", F.size("_m").cast("bigint")),
             "_open": ("max", last_marker),
         },
-        by=STREAM,
+        by=stream,
         inclusive=False,
     )
     # Cut at the markers: piece 0 goes on with the sequence open before the run.
@@ -157,10 +178,10 @@ def sequences(
 
     pieces = (
         placed.select(
-            *STREAM,
+            *stream,
             F.explode(F.transform(F.sequence(F.lit(0), F.size("_m")), piece)).alias("p"),
         )
-        .select(*STREAM, "p.*")
+        .select(*stream, "p.*")
         .where(F.col("seq_id") >= 0)
     )
     pieces = pieces.where((F.size("tokens") > 0) | (F.col("closed") if not first else F.lit(False)))
@@ -175,28 +196,40 @@ def sequences(
             return F.exists("pieces", lambda p: p["side"] == side)
         return F.exists("pieces", lambda p: (p["side"] == side) & p["closed"])
 
-    return (
-        pieces.groupBy("shard_idx", "seq_id")
-        .agg(F.collect_list(F.struct("side", "pos", "tokens", "closed")).alias("pieces"))
-        .where(present("src") & present("tgt"))
-        .select(
-            "shard_idx", "seq_id", side_tokens("src").alias("source"), side_tokens("tgt").alias("target")
-        )
+    both = present("src") & present("tgt")
+    found = pieces.groupBy(*shard, "seq_id").agg(
+        F.collect_list(F.struct("side", "pos", "tokens", "closed")).alias("pieces")
+    )
+    if strict:
+        # an open piece behind the last marker belongs to no sequence
+        some = present("src") | present("tgt")
+        message = F.lit("a shard has a sequence on one side only")
+        found = found.where(some & F.when(both, True).otherwise(F.raise_error(message)))
+    else:
+        found = found.where(both)
+    return found.select(
+        *shard, "seq_id", side_tokens("src").alias("source"), side_tokens("tgt").alias("target")
     )
 
 
 def number_sequences(seqs: DataFrame) -> DataFrame:
-    """Add ``n``, the number of a sequence over all shards, from 0.
+    """Add ``n``, the number of a sequence over all shards of its language pair and
+    split, from 0.
 
     Sequence numbers are dense in a shard, so the shards' counts give the offset.
     """
-    counts = seqs.groupBy("shard_idx").agg((F.max("seq_id") + 1).alias("_count"))
+    keys = shard_keys(seqs)
+    counts = seqs.groupBy(*keys).agg((F.max("seq_id") + 1).alias("_count"))
     starts = ordered_prefix(
-        counts, "shard_idx", {"_start": ("sum", F.col("_count"))}, inclusive=False
+        counts,
+        "shard_idx",
+        {"_start": ("sum", F.col("_count"))},
+        by=loader_keys(seqs),
+        inclusive=False,
     )
     # one row per shard: written, so that the planner broadcasts it when it is small
     offsets = materialise(starts.drop("_count"), "shard-starts")
-    return seqs.join(offsets, "shard_idx").select(
+    return join_null_safe(seqs, offsets, keys).select(
         *seqs.columns, (F.col("_start") + F.col("seq_id")).cast("bigint").alias("n")
     )
 
@@ -204,8 +237,12 @@ def number_sequences(seqs: DataFrame) -> DataFrame:
 def lookup(seqs: DataFrame, requests: DataFrame) -> DataFrame:
     """The sequence for each requested ``idx``; numbers past the end start again at 0.
 
-    ``seqs`` has ``n`` from ``number_sequences``.
+    ``seqs`` has ``n`` from ``number_sequences``. Requests have the language pair and
+    split of the loader they ask, where ``seqs`` has such columns.
     """
-    total = seqs.count()
-    asked = requests.withColumn("n", F.pmod("idx", F.lit(max(total, 1)).cast("bigint")))
-    return asked.join(seqs, "n")
+    keys = [*loader_keys(seqs), "_one"]
+    seqs, requests = seqs.withColumn("_one", F.lit(0)), requests.withColumn("_one", F.lit(0))
+    # one row per loader
+    totals = seqs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    asked = join_null_safe(requests, totals, keys).withColumn("n", F.pmod("idx", F.col("_total")))
+    return join_null_safe(asked, seqs, [*keys, "n"]).drop("_total", "_one")

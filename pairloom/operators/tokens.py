@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import arrays, text
 from pairloom.functions.tokenizers import Tokenizer
 from pairloom.operators.prefix import number_rows, row_positions
-from pairloom.session import materialise
+from pairloom.session import join_null_safe, materialise
 
 
 def strip_pairs(pairs: DataFrame) -> DataFrame:
@@ -52,8 +52,10 @@ def encode_pairs(
     return pairs.withColumns({"src_ids": encode("src_text"), "tgt_ids": encode("tgt_text")})
 
 
-def within_length(pairs: DataFrame, max_len: int) -> DataFrame:
-    """Keep pairs whose both sides have at most ``max_len`` tokens."""
+def within_length(pairs: DataFrame, max_len: int | None) -> DataFrame:
+    """Keep pairs whose both sides have at most ``max_len`` tokens, if there is a limit."""
+    if max_len is None:
+        return pairs
     return pairs.where((F.col("n_src") <= max_len) & (F.col("n_tgt") <= max_len))
 
 
@@ -67,25 +69,29 @@ def number_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     starts = materialise(
         numbered.groupBy("lang_pair").agg(F.min("_n").alias("_first")), "language-starts"
     )
-    return numbered.join(starts, "lang_pair").select(
+    return join_null_safe(numbered, starts, ["lang_pair"]).select(
         *pairs.columns, (F.col("_n") - F.col("_first")).alias("pair_id")
     )
 
 
-def limit_examined(pairs: DataFrame, max_pairs: int) -> DataFrame:
+def limit_examined(pairs: DataFrame, max_pairs: int | None) -> DataFrame:
     """The first ``max_pairs`` input pairs of a language pair, before any filter.
 
     ``pair_id`` is dense in the language pair.
     """
+    if max_pairs is None:
+        return pairs
     return pairs.where(F.col("pair_id") < max_pairs)
 
 
-def limit_kept(pairs: DataFrame, max_pairs: int) -> DataFrame:
+def limit_kept(pairs: DataFrame, max_pairs: int | None) -> DataFrame:
     """The first ``max_pairs`` pairs of a language pair that earlier filters kept.
 
     Only ids are put in order, to find the last one of each language pair; the
     pairs themselves are filtered where they are.
     """
+    if max_pairs is None:
+        return pairs
     if max_pairs <= 0:
         return pairs.where(F.lit(False))
     last = (
@@ -93,7 +99,7 @@ def limit_kept(pairs: DataFrame, max_pairs: int) -> DataFrame:
         .where(F.col("_kept") == max_pairs - 1)
         .select("lang_pair", F.col("pair_id").alias("_last"))
     )
-    bounded = pairs.join(materialise(last, "last-kept"), "lang_pair", "left")
+    bounded = join_null_safe(pairs, materialise(last, "last-kept"), ["lang_pair"], "left")
     return bounded.where(F.col("_last").isNull() | (F.col("pair_id") <= F.col("_last"))).drop(
         "_last"
     )

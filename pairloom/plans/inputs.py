@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.tokenizers import ByteTokenizer, WordTokenizer, build_vocabulary
+from pairloom.functions.tokenizers import ByteTokenizer
 from pairloom.operators import pack, segment, tokens
-from pairloom.operators.prefix import dense_ids, int_div
+from pairloom.operators.prefix import int_div, number_rows
+from pairloom.operators.vocabulary import build_vocabulary
 from pairloom.session import materialise, new_path
 from pairloom.sources.pairs import align_lines
 from pairloom.sources.shards import read_shards, write_shards
 
 LANG_PAIR = "en-xx"
-MAX_LEN = 512
-# a thousandth of the corpus, between a size for small data and the usual 10^8
-SMALLEST_SHARD, LARGEST_SHARD, SHARDS = 4000, 10**8, 1000
+MAX_LEN = 512  # tokens a side, where filtering or truncating is the feature
+SHARD_SIZE = 20_000  # tokens
+SEGMENT_ROWS = 64  # of the packing, so that its tree has levels on small data too
 CHUNK = 1000
-SEQUENCE_LEN = 256
-VOCABULARY = 32_768
 BYTES = ByteTokenizer()
 
 _written: dict[tuple[str, str, str], str] = {}
@@ -55,11 +54,26 @@ def numbered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(path: str) -> None:
         pairs = conversation_pairs(spark, sf_dir)
-        dense_ids(pairs, ["conv_id", "turn"], "pair_id").drop("conv_id", "turn").write.parquet(path)
+        number_rows(pairs, ["conv_id", "turn"], "pair_id").drop("conv_id", "turn").write.parquet(path)
 
     return spark.read.parquet(_once(spark, sf_dir, "pairs", write))
 
 
+def nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a JSON line of a nested pair; a last turn has no answer, and
+    of each seventh conversation the lines are cut short."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where(F.col("role") == "user").select("conv_id", "turn", "text")
+    answered = turns.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    )
+    pair = F.struct(F.struct(F.col("text").alias("en"), F.col("answer").alias("xx")).alias("translation"))
+    line = F.to_json(pair)
+    return asked.join(answered, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.when(F.col("conv_id") % 7 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")
+    )
+
+
 def document_lines(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
     """Lines of the even (0) or odd (1) documents as numbered lines of files:
     document 2k is the source file k and document 2k + 1 its target file."""
@@ -74,7 +88,7 @@ def document_lines(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned lines of document pairs, in the language pairs of their left side."""
     source, target = (document_lines(spark, sf_dir, side) for side in (0, 1))
-    return align_lines(source.withColumn("lang_pair", F.concat("lang", F.lit("-xx"))), target).drop(
+    return align_lines(source.withColumn("lang_pair", F.concat("lang", F.lit("-zz"))), target).drop(
         "lang"
     )
 
@@ -82,35 +96,38 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(path: str) -> None:
         pairs = line_pairs(spark, sf_dir).withColumn("line_no", F.col("line_no").cast("bigint"))
-        dense_ids(pairs, ["file_no", "line_no"], "pair_id").write.parquet(path)
+        number_rows(pairs, ["file_no", "line_no"], "pair_id").write.parquet(path)
 
     return spark.read.parquet(_once(spark, sf_dir, "line-pairs", write))
 
 
-def kept_pairs(pairs: DataFrame) -> DataFrame:
-    """Stripped pairs whose byte tokens, marker first, fit the length limit."""
-    counted = tokens.count_tokens(tokens.strip_pairs(pairs), BYTES, "first")
-    return tokens.within_length(counted, MAX_LEN)
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of conversations and of lines: a corpus of several language pairs.
 
+    ``pair_id`` is unique in its language pair."""
+    columns = ("lang_pair", "pair_id", "src_text", "tgt_text")
+    conversations = numbered_pairs(spark, sf_dir).select(*columns)
+    return conversations.unionByName(numbered_line_pairs(spark, sf_dir).select(*columns))
 
-def shard_size(kept: DataFrame) -> int:
-    """Tokens of a shard for a corpus of this size."""
-    total = kept.agg(F.sum(F.col("n_src") + F.col("n_tgt"))).first()[0] or 0
-    return min(LARGEST_SHARD, max(SMALLEST_SHARD, total // SHARDS))
 
+def counted_pairs(pairs: DataFrame) -> DataFrame:
+    """All pairs, stripped, with the lengths of their byte tokens, marker first."""
+    return tokens.count_tokens(tokens.strip_pairs(pairs), BYTES, "first")
 
-def packed_pairs(kept: DataFrame) -> DataFrame:
-    """Kept pairs with their shard and split."""
-    return pack.pack_greedy(kept, shard_size(kept)).withColumn("split", pack.split_name())
+
+def packed_pairs(counted: DataFrame) -> DataFrame:
+    """Pairs with their shard and split."""
+    packed = pack.pack_greedy(counted, SHARD_SIZE, segment_rows=SEGMENT_ROWS)
+    return packed.withColumn("split", pack.split_name())
 
 
 def write_packed(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """The whole ingest after numbering: filter, pack, split, tokenise, write."""
+    """The whole ingest after numbering: pack, split, tokenise, write."""
 
     def encode(placed: DataFrame) -> DataFrame:
         return tokens.encode_pairs(placed, BYTES, "first").drop("src_text", "tgt_text")
 
-    write_shards(packed_pairs(kept_pairs(numbered_pairs(spark, sf_dir))), path, encode=encode)
+    write_shards(packed_pairs(counted_pairs(all_pairs(spark, sf_dir))), path, encode=encode)
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
@@ -123,10 +140,14 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     return _written[key]
 
 
+def shards_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the packed pairs are written as shards."""
+    return _once(spark, sf_dir, "shards", lambda p: write_packed(spark, sf_dir, p))
+
+
 def shards(spark: SparkSession, sf_dir: str, **partitions) -> DataFrame:
     """The packed pairs as written shards, the input of all loading stages."""
-    path = _once(spark, sf_dir, "shards", lambda p: write_packed(spark, sf_dir, p))
-    return read_shards(spark, path, **partitions)
+    return read_shards(spark, shards_path(spark, sf_dir), **partitions)
 
 
 def flat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,24 +161,21 @@ def flat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loaded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences found in the flat shards, truncated, numbered over all shards."""
+    """Sequences found in the flat shards, numbered in their language pair and split."""
 
     def write(path: str) -> None:
-        found = segment.sequences(flat_shards(spark, sf_dir), BYTES.eos_id, "first", SEQUENCE_LEN)
+        found = segment.sequences(flat_shards(spark, sf_dir), BYTES.eos_id, "first")
         segment.number_sequences(materialise(found, "sequences")).write.parquet(path)
 
     return spark.read.parquet(_once(spark, sf_dir, "sequences", write))
 
 
-def vocabulary(spark: SparkSession, sf_dir: str, size: int = VOCABULARY) -> DataFrame:
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the conversations."""
     texts = conversation_pairs(spark, sf_dir).select(
         F.concat_ws(" ", "src_text", "tgt_text").alias("text")
     )
-    return build_vocabulary(texts, "text", size)
-
-
-def word_tokenizer(spark: SparkSession, sf_dir: str, size: int = VOCABULARY) -> WordTokenizer:
-    return WordTokenizer.from_table(vocabulary(spark, sf_dir, size))
+    return build_vocabulary(texts, "text")
 
 
 def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from pairloom.config import AlignedIngest, Ingest, Loader
 from pairloom.functions import arrays
 from pairloom.functions.tokenizers import Tokenizer
-from pairloom.operators import batch, pack, ranks, score, tokens
-from pairloom.operators.prefix import ordered_prefix, row_positions
-from pairloom.session import materialise
+from pairloom.operators import batch, pack, ranks, score, segment, tokens
+from pairloom.operators.prefix import row_positions
 from pairloom.sources import lines
 from pairloom.sources.shards import read_shards, shards_exist, write_shards
 
 
 def _write(packed: DataFrame, out: str, tokenizer: Tokenizer, *marker) -> None:
     def encode(placed: DataFrame) -> DataFrame:
-        return tokens.encode_pairs(placed, tokenizer, *marker).select(
+        ids = {c: arrays.require_in_range(F.col(c)) for c in ("src_ids", "tgt_ids")}
+        encoded = tokens.encode_pairs(placed, tokenizer, *marker).withColumns(ids)
+        return encoded.select(
             "lang_pair", "split", "shard_idx", "pair_id", "src_ids", "tgt_ids", "n_src", "n_tgt"
         )
 
@@ -90,16 +91,11 @@ def shard_sequences(shards: DataFrame, marker_at: str, max_len: int) -> DataFram
             whole = F.slice(whole, F.lit(1), F.greatest(F.size(whole) - 1, F.lit(0)))
         return arrays.truncate(whole, max_len)
 
-    sizes = shards.groupBy("shard_idx").agg(F.count(F.lit(1)).alias("_pairs"))
-    starts = materialise(
-        ordered_prefix(sizes, "shard_idx", {"_start": ("sum", F.col("_pairs"))}, inclusive=False),
-        "shard-starts",
-    )
-    placed = row_positions(shards, "pair_id", "seq_id", by=["shard_idx"])
-    return placed.join(starts.drop("_pairs"), "shard_idx").select(
-        "shard_idx",
+    placed = row_positions(shards, "pair_id", "seq_id", by=segment.shard_keys(shards))
+    return segment.number_sequences(placed).select(
+        *segment.shard_keys(shards),
         "seq_id",
-        (F.col("_start") + F.col("seq_id")).alias("position"),
+        F.col("n").alias("position"),
         ids("src_ids").alias("source"),
         ids("tgt_ids").alias("target"),
     )
@@ -123,7 +119,11 @@ def batches(
     )
     if options.shuffle:
         found = batch.shuffled_positions(
-            found.withColumnRenamed("position", "n"), "n", options.seed, epoch
+            found.withColumnRenamed("position", "n"),
+            "n",
+            options.seed,
+            epoch,
+            by=segment.loader_keys(found),
         ).drop("n")
     ranked = ranks.rank_sequences(found, options.world_size)
     assigned = batch.assign_batches(ranked, options.batch_size, "rank_row")

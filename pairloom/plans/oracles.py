@@ -6,7 +6,7 @@ Common steps are named tables; each query names those it needs.
 from __future__ import annotations
 
 from pairloom.functions.text import SPACE_CLASS
-from pairloom.plans.inputs import CHUNK, MAX_LEN, SEQUENCE_LEN, VOCABULARY
+from pairloom.plans.inputs import CHUNK, MAX_LEN, SHARD_SIZE
 
 BATCH_SIZE = 8
 FULL_STOP = ord(".") + 3
@@ -52,7 +52,7 @@ STEPS = {
         FROM documents""",
     "line_pairs": """
         SELECT CAST(a.doc_id // 2 AS BIGINT) AS file_no, CAST(a.line_no AS BIGINT) AS line_no,
-               a.lang || '-xx' AS lang_pair, a.line AS src_text, b.line AS tgt_text
+               a.lang || '-zz' AS lang_pair, a.line AS src_text, b.line AS tgt_text
         FROM document_lines a JOIN document_lines b
           ON b.doc_id = a.doc_id + 1 AND b.line_no = a.line_no
         WHERE a.doc_id % 2 = 0""",
@@ -62,28 +62,24 @@ STEPS = {
 }
 
 
-def _kept(source: str, keys: str) -> str:
+def _counted(source: str, keys: str) -> str:
     return f"""
-        SELECT * FROM (
-            SELECT {keys}, {_strip('src_text')} AS src_text, {_strip('tgt_text')} AS tgt_text,
-                   {_n_bytes(_strip('src_text'))} + 1 AS n_src,
-                   {_n_bytes(_strip('tgt_text'))} + 1 AS n_tgt
-            FROM {source})
-        WHERE n_src <= {MAX_LEN} AND n_tgt <= {MAX_LEN}"""
+        SELECT {keys}, {_strip('src_text')} AS src_text, {_strip('tgt_text')} AS tgt_text,
+               {_n_bytes(_strip('src_text'))} + 1 AS n_src,
+               {_n_bytes(_strip('tgt_text'))} + 1 AS n_tgt
+        FROM {source}"""
 
 
 def _greedy(source: str, order: str) -> str:
     """Rows of ``source`` (lang_pair, ``order``, tok) with their shard, row by row."""
     return f"""
-        SELECT lang_pair, {order}, 0 AS shard_idx, tok AS open_tokens, rn, size
-        FROM {source}, (SELECT least(100000000, greatest(4000, sum(tok) // 1000)) AS size
-                        FROM {source})
-        WHERE rn = 1
+        SELECT lang_pair, {order}, 0 AS shard_idx, tok AS open_tokens, rn
+        FROM {source} WHERE rn = 1
         UNION ALL
         SELECT k.lang_pair, k.{order},
-               CASE WHEN g.open_tokens >= g.size THEN g.shard_idx + 1 ELSE g.shard_idx END,
-               CASE WHEN g.open_tokens >= g.size THEN k.tok ELSE g.open_tokens + k.tok END,
-               k.rn, g.size
+               CASE WHEN g.open_tokens >= {SHARD_SIZE} THEN g.shard_idx + 1 ELSE g.shard_idx END,
+               CASE WHEN g.open_tokens >= {SHARD_SIZE} THEN k.tok ELSE g.open_tokens + k.tok END,
+               k.rn
         FROM greedy g JOIN {source} k ON k.lang_pair = g.lang_pair AND k.rn = g.rn + 1"""
 
 
@@ -95,11 +91,13 @@ def _in_order(source: str, order: str, tok: str) -> str:
 
 
 STEPS |= {
-    "kept": _kept("numbered_pairs", "pair_id, lang_pair"),
-    "kept_conversations": _kept("conversation_pairs", "conv_id, turn, lang_pair"),
-    "kept_lines": _kept("numbered_line_pairs", "pair_id, file_no, line_no, lang_pair"),
-    "ordered": _in_order("kept", "pair_id", "n_src + n_tgt"),
-    "ordered_lines": _in_order("kept_lines", "pair_id", "n_src + n_tgt"),
+    "counted": _counted("numbered_pairs", "pair_id, lang_pair"),
+    "counted_conversations": _counted("conversation_pairs", "conv_id, turn, lang_pair"),
+    "counted_lines": _counted("numbered_line_pairs", "pair_id, lang_pair"),
+    "counted_all": "SELECT * FROM counted UNION ALL SELECT * FROM counted_lines",
+    "ordered": _in_order("counted_all", "pair_id", "n_src + n_tgt"),
+    "ordered_lines": _in_order("counted_lines", "pair_id", "n_src + n_tgt"),
+    "ordered_conversations": _in_order("counted", "pair_id", "n_src + n_tgt"),
     # packed pairs and what the loader finds in them
     "packed": f"""
         SELECT k.pair_id, k.lang_pair, CAST(g.shard_idx AS BIGINT) AS shard_idx,
@@ -107,33 +105,33 @@ STEPS |= {
                CAST(k.n_src AS BIGINT) AS n_src, CAST(k.n_tgt AS BIGINT) AS n_tgt,
                list_prepend(1, {_bytes('k.src_text')}) AS src_ids,
                list_prepend(1, {_bytes('k.tgt_text')}) AS tgt_ids
-        FROM kept k JOIN greedy g USING (pair_id)""",
+        FROM counted_all k JOIN greedy g USING (lang_pair, pair_id)""",
     "stream": """
-        SELECT shard_idx, side, flatten(list(ids ORDER BY pair_id)) AS tokens
-        FROM (SELECT shard_idx, pair_id, 'src' AS side, src_ids AS ids FROM packed
-              UNION ALL SELECT shard_idx, pair_id, 'tgt', tgt_ids FROM packed)
-        GROUP BY shard_idx, side""",
+        SELECT lang_pair, split, shard_idx, side, flatten(list(ids ORDER BY pair_id)) AS tokens
+        FROM (SELECT lang_pair, split, shard_idx, pair_id, 'src' AS side, src_ids AS ids FROM packed
+              UNION ALL SELECT lang_pair, split, shard_idx, pair_id, 'tgt', tgt_ids FROM packed)
+        GROUP BY lang_pair, split, shard_idx, side""",
     "tokens": """
-        SELECT shard_idx, side, unnest(tokens) AS token,
+        SELECT lang_pair, split, shard_idx, side, unnest(tokens) AS token,
                generate_subscripts(tokens, 1) - 1 AS pos
         FROM stream""",
-    "sequences": f"""
-        SELECT shard_idx, seq_id, row_number() OVER (ORDER BY shard_idx, seq_id) - 1 AS n,
-               source, target
-        FROM (SELECT shard_idx,
-                     row_number() OVER (PARTITION BY shard_idx ORDER BY pair_id) - 1 AS seq_id,
-                     src_ids[1:{SEQUENCE_LEN}] AS source, tgt_ids[1:{SEQUENCE_LEN}] AS target
+    "sequences": """
+        SELECT lang_pair, split, shard_idx, seq_id, source, target,
+               row_number() OVER (PARTITION BY lang_pair, split ORDER BY shard_idx, seq_id) - 1 AS n
+        FROM (SELECT lang_pair, split, shard_idx, src_ids AS source, tgt_ids AS target,
+                     row_number() OVER (PARTITION BY lang_pair, shard_idx ORDER BY pair_id) - 1
+                     AS seq_id
               FROM packed)""",
     "batches": f"""
-        SELECT shard_idx, seq_id, n, CAST(n // {BATCH_SIZE} AS BIGINT) AS batch_id,
+        SELECT lang_pair, split, shard_idx, seq_id, n, CAST(n // {BATCH_SIZE} AS BIGINT) AS batch_id,
                CAST(n % {BATCH_SIZE} AS BIGINT) AS row_in_batch, source, target
         FROM sequences""",
     "padded": """
-        SELECT shard_idx, seq_id, batch_id, row_in_batch,
+        SELECT lang_pair, split, shard_idx, seq_id, batch_id, row_in_batch,
                len(source) AS src_lengths, len(target) AS tgt_lengths,
                list_resize(source, max(len(source)) OVER b, 0) AS source,
                list_resize(target, max(len(target)) OVER b, 0) AS target
-        FROM batches WINDOW b AS (PARTITION BY batch_id)""",
+        FROM batches WINDOW b AS (PARTITION BY lang_pair, split, batch_id)""",
     "runlog": """
         SELECT CAST(event_id AS BIGINT) AS step,
                CASE WHEN event_type = 'view' THEN 'val' ELSE 'train' END AS split, value AS loss
@@ -143,9 +141,8 @@ STEPS |= {
         FROM (SELECT unnest({_words("src_text || ' ' || tgt_text")}) AS token
               FROM conversation_pairs)
         GROUP BY token""",
-    "vocabulary": f"""
-        SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS id
-        FROM word_counts QUALIFY id < {VOCABULARY} + 3""",
+    "vocabulary": """
+        SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS id FROM word_counts""",
     "argmax": """
         SELECT CAST(vec_id // 5 AS BIGINT) AS pair_id, CAST(vec_id % 5 AS BIGINT) AS pos,
                CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS id
@@ -226,12 +223,14 @@ NEEDS = {
     "numbered_pairs": ["conversation_pairs"],
     "line_pairs": ["document_lines"],
     "numbered_line_pairs": ["line_pairs"],
-    "kept": ["numbered_pairs"],
-    "kept_conversations": ["conversation_pairs"],
-    "kept_lines": ["numbered_line_pairs"],
-    "ordered": ["kept"],
-    "ordered_lines": ["kept_lines"],
-    "packed": ["kept", "greedy"],
+    "counted": ["numbered_pairs"],
+    "counted_conversations": ["conversation_pairs"],
+    "counted_lines": ["numbered_line_pairs"],
+    "counted_all": ["counted", "counted_lines"],
+    "ordered": ["counted_all"],
+    "ordered_lines": ["counted_lines"],
+    "ordered_conversations": ["counted"],
+    "packed": ["counted_all", "greedy"],
     "stream": ["packed"],
     "tokens": ["stream"],
     "sequences": ["packed"],
@@ -252,17 +251,21 @@ NEEDS = {
     "bert_scores": ["vectors", "bert_precision", "bert_recall"],
     "greedy": ["ordered"],
     "greedy_lines": ["ordered_lines"],
+    "greedy_conversations": ["ordered_conversations"],
     "greedy_batches": ["ordered_batches"],
-    "ordered_batches": ["kept_batches"],
-    "kept_batches": ["kept"],
+    "ordered_batches": ["counted_batches"],
+    "counted_batches": ["counted_all"],
 }
 STEPS |= {
     "greedy": _greedy("ordered", "pair_id"),
     "greedy_lines": _greedy("ordered_lines", "pair_id").replace("FROM greedy g", "FROM greedy_lines g"),
-    "kept_batches": """
+    "greedy_conversations": _greedy("ordered_conversations", "pair_id").replace(
+        "FROM greedy g", "FROM greedy_conversations g"
+    ),
+    "counted_batches": """
         SELECT lang_pair, pair_id // 10 AS batch, sum(n_src + n_tgt) AS tok
-        FROM kept GROUP BY lang_pair, batch""",
-    "ordered_batches": _in_order("kept_batches", "batch", "tok"),
+        FROM counted_all GROUP BY lang_pair, batch""",
+    "ordered_batches": _in_order("counted_batches", "batch", "tok"),
     "greedy_batches": _greedy("ordered_batches", "batch").replace(
         "FROM greedy g", "FROM greedy_batches g"
     ),
@@ -329,20 +332,21 @@ _BEST = """
     WINDOW before AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 _CUT_AT_STOPS = f"""
-    SELECT s.shard_idx, CAST(s.seq_id AS BIGINT) AS seq_id, s.seq AS source, t.seq AS target
+    SELECT lang_pair, split, shard_idx, CAST(seq_id AS BIGINT) AS seq_id,
+           s.seq AS source, t.seq AS target
     FROM (SELECT * FROM cut WHERE side = 'src') s JOIN (SELECT * FROM cut WHERE side = 'tgt') t
-      ON t.shard_idx = s.shard_idx AND t.seq_id = s.seq_id"""
+         USING (lang_pair, split, shard_idx, seq_id)"""
 
 STEPS["numbered"] = f"""
         SELECT *, count(*) FILTER (token = {FULL_STOP}) OVER (
-                   PARTITION BY shard_idx, side ORDER BY pos
+                   PARTITION BY lang_pair, shard_idx, side ORDER BY pos
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seq_id
         FROM tokens"""
 STEPS["cut"] = f"""
-        SELECT shard_idx, side, seq_id,
-               {_text(f"(list(token ORDER BY pos) FILTER (token <> {FULL_STOP}))[1:{MAX_LEN}]")} AS seq
+        SELECT lang_pair, split, shard_idx, side, seq_id,
+               {_text(f"list(token ORDER BY pos) FILTER (token <> {FULL_STOP})")} AS seq
         FROM numbered
-        GROUP BY shard_idx, side, seq_id
+        GROUP BY lang_pair, split, shard_idx, side, seq_id
         HAVING count(*) FILTER (token = {FULL_STOP}) > 0"""
 NEEDS |= {"numbered": ["tokens"], "cut": ["numbered"]}
 
@@ -358,15 +362,119 @@ STEPS["page_files"] = """
                             ('/raw/en.xml.gz', 'en.xml.gz', 'gzip'),
                             ('/readme', 'readme', 'none')) AS f(name, file_name, kind)"""
 
+STEPS["totals"] = "SELECT lang_pair, split, count(*) AS total FROM sequences GROUP BY ALL"
+NEEDS["totals"] = ["sequences"]
 STEPS["filled"] = """
-        SELECT shard_idx, seq_id, n FROM sequences
-        UNION ALL
-        SELECT shard_idx, seq_id, n + total
-        FROM sequences, (SELECT count(*) AS total FROM sequences)
-        WHERE n < (3 - total % 3) % 3"""
-NEEDS["filled"] = ["sequences"]
+        SELECT lang_pair, split, shard_idx, seq_id, n + turn * total AS n
+        FROM sequences JOIN totals USING (lang_pair, split), (VALUES (0), (1), (2)) AS t(turn)
+        WHERE n + turn * total < total + (3 - total % 3) % 3"""
+NEEDS["filled"] = ["sequences", "totals"]
+
+STEPS["meteor_scores"] = """
+        SELECT conv_id, turn, matches, chunks,
+               CASE WHEN matches = 0 THEN 0.0
+                    ELSE p * r / (0.9 * p + 0.1 * r) * (1 - 0.5 * power(chunks / matches, 3)) END
+               AS meteor
+        FROM (SELECT p.conv_id, p.turn, count(c) AS matches,
+                     count(c) FILTER (NOT coalesce(goes_on, false)) AS chunks,
+                     count(c) / len(candidate) AS p, count(c) / len(reference) AS r
+              FROM predicted p LEFT JOIN word_matches m
+                ON m.conv_id = p.conv_id AND m.turn = p.turn
+              GROUP BY p.conv_id, p.turn, candidate, reference)"""
+NEEDS["meteor_scores"] = ["predicted", "word_matches"]
+STEPS["plain"] = f"""
+        SELECT pair_id, lang_pair, src_text, tgt_text,
+               {_n_bytes('src_text')} AS n_src, {_n_bytes('tgt_text')} AS n_tgt
+        FROM numbered_pairs"""
+STEPS["ordered_plain"] = _in_order("plain", "pair_id", "n_src + n_tgt")
+STEPS["greedy_plain"] = _greedy("ordered_plain", "pair_id").replace(
+    "FROM greedy g", "FROM greedy_plain g"
+)
+STEPS["one_file"] = "SELECT 'en-ko' AS lang_pair, pair_id, n_src, n_tgt FROM counted_lines"
+STEPS["file_batches"] = """
+        SELECT lang_pair, pair_id // 10 AS batch, sum(n_src + n_tgt) AS tok
+        FROM one_file GROUP BY lang_pair, batch"""
+STEPS["ordered_files"] = _in_order("file_batches", "batch", "tok")
+STEPS["greedy_files"] = _greedy("ordered_files", "batch").replace(
+    "FROM greedy g", "FROM greedy_files g"
+)
+STEPS["shuffled"] = """
+        SELECT shard_idx, seq_id, source[1:256] AS source, target[1:256] AS target,
+               row_number() OVER (ORDER BY md5('7:2:' || n), n) - 1 AS position
+        FROM sequences WHERE lang_pair = 'fr-zz' AND split = 'train'"""
+STEPS["slots"] = """
+        SELECT shard_idx, seq_id, source, target, position + turn * total AS slot
+        FROM shuffled, (SELECT count(*) AS total FROM shuffled), (VALUES (0), (1), (2)) AS t(turn)
+        WHERE position + turn * total < total + (3 - total % 3) % 3"""
+STEPS["loaded"] = f"""
+        SELECT *, list_resize(source, max(len(source)) OVER b, 0) AS src,
+               list_resize(target, max(len(target)) OVER b, 0) AS tgt
+        FROM (SELECT *, slot % 3 AS rank, (slot // 3) // {BATCH_SIZE} AS batch_id,
+                     (slot // 3) % {BATCH_SIZE} AS row_in_batch FROM slots)
+        WINDOW b AS (PARTITION BY rank, batch_id)"""
+NEEDS |= {
+    "plain": ["numbered_pairs"],
+    "ordered_plain": ["plain"],
+    "greedy_plain": ["ordered_plain"],
+    "one_file": ["counted_lines"],
+    "file_batches": ["one_file"],
+    "ordered_files": ["file_batches"],
+    "greedy_files": ["ordered_files"],
+    "shuffled": ["sequences"],
+    "slots": ["shuffled"],
+    "loaded": ["slots"],
+}
+_SPLIT = "CASE WHEN shard_idx = 0 THEN 'val' ELSE 'train' END AS split"
 
 ORACLES = {
+    "nested_ingest": _query(
+        f"""SELECT lang_pair, {_SPLIT}, CAST(shard_idx AS BIGINT) AS shard_idx, pair_id,
+                   {_text(_bytes('src_text'))} AS src, CAST(n_src AS BIGINT) AS n_src,
+                   CAST(n_tgt AS BIGINT) AS n_tgt
+            FROM (SELECT lang_pair, pair_id, shard_idx FROM greedy_plain)
+            JOIN plain USING (lang_pair, pair_id)""",
+        "greedy_plain",
+    ),
+    "ingest_rejects": """
+        SELECT CASE WHEN a.conv_id % 7 = 0 THEN 'no translation'
+                    WHEN b.conv_id IS NULL THEN 'target missing' ELSE 'kept' END AS reason,
+               count(*) AS n_lines
+        FROM conversations a LEFT JOIN conversations b
+          ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant'
+        WHERE a.role = 'user' GROUP BY reason""",
+    "aligned_ingest": _query(
+        f"""SELECT k.lang_pair, {_SPLIT}, CAST(g.shard_idx AS BIGINT) AS shard_idx, k.pair_id,
+                   CAST(k.n_src AS BIGINT) AS n_src, CAST(k.n_tgt AS BIGINT) AS n_tgt
+            FROM one_file k JOIN greedy_files g ON g.batch = k.pair_id // 10""",
+        "greedy_files",
+    ),
+    "loader_batches": _query(
+        f"""SELECT CAST(rank AS BIGINT) AS rank, CAST(batch_id AS BIGINT) AS batch_id,
+                   CAST(row_in_batch AS BIGINT) AS row_in_batch,
+                   CAST(batch_id // 2 AS BIGINT) AS step, CAST(batch_id % 2 AS BIGINT) AS micro_step,
+                   shard_idx, seq_id, {_text('src')} AS source,
+                   {_text('tgt[:-2]')} AS target_input, {_text('tgt[2:]')} AS target_output,
+                   {_bits('src', '=')} AS src_padding_mask, {_bits('src', '<>')} AS src_attn_mask,
+                   {_bits('tgt', '=')} AS tgt_padding_mask, {_bits('tgt', '<>')} AS tgt_attn_mask,
+                   len(source) AS src_lengths, len(target) AS tgt_lengths
+            FROM loaded""",
+        "loaded",
+    ),
+    "score_report": _query(
+        f"""SELECT metric, round(value, 4) AS value FROM (
+                SELECT 'bleu' AS metric, avg({_BLEU}) AS value FROM bleu_counts
+                UNION ALL SELECT 'corpus_bleu', {_BLEU} FROM (SELECT {", ".join(
+                    f"sum({name}) AS {name}"
+                    for name in [f"{k}_{n}" for k in ("match", "total") for n in (1, 2, 3, 4)]
+                    + ["c_len", "r_len"])} FROM bleu_counts)
+                UNION ALL SELECT 'meteor', avg(meteor) FROM meteor_scores
+                UNION ALL SELECT 'bert_precision', avg(precision) FROM bert_scores
+                UNION ALL SELECT 'bert_recall', avg(recall) FROM bert_scores
+                UNION ALL SELECT 'bert_f1', avg(f1) FROM bert_scores)""",
+        "bleu_counts",
+        "meteor_scores",
+        "bert_scores",
+    ),
     "shard_summary": _shards(_SUMMARY, _BY_SHARD),
     "file_pairs": _query(
         """SELECT a.file_no, a.name AS src_name, b.name AS tgt_name
@@ -406,7 +514,7 @@ ORACLES = {
            printf('trg_shard_%06d', shard_idx) AS tgt_name, true AS complete"""
     ),
     "shard_read": _shards(
-        f"shard_idx, pair_id, {_text('src_ids')} AS src, {_text('tgt_ids')} AS tgt",
+        f"lang_pair, shard_idx, pair_id, {_text('src_ids')} AS src, {_text('tgt_ids')} AS tgt",
         "WHERE split = 'train'",
     ),
     "shard_roundtrip": _shards("lang_pair, split, shard_idx, pair_id, n_src, n_tgt"),
@@ -436,22 +544,22 @@ ORACLES = {
         WHERE NOT (a BETWEEN 0 AND 4294967295 AND b BETWEEN 0 AND 4294967295
                    AND c BETWEEN 0 AND 4294967295)""",
     "length_filter": _query(
-        """SELECT conv_id, turn, CAST(n_src AS BIGINT) AS n_src, CAST(n_tgt AS BIGINT) AS n_tgt
-           FROM kept_conversations""",
-        "kept_conversations",
+        f"""SELECT conv_id, turn, CAST(n_src AS BIGINT) AS n_src, CAST(n_tgt AS BIGINT) AS n_tgt
+           FROM counted_conversations WHERE n_src <= {MAX_LEN} AND n_tgt <= {MAX_LEN}""",
+        "counted_conversations",
     ),
     "limit_examined": _query(
         """SELECT pair_id, CAST(n_src AS BIGINT) AS n_src, CAST(n_tgt AS BIGINT) AS n_tgt
-           FROM kept WHERE pair_id < 150""",
-        "kept",
+           FROM counted WHERE pair_id < 150""",
+        "counted",
     ),
     "limit_kept": _query(
         """SELECT pair_id, CAST(n_src AS BIGINT) AS n_src, CAST(n_tgt AS BIGINT) AS n_tgt
-           FROM kept ORDER BY pair_id LIMIT 40""",
-        "kept",
+           FROM counted ORDER BY pair_id LIMIT 40""",
+        "counted",
     ),
     "truncate_sequences": _shards(
-        f"""shard_idx, pair_id, {_text('src_ids[1:128]')} AS source,
+        f"""lang_pair, pair_id, {_text('src_ids[1:128]')} AS source,
             {_text('tgt_ids[1:128]')} AS target"""
     ),
     "prompt_text": _query(
@@ -459,14 +567,16 @@ ORACLES = {
         "conversation_pairs",
     ),
     "prompt_tokens": _query(
-        f"""SELECT shard_idx, seq_id,
+        f"""SELECT lang_pair, split, shard_idx, seq_id,
                    {_text(f"list_concat({_bytes(repr(PROMPT))}, source)")} AS source,
-                   repeat('1', {len(PROMPT)}) || {_bits('source', '<>')} AS src_attn_mask
+                   repeat('1', {len(PROMPT)}) || {_bits('source', '<>')} AS src_attn_mask,
+                   repeat('0', {len(PROMPT)}) || {_bits('source', '=')} AS src_padding_mask,
+                   src_lengths + {len(PROMPT)} AS src_lengths
             FROM padded""",
         "padded",
     ),
     "label_by_split": _query(
-        f"""SELECT shard_idx, seq_id, CASE WHEN shard_idx = 0 THEN 'val' ELSE 'train' END AS split,
+        f"""SELECT lang_pair, split, shard_idx, seq_id,
                    {_text("CASE WHEN shard_idx = 0 THEN target[2:] ELSE target[:-2] END")} AS labels
             FROM padded""",
         "padded",
@@ -491,30 +601,32 @@ ORACLES = {
         """SELECT lang_pair, count(*) AS pairs, CAST(sum(n_src) AS BIGINT) AS src_tokens,
                   CAST(sum(n_tgt) AS BIGINT) AS tgt_tokens,
                   CAST(sum(n_src + n_tgt) AS BIGINT) AS tokens
-           FROM kept_lines GROUP BY lang_pair""",
-        "kept_lines",
+           FROM counted_lines GROUP BY lang_pair""",
+        "counted_lines",
     ),
     "shard_concat": _query(
-        f"""SELECT shard_idx, side, CAST(start AS BIGINT) AS pos,
+        f"""SELECT lang_pair, split, shard_idx, side, CAST(start AS BIGINT) AS pos,
                    {_text(f'tokens[start + 1:start + {CHUNK}]')} AS tokens
             FROM (SELECT *, unnest(range(0, len(tokens), {CHUNK})) AS start FROM stream)""",
         "stream",
     ),
     "shard_profile": _query(
-        """SELECT shard_idx, side, count(*) AS n_tokens, count(*) FILTER (token = 1) AS n_markers
-           FROM tokens GROUP BY shard_idx, side""",
+        """SELECT lang_pair, split, shard_idx, side, count(*) AS n_tokens,
+                  count(*) FILTER (token = 1) AS n_markers
+           FROM tokens GROUP BY lang_pair, split, shard_idx, side""",
         "tokens",
     ),
     "segment_mismatch": _query(
-        f"""SELECT shard_idx,
+        f"""SELECT lang_pair, split, shard_idx,
                    count(*) FILTER (side = 'src' AND token = {FULL_STOP}) AS src_markers,
                    count(*) FILTER (side = 'tgt' AND token = {FULL_STOP}) AS tgt_markers
-            FROM tokens GROUP BY shard_idx HAVING src_markers <> tgt_markers""",
+            FROM tokens GROUP BY lang_pair, split, shard_idx HAVING src_markers <> tgt_markers""",
         "tokens",
     ),
     "marker_positions": _query(
-        """SELECT shard_idx, side, CAST(pos AS BIGINT) AS pos FROM tokens WHERE token = 1
-           UNION ALL SELECT shard_idx, side, len(tokens) FROM stream""",
+        """SELECT lang_pair, split, shard_idx, side, CAST(pos AS BIGINT) AS pos
+           FROM tokens WHERE token = 1
+           UNION ALL SELECT lang_pair, split, shard_idx, side, len(tokens) FROM stream""",
         "tokens",
     ),
     "token_length_profile": f"""
@@ -527,9 +639,8 @@ ORACLES = {
     "runlog_parse": _query("SELECT step, split, loss FROM runlog", "runlog"),
     "runlog_mean_loss": _query(
         """SELECT epoch, split, round(avg(loss), 4) AS mean_loss, count(*) AS batches
-           FROM (SELECT *, row_number() OVER (PARTITION BY epoch, split ORDER BY step) AS k
-                 FROM (SELECT *, CAST(step // 1000 AS BIGINT) AS epoch FROM runlog))
-           WHERE k <= 20 GROUP BY epoch, split""",
+           FROM (SELECT *, CAST(step // 1000 AS BIGINT) AS epoch FROM runlog)
+           GROUP BY epoch, split""",
         "runlog",
     ),
     "runlog_best": _query(_BEST, "runlog"),
@@ -552,8 +663,9 @@ ORACLES = {
         "greedy_lines",
     ),
     "pack_batched": _query(
-        """SELECT k.pair_id, CAST(g.shard_idx AS BIGINT) AS shard_idx
-           FROM kept k JOIN greedy_batches g ON g.batch = k.pair_id // 10""",
+        """SELECT k.lang_pair, k.pair_id, CAST(g.shard_idx AS BIGINT) AS shard_idx
+           FROM counted_all k
+           JOIN greedy_batches g ON g.lang_pair = k.lang_pair AND g.batch = k.pair_id // 10""",
         "greedy_batches",
     ),
     "split_assign": _query(
@@ -563,73 +675,82 @@ ORACLES = {
         "greedy_lines",
     ),
     "segment_prefix": _query(
-        f"""SELECT shard_idx,
-                   row_number() OVER (PARTITION BY shard_idx ORDER BY pair_id) - 1 AS seq_id,
-                   {_text('src_ids')} AS source, {_text('tgt_ids')} AS target
-            FROM packed""",
-        "packed",
+        f"""SELECT lang_pair, split, shard_idx, seq_id,
+                   {_text('source')} AS source, {_text('target')} AS target
+            FROM sequences""",
+        "sequences",
     ),
     "segment_suffix": _query(_CUT_AT_STOPS, "cut"),
     "sequence_lookup": _query(
-        """SELECT CAST(event_id AS BIGINT) AS idx, shard_idx, seq_id, len(source) AS src_length
-           FROM events JOIN sequences ON n = event_id % (SELECT count(*) FROM sequences)""",
-        "sequences",
+        """SELECT idx, lang_pair, split, shard_idx, seq_id, len(source) AS src_length
+           FROM (SELECT CAST(event_id AS BIGINT) AS idx, 'train' AS split,
+                        (['en-xx', 'en-zz', 'fr-zz'])[event_id % 3 + 1] AS lang_pair FROM events)
+           JOIN totals USING (lang_pair, split)
+           JOIN sequences USING (lang_pair, split)
+           WHERE n = idx % total""",
+        "totals",
     ),
     "batch_assign": _query(
-        "SELECT shard_idx, seq_id, batch_id, row_in_batch FROM batches", "batches"
+        "SELECT lang_pair, split, shard_idx, seq_id, batch_id, row_in_batch FROM batches",
+        "batches",
     ),
     "batch_pad": _query(
-        f"""SELECT batch_id, row_in_batch, {_text('source')} AS source, {_text('target')} AS target
+        f"""SELECT lang_pair, split, batch_id, row_in_batch, {_text('source')} AS source, {_text('target')} AS target
             FROM padded""",
         "padded",
     ),
     "batch_masks": _query(
-        f"""SELECT batch_id, row_in_batch, {_bits('source', '=')} AS src_padding_mask,
+        f"""SELECT lang_pair, split, batch_id, row_in_batch, {_bits('source', '=')} AS src_padding_mask,
                    {_bits('source', '<>')} AS src_attn_mask, {_bits('target', '=')} AS tgt_padding_mask,
                    {_bits('target', '<>')} AS tgt_attn_mask
             FROM padded""",
         "padded",
     ),
     "batch_shift": _query(
-        f"""SELECT batch_id, row_in_batch, {_text('target[:-2]')} AS target_input,
+        f"""SELECT lang_pair, split, batch_id, row_in_batch, {_text('target[:-2]')} AS target_input,
                    {_text('target[2:]')} AS target_output
             FROM padded""",
         "padded",
     ),
     "batch_lengths": _query(
-        "SELECT batch_id, row_in_batch, src_lengths, tgt_lengths FROM padded", "padded"
+        "SELECT lang_pair, split, batch_id, row_in_batch, src_lengths, tgt_lengths FROM padded",
+        "padded",
     ),
     "step_plan": _query(
-        """SELECT DISTINCT batch_id, CAST(batch_id // 2 AS BIGINT) AS step,
+        """SELECT DISTINCT lang_pair, split, batch_id, CAST(batch_id // 2 AS BIGINT) AS step,
                   CAST(batch_id % 2 AS BIGINT) AS micro_step
            FROM batches""",
         "batches",
     ),
     "rank_shards": _query(
-        """SELECT split, shard_idx, position, CAST(position % 3 AS BIGINT) AS rank
-           FROM (SELECT split, shard_idx,
-                        row_number() OVER (PARTITION BY split ORDER BY shard_idx) - 1 AS position
-                 FROM (SELECT DISTINCT split, shard_idx FROM packed))""",
+        """SELECT *, CAST(position % 3 AS BIGINT) AS rank
+           FROM (SELECT lang_pair, split, shard_idx,
+                        row_number() OVER (PARTITION BY lang_pair, split ORDER BY shard_idx) - 1
+                        AS position
+                 FROM (SELECT DISTINCT lang_pair, split, shard_idx FROM packed))""",
         "packed",
     ),
     "rank_sequences": _query(
-        """SELECT shard_idx, seq_id, CAST(n % 3 AS BIGINT) AS rank, CAST(n // 3 AS BIGINT) AS rank_row
+        """SELECT lang_pair, split, shard_idx, seq_id, CAST(n % 3 AS BIGINT) AS rank, CAST(n // 3 AS BIGINT) AS rank_row
            FROM filled""",
         "filled",
     ),
     "shard_head": _query(
-        """SELECT shard_idx, side, CAST(pos AS BIGINT) AS pos, CAST(token AS BIGINT) AS token
+        """SELECT lang_pair, split, shard_idx, side, CAST(pos AS BIGINT) AS pos, CAST(token AS BIGINT) AS token
            FROM tokens WHERE pos < 100""",
         "tokens",
     ),
     "shuffle_epoch": _query(
-        "SELECT n, row_number() OVER (ORDER BY md5('7:2:' || n), n) - 1 AS position FROM sequences",
+        """SELECT lang_pair, split, n,
+                  row_number() OVER (PARTITION BY lang_pair, split ORDER BY md5('7:2:' || n), n) - 1
+                  AS position
+           FROM sequences""",
         "sequences",
     ),
     "argmax_decode": _query("SELECT pair_id, pos, id FROM argmax", "argmax"),
     "decode_predictions": _query(
         """SELECT a.pair_id, coalesce(string_agg(v.token, ' ' ORDER BY a.pos), '') AS text
-           FROM argmax a LEFT JOIN vocabulary v ON v.id = a.id AND v.id < 64
+           FROM argmax a LEFT JOIN vocabulary v ON v.id = a.id
            GROUP BY a.pair_id""",
         "argmax",
         "vocabulary",
@@ -651,18 +772,8 @@ ORACLES = {
         "bleu_counts",
     ),
     "meteor_exact": _query(
-        """SELECT conv_id, turn, matches, chunks,
-                  CASE WHEN matches = 0 THEN 0.0
-                       ELSE round(p * r / (0.9 * p + 0.1 * r)
-                                  * (1 - 0.5 * power(chunks / matches, 3)), 4) END AS meteor
-           FROM (SELECT p.conv_id, p.turn, count(c) AS matches,
-                        count(c) FILTER (NOT coalesce(goes_on, false)) AS chunks,
-                        count(c) / len(candidate) AS p, count(c) / len(reference) AS r
-                 FROM predicted p LEFT JOIN word_matches m
-                   ON m.conv_id = p.conv_id AND m.turn = p.turn
-                 GROUP BY p.conv_id, p.turn, candidate, reference)""",
-        "predicted",
-        "word_matches",
+        "SELECT conv_id, turn, matches, chunks, round(meteor, 4) AS meteor FROM meteor_scores",
+        "meteor_scores",
     ),
     "bert_score_pairs": _query(
         """SELECT pair_id, round(precision, 4) AS precision, round(recall, 4) AS recall,
@@ -676,6 +787,16 @@ ORACLES = {
            FROM bert_scores""",
         "bert_scores",
     ),
-    "stream_ingest": _shards(_SUMMARY, _BY_SHARD),
+    "stream_ingest": _query(
+        f"""SELECT {_SUMMARY}
+            FROM (SELECT lang_pair, shard_idx, n_src, n_tgt,
+                         CASE WHEN shard_idx = 0 THEN 'val' ELSE 'train' END AS split
+                  FROM (SELECT lang_pair, pair_id, CAST(shard_idx AS BIGINT) AS shard_idx
+                        FROM greedy_conversations)
+                  JOIN counted USING (lang_pair, pair_id))
+            {_BY_SHARD}""",
+        "counted",
+        "greedy_conversations",
+    ),
     "stream_runlog": _query(_BEST, "runlog"),
 }

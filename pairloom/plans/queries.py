@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from pairloom.config import AlignedIngest, Ingest, Loader
 from pairloom.functions import arrays, text
-from pairloom.operators import batch, pack, profile, ranks, score, segment, tokens
-from pairloom.plans import inputs
+from pairloom.operators import batch, pack, profile, ranks, score, segment, tokens, vocabulary
+from pairloom.plans import inputs, jobs
 from pairloom.plans.inputs import BYTES, MAX_LEN
-from pairloom.session import new_path
+from pairloom.session import materialise, new_path
 from pairloom.sources import archives, lines, runlog, shards
 from pairloom.sources import pairs as pair_sources
 from pairloom.streaming import ingest as stream_ingest_job
@@ -25,6 +26,9 @@ FULL_STOP = ord(".") + 3
 BATCH_SIZE = 8
 WORLD_SIZE = 3
 KEYS = ["conv_id", "turn"]
+LOADER = ["lang_pair", "split"]
+SHARD = [*LOADER, "shard_idx"]
+BATCH = [*LOADER, "batch_id"]
 
 
 def as_text(column: str | Column) -> Column:
@@ -118,7 +122,7 @@ def shard_listing(spark, sf_dir):
 def shard_read(spark, sf_dir):
     train = inputs.shards(spark, sf_dir, split="train")
     return train.select(
-        "shard_idx", "pair_id", as_text("src_ids").alias("src"), as_text("tgt_ids").alias("tgt")
+        "lang_pair", "shard_idx", "pair_id", as_text("src_ids").alias("src"), as_text("tgt_ids").alias("tgt")
     )
 
 
@@ -136,9 +140,79 @@ def shard_roundtrip(spark, sf_dir):
 
 
 def shard_summary(spark, sf_dir):
-    """The flagship: strip, tokenise, filter, pack, split, sum up."""
-    kept = inputs.kept_pairs(inputs.numbered_pairs(spark, sf_dir))
-    return shards.shard_summary(inputs.packed_pairs(kept))
+    """The flagship: strip, count tokens, pack, split, sum up."""
+    counted = inputs.counted_pairs(inputs.all_pairs(spark, sf_dir))
+    return shards.shard_summary(inputs.packed_pairs(counted))
+
+
+# --- whole jobs on files ---------------------------------------------------------------
+
+
+def _write_in_order(lines_: DataFrame, keys: list[str], path: str, **options: str) -> None:
+    """Text files whose names and lines are in the order of ``keys``."""
+    ordered = lines_.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    if options:
+        ordered.select("value").write.options(**options).csv(path)
+    else:
+        ordered.select("value").write.text(path)
+
+
+def nested_ingest(spark, sf_dir):
+    base = new_path(spark, "nested")
+    pairs = inputs.numbered_pairs(spark, sf_dir)
+    nested = F.struct(F.struct(F.col("src_text").alias("en"), F.col("tgt_text").alias("xx")).alias("translation"))
+    _write_in_order(pairs.withColumn("value", F.to_json(nested)), ["pair_id"], f"{base}/in")
+    options = Ingest(shard_size=inputs.SHARD_SIZE)
+    jobs.ingest_nested(spark, {"en-xx": f"{base}/in"}, f"{base}/out", BYTES, options)
+    return shards.read_shards(spark, f"{base}/out").select(
+        *SHARD, "pair_id", as_text("src_ids").alias("src"), big("n_src"), big("n_tgt")
+    )
+
+
+def ingest_rejects(spark, sf_dir):
+    """Lines by the reason why they are no pairs; together they are all lines."""
+    path = new_path(spark, "nested")
+    _write_in_order(inputs.nested_lines(spark, sf_dir), ["conv_id", "turn"], path)
+    checked = lines.checked_nested(spark, path, "en-xx")
+    reason = F.coalesce("reason", F.lit("kept")).alias("reason")
+    return checked.groupBy(reason).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def aligned_ingest(spark, sf_dir):
+    base = new_path(spark, "aligned")
+    pairs = inputs.numbered_line_pairs(spark, sf_dir)
+    # a line of text: no separator, quote or escape ever occurs in it
+    plain = {"sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "emptyValue": "",
+             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    for side, language in (("src_text", "en"), ("tgt_text", "ko")):
+        side_lines = pairs.select("pair_id", F.col(side).alias("value"))
+        _write_in_order(side_lines, ["pair_id"], f"{base}/in/{language}", extension=language, **plain)
+    options = AlignedIngest(shard_size=inputs.SHARD_SIZE, batch_size=10)
+    jobs.ingest_aligned(spark, f"{base}/in/*", ("en", "ko"), f"{base}/out", BYTES, options)
+    return shards.read_shards(spark, f"{base}/out").select(
+        *SHARD, "pair_id", big("n_src"), big("n_tgt")
+    )
+
+
+def loader_batches(spark, sf_dir):
+    """One epoch of one language pair for three ranks, with all training columns."""
+    options = Loader(BATCH_SIZE, 256, tokens_per_step=12_288, world_size=WORLD_SIZE, seed=7)
+    rows = jobs.batches(
+        spark, inputs.shards_path(spark, sf_dir), "fr-zz", "train", epoch=2, options=options
+    )
+    masks = ("src_padding_mask", "src_attn_mask", "tgt_padding_mask", "tgt_attn_mask")
+    ids = ("source", "target_input", "target_output")
+    return rows.select(
+        big("rank"), "batch_id", "row_in_batch", "step", "micro_step", "shard_idx", "seq_id",
+        *[as_text(c).alias(c) for c in ids],
+        *[as_bits(c).alias(c) for c in masks],
+        big("src_lengths"), big("tgt_lengths"),
+    )
+
+
+def score_report(spark, sf_dir):
+    found = jobs.scores(inputs.predictions(spark, sf_dir), inputs.token_vectors(spark, sf_dir))
+    return found.select("metric", F.round("value", 4).alias("value"))
 
 
 # --- projections, filters, limits ---------------------------------------------------
@@ -155,8 +229,10 @@ def tokenize_bytes(spark, sf_dir):
 
 
 def tokenize_words(spark, sf_dir):
-    words = inputs.word_tokenizer(spark, sf_dir)
-    encoded = tokens.encode_pairs(inputs.conversation_pairs(spark, sf_dir), words)
+    words = materialise(inputs.vocabulary(spark, sf_dir), "vocabulary")
+    encoded = vocabulary.encode_words(
+        inputs.conversation_pairs(spark, sf_dir), KEYS, {"src_ids": "src_text", "tgt_ids": "tgt_text"}, words
+    )
     return encoded.select(*KEYS, as_text("src_ids").alias("src"), as_text("tgt_ids").alias("tgt"))
 
 
@@ -188,24 +264,24 @@ def token_range_violations(spark, sf_dir):
 
 
 def length_filter(spark, sf_dir):
-    kept = inputs.kept_pairs(inputs.conversation_pairs(spark, sf_dir))
-    return kept.select(*KEYS, big("n_src"), big("n_tgt"))
+    counted = inputs.counted_pairs(inputs.conversation_pairs(spark, sf_dir))
+    return tokens.within_length(counted, MAX_LEN).select(*KEYS, big("n_src"), big("n_tgt"))
 
 
 def limit_examined(spark, sf_dir):
     examined = tokens.limit_examined(inputs.numbered_pairs(spark, sf_dir), 150)
-    return inputs.kept_pairs(examined).select("pair_id", big("n_src"), big("n_tgt"))
+    return inputs.counted_pairs(examined).select("pair_id", big("n_src"), big("n_tgt"))
 
 
 def limit_kept(spark, sf_dir):
-    kept = tokens.limit_kept(inputs.kept_pairs(inputs.numbered_pairs(spark, sf_dir)), 40)
+    kept = tokens.limit_kept(inputs.counted_pairs(inputs.numbered_pairs(spark, sf_dir)), 40)
     return kept.select("pair_id", big("n_src"), big("n_tgt"))
 
 
 def truncate_sequences(spark, sf_dir):
     loaded = inputs.shards(spark, sf_dir)
     return loaded.select(
-        "shard_idx",
+        "lang_pair",
         "pair_id",
         as_text(arrays.truncate(F.col("src_ids"), 128)).alias("source"),
         as_text(arrays.truncate(F.col("tgt_ids"), 128)).alias("target"),
@@ -225,7 +301,7 @@ def _positions(spark, sf_dir):
 
 def _collated(spark, sf_dir, **options):
     batched = batch.assign_batches(_positions(spark, sf_dir), BATCH_SIZE)
-    return batch.collate(batched, **options)
+    return batch.collate(batched, keys=BATCH, **options)
 
 
 def prompt_ids(prompt: str) -> list[int]:
@@ -238,17 +314,18 @@ def prompt_tokens(spark, sf_dir):
         _collated(spark, sf_dir), prompt_ids(text.prompt("English", "Korean"))
     )
     return prompted.select(
-        "shard_idx",
+        *SHARD,
         big("seq_id"),
         as_text("source").alias("source"),
         as_bits("src_attn_mask").alias("src_attn_mask"),
+        as_bits("src_padding_mask").alias("src_padding_mask"),
+        big("src_lengths"),
     )
 
 
 def label_by_split(spark, sf_dir):
-    split = pack.split_name()
-    labelled = batch.labels(_collated(spark, sf_dir), split).withColumn("split", split)
-    return labelled.select("shard_idx", big("seq_id"), "split", as_text("labels").alias("labels"))
+    labelled = batch.labels(_collated(spark, sf_dir), F.col("split"))
+    return labelled.select(*SHARD, big("seq_id"), as_text("labels").alias("labels"))
 
 
 def raw_text_batch(spark, sf_dir):
@@ -275,14 +352,14 @@ def raw_text_batch(spark, sf_dir):
 
 
 def corpus_totals(spark, sf_dir):
-    kept = inputs.kept_pairs(inputs.line_pairs(spark, sf_dir))
-    return profile.corpus_totals(kept, ["lang_pair"])
+    counted = inputs.counted_pairs(inputs.line_pairs(spark, sf_dir))
+    return profile.corpus_totals(counted, ["lang_pair"])
 
 
 def shard_concat(spark, sf_dir):
     runs = segment.runs_of_pairs(inputs.shards(spark, sf_dir))
     chunks = segment.rechunk(runs, inputs.CHUNK)
-    return chunks.select("shard_idx", "side", "pos", as_text("tokens").alias("tokens"))
+    return chunks.select(*SHARD, "side", "pos", as_text("tokens").alias("tokens"))
 
 
 def shard_profile(spark, sf_dir):
@@ -313,7 +390,7 @@ def runlog_parse(spark, sf_dir):
 
 
 def runlog_mean_loss(spark, sf_dir):
-    means = runlog.mean_loss(_run_log(spark, sf_dir), 1000, runlog.EVALUATION_BATCHES)
+    means = runlog.mean_loss(_run_log(spark, sf_dir), 1000)
     return means.withColumn("mean_loss", F.round("mean_loss", 4))
 
 
@@ -344,54 +421,61 @@ def step_throughput(spark, sf_dir):
 
 
 def pack_greedy(spark, sf_dir):
-    kept = inputs.kept_pairs(inputs.numbered_line_pairs(spark, sf_dir))
-    return inputs.packed_pairs(kept).select("lang_pair", "pair_id", "shard_idx")
+    counted = inputs.counted_pairs(inputs.numbered_line_pairs(spark, sf_dir))
+    return inputs.packed_pairs(counted).select("lang_pair", "pair_id", "shard_idx")
 
 
 def pack_batched(spark, sf_dir):
-    kept = inputs.kept_pairs(inputs.numbered_pairs(spark, sf_dir))
-    packed = pack.pack_batched(kept, inputs.shard_size(kept), batch_rows=10)
-    return packed.select("pair_id", "shard_idx")
+    counted = inputs.counted_pairs(inputs.all_pairs(spark, sf_dir))
+    packed = pack.pack_batched(counted, inputs.SHARD_SIZE, batch_rows=10, segment_rows=8)
+    return packed.select("lang_pair", "pair_id", "shard_idx")
 
 
 def split_assign(spark, sf_dir):
-    kept = inputs.kept_pairs(inputs.numbered_line_pairs(spark, sf_dir))
-    packed = inputs.packed_pairs(kept)
+    packed = inputs.packed_pairs(
+        inputs.counted_pairs(inputs.numbered_line_pairs(spark, sf_dir))
+    )
     return packed.groupBy("lang_pair", "split").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def segment_prefix(spark, sf_dir):
-    found = segment.sequences(inputs.flat_shards(spark, sf_dir), MARKER, "first", MAX_LEN)
+    found = segment.sequences(inputs.flat_shards(spark, sf_dir), MARKER, "first")
     return found.select(
-        "shard_idx", "seq_id", as_text("source").alias("source"), as_text("target").alias("target")
+        *SHARD, "seq_id", as_text("source").alias("source"), as_text("target").alias("target")
     )
 
 
 def segment_suffix(spark, sf_dir):
     """The streams cut before their full stops."""
-    found = segment.sequences(inputs.flat_shards(spark, sf_dir), FULL_STOP, "last", MAX_LEN)
+    found = segment.sequences(inputs.flat_shards(spark, sf_dir), FULL_STOP, "last", strict=False)
     return found.select(
-        "shard_idx", "seq_id", as_text("source").alias("source"), as_text("target").alias("target")
+        *SHARD, "seq_id", as_text("source").alias("source"), as_text("target").alias("target")
     )
 
 
 def sequence_lookup(spark, sf_dir):
-    requests = inputs.table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"))
+    requests = inputs.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("idx"),
+        F.element_at(
+            F.array(*map(F.lit, ("en-xx", "en-zz", "fr-zz"))), (F.col("event_id") % 3 + 1).cast("int")
+        ).alias("lang_pair"),
+        F.lit("train").alias("split"),
+    )
     found = segment.lookup(inputs.loaded_sequences(spark, sf_dir), requests)
     return found.select(
-        "idx", "shard_idx", "seq_id", F.size("source").cast("bigint").alias("src_length")
+        "idx", *SHARD, "seq_id", F.size("source").cast("bigint").alias("src_length")
     )
 
 
 def batch_assign(spark, sf_dir):
     batched = batch.assign_batches(_positions(spark, sf_dir), BATCH_SIZE)
-    return batched.select("shard_idx", "seq_id", "batch_id", "row_in_batch")
+    return batched.select(*SHARD, "seq_id", "batch_id", "row_in_batch")
 
 
 def batch_pad(spark, sf_dir):
     batched = batch.assign_batches(_positions(spark, sf_dir), BATCH_SIZE)
-    return batch.pad_batches(batched).select(
-        "batch_id",
+    return batch.pad_batches(batched, keys=BATCH).select(
+        *BATCH,
         "row_in_batch",
         as_text("source").alias("source"),
         as_text("target").alias("target"),
@@ -401,13 +485,13 @@ def batch_pad(spark, sf_dir):
 def batch_masks(spark, sf_dir):
     masks = ("src_padding_mask", "src_attn_mask", "tgt_padding_mask", "tgt_attn_mask")
     return _collated(spark, sf_dir).select(
-        "batch_id", "row_in_batch", *[as_bits(name).alias(name) for name in masks]
+        *BATCH, "row_in_batch", *[as_bits(name).alias(name) for name in masks]
     )
 
 
 def batch_shift(spark, sf_dir):
     return _collated(spark, sf_dir).select(
-        "batch_id",
+        *BATCH,
         "row_in_batch",
         as_text("target_input").alias("target_input"),
         as_text("target_output").alias("target_output"),
@@ -416,38 +500,38 @@ def batch_shift(spark, sf_dir):
 
 def batch_lengths(spark, sf_dir):
     return _collated(spark, sf_dir).select(
-        "batch_id", "row_in_batch", big("src_lengths"), big("tgt_lengths")
+        *BATCH, "row_in_batch", big("src_lengths"), big("tgt_lengths")
     )
 
 
 def step_plan(spark, sf_dir):
     accumulation = batch.accumulation_steps(BATCH_SIZE, 256, WORLD_SIZE, 12_288)
     batched = batch.assign_batches(_positions(spark, sf_dir), BATCH_SIZE)
-    plan = batch.step_plan(batched.select("batch_id").distinct(), accumulation)
-    return plan.select("batch_id", "step", "micro_step")
+    plan = batch.step_plan(batched.select(*BATCH).distinct(), accumulation)
+    return plan.select(*BATCH, "step", "micro_step")
 
 
 def rank_shards(spark, sf_dir):
-    listed = inputs.shards(spark, sf_dir).select("split", "shard_idx").distinct()
-    return ranks.rank_shards(listed, WORLD_SIZE, by=["split"]).select(
-        "split", "shard_idx", "position", big("rank")
+    listed = inputs.shards(spark, sf_dir).select(*SHARD).distinct()
+    return ranks.rank_shards(listed, WORLD_SIZE).select(
+        *SHARD, "position", big("rank")
     )
 
 
 def rank_sequences(spark, sf_dir):
     ranked = ranks.rank_sequences(_positions(spark, sf_dir), WORLD_SIZE)
-    return ranked.select("shard_idx", "seq_id", big("rank"), "rank_row")
+    return ranked.select(*SHARD, "seq_id", big("rank"), "rank_row")
 
 
 def shard_head(spark, sf_dir):
     return segment.head(inputs.flat_shards(spark, sf_dir), 100).select(
-        "shard_idx", "side", "pos", big("token")
+        *SHARD, "side", "pos", big("token")
     )
 
 
 def shuffle_epoch(spark, sf_dir):
-    found = inputs.loaded_sequences(spark, sf_dir).select("n")
-    return batch.shuffled_positions(found, "n", seed=7, epoch=2)
+    found = inputs.loaded_sequences(spark, sf_dir).select(*LOADER, "n")
+    return batch.shuffled_positions(found, "n", seed=7, epoch=2, by=LOADER)
 
 
 # --- decoding and scores -------------------------------------------------------------------
@@ -463,7 +547,8 @@ def decode_predictions(spark, sf_dir):
     ids = inputs.logits(spark, sf_dir).select(
         "pair_id", "pos", arrays.argmax(F.col("logits")).alias("id")
     )
-    return score.decode_predictions(ids, inputs.word_tokenizer(spark, sf_dir, 61))
+    words = materialise(inputs.vocabulary(spark, sf_dir), "vocabulary")
+    return vocabulary.decode_words(ids, ["pair_id"], "pos", "id", words)
 
 
 def decode_roundtrip(spark, sf_dir):
@@ -520,12 +605,11 @@ def stream_ingest(spark, sf_dir):
     """Pairs arrive in three parts and are ingested as they come."""
     base = new_path(spark, "stream")
     pairs = inputs.numbered_pairs(spark, sf_dir)
-    size = inputs.shard_size(inputs.kept_pairs(pairs))
     for part in _in_thirds(pairs, "pair_id"):
         part.write.mode("append").parquet(f"{base}/in")
         arriving = spark.readStream.schema(pairs.schema).parquet(f"{base}/in")
         stream_ingest_job.ingest(
-            arriving, f"{base}/out", f"{base}/offsets", BYTES, MAX_LEN, size
+            arriving, f"{base}/out", f"{base}/offsets", BYTES, None, inputs.SHARD_SIZE
         ).awaitTermination()
     packed = shards.read_shards(spark, f"{base}/out/pairs")
     return shards.shard_summary(packed)
@@ -558,6 +642,11 @@ QUERIES = {
         shard_listing,
         shard_read,
         shard_roundtrip,
+        nested_ingest,
+        ingest_rejects,
+        aligned_ingest,
+        loader_batches,
+        score_report,
         strip_pairs,
         tokenize_bytes,
         tokenize_words,

@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             configured = tempfile.mkdtemp(prefix="pairloom-")
         sc.setCheckpointDir(configured)
@@ -31,6 +31,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, of which a null equals a null; the keys stay once."""
+    if not keys:
+        raise ValueError("no keys")
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 

@@ -90,7 +90,18 @@ def read_aligned(
 
 def read_nested(spark: SparkSession, path: str, lang_pair: str) -> DataFrame:
     """Nested pairs from JSON lines, in file and line order:
-    ``lang_pair, path, line_no, src_text, tgt_text``."""
+    ``lang_pair, path, line_no, src_text, tgt_text``.
+
+    A line that is no such pair ends the job; ``checked_nested`` says which.
+    """
+    parsed = checked_nested(spark, path, lang_pair)
+    whole = F.col("src_text").isNotNull() & F.col("tgt_text").isNotNull()
+    message = F.concat(F.lit("not a pair: "), "path", F.lit(" line "), F.col("line_no").cast("string"))
+    return parsed.where(F.when(whole, True).otherwise(F.raise_error(message))).drop("reason")
+
+
+def checked_nested(spark: SparkSession, path: str, lang_pair: str) -> DataFrame:
+    """As ``read_nested``, but every line stays, with the ``reason`` why it is no pair."""
     schema = "translation map<string,string>"
     parsed = read_lines(spark, path).select(
         F.lit(lang_pair).alias("lang_pair"),
@@ -98,4 +109,12 @@ def read_nested(spark: SparkSession, path: str, lang_pair: str) -> DataFrame:
         "line_no",
         F.from_json("line", schema)["translation"].alias("translation"),
     )
-    return from_nested(parsed)
+    missing = F.concat(
+        F.when(F.col("src_text").isNull(), "source ").otherwise(""),
+        F.when(F.col("tgt_text").isNull(), "target ").otherwise(""),
+        F.lit("missing"),
+    )
+    both = F.col("src_text").isNotNull() & F.col("tgt_text").isNotNull()
+    return from_nested(parsed.withColumn("malformed", F.col("translation").isNull())).withColumn(
+        "reason", F.when(F.col("malformed"), "no translation").when(~both, missing)
+    ).drop("malformed")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,21 +35,18 @@ def write_shards(
 
 
 def shards_exist(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+    """Whether a write at ``path`` came to its end, as its success mark says."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def read_shards(spark: SparkSession, path: str, **partitions) -> DataFrame:
     """Shards at ``path``; ``lang_pair``, ``split`` and ``shard_idx`` given by
-    name prune the folders that are read. Token ids come as BIGINT."""
+    name prune the folders that are read."""
     shards = spark.read.parquet(path)
     for name, value in partitions.items():
         shards = shards.where(F.col(name) == value)
-    ids = {c: F.col(c).cast("array<bigint>") for c in ("src_ids", "tgt_ids")}
-    return shards.withColumns({"shard_idx": F.col("shard_idx").cast("bigint"), **ids})
+    return shards.withColumn("shard_idx", F.col("shard_idx").cast("bigint"))
 
 
 def shard_names(shards: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def ingest(
     out: str,
     checkpoint: str,
     tokenizer: Tokenizer,
-    max_len: int,
+    max_len: int | None,
     shard_size: int,
 ) -> StreamingQuery:
     """Strip, tokenise, filter and pack a stream of ``pair_id, lang_pair,
@@ -39,7 +39,9 @@ def ingest(
         kept = tokens.within_length(counted, max_len)
         carried = _state(spark, out, epoch - 1)
         packed = pack.pack_greedy(kept, shard_size, carry=carried)
-        encoded = tokens.encode_pairs(packed, tokenizer, "first").withColumn(
+        # one file for each shard and epoch; texts move, not their ids
+        placed = packed.repartition("lang_pair", "shard_idx")
+        encoded = tokens.encode_pairs(placed, tokenizer, "first").withColumn(
             "split", pack.split_name()
         )
         target = f"{out}/pairs/epoch={epoch}"

@@ -21,12 +21,11 @@ def running(rows, by, op):
     return out
 
 
-@pytest.mark.parametrize("partitions, levels", [(1, 1), (4, 2), (37, 2)])
+@pytest.mark.parametrize("partitions", [1, 4, 37])
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_running_values_over_many_blocks(
-    spark, shuffle_partitions, monkeypatch, partitions, levels, by
+    spark, shuffle_partitions, monkeypatch, partitions, by
 ):
-    monkeypatch.setattr(prefix, "MAX_BLOCKS_IN_TASK", 0 if levels == 2 else 1 << 17)
     monkeypatch.setattr(prefix, "BLOCK_WIDTH", 8)
     monkeypatch.setattr(prefix, "BLOCKS_PER_GROUP", 4)
     shuffle_partitions(partitions)
@@ -55,13 +54,12 @@ def test_numbering_by_strings_and_pairs_of_keys(spark):
     }
 
 
-@pytest.mark.parametrize("stretch", [1, 10**9])
-def test_dense_ids_of_full_and_sparse_keys(spark, stretch):
-    rows = [(c * stretch, t) for c in range(60) for t in range(c % 5)]
-    df = spark.createDataFrame(rows, "c bigint, t bigint").repartition(3)
-    got = {(r["c"], r["t"]): r["id"] for r in prefix.dense_ids(df, ["c", "t"], "id").collect()}
-    assert got == {key: n for n, key in enumerate(sorted(rows))}
+def test_null_groups_and_keys_stay(spark):
+    rows = [(1, None), (2, "a"), (3, None), (4, "a")]
+    df = spark.createDataFrame(rows, "o bigint, g string")
+    got = {(r["g"], r["o"]): r["position"] for r in prefix.row_positions(df, "o", by=["g"]).collect()}
+    assert got == {(None, 1): 0, (None, 3): 1, ("a", 2): 0, ("a", 4): 1}
 
 
-def test_dense_ids_of_nothing(spark):
-    assert prefix.dense_ids(spark.createDataFrame([], "c bigint"), ["c"], "id").collect() == []
+def test_numbers_of_nothing(spark):
+    assert prefix.number_rows(spark.createDataFrame([], "c bigint"), ["c"], "id").collect() == []

@@ -49,7 +49,28 @@ def test_random_streams_with_long_and_unequal_sides(spark, marker_at, max_len):
         want = [
             (s[:max_len], t[:max_len]) for s, t in zip(cut(src, marker_at), cut(tgt, marker_at))
         ]
-        assert found(segment.sequences(runs(spark, src, tgt, cuts), E, marker_at, max_len)) == want
+        streams = runs(spark, src, tgt, cuts)
+        assert found(segment.sequences(streams, E, marker_at, max_len, strict=False)) == want
+        if len(cut(src, marker_at)) != len(cut(tgt, marker_at)):
+            with pytest.raises(Exception, match="on one side only"):
+                segment.sequences(streams, E, marker_at, max_len).collect()
+
+
+def test_language_pairs_and_splits_stay_apart(spark):
+    rows = [
+        (lang, split, 0, side, 0, [E, n, n])
+        for n, (lang, split) in enumerate([("a-b", "val"), ("a-b", "train"), ("c-d", "val"), (None, "val")], 5)
+        for side in ("src", "tgt")
+    ]
+    streams = spark.createDataFrame(
+        rows, "lang_pair string, split string, shard_idx bigint, side string, pos bigint, tokens array<int>"
+    )
+    assert {r["n_tokens"] for r in segment.stream_profile(streams, E).collect()} == {3}
+    seqs = segment.number_sequences(segment.sequences(streams, E)).withColumnRenamed("n", "position")
+    got = {(r["lang_pair"], r["split"]): (r["position"], list(r["source"])) for r in seqs.collect()}
+    assert got == {(lang, split): (0, tokens) for lang, split, _, side, _, tokens in rows if side == "src"}
+    assert {r["rank"] for r in ranks.rank_sequences(seqs, 2).collect()} == {0, 1}
+    assert ranks.rank_sequences(seqs, 2).count() == 8
 
 
 def test_mismatch_and_positions(spark):

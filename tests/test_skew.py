@@ -55,7 +55,7 @@ def test_scans_read_only_what_a_query_needs(spark):
 def test_no_query_joins_everything_with_everything(spark):
     for name in ("packed_pairs", "loaded_sequences"):
         df = (
-            inputs.packed_pairs(inputs.kept_pairs(inputs.numbered_pairs(spark, SF)))
+            inputs.packed_pairs(inputs.counted_pairs(inputs.all_pairs(spark, SF)))
             if name == "packed_pairs"
             else inputs.loaded_sequences(spark, SF)
         )

@@ -4,8 +4,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.functions.tokenizers import ByteTokenizer, WordTokenizer, build_vocabulary
+from pairloom.functions.tokenizers import ByteTokenizer, WordTokenizer
 from pairloom.operators import tokens
+from pairloom.operators.vocabulary import build_vocabulary, decode_words, encode_words
 
 BYTES = ByteTokenizer()
 
@@ -53,9 +54,16 @@ def test_decoding_skips_special_ids_and_replaces_broken_bytes(spark):
 
 def test_vocabulary_and_word_ids(spark):
     df = one_column(spark, ["The cat, the dog", "the end.", None])
-    words = build_vocabulary(df, "t", 2).orderBy("id").collect()
-    assert [(r["token"], r["n"], r["id"]) for r in words] == [("the", 3, 3), (",", 1, 4)]
-    tokenizer = WordTokenizer([r["token"] for r in words])
+    words = build_vocabulary(df, "t").orderBy("id")
+    rows = [(r["token"], r["n"], r["id"]) for r in words.collect()]
+    assert rows == [("the", 3, 3), (",", 1, 4), (".", 1, 5), ("cat", 1, 6), ("dog", 1, 7), ("end", 1, 8)]
+    few = words.where("id < 5")
+    encoded = encode_words(df, ["i"], {"ids": "t"}, few)
+    assert [list(r["ids"]) for r in encoded.orderBy("i").collect()] == [[3, 2, 4, 3, 2], [3, 2, 2], []]
+    places = encoded.select("i", F.posexplode("ids").alias("pos", "id"))
+    back = decode_words(places, ["i"], "pos", "id", few).orderBy("i").collect()
+    assert [r["text"] for r in back] == ["the , the", "the"]
+    tokenizer = WordTokenizer([r[0] for r in rows[:2]])
     ids = df.select(tokenizer.encode(F.col("t")).alias("ids"), tokenizer.count(F.col("t")).alias("n"))
     rows = ids.select("ids", "n", tokenizer.decode(F.col("ids")).alias("text")).collect()
     assert [r["ids"] and list(r["ids"]) for r in rows] == [[3, 2, 4, 3, 2], [3, 2, 2], None]
@@ -95,13 +103,7 @@ def test_length_filter_makes_no_ids(spark):
     assert "ArrowEvalPython" not in plan
 
 
-def test_tiktoken_adapter_when_its_vocabulary_is_here(spark):
-    from pairloom.functions.tokenizers import TiktokenTokenizer
-
-    try:
-        tokenizer = TiktokenTokenizer()
-    except Exception:
-        pytest.skip("no cached vocabulary")
-    df = one_column(spark, ["The quick brown fox"])
-    back = df.select(tokenizer.decode(tokenizer.encode(F.col("t")))).first()[0]
-    assert back == "The quick brown fox"
+def test_ids_that_are_no_bytes_end_the_job(spark):
+    df = spark.createDataFrame([([356],)], "ids array<int>")
+    with pytest.raises(Exception, match="no byte"):
+        df.select(ByteTokenizer().decode(F.col("ids"))).collect()
