@@ -12,6 +12,7 @@ from pairloom.functions import arrays
 from pairloom.functions.tokenizers import Tokenizer
 from pairloom.operators import batch, pack, ranks, score, segment, tokens
 from pairloom.operators.prefix import row_positions
+from pairloom.session import materialise
 from pairloom.sources import lines
 from pairloom.sources.shards import read_shards, shards_exist, write_shards
 
@@ -27,6 +28,11 @@ def _write(packed: DataFrame, out: str, tokenizer: Tokenizer, *marker) -> None:
     write_shards(packed.withColumn("split", pack.split_name()), out, encode=encode)
 
 
+def _counted_once(counted: DataFrame) -> DataFrame:
+    """Written, so that filter, limit, packing and the write do not count again."""
+    return materialise(counted, "counted-pairs")
+
+
 def ingest_nested(
     spark: SparkSession,
     folders: dict[str, str],
@@ -44,7 +50,8 @@ def ingest_nested(
     parts = [lines.read_nested(spark, path, lang_pair) for lang_pair, path in folders.items()]
     pairs = tokens.number_pairs(reduce(DataFrame.unionByName, parts), ["path", "line_no"])
     examined = tokens.limit_examined(pairs, options.max_pairs)
-    kept = tokens.within_length(tokens.count_tokens(examined, tokenizer), options.max_seq_len)
+    counted = _counted_once(tokens.count_tokens(examined, tokenizer))
+    kept = tokens.within_length(counted, options.max_seq_len)
     _write(pack.pack_greedy(kept, options.shard_size), out, tokenizer)
 
 
@@ -70,7 +77,7 @@ def ingest_aligned(
     )
     pairs = tokens.number_pairs(tokens.strip_pairs(aligned), ["file_no", "line_no"])
     marker = ("last", options.max_seq_len) if options.fine_tune else ("first",)
-    counted = tokens.count_tokens(pairs, tokenizer, *marker)
+    counted = _counted_once(tokens.count_tokens(pairs, tokenizer, *marker))
     kept = tokens.limit_kept(
         tokens.within_length(counted, options.max_seq_len), options.max_pairs
     )

@@ -47,6 +47,7 @@ def test_prompt_and_labels(spark):
     collated = batch.collate(batch.assign_batches(seqs(spark, [([7], [1, 2])]), 1))
     (row,) = batch.add_prompt(collated, [40, 41]).collect()
     assert list(row["source"]) == [40, 41, 7] and list(row["src_attn_mask"]) == [1, 1, 1]
+    assert list(row["src_padding_mask"]) == [False] * 3 and row["src_lengths"] == 3
     for split, want in (("train", [1]), ("val", [2])):
         (row,) = batch.labels(collated, F.lit(split)).collect()
         assert list(row["labels"]) == want

@@ -7,6 +7,7 @@ from pairloom.config import AlignedIngest, Ingest, Loader
 from pairloom.functions.tokenizers import ByteTokenizer
 from pairloom.operators import segment
 from pairloom.plans import jobs
+from pairloom.sources import lines as lines_source
 from pairloom.sources.shards import read_shards
 
 BYTES = ByteTokenizer()
@@ -83,6 +84,56 @@ def test_aligned_corpus_to_shards_to_batches(spark, tmp_path, fine_tune):
         assert len(peers) <= 4 and len(r["source"]) == max(x["src_lengths"] for x in peers)
 
 
+class CountingTokenizer(ByteTokenizer):
+    """Counts how often a text is tokenised; its ``count`` is no native expression."""
+
+    def __init__(self, seen):
+        self.seen = seen
+
+    def _ids(self, text):
+        seen = self.seen
+
+        @F.udf("array<int>")
+        def ids(value):
+            seen.add(1)
+            return [b + 3 for b in value.encode()]
+
+        return ids(text)
+
+    def encode(self, text):
+        return self._ids(text)
+
+    def count(self, text):
+        return F.size(self._ids(text))
+
+
+@pytest.mark.parametrize("job", ["nested", "aligned"])
+def test_a_text_is_tokenised_twice_at_most(spark, tmp_path, job):
+    seen = spark.sparkContext.accumulator(0)
+    (tmp_path / "in").mkdir()
+    if job == "nested":
+        lines = [json.dumps({"translation": {"a": f"x{i}", "b": f"y{i}"}}) for i in range(30)]
+        (tmp_path / "in" / "0.jsonl").write_text("\n".join(lines) + "\n")
+        jobs.ingest_nested(spark, {"a-b": str(tmp_path / "in")}, str(tmp_path / "out"), CountingTokenizer(seen), Ingest(shard_size=20))
+    else:
+        for language in ("a", "b"):
+            (tmp_path / "in" / f"0.{language}").write_text("".join(f"{language}{i}\n" for i in range(30)))
+        options = AlignedIngest(shard_size=20, max_pairs=25, batch_size=4)
+        jobs.ingest_aligned(spark, str(tmp_path / "in"), ("a", "b"), str(tmp_path / "out"), CountingTokenizer(seen), options)
+    assert 30 * 2 < seen.value <= 30 * 2 * 2
+
+
+def test_lines_that_are_no_pairs_end_the_job(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = json.dumps({"translation": {"a": "x", "b": "y"}})
+    (tmp_path / "in" / "0.jsonl").write_text(f'{good}\n{{"translation": \n{{"translation": {{"a": "x"}}}}\n')
+    path = str(tmp_path / "in")
+    with pytest.raises(Exception, match="not a pair"):
+        lines_source.read_nested(spark, path, "a-b").collect()
+    reasons = [r["reason"] for r in lines_source.checked_nested(spark, path, "a-b").orderBy("line_no").collect()]
+    assert reasons == [None, "no translation", "target missing"]
+
+
 def test_scores_of_all_metrics(spark):
     rows = [(0, "a b c d e".split(), "a b c d e".split())]
     predictions = spark.createDataFrame(rows, "pair_id bigint, candidate array<string>, reference array<string>")
