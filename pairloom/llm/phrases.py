@@ -5,14 +5,16 @@ A phrase is a window of ``WINDOW`` words that starts at two places or more.
 1. In each window the smallest hash of ``ANCHOR`` words is its anchor, so that equal
    windows have equal anchors. Anchors are counted, and those that recur are marked
    in a bitmap of fixed size. It may hold others too: it only saves work.
-2. Windows with a marked anchor are candidates. They are grouped by hash, with
-   partial aggregation; those of two places recur, and have a first place.
-3. The places return to their documents. The phrases of a slice of documents make an
-   Aho-Corasick automaton, a shard that cannot outgrow the slice, and the documents
-   of the slice stream through it: every occurrence but the first loses its words.
+2. Windows with a marked anchor are candidates. They move once, by their anchor, and
+   stream by in order of phrase and place: those of two places recur, and the first
+   place of each is known.
+3. The places return to their documents as bit masks. The passages of recurring windows
+   in a slice of documents make an Aho-Corasick automaton, a shard that cannot outgrow
+   the slice, and the documents of the slice stream through it to locate them: every
+   window but the first of its phrase loses its words.
 
 The letters of the automaton are hashes of ``STRIDE`` words. A document is read in
-``STRIDE`` phases, one for each start, so a phrase is ``WINDOW / STRIDE`` letters.
+``STRIDE`` phases, one for each start.
 """
 
 from __future__ import annotations
@@ -22,16 +24,17 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.spans import Words, gram_hashes, slices, words_of
+from pairloom.llm.spans import Words, gram_hashes, mix, slices, words_of
 from pairloom.llm.tables import free_name, map_texts, record_batch
-from pairloom.session import materialise
 
 WINDOW = 20
 ANCHOR = 8
 STRIDE = 5
+SEGMENT = WINDOW - ANCHOR + 1  # windows that can share an anchor
 BITMAP_BITS = 28
 PAGE_BITS = 19
 FIRST_LETTER = 1 << 16  # letters are characters from here on, without surrogates
@@ -103,109 +106,185 @@ def recurring_bitmap(texts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def recurring_places(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, places`` of documents with recurring windows; a first place is ``-1 - place``.
+def candidate_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Candidate windows, in segments of consecutive windows with one anchor.
 
-    Two rows with one key are one document, so they do not count against each other.
+    ``anchor, key, seg`` (place of the first window) and the hashes of the windows.
+    Windows that are repeats already inside their slice are settled there: their
+    segments have a count in ``known`` instead of hashes, and travel by their key.
     """
     bitmap = docs.sparkSession.sparkContext.broadcast(
         recurring_bitmap(docs.select(F.col(text).alias("text")))
     )
-    schema = "phrase bigint, key bigint, place int"
+    schema = "anchor bigint, key bigint, seg int, known int, phrases array<bigint>"
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            for first, texts in slices(batch.column(0)):
+            for row, texts in slices(batch.column(0)):
                 words = words_of(texts)
                 at = words.gram_starts(WINDOW)
                 if not len(at):
                     continue
                 hashes = words.hashes()
-                bit = (window_anchors(hashes, at)[1] & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                at = at[(bits[bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)]
-                keys = batch.column(1).slice(first, len(texts)).to_numpy(zero_copy_only=False)
-                yield record_batch(
-                    schema,
-                    {
-                        "phrase": gram_hashes(hashes, at, WINDOW).view(np.int64),
-                        "key": keys[words.doc[at]],
-                        "place": at - words.bounds[words.doc[at]],
-                    },
+                anchors = window_anchors(hashes, at)[1]
+                bit = (anchors & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+                live = (bits[bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)
+                at, anchors = at[live], anchors[live]
+                if not len(at):
+                    continue
+                phrases = gram_hashes(hashes, at, WINDOW)
+                keys = batch.column(1).slice(row, len(texts)).to_numpy(zero_copy_only=False)
+                of_window, place = keys[words.doc[at]], at - words.bounds[words.doc[at]]
+                order = np.lexsort((place, of_window, phrases))
+                later = np.zeros(len(at), bool)  # not the first of its phrase in the slice
+                same = phrases[order[1:]] == phrases[order[:-1]]
+                starts = np.flatnonzero(np.concatenate([[True], ~same]))
+                first = order[np.repeat(starts, np.diff(np.append(starts, len(order))))]
+                later[order] = (of_window[order] != of_window[first]) | (place[order] != place[first])
+                new = np.ones(len(at), bool)
+                new[1:] = (
+                    (at[1:] != at[:-1] + 1)
+                    | (words.doc[at[1:]] != words.doc[at[:-1]])
+                    | (anchors[1:] != anchors[:-1])
+                    | (later[1:] != later[:-1])
+                )
+                run = np.flatnonzero(new)
+                in_run = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+                begins = np.flatnonzero(in_run % SEGMENT == 0)
+                sizes = np.diff(np.append(begins, len(at)))
+                known = later[begins]
+                spread = mix(of_window[begins].astype(np.uint64))
+                ends = np.cumsum(np.where(known, 0, sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.where(known, spread, anchors[begins]).view(np.int64)),
+                        pa.array(of_window[begins], pa.int64()),
+                        pa.array(place[begins], pa.int32()),
+                        pa.array(np.where(known, sizes, 0), pa.int32()),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.concatenate([[0], ends]), pa.int32()),
+                            pa.array(phrases[~later].view(np.int64)),
+                        ),
+                    ],
+                    names=["anchor", "key", "seg", "known", "phrases"],
                 )
 
-    found = materialise(
-        docs.select(text, F.coalesce(F.col(key), F.lit(NO_KEY)).alias("key")).mapInArrow(candidates, schema),
-        "phrase-candidates",
+    keyed = F.coalesce(F.col(key), F.lit(NO_KEY)).alias("key")
+    return docs.select(text, keyed).mapInArrow(find, schema)
+
+
+FLAGS = "key bigint, seg int, recurs int, first int"
+
+
+def recurring_places(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, places`` of documents with recurring windows.
+
+    A place is a segment with two bit masks: which of its windows recur, and which of
+    them are the first of their phrase. Two rows with one key are one document, so
+    they do not count against each other. The windows of one phrase stand together in
+    a task, in order, and are told apart as they stream by, however many they are.
+    """
+    ordered = (
+        candidate_segments(docs, key, text)
+        .repartition("anchor")
+        .select("key", "seg", "known", F.posexplode_outer("phrases").alias("off", "phrase"))
+        .sortWithinPartitions("phrase", "key", (F.col("seg") + F.col("off")))
+        .select("phrase", "key", "seg", F.coalesce("off", F.lit(0)).alias("off"), "known")
     )
-    place = F.struct("key", "place")
-    firsts = (
-        found.groupBy("phrase")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(F.col("first") != F.col("last"))
-        .select("phrase", F.col("first.key").alias("first_key"), F.col("first.place").alias("first_place"))
+
+    def tell_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = waiting = None  # row before; first of a phrase of which no second was seen
+        for batch in batches:
+            known = batch.column(4).to_numpy()
+            settled = known > 0
+            key, seg, off = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            out = [(key[settled], seg[settled], (1 << known[settled]) - 1, np.zeros(settled.sum(), int))]
+            open_ = ~settled
+            phrase = pa.compute.fill_null(batch.column(0), 0).to_numpy()[open_]
+            key, seg, off = key[open_], seg[open_], off[open_]
+            if len(phrase):
+                place = seg + off
+                head = last or (~phrase[0], key[0], place[0])
+                before = [np.concatenate([[h], x[:-1]]) for h, x in zip(head, (phrase, key, place))]
+                same = phrase == before[0]
+                fresh = ~(same & (key == before[1]) & (place == before[2]))
+                last = (phrase[-1], key[-1], place[-1])
+                phrase, key, seg, off, same = (x[fresh] for x in (phrase, key, seg, off, same))
+            if len(phrase):
+                followed = np.append(same[1:], False)
+                if waiting is not None and same[0]:
+                    out.append(tuple(np.array([x]) for x in waiting))
+                mask = np.left_shift(1, off)
+                emit = same | followed
+                out.append((key[emit], seg[emit], mask[emit], np.where(same, 0, mask)[emit]))
+                # a phrase that began before, or ended with its first row, waits for no more
+                waiting = None if same[-1] else (key[-1], seg[-1], mask[-1], mask[-1])
+            names = [x.split()[0] for x in FLAGS.split(",")]
+            yield record_batch(FLAGS, dict(zip(names, map(np.concatenate, zip(*out)))))
+
+    flags = ordered.mapInArrow(tell_apart, FLAGS)
+    segments = flags.groupBy("key", "seg").agg(
+        F.sum("recurs").cast("int").alias("recurs"), F.sum("first").cast("int").alias("first")
     )
-    is_first = (F.col("key") == F.col("first_key")) & (F.col("place") == F.col("first_place"))
-    return (
-        found.join(firsts, "phrase")
-        .select("key", F.when(is_first, -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
-        .groupBy("key")
-        .agg(F.collect_list("place").alias("places"))
+    return segments.groupBy("key").agg(
+        F.collect_list(F.struct("seg", "recurs", "first")).alias("places")
     )
 
 
-def _phases(letters: np.ndarray, n_words: int) -> Iterator[tuple[int, str]]:
-    """The letters of a document from each of the first ``STRIDE`` words on, in strides."""
-    for phase in range(STRIDE):
-        yield phase, letters[phase : n_words - STRIDE + 1 : STRIDE].tobytes().decode("utf-32-le")
+def _runs(flags: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of set flags that stays in one text."""
+    edge = np.zeros(len(flags), bool)
+    edge[1:] = doc[1:] != doc[:-1]
+    begins = np.flatnonzero(flags & (edge | ~np.concatenate([[False], flags[:-1]])))
+    stops = np.flatnonzero(flags & (np.append(edge[1:], True) | ~np.append(flags[1:], False)))
+    return begins, stops - begins + 1
 
 
 def repeats_in_slice(texts: pa.Array, places: pa.Array) -> tuple[np.ndarray, Words]:
-    """For each word of the slice whether it is in a window that also starts earlier."""
+    """For each word of the slice whether it is in a window that also starts earlier.
+
+    Runs of recurring windows are the passages that the automaton looks for.
+    """
     from ahocorasick import STORE_ANY, Automaton
 
     words = words_of(texts)
-    covered = np.zeros(len(words.starts) + 1, np.int64)
-    lists = places.to_pylist()
-    if not any(lists):
-        return covered[:-1] > 0, words
+    n = len(words.starts)
+    recurs, first = np.zeros(n, bool), np.zeros(n, bool)
+    found = places.flatten()
+    if not len(found) or not n:
+        return recurs, words
+    counts = pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy()
+    base = np.repeat(words.bounds[:-1], counts) + found.field("seg").to_numpy()
+    for flags, name in ((recurs, "recurs"), (first, "first")):
+        masks = found.field(name).to_numpy()
+        for off in range(SEGMENT):
+            flags[base[masks >> off & 1 == 1] + off] = True
     hashes = words.hashes()
-    letters = (
-        gram_hashes(hashes, np.arange(max(0, len(hashes) - STRIDE + 1)), STRIDE) >> np.uint64(44)
-    ).astype(np.uint32)
+    letters = (gram_hashes(hashes, np.arange(max(0, n - STRIDE + 1)), STRIDE) >> np.uint64(44)).astype(np.uint32)
     letters = np.minimum(letters + FIRST_LETTER, 0x10FFFF).astype("<u4")
-    automaton, firsts, phrases = Automaton(STORE_ANY), set(), {}
-    for doc, found in enumerate(lists):
-        if not found:
-            continue
-        start = int(words.bounds[doc])
-        at = np.array(found, np.int64)
-        first = at < 0
-        at = np.where(first, -1 - at, at) + start
-        firsts.update(at[first].tolist())
-        values = gram_hashes(hashes, at, WINDOW).tolist()
-        rows = letters[at[:, None] + np.arange(0, WINDOW, STRIDE)].tobytes().decode("utf-32-le")
-        n = WINDOW // STRIDE
-        for k, value in enumerate(values):
-            phrases.setdefault(rows[n * k : n * k + n], set()).add(value)
-    for phrase, values in phrases.items():
-        automaton.add_word(phrase, values)
+    automaton = Automaton(STORE_ANY)
+    for start, size in zip(*(x.tolist() for x in _runs(recurs, words.doc))):
+        # the windows of the run, in whole letters; as many windows as they hold
+        n_letters = (size + WINDOW - 1) // STRIDE
+        passage = letters[start : start + STRIDE * n_letters : STRIDE].tobytes().decode("utf-32-le")
+        automaton.add_word(passage, max(size, automaton.get(passage, 0)))
     automaton.make_automaton()
-    all_starts = words.gram_starts(WINDOW)
-    windows = dict(zip(all_starts.tolist(), gram_hashes(hashes, all_starts, WINDOW).tolist()))
-    hits = []
-    for doc, found in enumerate(lists):
+    seen = np.zeros(n + 1, np.int64)
+    for doc in np.flatnonzero(counts).tolist():
         low, high = int(words.bounds[doc]), int(words.bounds[doc + 1])
-        if high - low < WINDOW or not found:
-            continue
-        for phase, string in _phases(letters[low:high], high - low):
-            for end, values in automaton.iter(string):
-                at = low + phase + STRIDE * (end - WINDOW // STRIDE + 1)
-                if windows[at] in values and at not in firsts:
-                    hits.append(at)
-    hits = np.array(hits, np.int64)
-    np.add.at(covered, hits, 1)
-    np.add.at(covered, hits + WINDOW, -1)
+        for phase in range(STRIDE):
+            string = letters[low + phase : high - STRIDE + 1 : STRIDE].tobytes().decode("utf-32-le")
+            for end, size in automaton.iter(string):
+                n_letters = (size + WINDOW - 1) // STRIDE
+                at = low + phase + STRIDE * (end - n_letters + 1)
+                seen[at] += 1
+                seen[min(at + size, n)] -= 1
+    # a window that was located and recurs goes, unless it is the first of its phrase
+    gone = np.flatnonzero((np.cumsum(seen)[:-1] > 0) & recurs & ~first)
+    covered = np.zeros(n + 1, np.int64)
+    covered[gone] += 1
+    covered[gone + WINDOW] -= 1
     return np.cumsum(covered)[:-1] > 0, words
 
 
@@ -223,7 +302,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text:
         F.col(text).alias("_text"),
         F.coalesce(F.col(key), F.lit(NO_KEY)).alias("key"),
         *[F.col(c).alias(name) for name, _, c in kept],
-    ).join(places, "key", "left")
+    ).join(places.hint("merge"), "key", "left")  # alike at every size
     schema = ",".join(
         [f"{name} {kind}" for name, kind, _ in kept]
         + ["n_words bigint", "n_removed bigint", "kept_text string"]
