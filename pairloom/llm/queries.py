@@ -88,7 +88,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_chosen_path,
     )
 }
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op8_phrases": f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(words[p:p + 19], ' ') AS phrase
+            FROM docs, unnest(range(1, len(words) - 18)) AS t(p)),
+later AS (SELECT doc_id, p FROM windows
+          QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY doc_id, p) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p + k) AS places
+         FROM later, unnest(range(20)) AS t(k) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(words, lambda w, i:
+           places IS NULL OR NOT list_contains(places, i)), ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (doc_id)
+""",
+    "op10_chosen_path": f"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS words FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS shingle
+             FROM docs, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS t(p)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+           FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+           GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents
+          UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+LEFT JOIN sizes USING (doc_id)
+""",
     "op5_warc": """
 SELECT page_id, strlen(h) AS payload_bytes, d AS payload_digest,
        CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
