@@ -27,6 +27,7 @@ from pairloom.session import materialise, new_path
 MIN_REVISIT_BYTES = 1000
 ROLL_BYTES = 32 << 20
 LEVEL = 6
+READ_BYTES = 1 << 14
 DATE = "1970-01-01T00:00:00Z"  # the tables have no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
 MANIFEST = (
@@ -218,10 +219,16 @@ def write_archives(
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each gzip member of an archive."""
-    while data:
-        member = zlib.decompressobj(31)
-        record = member.decompress(data) + member.flush()
-        data = member.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            part = view[at : at + READ_BYTES]
+            if not len(part):
+                raise ValueError("an archive ends inside a record")
+            parts.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        record = b"".join(parts)
         head, _, rest = record.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
