@@ -104,6 +104,11 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     return map_texts(docs, [text, F.coalesce(F.col(key), F.lit(NO_KEY))], SET_SCHEMA, run)
 
 
+def joined(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Rows joined with a table that grows with them, in the same way at every size."""
+    return rows.join(narrow.hint("merge"), "key")
+
+
 def _chosen(node: Column, k: int) -> Column:
     """Coordinate that a node chooses for its branch ``k``."""
     return F.pmod(F.xxhash64(node, F.lit(k)), F.lit(COORDINATES)).cast("int")
@@ -179,8 +184,8 @@ def candidate_links(sets: DataFrame, trees: int = TREES, node_sets: int = NODE_S
             members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low")).where("n > 1"),
             "node-sizes",
         )
-        inside = members.join(sizes, "node")
-        small = inside.where(F.col("n") <= node_sets).select("node", "key").join(sets, "key")
+        inside = members.join(sizes.hint("merge"), "node")
+        small = joined(sets, inside.where(F.col("n") <= node_sets).select("node", "key"))
         links = small.select("node", "key", "tokens").groupBy("node").applyInArrow(_in_node, "a bigint, b bigint")
         large = inside.where(F.col("n") > node_sets)
         if depth == MAX_DEPTH:
@@ -191,7 +196,7 @@ def candidate_links(sets: DataFrame, trees: int = TREES, node_sets: int = NODE_S
             return found.distinct()
         node = F.col("node")
         members = materialise(
-            large.select("node", "key").join(sets, "key")
+            joined(sets, large.select("node", "key"))
             .select("key", F.explode(F.array(*[_child(node, _chosen(node, k), F.col("tokens")) for k in range(1, BRANCHES + 1)])).alias("node"))
             .distinct(),
             "tree-nodes",
@@ -241,7 +246,8 @@ def check_links(docs: DataFrame, clusters: DataFrame, key: str, text: str, node_
             F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
         )
     )
-    rows = docs.select(F.coalesce(F.col(key), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text")).join(placed, "key")
+    keyed = docs.select(F.coalesce(F.col(key), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text"))
+    rows = joined(keyed, placed)
 
     def make(texts, others):
         shingles, bounds = shingle_sets(texts)
@@ -279,13 +285,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     clusters = components(candidate_links(sets, trees, node_sets))
     links = check_links(docs, clusters, key, text, node_sets)
     # a key of several rows ties their classes
-    rows = described.select("key", *same).join(classes.select(*same, "first"), same, "left")
+    rows = described.select("key", *same).join(
+        classes.select(*same, "first").hint("merge"), same, "left"
+    )
     ties = (
         rows.groupBy("key").agg(F.min("first").alias("b"), F.max("first").alias("c")).where("b <> c")
         .join(rows.select("key", F.col("first").alias("a")), "key").select("a", "b")
     )
-    joined = components(links.union(ties).where("a is not null"))
-    found = rows.join(joined, F.col("first") == F.col("node"), "left").select(
+    whole = components(links.union(ties).where("a is not null"))
+    found = rows.join(whole.hint("merge"), F.col("first") == F.col("node"), "left").select(
         "key", "n_shingles", F.coalesce("component", "first", "key").alias("component")
     )
     real = lambda c: F.when(F.col(c) != NO_KEY, F.col(c))
@@ -298,4 +306,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, all columns unchanged."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name := free_name(docs, "gone")))
-    return docs.join(gone.distinct(), docs["doc_id"].eqNullSafe(gone[name]), "left_anti")
+    return docs.join(
+        gone.distinct().hint("merge"), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti"
+    )
