@@ -28,9 +28,10 @@ class Loader:
     """Shards to batches."""
 
     batch_size: int = 64
-    max_seq_len: int = 256
+    max_seq_len: int | None = None  # tokens of a side that are kept
     pad_id: int = 0
     tokens_per_step: int = 524_288
     world_size: int = 1
     shuffle: bool = True
     seed: int = 0
+    step_seq_len: int = 256  # tokens a sequence counts for in a step, without a limit

@@ -85,7 +85,7 @@ def ingest_aligned(
     _write(packed, out, tokenizer, *marker)
 
 
-def shard_sequences(shards: DataFrame, marker_at: str, max_len: int) -> DataFrame:
+def shard_sequences(shards: DataFrame, marker_at: str, max_len: int | None = None) -> DataFrame:
     """Sequences of shards that hold a row for each pair, numbered by ``position``.
 
     The same sequences as ``segment.sequences`` finds in the flat streams:
@@ -96,7 +96,7 @@ def shard_sequences(shards: DataFrame, marker_at: str, max_len: int) -> DataFram
         whole = F.col(column)
         if marker_at == "last":
             whole = F.slice(whole, F.lit(1), F.greatest(F.size(whole) - 1, F.lit(0)))
-        return arrays.truncate(whole, max_len)
+        return whole if max_len is None else arrays.truncate(whole, max_len)
 
     placed = row_positions(shards, "pair_id", "seq_id", by=segment.shard_keys(shards))
     return segment.number_sequences(placed).select(
@@ -111,16 +111,21 @@ def shard_sequences(shards: DataFrame, marker_at: str, max_len: int) -> DataFram
 def batches(
     spark: SparkSession,
     shards: str,
-    lang_pair: str,
-    split: str,
+    lang_pair: str | None = None,
+    split: str | None = None,
     marker_at: str = "first",
     epoch: int = 0,
     options: Loader = Loader(),
 ) -> DataFrame:
-    """Padded batches of one split for every rank: a row for each sequence with
-    ``rank, batch_id, row_in_batch``, its optimiser step, and the training columns."""
+    """Padded batches for every rank: a row for each sequence with ``rank, batch_id,
+    row_in_batch``, its optimiser step, and the training columns.
+
+    Each language pair and split is ranked and batched by itself; without a name
+    all of them are read.
+    """
+    wanted = {"lang_pair": lang_pair, "split": split}
     found = shard_sequences(
-        read_shards(spark, shards, lang_pair=lang_pair, split=split),
+        read_shards(spark, shards, **{k: v for k, v in wanted.items() if v is not None}),
         marker_at,
         options.max_seq_len,
     )
@@ -134,9 +139,11 @@ def batches(
         ).drop("n")
     ranked = ranks.rank_sequences(found, options.world_size)
     assigned = batch.assign_batches(ranked, options.batch_size, "rank_row")
-    collated = batch.collate(assigned, options.pad_id, keys=("rank", "batch_id"))
+    keys = (*segment.loader_keys(found), "rank", "batch_id")
+    collated = batch.collate(assigned, options.pad_id, keys=keys)
+    seq_len = options.step_seq_len if options.max_seq_len is None else options.max_seq_len
     accumulation = batch.accumulation_steps(
-        options.batch_size, options.max_seq_len, options.world_size, options.tokens_per_step
+        options.batch_size, seq_len, options.world_size, options.tokens_per_step
     )
     return batch.step_plan(collated, accumulation).drop("position", "rank_row")
 

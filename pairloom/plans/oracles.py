@@ -412,6 +412,20 @@ STEPS["loaded"] = f"""
         FROM (SELECT *, slot % 3 AS rank, (slot // 3) // {BATCH_SIZE} AS batch_id,
                      (slot // 3) % {BATCH_SIZE} AS row_in_batch FROM slots)
         WINDOW b AS (PARTITION BY rank, batch_id)"""
+STEPS["shuffled_all"] = """
+        SELECT lang_pair, split, shard_idx, seq_id, source, target,
+               row_number() OVER (PARTITION BY lang_pair, split ORDER BY md5('7:2:' || n), n) - 1 AS position
+        FROM sequences"""
+STEPS["slots_all"] = """
+        SELECT lang_pair, split, shard_idx, seq_id, source, target, position + turn * total AS slot
+        FROM shuffled_all JOIN totals USING (lang_pair, split), (VALUES (0), (1), (2)) AS t(turn)
+        WHERE position + turn * total < total + (3 - total % 3) % 3"""
+STEPS["loaded_all"] = f"""
+        SELECT *, list_resize(source, max(len(source)) OVER b, 0) AS src,
+               list_resize(target, max(len(target)) OVER b, 0) AS tgt
+        FROM (SELECT *, slot % 3 AS rank, (slot // 3) // {BATCH_SIZE} AS batch_id,
+                     (slot // 3) % {BATCH_SIZE} AS row_in_batch FROM slots_all)
+        WINDOW b AS (PARTITION BY lang_pair, split, rank, batch_id)"""
 NEEDS |= {
     "plain": ["numbered_pairs"],
     "ordered_plain": ["plain"],
@@ -423,6 +437,9 @@ NEEDS |= {
     "shuffled": ["sequences"],
     "slots": ["shuffled"],
     "loaded": ["slots"],
+    "shuffled_all": ["sequences"],
+    "slots_all": ["shuffled_all", "totals"],
+    "loaded_all": ["slots_all"],
 }
 _SPLIT = "CASE WHEN shard_idx = 0 THEN 'val' ELSE 'train' END AS split"
 
@@ -460,6 +477,18 @@ ORACLES = {
             FROM loaded""",
         "loaded",
     ),
+    "loader_epoch": _query(
+        f"""SELECT lang_pair, split, CAST(rank AS BIGINT) AS rank, CAST(batch_id AS BIGINT) AS batch_id,
+                   CAST(row_in_batch AS BIGINT) AS row_in_batch,
+                   CAST(batch_id // 2 AS BIGINT) AS step, CAST(batch_id % 2 AS BIGINT) AS micro_step,
+                   shard_idx, seq_id, {_text('src')} AS source,
+                   {_text('tgt[:-2]')} AS target_input, {_text('tgt[2:]')} AS target_output,
+                   {_bits('src', '=')} AS src_padding_mask, {_bits('src', '<>')} AS src_attn_mask,
+                   {_bits('tgt', '=')} AS tgt_padding_mask, {_bits('tgt', '<>')} AS tgt_attn_mask,
+                   len(source) AS src_lengths, len(target) AS tgt_lengths
+            FROM loaded_all""",
+        "loaded_all",
+    ),
     "score_report": _query(
         f"""SELECT metric, round(value, 4) AS value FROM (
                 SELECT 'bleu' AS metric, avg({_BLEU}) AS value FROM bleu_counts

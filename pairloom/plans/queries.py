@@ -200,10 +200,21 @@ def loader_batches(spark, sf_dir):
     rows = jobs.batches(
         spark, inputs.shards_path(spark, sf_dir), "fr-zz", "train", epoch=2, options=options
     )
+    return _training_columns(rows)
+
+
+def loader_epoch(spark, sf_dir):
+    """One epoch of all language pairs and splits, whole sequences, for three ranks."""
+    options = Loader(BATCH_SIZE, tokens_per_step=12_288, world_size=WORLD_SIZE, seed=7)
+    rows = jobs.batches(spark, inputs.shards_path(spark, sf_dir), epoch=2, options=options)
+    return _training_columns(rows, *LOADER)
+
+
+def _training_columns(rows: DataFrame, *keys: str) -> DataFrame:
     masks = ("src_padding_mask", "src_attn_mask", "tgt_padding_mask", "tgt_attn_mask")
     ids = ("source", "target_input", "target_output")
     return rows.select(
-        big("rank"), "batch_id", "row_in_batch", "step", "micro_step", "shard_idx", "seq_id",
+        *keys, big("rank"), "batch_id", "row_in_batch", "step", "micro_step", "shard_idx", "seq_id",
         *[as_text(c).alias(c) for c in ids],
         *[as_bits(c).alias(c) for c in masks],
         big("src_lengths"), big("tgt_lengths"),
@@ -646,6 +657,7 @@ QUERIES = {
         ingest_rejects,
         aligned_ingest,
         loader_batches,
+        loader_epoch,
         score_report,
         strip_pairs,
         tokenize_bytes,

@@ -84,6 +84,27 @@ def test_aligned_corpus_to_shards_to_batches(spark, tmp_path, fine_tune):
         assert len(peers) <= 4 and len(r["source"]) == max(x["src_lengths"] for x in peers)
 
 
+def test_batches_hold_whole_sequences_of_all_pairs_and_splits(spark, tmp_path):
+    texts = {"de-en": [("d" * (300 + i), "e" * i) for i in range(12)], "zh-en": [("z" * i, "e" * 280) for i in range(7)]}
+    for lang_pair, rows in texts.items():
+        (tmp_path / lang_pair).mkdir()
+        source, target = lang_pair.split("-")
+        lines = [json.dumps({"translation": {source: s, target: t}}) for s, t in rows]
+        (tmp_path / lang_pair / "0.jsonl").write_text("\n".join(lines) + "\n")
+    out = str(tmp_path / "out")
+    jobs.ingest_nested(spark, {k: str(tmp_path / k) for k in texts}, out, BYTES, Ingest(shard_size=900))
+    packed = read_shards(spark, out).collect()
+    loaded = jobs.batches(spark, out, options=Loader(batch_size=2, world_size=1)).collect()
+    keys = ("lang_pair", "split", "shard_idx")
+    assert len({tuple(r[k] for k in keys[:2]) for r in loaded}) == 4
+    want = sorted((*[r[k] for k in keys], r["src_ids"], len(r["tgt_ids"])) for r in packed)
+    got = sorted((*[r[k] for k in keys], r["source"][: r["src_lengths"]], r["tgt_lengths"]) for r in loaded)
+    assert got == want and len(got) == 19
+    for r in loaded:
+        peers = [x for x in loaded if all(x[k] == r[k] for k in ("lang_pair", "split", "batch_id"))]
+        assert len(peers) <= 2 and len(r["source"]) == max(x["src_lengths"] for x in peers)
+
+
 class CountingTokenizer(ByteTokenizer):
     """Counts how often a text is tokenised; its ``count`` is no native expression."""
 
