@@ -6,13 +6,15 @@ A phrase is a window of ``WINDOW`` words that starts at two places or more.
    windows have equal anchors. Anchors are counted, and those that recur are marked
    in a bitmap of fixed size. It may hold others too: it only saves work.
 2. Windows with a marked anchor are candidates. They move once, by their anchor, and
-   stream by in order of phrase and place: those of two places recur, and the first
-   place of each is known.
-3. The places return to their documents as bit masks. The passages of recurring windows
-   in a slice of documents make an Aho-Corasick automaton, a shard that cannot outgrow
+   stream by in order of phrase and place: all but those at the first place of a phrase
+   are later ones.
+3. The places return to their rows as bit masks. The passages of later windows in a
+   slice of documents make an Aho-Corasick automaton, a shard that cannot outgrow
    the slice, and the documents of the slice stream through it to locate them: every
    window but the first of its phrase loses its words.
 
+Places are compared by key, and belong to a row, which is a key with the digest of a text.
+
 The letters of the automaton are hashes of ``STRIDE`` words. A document is read in
 ``STRIDE`` phases, one for each start.
 """
@@ -25,7 +27,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.spans import Words, gram_hashes, mix, slices, words_of
@@ -109,19 +111,19 @@ def recurring_bitmap(texts: DataFrame) -> np.ndarray:
 def candidate_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Candidate windows, in segments of consecutive windows with one anchor.
 
-    ``anchor, key, seg`` (place of the first window) and the hashes of the windows.
+    ``anchor, key, row, seg`` (place of the first window) and the hashes of the windows.
     Windows that are repeats already inside their slice are settled there: their
-    segments have a count in ``known`` instead of hashes, and travel by their key.
+    segments have a count in ``known`` instead of hashes, and travel by their row.
     """
     bitmap = docs.sparkSession.sparkContext.broadcast(
         recurring_bitmap(docs.select(F.col(text).alias("text")))
     )
-    schema = "anchor bigint, key bigint, seg int, known int, phrases array<bigint>"
+    schema = "anchor bigint, key bigint, row bigint, seg int, known int, phrases array<bigint>"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            for row, texts in slices(batch.column(0)):
+            for start, texts in slices(batch.column(0)):
                 words = words_of(texts)
                 at = words.gram_starts(WINDOW)
                 if not len(at):
@@ -134,8 +136,9 @@ def candidate_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
                 if not len(at):
                     continue
                 phrases = gram_hashes(hashes, at, WINDOW)
-                keys = batch.column(1).slice(row, len(texts)).to_numpy(zero_copy_only=False)
+                keys, ids = (batch.column(i).slice(start, len(texts)).to_numpy(zero_copy_only=False) for i in (1, 2))
                 of_window, place = keys[words.doc[at]], at - words.bounds[words.doc[at]]
+                row = ids[words.doc[at]]
                 order = np.lexsort((place, of_window, phrases))
                 later = np.zeros(len(at), bool)  # not the first of its phrase in the slice
                 same = phrases[order[1:]] == phrases[order[:-1]]
@@ -154,12 +157,13 @@ def candidate_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
                 begins = np.flatnonzero(in_run % SEGMENT == 0)
                 sizes = np.diff(np.append(begins, len(at)))
                 known = later[begins]
-                spread = mix(of_window[begins].astype(np.uint64))
+                spread = mix((of_window ^ row)[begins].astype(np.uint64))
                 ends = np.cumsum(np.where(known, 0, sizes))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.where(known, spread, anchors[begins]).view(np.int64)),
                         pa.array(of_window[begins], pa.int64()),
+                        pa.array(row[begins], pa.int64()),
                         pa.array(place[begins], pa.int32()),
                         pa.array(np.where(known, sizes, 0), pa.int32()),
                         pa.ListArray.from_arrays(
@@ -167,69 +171,67 @@ def candidate_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
                             pa.array(phrases[~later].view(np.int64)),
                         ),
                     ],
-                    names=["anchor", "key", "seg", "known", "phrases"],
+                    names=["anchor", "key", "row", "seg", "known", "phrases"],
                 )
 
-    keyed = F.coalesce(F.col(key), F.lit(NO_KEY)).alias("key")
-    return docs.select(text, keyed).mapInArrow(find, schema)
+    return docs.select(text, *identity(key, text)).mapInArrow(find, schema)
+
+
+FLAGS = "key bigint, row bigint, seg int, later int"
 
 
-FLAGS = "key bigint, seg int, recurs int, first int"
+def identity(key: str, text: str) -> list[Column]:
+    """``key, row``: texts of one key are different rows, equal ones are the same row."""
+    return [F.coalesce(F.col(key), F.lit(NO_KEY)).alias("key"), F.xxhash64(F.col(text)).alias("row")]
 
 
 def recurring_places(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, places`` of documents with recurring windows.
+    """``key, row, places`` of rows with windows that also start earlier.
 
-    A place is a segment with two bit masks: which of its windows recur, and which of
-    them are the first of their phrase. Two rows with one key are one document, so
-    they do not count against each other. The windows of one phrase stand together in
-    a task, in order, and are told apart as they stream by, however many they are.
+    A place is a segment with a bit mask of those windows. Rows with one key are one
+    document, so equal places in them do not count against each other. The windows of
+    one phrase stand together in a task, in order, and are told apart as they stream
+    by, however many they are.
     """
     ordered = (
         candidate_segments(docs, key, text)
         .repartition("anchor")
-        .select("key", "seg", "known", F.posexplode_outer("phrases").alias("off", "phrase"))
+        .select("key", "row", "seg", "known", F.posexplode_outer("phrases").alias("off", "phrase"))
         .sortWithinPartitions("phrase", "key", (F.col("seg") + F.col("off")))
-        .select("phrase", "key", "seg", F.coalesce("off", F.lit(0)).alias("off"), "known")
+        .select("phrase", "key", "row", "seg", F.coalesce("off", F.lit(0)).alias("off"), "known")
     )
 
     def tell_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = waiting = None  # row before; first of a phrase of which no second was seen
+        head = None  # phrase, key and place of the first window of the last phrase
         for batch in batches:
-            known = batch.column(4).to_numpy()
+            known = batch.column(5).to_numpy()
             settled = known > 0
-            key, seg, off = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            out = [(key[settled], seg[settled], (1 << known[settled]) - 1, np.zeros(settled.sum(), int))]
+            key, row, seg, off = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
+            out = [(key[settled], row[settled], seg[settled], (1 << known[settled]) - 1)]
             open_ = ~settled
             phrase = pa.compute.fill_null(batch.column(0), 0).to_numpy()[open_]
-            key, seg, off = key[open_], seg[open_], off[open_]
+            key, row, seg, off = (x[open_] for x in (key, row, seg, off))
             if len(phrase):
                 place = seg + off
-                head = last or (~phrase[0], key[0], place[0])
-                before = [np.concatenate([[h], x[:-1]]) for h, x in zip(head, (phrase, key, place))]
-                same = phrase == before[0]
-                fresh = ~(same & (key == before[1]) & (place == before[2]))
-                last = (phrase[-1], key[-1], place[-1])
-                phrase, key, seg, off, same = (x[fresh] for x in (phrase, key, seg, off, same))
-            if len(phrase):
-                followed = np.append(same[1:], False)
-                if waiting is not None and same[0]:
-                    out.append(tuple(np.array([x]) for x in waiting))
-                mask = np.left_shift(1, off)
-                emit = same | followed
-                out.append((key[emit], seg[emit], mask[emit], np.where(same, 0, mask)[emit]))
-                # a phrase that began before, or ended with its first row, waits for no more
-                waiting = None if same[-1] else (key[-1], seg[-1], mask[-1], mask[-1])
+                new = np.ones(len(phrase), bool)
+                new[1:] = phrase[1:] != phrase[:-1]
+                new[0] = head is None or phrase[0] != head[0]
+                starts = np.flatnonzero(new)
+                first_key, first_place = (np.repeat(x[starts], np.diff(np.append(starts, len(x)))) for x in (key, place))
+                if not new[0]:  # goes on with the phrase of the batch before
+                    going = starts[0] if len(starts) else len(phrase)
+                    first_key = np.concatenate([np.full(going, head[1], key.dtype), first_key])
+                    first_place = np.concatenate([np.full(going, head[2], place.dtype), first_place])
+                later = (key != first_key) | (place != first_place)
+                out.append((key[later], row[later], seg[later], np.left_shift(1, off[later])))
+                head = phrase[-1], first_key[-1], first_place[-1]
             names = [x.split()[0] for x in FLAGS.split(",")]
             yield record_batch(FLAGS, dict(zip(names, map(np.concatenate, zip(*out)))))
 
     flags = ordered.mapInArrow(tell_apart, FLAGS)
-    segments = flags.groupBy("key", "seg").agg(
-        F.sum("recurs").cast("int").alias("recurs"), F.sum("first").cast("int").alias("first")
-    )
-    return segments.groupBy("key").agg(
-        F.collect_list(F.struct("seg", "recurs", "first")).alias("places")
-    )
+    # equal rows give equal windows, so masks are united and not added
+    segments = flags.groupBy("key", "row", "seg").agg(F.bit_or("later").alias("later"))
+    return segments.groupBy("key", "row").agg(F.collect_list(F.struct("seg", "later")).alias("places"))
 
 
 def _runs(flags: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,27 +246,26 @@ def _runs(flags: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeats_in_slice(texts: pa.Array, places: pa.Array) -> tuple[np.ndarray, Words]:
     """For each word of the slice whether it is in a window that also starts earlier.
 
-    Runs of recurring windows are the passages that the automaton looks for.
+    Runs of later windows are the passages that the automaton looks for.
     """
     from ahocorasick import STORE_ANY, Automaton
 
     words = words_of(texts)
     n = len(words.starts)
-    recurs, first = np.zeros(n, bool), np.zeros(n, bool)
+    later = np.zeros(n, bool)
     found = places.flatten()
     if not len(found) or not n:
-        return recurs, words
+        return later, words
     counts = pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy()
     base = np.repeat(words.bounds[:-1], counts) + found.field("seg").to_numpy()
-    for flags, name in ((recurs, "recurs"), (first, "first")):
-        masks = found.field(name).to_numpy()
-        for off in range(SEGMENT):
-            flags[base[masks >> off & 1 == 1] + off] = True
+    masks = found.field("later").to_numpy()
+    for off in range(SEGMENT):
+        later[base[masks >> off & 1 == 1] + off] = True
     hashes = words.hashes()
     letters = (gram_hashes(hashes, np.arange(max(0, n - STRIDE + 1)), STRIDE) >> np.uint64(44)).astype(np.uint32)
     letters = np.minimum(letters + FIRST_LETTER, 0x10FFFF).astype("<u4")
     automaton = Automaton(STORE_ANY)
-    for start, size in zip(*(x.tolist() for x in _runs(recurs, words.doc))):
+    for start, size in zip(*(x.tolist() for x in _runs(later, words.doc))):
         # the windows of the run, in whole letters; as many windows as they hold
         n_letters = (size + WINDOW - 1) // STRIDE
         passage = letters[start : start + STRIDE * n_letters : STRIDE].tobytes().decode("utf-32-le")
@@ -280,8 +281,8 @@ def repeats_in_slice(texts: pa.Array, places: pa.Array) -> tuple[np.ndarray, Wor
                 at = low + phase + STRIDE * (end - n_letters + 1)
                 seen[at] += 1
                 seen[min(at + size, n)] -= 1
-    # a window that was located and recurs goes, unless it is the first of its phrase
-    gone = np.flatnonzero((np.cumsum(seen)[:-1] > 0) & recurs & ~first)
+    # a later window that was located goes
+    gone = np.flatnonzero((np.cumsum(seen)[:-1] > 0) & later)
     covered = np.zeros(n + 1, np.int64)
     covered[gone] += 1
     covered[gone + WINDOW] -= 1
@@ -300,9 +301,9 @@ def remove_repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text:
     kept = [(f"k{i}", dict(docs.dtypes)[c], c) for i, c in enumerate(keep)]
     rows = docs.select(
         F.col(text).alias("_text"),
-        F.coalesce(F.col(key), F.lit(NO_KEY)).alias("key"),
+        *identity(key, text),
         *[F.col(c).alias(name) for name, _, c in kept],
-    ).join(places.hint("merge"), "key", "left")  # alike at every size
+    ).join(places.hint("merge"), ["key", "row"], "left")  # alike at every size
     schema = ",".join(
         [f"{name} {kind}" for name, kind, _ in kept]
         + ["n_words bigint", "n_removed bigint", "kept_text string"]

@@ -253,6 +253,43 @@ def test_overlapping_repeats_in_one_text(spark):
     assert found == {1: brute_repeats([(1, text)])[1][1], 2: 90, None: 0}
 
 
+def brute_rows(rows):
+    """Words lost by each row: a window stays at the smallest key and place of its phrase."""
+    windows = [[(tuple(w[i : i + 20]), (key is not None, key or 0, i)) for i in range(len(w) - 19)]
+               for key, text in rows for w in [WORD.findall(text)]]
+    first = {}
+    for phrase, place in sorted((x for w in windows for x in w), key=lambda x: x[1]):
+        first.setdefault(phrase, place)
+    return [len({i + k for i, (phrase, place) in enumerate(w) if first[phrase] != place for k in range(20)}) for w in windows]
+
+
+@pytest.fixture
+def short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    yield lambda n: spark.conf.set(name, n)
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("parts,records", [(1, 10_000), (5, 3)])
+def test_repeats_in_rows_that_share_a_key(spark, short_batches, parts, records):
+    short_batches(records)
+    p, q = (" ".join(f"{name}{i}" for i in range(n)) for name, n in (("p", 20), ("q", 45)))
+    clean, other = sentence(150), sentence(60)
+    rows = [
+        (1, f"{p} {p}"), (1, f"{p} {p}"), (2, f"{p} {q} {q}"), (2, f"{q} {q} {p}"), (2, f"{p} {q} {q}"),
+        (None, f"{q} {other} {q}"), (None, clean), (None, f"{q} {other} {q}"), (None, f"{q} {clean}"),
+        (2**62 + 1, q), (2**62, q),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    found = phrases.without_repeats(df.withColumn("was", F.col("text"))).collect()
+    got = sorted((str(r["doc_id"]), r["was"], len(r["was"].split()) - len(r["text"].split())) for r in found)
+    want = sorted((str(key), text, n) for (key, text), n in zip(rows, brute_rows(rows)))
+    assert got == want and (str(None), clean, 0) in got
+    twice = df.where("doc_id = 1")
+    assert [r["n_removed"] for r in phrases.digests(twice).collect()] == [20, 20]
+
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
