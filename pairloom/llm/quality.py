@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.samples import MAX_SAMPLE, sample_rows
+from pairloom.llm.samples import MAX_SAMPLE, one_of_each, sample_rows
 from pairloom.llm.spans import byte_hashes, mix, segment_sums, words_of
 from pairloom.llm.tables import free_name, map_texts
 
@@ -233,9 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_SAMPLE) -> list[Rul
         sample_rows(labels.where("doc_id is not null and quality is not null").select("doc_id", "quality"), "doc_id", SEED, limit)
         .dropDuplicates(["doc_id"])
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    counted = text_statistics(rows, ["doc_id", "quality"]).where(~base_failed())
-    sample = counted.toPandas().sort_values(["doc_id", "n_words", "n_symbols"])
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(F.broadcast(chosen), "doc_id")
+    counted = text_statistics(rows, ["doc_id", "quality", "digest"]).where(~base_failed())
+    sample = one_of_each(counted, "doc_id", "digest").toPandas().sort_values(["doc_id", "n_words", "n_symbols"])
     counts = {c: sample[c].to_numpy() for c in (*STATISTICS, *OTHER_STATISTICS)}
     return learn_rules(counts, sample["quality"].to_numpy() == 0)
 

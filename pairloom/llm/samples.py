@@ -17,6 +17,12 @@ def sample_rows(rows: DataFrame, key: str, seed: int, limit: int = MAX_SAMPLE) -
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(limit)
 
 
+def one_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each key that is smallest by ``order``, so that repeated keys add none."""
+    others = [c for c in rows.columns if c not in (key, order)]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("row")).select(key, "row.*")
+
+
 def crc_of_key(key: str) -> Column:
     """crc32 of the decimal key; 0 for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string")), F.lit(0).cast("bigint"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.samples import MAX_SAMPLE, crc_of_key, sample_rows
+from pairloom.llm.samples import MAX_SAMPLE, crc_of_key, one_of_each, sample_rows
 from pairloom.llm.spans import Words, byte_hashes, lower_ascii, mix, text_bytes
 from pairloom.llm.tables import map_texts
 
@@ -117,8 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_SAMPLE) -> Weights:
         crc_of_key("doc_id") % 4 != 2
     )
     chosen = sample_rows(usable.select("doc_id", "toxic"), "doc_id", SEED, limit).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    schema = "doc_id bigint, label int, features array<int>"
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(F.broadcast(chosen), "doc_id")
+    schema = "doc_id bigint, label int, digest bigint, features array<int>"
 
     def extract(texts, others):
         found = feature_lists(texts)
@@ -127,10 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_SAMPLE) -> Weights:
         return {
             "doc_id": others[0],
             "label": others[1],
+            "digest": others[2],
             "features": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32())),
         }
 
-    extracted = map_texts(rows, ["text", "doc_id", "toxic"], schema, extract)
+    extracted = map_texts(rows, ["text", "doc_id", "toxic", "digest"], schema, extract)
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
@@ -146,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_SAMPLE) -> Weights:
         )
 
     learned = (
-        extracted.groupBy(F.lit(0).alias("all"))  # at most ``limit`` rows
+        one_of_each(extracted, "doc_id", "digest")
+        .groupBy(F.lit(0).alias("all"))  # at most ``limit`` rows
         .applyInArrow(learn, "feature bigint, weight double")
     )
     rows = learned.toPandas()

@@ -202,6 +202,20 @@ def test_quality_statistics(spark, docs, texts, empty):
     assert kept.count() == sum(r["kept"] for r in found.values())
 
 
+def test_models_learn_from_one_row_of_each_key(spark, monkeypatch):
+    rows = [(i, sentence(60) + " tail" * (i % 7)) for i in range(60)]
+    more = [*rows, *[(i, text) for i, text in rows for _ in range(3)]]
+    one, many = (spark.createDataFrame(x, "doc_id bigint, text string") for x in (rows, more))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "learn_rules", lambda counts, bad: seen.append((len(bad), counts["n_words"].tolist())) or [])
+    for docs in (one, many):
+        quality.fit(docs, labels)
+    assert seen[0] == seen[1] and seen[0][0] == 60
+    a, b = (toxicity.fit(docs, labels) for docs in (one, many))
+    assert a.bias == b.bias and sorted(zip(a.features, a.weights)) == sorted(zip(b.features, b.weights))
+
+
 def test_decision_list_finds_the_rule():
     n = 3000
     counts = {c: RNG.integers(1, 100, n) for c in (*quality.STATISTICS, *quality.OTHER_STATISTICS)}
