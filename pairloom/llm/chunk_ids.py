@@ -2,9 +2,11 @@
 
 The three tokenizers used here never join a word with white space behind it. A
 chunk (white space and the word after it) is therefore encoded without looking at
-its neighbours, and the ids of a text are those of its chunks in order. Chunks are
-found by hash in a pool that the Python process keeps over batches and tasks; only
-new ones reach the encoder. The pool is emptied at ``POOL_CHUNKS``.
+its neighbours, and the ids of a text are those of its chunks in order. The chunks of a
+slice are told apart by their bytes. The Python process keeps a pool of chunks over
+batches and tasks of a job: it is looked up by hash, and a chunk whose bytes are not
+those of the pool's counts as new. Only new ones reach the encoder. The pool is emptied
+at ``POOL_CHUNKS`` or ``POOL_BYTES``.
 """
 
 from __future__ import annotations
@@ -16,12 +18,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-from pairloom.llm.spans import byte_hashes, chunk_starts, ranges, text_bytes, worker_cache
+from pairloom.llm.spans import byte_hashes, chunk_starts, distinct_spans, ranges, text_bytes, worker_cache
 
-POOL_CHUNKS = 1_500_000
+POOL_CHUNKS = 1_000_000
+POOL_BYTES = 32 << 20  # of chunks and of ids, each
 CALL_CHUNKS = 1 << 14  # given to the encoder at once
 
 
+def _concatenated(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values and the offset of each."""
+    at = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
+    data = values.buffers()[2]
+    buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return buf[at[0] : at[-1]], at - at[0]
+
+
 class ChunkPool:
     def __init__(
         self,
@@ -34,46 +45,70 @@ class ChunkPool:
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int32)
+        self.entry = np.zeros(0, np.int64)  # of each hash
+        self.bounds = np.zeros(1, np.int64)  # of the ids of each entry
         self.ids = np.zeros(0, np.int32)
+        self.byte_bounds = np.zeros(1, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
 
-    def add(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        lengths, parts = [], [self.ids]
+    def _encoded(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, counts)`` of chunks."""
+        lengths, parts = [], [np.zeros(0, np.int32)]
         for at in range(0, len(chunks), CALL_CHUNKS):
-            found = self.encode(chunks[at : at + CALL_CHUNKS])
+            found = self.encode(chunks.slice(at, CALL_CHUNKS).cast(pa.large_string()).to_pylist())
             lengths.extend(map(len, found))
             parts.append(np.fromiter(chain.from_iterable(found), np.int32))
-        counts = np.array(lengths, np.int32)
-        starts = np.cumsum(counts, dtype=np.int64) - counts + len(self.ids)
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.starts = np.insert(self.starts, at, starts)
-        self.counts = np.insert(self.counts, at, counts)
-        self.ids = np.concatenate(parts)
+        return np.concatenate(parts), np.array(lengths, np.int64)
+
+    def _known(self, hashes: np.ndarray, chunks: pa.Array) -> np.ndarray:
+        """Entry of each chunk, -1 if the pool has other bytes or nothing under its hash."""
+        out = np.full(len(hashes), -1)
+        if not len(self.hashes):
+            return out
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        entry = self.entry[at]
+        buf, own = _concatenated(chunks)
+        size = np.diff(own)
+        hit = (self.hashes[at] == hashes) & (np.diff(self.byte_bounds)[entry] == size)
+        if hit.any():
+            sizes = size[hit]
+            same = buf[ranges(own[:-1][hit], sizes)] == self.bytes[ranges(self.byte_bounds[entry[hit]], sizes)]
+            ends = np.cumsum(sizes)
+            hit[hit] = np.logical_and.reduceat(same, ends - sizes)
+        out[hit] = entry[hit]
+        return out
+
+    def _add(self, hashes: np.ndarray, chunks: pa.Array) -> None:
+        """Append chunks that are new; of equal hashes the pool keeps one."""
+        ids, counts = self._encoded(chunks)
+        buf, own = _concatenated(chunks)
+        first = len(self.bounds) - 1
+        self.ids = np.concatenate([self.ids, ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
+        self.bytes = np.concatenate([self.bytes, buf])
+        self.byte_bounds = np.concatenate([self.byte_bounds, self.byte_bounds[-1] + own[1:]])
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.entry = np.insert(self.entry, at, first + order)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)``: ids of all texts, and where those of each text begin."""
         buf, offsets = text_bytes(texts)
         starts = chunk_starts(buf, offsets, self.breaks)
-        ends = np.append(starts[1:], len(buf))
-        hashes, first, place = np.unique(
-            byte_hashes(buf, starts, ends), return_index=True, return_inverse=True
-        )
-        if len(self.hashes) + len(hashes) > POOL_CHUNKS:
+        codes, chunks = distinct_spans(buf, starts, np.append(starts[1:], len(buf)))
+        if len(self.hashes) + len(chunks) > POOL_CHUNKS or max(len(self.bytes), 4 * len(self.ids)) > POOL_BYTES:
             self.clear()
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        new = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
-        if new.any():
-            raw = buf.tobytes()
-            self.add(
-                hashes[new],
-                [raw[starts[i] : ends[i]].decode() for i in first[new].tolist()],
-            )
-            at = np.searchsorted(self.hashes, hashes)
-        at = at[place]
-        counts = self.counts[at]
-        ids = self.ids[ranges(self.starts[at], counts)]
+        own, at = _concatenated(chunks)
+        hashes = byte_hashes(own, at[:-1], at[1:])
+        entry = self._known(hashes, chunks)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            entry[new] = len(self.bounds) - 1 + np.arange(len(new))
+            self._add(hashes[new], chunks.take(pa.array(new)))
+        entry = entry[codes]
+        counts = np.diff(self.bounds)[entry] if len(entry) else np.zeros(0, np.int64)
+        ids = self.ids[ranges(self.bounds[entry], counts)]
         before = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         return ids, before[np.searchsorted(starts, offsets)]
 

@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.samples import MAX_SAMPLE, crc_of_key, sample_rows
-from pairloom.llm.spans import lower_ascii, ranges, slices, words_of
+from pairloom.llm.spans import lower_ascii, ranges, slices, words_of, worker_cache
 from pairloom.llm.tables import free_name, map_texts, record_batch
 
 UNKNOWN = "und"  # fixed value
@@ -190,11 +191,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str], language: str = "la
     schema = ",".join([f"{c} {t}" for c, t in kept] + ["lang string", "score double"])
 
     def run(texts, others):
-        names, scores = infer(Model(*broadcast.value), texts)
-        return {"lang": names, "score": scores} | {c: v for (c, _), v in zip(kept, others)}
+        worker_cache(None)
+        lettered = pa.compute.if_else(pa.compute.fill_null(others[0], False), texts, None)
+        names, scores = infer(Model(*broadcast.value), lettered)
+        return {"lang": names, "score": scores} | {c: v for (c, _), v in zip(kept, others[1:])}
 
-    lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    found = map_texts(docs, [lettered, *keep], schema, run)
+    found = map_texts(docs, ["text", F.col("text").rlike(r"\p{L}"), *keep], schema, run)
     return found.select(
         *[F.col(c).alias(name) for (c, _), name in zip(kept, keep)],
         F.col("lang").alias(language),

@@ -10,6 +10,7 @@ from pairloom.llm import (
     bestfit,
     chosen_path,
     languages,
+    line_runs,
     phrases,
     quality,
     sentencepiece_bpe,
@@ -74,6 +75,10 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_languages,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_phrases,
         op9_quality,
         op10_chosen_path,
+        op13_line_runs,
     )
 }
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -121,6 +127,19 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
 FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 LEFT JOIN sizes USING (doc_id)
+""",
+    "op13_line_runs": f"""
+WITH lines AS (
+    SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS p
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+          FROM lines),
+found AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+          GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id < last) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p)
+                       FILTER (last IS NULL OR doc_id >= last), '')) AS kept_sha256
+FROM keyed LEFT JOIN found USING (key) GROUP BY doc_id
 """,
     "op5_warc": """
 SELECT page_id, strlen(h) AS payload_bytes, d AS payload_digest,

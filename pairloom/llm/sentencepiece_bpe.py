@@ -107,15 +107,17 @@ class PieceModel:
         return self.library.encode("\n" + chunk)[len(line_end) :]
 
 
-def piece_model(path: str) -> PieceModel:
-    return worker_cache("pieces:" + path, lambda: PieceModel(path))
+def piece_pool(path: str) -> tuple[PieceModel, ChunkPool]:
+    def load():
+        model = PieceModel(path)
+        return model, ChunkPool(model.encode_checked, b" \n")
+
+    return worker_cache("pieces:" + path, load)
 
 
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """``(ids, bounds)`` of all texts of a slice; null and empty texts have no ids."""
-    pool = worker_cache(
-        "piece_pool:" + path, lambda: ChunkPool(piece_model(path).encode_checked, b" \n")
-    )
+    pool = piece_pool(path)[1]
     # the library writes a space as SPACE, so that both are one symbol
     texts = pa.compute.replace_substring(pa.compute.fill_null(texts, ""), SPACE, " ")
     empty = pa.compute.equal(pa.compute.binary_length(texts), 0)
@@ -126,7 +128,7 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def decode_ids(ids: np.ndarray, bounds: np.ndarray, path: str) -> list[str]:
     flat = ids.tolist()
     at = bounds.tolist()
-    return piece_model(path).library.decode(
+    return piece_pool(path)[0].library.decode(
         [flat[a:b] for a, b in zip(at, at[1:])], num_threads=1
     )
 

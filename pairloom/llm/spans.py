@@ -17,21 +17,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-SLICE_BYTES = 2 << 20  # of text at once; a longer text is a slice of its own
-_BLOCK = 1 << 16
-_SEED = 20_240_501
-_BASE = 0x9E3779B97F4A7C15 | 5  # odd, so that it has an inverse modulo 2**64
-_WORD_BASE = 0xD6E8FEB86659FD95 | 5
+SLICE_BYTES = 1 << 20  # of text at once; a longer text is a slice of its own
+_BASE = 0x9E3779B97F4A7C15
+_STEP = 0xD6E8FEB86659FD95
+_LONG = 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def worker_cache(name: str, make: Callable):
-    """A value kept in the Python process over tasks; functions sent by value have no module."""
+def worker_cache(name: str | None, make: Callable = dict):
+    """A value kept in the Python process over tasks; functions sent by value have no module.
+
+    Only the last one is kept, so that a worker does not hold what the jobs before
+    needed; ``None`` lets go of it.
+    """
     kept = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache"))
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    if getattr(kept, "name", None) != name:
+        kept.name, kept.value = None, None
+        kept.value = make() if name is not None else None
+        kept.name = name
+        pa.default_memory_pool().release_unused()
+    return getattr(kept, "value", None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,49 +53,76 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], np.uint64))[0])
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64, for i up to n; grown by need and kept."""
-    kept = worker_cache("powers", dict)
-    if base not in kept or len(kept[base]) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        kept[base] = np.multiply.accumulate(steps)
-    return kept[base]
+def span_array(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes of spans (rising, apart, none empty), one after the other."""
+    sizes = ends - starts
+    if len(starts) and (ends[:-1] != starts[1:]).any():
+        edges = np.zeros(len(buf) + 1, np.int8)
+        edges[starts] += 1
+        edges[ends] -= 1
+        data = buf.compress(np.cumsum(edges[:-1], dtype=np.int8).view(bool))
+    else:
+        data = buf[starts[0] : ends[-1]] if len(starts) else buf[:0]
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), buffers)
 
 
-def _range_hashes(values: np.ndarray, starts, ends, base: int) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each pair, whatever their place."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(base, n)[:n], out=sums[1:])
-    back = _powers(pow(base, -1, 2**64), n)
-    return mix(
-        (sums[ends] - sums[starts]) * back[starts]
-        + (np.asarray(ends) - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    )
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """``(code of each span, bytes of each code)``, told apart by their bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    coded = span_array(buf, starts, ends).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
 def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of spans in rising order, in blocks that fit a processor's cache."""
-    table = worker_cache(
-        "byte_values",
-        lambda: np.random.default_rng(_SEED).integers(0, 2**64, 256, np.uint64),
-    )
-    out = np.empty(len(starts), np.uint64)
-    cuts = np.searchsorted(starts, np.arange(0, len(buf) + _BLOCK, _BLOCK)).tolist()
-    for a, b in zip(cuts, cuts[1:]):
-        if a < b:
-            low, high = starts[a], ends[b - 1]
-            out[a:b] = _range_hashes(
-                table[buf[low:high]], starts[a:b] - low, ends[a:b] - low, _BASE
-            )
+    """64-bit hash of the bytes of each span, eight bytes a step, each mixed into the last.
+
+    Spans of more than ``_LONG`` bytes are hashed one by one (XXH3).
+    """
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    lanes = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # eight bytes from each place on
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(_STEP))
+    at = np.flatnonzero((size > 0) & (size <= _LONG))
+    done = 0
+    while len(at):
+        left = size[at] - done
+        bits = np.minimum(left, 8).astype(np.uint64) << np.uint64(3)
+        lane = lanes[starts[at] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - bits))
+        out[at] = mix((out[at] ^ lane) * np.uint64(_BASE) + np.uint64(_STEP))
+        at, done = at[left > 8], done + 8
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        from xxhash import xxh3_64_intdigest
+
+        view = memoryview(np.ascontiguousarray(buf))
+        for i, low, high in zip(long.tolist(), starts[long].tolist(), ends[long].tolist()):
+            out[i] = xxh3_64_intdigest(view[low:high])
     return out
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in their order; every bit of both is mixed before they meet."""
+    return mix(left * np.uint64(_BASE) + mix(right + np.uint64(_STEP)))
+
+
 def gram_hashes(hashes: np.ndarray, starts, n: int) -> np.ndarray:
-    """Hash of the ``n`` hashes from each start on."""
-    return _range_hashes(hashes, starts, np.asarray(starts) + n, _WORD_BASE)
+    """Hash of the ``n`` hashes from each start on, put together from powers of two."""
+    size = len(hashes) - n + 1
+    out, level, width, done = None, hashes, 1, 0
+    while size > 0:
+        if n & width:
+            part = level[done : done + size]
+            out = part if out is None else _joined(out, part)
+            done += width
+        if done == n:
+            return out[starts]
+        level, width = _joined(level[:-width], level[width:]), 2 * width
+    return np.zeros(0, np.uint64)
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
@@ -118,6 +151,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[at[0] : at[-1]], at - at[0]
 
 
+def solid_places(buf: np.ndarray) -> np.ndarray:
+    """Places of the bytes that are no white space."""
+    return np.flatnonzero(~_SPACE[buf])
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
 

@@ -33,17 +33,24 @@ def map_texts(
 ) -> DataFrame:
     """Run ``fn(texts, others)`` on slices of whole texts; it returns columns of ``schema``.
 
-    ``inputs`` are columns, the text first. Only these reach Python.
+    ``inputs`` are columns, the text first. Only these reach Python, and a column that
+    is named twice reaches it once.
     """
     out = to_arrow_schema(T.StructType.fromDDL(schema))  # any types: callers pass columns through
+    sent, place = [], []
+    for c in inputs:
+        known = [i for i, x in enumerate(sent) if isinstance(c, str) and isinstance(x, str) and x == c]
+        place.append(known[0] if known else len(sent))
+        if not known:
+            sent.append(c)
     columns = [
-        (F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(inputs)
+        (F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(sent)
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(0)):
-                others = [c.slice(at, len(texts)) for c in batch.columns[1:]]
+                others = [batch.column(i).slice(at, len(texts)) for i in place[1:]]
                 found = fn(texts, others)
                 yield pa.RecordBatch.from_arrays(
                     [as_arrow(found[f.name], f.type) for f in out], schema=out
@@ -52,6 +59,24 @@ def map_texts(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+HOT_SHARE = 1024  # a key with more than this part of all the weight is hot; fewer than so many can be
+
+
+def join_weighted(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """Inner join of written ``rows`` with ``table`` (unique, non-null ``keys``), no key in one task.
+
+    ``weight`` says about how many rows a key has. Keys with more than a ``HOT_SHARE``-th
+    of all weight, fewer than ``HOT_SHARE`` of them, are broadcast, so that their rows
+    stay where they are; the others move by key.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
+    hot, cold = table.where(is_hot), table.where(~is_hot)
+    at_rest = rows.join(F.broadcast(hot), list(keys))
+    moved = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    return at_rest.unionByName(moved.join(cold.hint("merge"), list(keys)))
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -63,7 +63,12 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
             blocks.append([*put(np.packbits(part).tobytes()), ones])
             ones += int(np.count_nonzero(part))
         header["planes"].append({"zeros": len(ids) - ones, "blocks": blocks})
-        ids = np.concatenate([ids[~plane], ids[plane]])
+        if level:
+            zeros = len(ids) - ones
+            below = np.empty_like(ids)  # places are found once, then moved without a test each
+            np.take(ids, np.flatnonzero(~plane), out=below[:zeros], mode="clip")
+            np.take(ids, np.flatnonzero(plane), out=below[zeros:], mode="clip")
+            ids = below
     head = json.dumps(header).encode()
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *body])
 
@@ -169,8 +174,8 @@ class WaveletMatrix:
             )
             ones = bits.view(bool)
             above = np.empty_like(low)
-            above[~ones] = low[: plane["zeros"]]
-            above[ones] = low[plane["zeros"] :] | low.dtype.type(1 << (self.bits - 1 - p))
+            above[np.flatnonzero(~ones)] = low[: plane["zeros"]]
+            above[np.flatnonzero(ones)] = low[plane["zeros"] :] | low.dtype.type(1 << (self.bits - 1 - p))
             low = above
         return low
 
