@@ -38,6 +38,7 @@ MIN_DOCS = 5
 BATCHES = 6
 FAN_OUT = 3
 HASH = ["h1", "h2"]
+RUN = "h1 bigint, h2 bigint, n bigint, last bigint, seen boolean"
 PLACES = "h1 bigint, h2 bigint, key bigint, row bigint, line int"
 
 
@@ -82,11 +83,10 @@ def line_places(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFra
 def batched(places: DataFrame, docs: DataFrame, key: str, batches: int) -> DataFrame:
     """The places, written by batch; batch 0 has the largest keys, the last one the null keys."""
     spark = docs.sparkSession
-    cuts = docs.select(F.col(key).cast("double").alias("k")).approxQuantile(
-        "k", [i / batches for i in range(1, batches)], 0.01
-    )
+    shares = [i / batches for i in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx(F.col(key).cast("bigint"), shares)).first()[0] if shares else None
     batch = F.lit(0)
-    for cut in cuts:
+    for cut in cuts or []:
         batch = batch + F.coalesce(F.col("key") <= F.lit(cut), F.lit(True)).cast("int")
     path = new_path(spark, "line-places")
     places.withColumn("batch", batch).write.partitionBy("batch").parquet(path)
@@ -142,7 +142,7 @@ class LineRuns:
 
     def merged(self, runs: list[tuple[str, str]]) -> DataFrame:
         # read as files: Spark takes a union of tables in buckets for grouped by hash
-        both = self.spark.read.parquet(*[path for _, path in runs])
+        both = self.spark.read.schema(RUN).parquet(*[path for _, path in runs])
         return both.groupBy(*HASH).agg(
             F.sum("n").alias("n"), F.max("last").alias("last"), F.min("seen").alias("seen")
         )

@@ -14,8 +14,10 @@ from pairloom.llm import (
     phrases,
     quality,
     sentencepiece_bpe,
+    spelling,
     syncmers,
     toxicity,
+    vector_codes,
     warc,
     wavelet,
 )
@@ -75,6 +77,14 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.digests(table(spark, sf_dir, "documents"))
 
@@ -91,11 +101,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_phrases,
         op9_quality,
         op10_chosen_path,
+        op11_spelling,
+        op12_vector_codes,
         op13_line_runs,
     )
 }
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# the nearest entry of each part: squared distance, then index
+_ASSIGNED = """a{0} AS MATERIALIZED (
+    SELECT vec_id, p, any_value(x) AS x,
+           min(64 * ((x[1] - c[1]) ** 2 + (x[2] - c[2]) ** 2 + (x[3] - c[3]) ** 2 + (x[4] - c[4]) ** 2)::BIGINT + e) AS best
+    FROM parts JOIN c{0} USING (p) GROUP BY vec_id, p)"""
+_MOVED = """c{new} AS MATERIALIZED (
+    SELECT p, e, coalesce(m, c) AS c
+    FROM c{old} LEFT JOIN (
+        SELECT p, best % 64 AS e, [CAST(floor(avg(x[1])) AS BIGINT), CAST(floor(avg(x[2])) AS BIGINT),
+                                   CAST(floor(avg(x[3])) AS BIGINT), CAST(floor(avg(x[4])) AS BIGINT)] AS m
+        FROM a{old} GROUP BY p, best % 64) USING (p, e))"""
 
 ORACLES: dict[str, str] = {
     "op8_phrases": f"""
@@ -127,6 +150,26 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
 FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 LEFT JOIN sizes USING (doc_id)
+""",
+    "op12_vector_codes": f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, x[4 * p + 1:4 * p + 4] AS x FROM kept, unnest(range(16)) AS t(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+       FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+{_ASSIGNED.format(0)}, {_MOVED.format(old=0, new=1)},
+{_ASSIGNED.format(1)}, {_MOVED.format(old=1, new=2)},
+{_ASSIGNED.format(2)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS digest FROM c2),
+found AS (SELECT vec_id, string_agg(format('{{:02x}}', best % 64), '' ORDER BY p) AS code,
+                 CAST(sum(best // 64) AS BIGINT) AS error
+          FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       digest AS codebooks_sha256
+FROM found JOIN kept USING (vec_id), books
 """,
     "op13_line_runs": f"""
 WITH lines AS (

@@ -180,9 +180,8 @@ class Words:
         return at[self.doc[at] == self.doc[at + n - 1]] if len(at) else at
 
 
-def words_of(texts: pa.Array) -> Words:
-    buf, offsets = text_bytes(texts)
-    solid = ~_SPACE[buf]
+def runs_of(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(starts, ends)`` of the maximal runs of set flags, each within one text."""
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -191,7 +190,12 @@ def words_of(texts: pa.Array) -> Words:
     finishes[:-1] &= ~solid[1:]
     lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     finishes[lasts] = solid[lasts]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+    return np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+
+
+def words_of(texts: pa.Array) -> Words:
+    buf, offsets = text_bytes(texts)
+    starts, ends = runs_of(~_SPACE[buf], offsets)
     bounds = np.searchsorted(starts, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     return Words(buf, starts, ends, doc, bounds, offsets)
