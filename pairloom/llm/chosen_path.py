@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
-from pairloom.llm.spans import gram_hashes, mix, mix_int, words_of
+from pairloom.llm.spans import gram_hashes, mix, mix_int, words_of, worker_cache
 from pairloom.llm.tables import free_name, map_texts
 from pairloom.session import materialise
 
@@ -85,6 +85,7 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Size, fingerprint of the set (two sums) and minwise tokens of every row."""
 
     def run(texts, others):
+        worker_cache(None)
         shingles, bounds = shingle_sets(texts)
         sums = []
         for salt in (1, 2):

@@ -19,14 +19,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.samples import MAX_SAMPLE, crc_of_key, sample_rows
-from pairloom.llm.spans import lower_ascii, ranges, slices, words_of, worker_cache
+from pairloom.llm.samples import MAX_SAMPLE, crc_of_key, one_of_each, sample_rows
+from pairloom.llm.spans import Words, lower_ascii, ranges, slices, words_of, worker_cache
 from pairloom.llm.tables import free_name, map_texts, record_batch
 
 UNKNOWN = "und"  # fixed value
 ORDERS = (2, 4)
 BUCKETS = 1 << 16  # of hashed n-grams, all orders together
-MAX_LANGUAGES = 256  # the most frequent of the sample: bounds the model
+CELLS = 1 << 21  # words x languages at once; a longer text is looked at by itself
 SMOOTHING = 0.5
 WORD_SPREAD = 12.0  # the likelihoods of one word differ by this at most
 STEPS = 8
@@ -92,37 +92,34 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, limit: int = MAX_SAMPLE) -> Model:
-    """Fit on at most ``limit`` of the rows with a language and a key outside the held-out fold.
+    """Fit on at most ``limit`` of the keys with a language outside the held-out fold.
 
-    The counts are collected: ``BUCKETS`` for each of ``MAX_LANGUAGES`` at most.
+    A key that is repeated gives one row, that with the smallest digest of its text. There are
+    no more languages than sampled rows, and the counts are collected: at most
+    ``BUCKETS`` for each language, and no more than n-grams in the sample.
     """
     rows = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_of_key("doc_id") % 5 != 0)
     )
     chosen = sample_rows(rows.select("doc_id"), "doc_id", SEED, limit).dropDuplicates()
     sample = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
-    counts = count_grams(sample)
-    frequent = (
-        counts.groupBy("lang").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    )
-    found = counts.join(F.broadcast(frequent.select("lang")), "lang").toPandas()
+    sample = one_of_each(sample.withColumn("digest", F.xxhash64("text", "lang")), "doc_id", "digest")
+    found = count_grams(sample).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
-    table = np.zeros((BUCKETS, len(languages)))
+    table = np.full((BUCKETS, len(languages)), SMOOTHING, np.float32)
     at = {name: i for i, name in enumerate(languages)}
-    table[found["bucket"].to_numpy(), found["lang"].map(at).to_numpy(int) if len(found) else []] = found["n"].to_numpy()
-    table += SMOOTHING
-    return Model(languages, np.log(table / table.sum(0)).astype(np.float32))
+    table[found["bucket"].to_numpy(int), found["lang"].map(at).to_numpy(int)] += found["n"].to_numpy(np.float32)
+    table /= table.sum(0, dtype=np.float64).astype(np.float32)
+    return Model(languages, np.log(table, out=table))
 
 
-def _mixture(
-    p: np.ndarray, bounds: np.ndarray, allowed: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood of each text over its ``allowed`` languages."""
+def _mixture(p: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihood of each text over the languages of ``p``."""
     sizes = np.diff(bounds)
     some = sizes > 0  # texts without words keep equal shares
     firsts = bounds[:-1][some]
-    share = allowed / allowed.sum(1, keepdims=True)
+    n = p.shape[1]
+    share = np.full((len(sizes), n), 1 / n, np.float32)
     likelihood = np.zeros(len(sizes))
     if not len(p):
         return share, likelihood
@@ -130,32 +127,31 @@ def _mixture(
         joint = np.repeat(share, sizes, axis=0)
         joint *= p
         total = np.maximum(joint.sum(1), np.float32(1e-30))
-        if step == STEPS or allowed.sum(1).max() == 1:
-            likelihood[some] = np.add.reduceat(np.log(total), firsts)
+        if step == STEPS or n == 1:
+            likelihood[some] = np.add.reduceat(np.log(total, dtype=np.float64), firsts)
             return share, likelihood
         joint /= total[:, None]
         share[some] = np.add.reduceat(joint, firsts, axis=0) / sizes[some, None]
         share /= np.maximum(share.sum(1, keepdims=True), np.float32(1e-30))
 
 
-def infer(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; texts without words give ``UNKNOWN``.
-
-    The score is the proportion of the predicted language among all languages.
-    """
-    words = words_of(texts)
-    n_docs, n_lang = len(words.bounds) - 1, len(model.languages)
-    if not n_lang:
-        return [UNKNOWN] * n_docs, np.zeros(n_docs)
-    log_p = np.zeros((len(words.starts), n_lang), np.float32)
+def _likelihoods(model: Model, words: Words) -> np.ndarray:
+    """Likelihood of each word in each language, as a part of that in its likeliest one."""
+    log_p = np.zeros((len(words.starts), len(model.languages)), np.float32)
     if len(log_p):
         for word, bucket in _grams(words):
             firsts = np.searchsorted(word, np.arange(len(log_p)))
             log_p += np.add.reduceat(model.log_p[bucket], firsts, axis=0)
     log_p -= log_p.max(1, keepdims=True)
-    p = np.exp(np.maximum(log_p, -WORD_SPREAD))
+    return np.exp(np.maximum(log_p, -WORD_SPREAD, out=log_p), out=log_p)
+
+
+def _infer(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the language and score of each text."""
+    n_docs, n_lang = len(words.bounds) - 1, len(model.languages)
+    p = _likelihoods(model, words)
     counts = np.diff(words.bounds)
-    full, most = _mixture(p, words.bounds, np.ones((n_docs, n_lang), np.float32))
+    full, most = _mixture(p, words.bounds)
     order = np.argsort(-full, axis=1, kind="stable")
     best = np.full(n_docs, -np.inf)
     at = np.zeros(n_docs, np.int64)
@@ -166,17 +162,37 @@ def infer(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         left = left[most[left] - cost[left] > best[left]]
         if not len(left):
             break
-        allowed = np.zeros((len(left), n_lang), np.float32)
-        np.put_along_axis(allowed, order[left, :size], 1, 1)
+        chosen = np.sort(order[left, :size], axis=1)
         sizes = counts[left]
-        rows = p[ranges(words.bounds[left], sizes)]
-        share, likelihood = _mixture(rows, np.concatenate([[0], np.cumsum(sizes)]), allowed)
+        rows = ranges(words.bounds[left], sizes)
+        own = p[rows[:, None], np.repeat(chosen, sizes, axis=0)]
+        share, likelihood = _mixture(own, np.concatenate([[0], np.cumsum(sizes)]))
         better = likelihood - cost[left] > best[left]
         best[left[better]] = (likelihood - cost[left])[better]
-        at[left[better]] = share[better].argmax(1)
+        at[left[better]] = chosen[better, share[better].argmax(1)]
     score = np.clip(full[np.arange(n_docs), at], 0.0, 1.0)
-    names = [model.languages[k] if n else UNKNOWN for k, n in zip(at.tolist(), counts.tolist())]
-    return names, np.where(counts > 0, score, 0.0)
+    return at, np.where(counts > 0, score, 0.0)
+
+
+def infer(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; texts without words give ``UNKNOWN``.
+
+    The score is the proportion of the predicted language among all languages. Texts are
+    taken in blocks of ``CELLS`` words x languages.
+    """
+    words = words_of(texts)
+    n_docs, n_lang = len(words.bounds) - 1, len(model.languages)
+    names, scores = [UNKNOWN] * n_docs, np.zeros(n_docs)
+    low = 0
+    while n_lang and low < n_docs:
+        limit = words.bounds[low] + max(1, CELLS // n_lang)
+        high = max(low + 1, int(np.searchsorted(words.bounds, limit, "right")) - 1)
+        at, scores[low:high] = _infer(model, words.of_texts(low, high))
+        for i, k in zip(range(low, high), at.tolist()):
+            if words.bounds[i] < words.bounds[i + 1]:
+                names[i] = model.languages[k]
+        low = high
+    return names, scores
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], language: str = "lang_pred", score: str = "score") -> DataFrame:

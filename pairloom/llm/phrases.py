@@ -1,22 +1,25 @@
-"""Substring deduplication by automata of recurring phrases.
+"""Substring deduplication by automata of recurring passages.
 
 A phrase is a window of ``WINDOW`` words that starts at two places or more.
 
 1. In each window the smallest hash of ``ANCHOR`` words is its anchor, so that equal
-   windows have equal anchors. Anchors are counted, and those that recur are marked
-   in a bitmap of fixed size. It may hold others too: it only saves work.
-2. Windows with a marked anchor are candidates. They move once, by their anchor, and
-   stream by in order of phrase and place: all but those at the first place of a phrase
-   are later ones.
-3. The places return to their rows as bit masks. The passages of later windows in a
-   slice of documents make an Aho-Corasick automaton, a shard that cannot outgrow
-   the slice, and the documents of the slice stream through it to locate them: every
-   window but the first of its phrase loses its words.
-
-Places are compared by key, and belong to a row, which is a key with the digest of a text.
-
-The letters of the automaton are hashes of ``STRIDE`` words. A document is read in
-``STRIDE`` phases, one for each start.
+   windows have equal anchors. Rows give their anchors to the anchor's task, which sends
+   those that recur back to the rows, as a table that is joined.
+2. Consecutive windows with one anchor are a segment. Segments whose anchor recurs move, as
+   words, to the shard of their anchor. An anchor with more than ``HOT_ROWS`` segments
+   has several shards.
+3. A shard confirms which windows recur in it, word by word, and compiles them into an
+   Aho-Corasick automaton; all segments of the shard stream through it. Of the places that
+   it locates for a window, all but the first are later ones. Windows of a divided
+   anchor that are first in their shard meet again, by window, in a second automaton.
+4. Places return to their rows as bit masks, and every later window loses its words.
+
+The letters of an automaton are blocks of ``STRIDE`` words of its shard, numbered exactly; a
+window is four letters, and a shard is read in ``STRIDE`` phases, one for each start.
+
+Places are compared by key, a null key being smaller than any other, and belong to a row,
+which is a key with the digest of a text. Texts move once: both joins with them read the
+same exchange.
 """
 
 from __future__ import annotations
@@ -27,305 +30,447 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.spans import Words, gram_hashes, mix, slices, words_of
+from pairloom.llm.spans import (
+    Words,
+    byte_hashes,
+    distinct_spans,
+    gram_hashes,
+    mix,
+    ranges,
+    slices,
+    text_bytes,
+    words_of,
+    worker_cache,
+)
 from pairloom.llm.tables import free_name, map_texts, record_batch
 
 WINDOW = 20
 ANCHOR = 8
 STRIDE = 5
 SEGMENT = WINDOW - ANCHOR + 1  # windows that can share an anchor
-BITMAP_BITS = 28
-PAGE_BITS = 19
+HOT_ROWS = 4096
+HOT_PLACES = 14  # bits: an anchor of one long text is divided by place
+CARRY_ROWS = 4 * HOT_ROWS  # of one group before a part of it is settled
 FIRST_LETTER = 1 << 16  # letters are characters from here on, without surrogates
-NO_KEY = -(1 << 63)  # of rows without a key
+ROW = ["key", "none", "row"]
+ANCHORS = "anchor bigint, key bigint, none boolean, row bigint, n int"
+RECURRING = "key bigint, none boolean, row bigint, anchor bigint, part int"
+SEGMENTS = "anchor bigint, part bigint, key bigint, none boolean, row bigint, place int, words string"
+LOCATED = "spread bigint, part bigint, key bigint, none boolean, row bigint, place int, later int, words string"
 
 
 def window_anchors(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors of all places, and the smallest anchor of each window in ``at``."""
+    """Hashes of ``ANCHOR`` words from each place on, and the smallest in each window in ``at``."""
     grams = gram_hashes(hashes, np.arange(len(hashes) - ANCHOR + 1), ANCHOR)
-    low = grams
-    width, wanted = 1, WINDOW - ANCHOR + 1
-    while width < wanted:
-        step = min(width, wanted - width)
+    low, width = grams, 1
+    while width < SEGMENT:
+        step = min(width, SEGMENT - width)
         low = np.minimum(low[:-step], low[step:])
         width += step
     return grams, low[at]
 
 
-def selected_anchors(texts: pa.Array) -> np.ndarray:
-    """Hashes of the places that are the anchor of some window."""
-    words = words_of(texts)
-    at = words.gram_starts(WINDOW)
-    if not len(at):
-        return np.zeros(0, np.uint64)
-    grams, low = window_anchors(words.hashes(), at)
-    chosen = np.zeros(len(grams), bool)
+def anchor_places(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(place, anchor)`` of all places that have the smallest hash of a window in ``at``."""
+    grams, low = window_anchors(hashes, at)
     highest = np.zeros(len(grams), np.uint64)  # of the windows that cover a place
-    padded = np.zeros(len(words.starts) + 1, np.uint64)
+    padded = np.zeros(len(hashes) + 1, np.uint64)
     padded[at] = low
-    for shift in range(WINDOW - ANCHOR + 1):
-        part = padded[: len(grams) - shift]
-        np.maximum(highest[shift:], part, out=highest[shift:])
-    chosen = (highest == grams) & (highest > 0)
-    return grams[chosen]
+    for shift in range(SEGMENT):
+        np.maximum(highest[shift:], padded[: len(grams) - shift], out=highest[shift:])
+    place = np.flatnonzero((highest == grams) & (highest > 0))
+    return place, grams[place]
 
 
-def recurring_bitmap(texts: DataFrame) -> np.ndarray:
-    """Bitmap of the anchors that occur twice or more; its size is fixed."""
-    schema = "anchor bigint, n bigint"
+def segments(words: Words, at: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(first, size)`` of runs of consecutive windows of a text with one anchor, ``SEGMENT`` at most.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in slices(batch.column(0)):
-                anchors, n = np.unique(selected_anchors(part), return_counts=True)
-                yield record_batch(schema, {"anchor": anchors.view(np.int64), "n": n})
-
-    page_mask = (1 << (BITMAP_BITS - PAGE_BITS)) - 1
-    recurring = (
-        texts.mapInArrow(count, schema)
-        .groupBy("anchor").agg(F.sum("n").alias("n"))
-        .where("n > 1")
-        .select(
-            "anchor",
-            F.shiftright("anchor", PAGE_BITS).bitwiseAND(F.lit(page_mask)).alias("page"),
-        )
+    ``first`` are places in ``at``.
+    """
+    new = np.ones(len(at), bool)
+    new[1:] = (
+        (at[1:] != at[:-1] + 1)
+        | (words.doc[at[1:]] != words.doc[at[:-1]])
+        | (anchors[1:] != anchors[:-1])
     )
+    run = np.flatnonzero(new)
+    in_run = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+    first = np.flatnonzero(in_run % SEGMENT == 0)
+    return first, np.diff(np.append(first, len(at)))
 
-    def fill(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << PAGE_BITS, bool)
-        bits[rows["anchor"].to_numpy() & ((1 << PAGE_BITS) - 1)] = True
-        return pa.table(
-            {"page": rows["page"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())}
-        )
-
-    pages = recurring.groupBy("page").applyInArrow(fill, "page bigint, bits binary").toArrow()
-    out = np.zeros((1 << (BITMAP_BITS - PAGE_BITS), 1 << (PAGE_BITS - 3)), np.uint8)
-    for page, bits in zip(pages["page"].to_pylist(), pages["bits"].to_pylist()):
-        out[page] = np.frombuffer(bits, np.uint8)
-    return out.reshape(-1)
 
+def row_anchors(rows: DataFrame) -> DataFrame:
+    """``ANCHORS``: each anchor of each row, with the number of its places."""
 
-def candidate_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Candidate windows, in segments of consecutive windows with one anchor.
-
-    ``anchor, key, row, seg`` (place of the first window) and the hashes of the windows.
-    Windows that are repeats already inside their slice are settled there: their
-    segments have a count in ``known`` instead of hashes, and travel by their row.
-    """
-    bitmap = docs.sparkSession.sparkContext.broadcast(
-        recurring_bitmap(docs.select(F.col(text).alias("text")))
-    )
-    schema = "anchor bigint, key bigint, row bigint, seg int, known int, phrases array<bigint>"
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None)
         for batch in batches:
             for start, texts in slices(batch.column(0)):
                 words = words_of(texts)
                 at = words.gram_starts(WINDOW)
                 if not len(at):
                     continue
-                hashes = words.hashes()
-                anchors = window_anchors(hashes, at)[1]
-                bit = (anchors & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                live = (bits[bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)
-                at, anchors = at[live], anchors[live]
-                if not len(at):
-                    continue
-                phrases = gram_hashes(hashes, at, WINDOW)
-                keys, ids = (batch.column(i).slice(start, len(texts)).to_numpy(zero_copy_only=False) for i in (1, 2))
-                of_window, place = keys[words.doc[at]], at - words.bounds[words.doc[at]]
-                row = ids[words.doc[at]]
-                order = np.lexsort((place, of_window, phrases))
-                later = np.zeros(len(at), bool)  # not the first of its phrase in the slice
-                same = phrases[order[1:]] == phrases[order[:-1]]
-                starts = np.flatnonzero(np.concatenate([[True], ~same]))
-                first = order[np.repeat(starts, np.diff(np.append(starts, len(order))))]
-                later[order] = (of_window[order] != of_window[first]) | (place[order] != place[first])
-                new = np.ones(len(at), bool)
-                new[1:] = (
-                    (at[1:] != at[:-1] + 1)
-                    | (words.doc[at[1:]] != words.doc[at[:-1]])
-                    | (anchors[1:] != anchors[:-1])
-                    | (later[1:] != later[:-1])
-                )
-                run = np.flatnonzero(new)
-                in_run = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-                begins = np.flatnonzero(in_run % SEGMENT == 0)
-                sizes = np.diff(np.append(begins, len(at)))
-                known = later[begins]
-                spread = mix((of_window ^ row)[begins].astype(np.uint64))
-                ends = np.cumsum(np.where(known, 0, sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.where(known, spread, anchors[begins]).view(np.int64)),
-                        pa.array(of_window[begins], pa.int64()),
-                        pa.array(row[begins], pa.int64()),
-                        pa.array(place[begins], pa.int32()),
-                        pa.array(np.where(known, sizes, 0), pa.int32()),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.concatenate([[0], ends]), pa.int32()),
-                            pa.array(phrases[~later].view(np.int64)),
-                        ),
-                    ],
-                    names=["anchor", "key", "row", "seg", "known", "phrases"],
-                )
-
-    return docs.select(text, *identity(key, text)).mapInArrow(find, schema)
-
-
-FLAGS = "key bigint, row bigint, seg int, later int"
-
-
-def identity(key: str, text: str) -> list[Column]:
-    """``key, row``: texts of one key are different rows, equal ones are the same row."""
-    return [F.coalesce(F.col(key), F.lit(NO_KEY)).alias("key"), F.xxhash64(F.col(text)).alias("row")]
-
-
-def recurring_places(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, row, places`` of rows with windows that also start earlier.
-
-    A place is a segment with a bit mask of those windows. Rows with one key are one
-    document, so equal places in them do not count against each other. The windows of
-    one phrase stand together in a task, in order, and are told apart as they stream
-    by, however many they are.
+                place, anchors = anchor_places(words.hashes(), at)
+                doc, anchors = words.doc[place], anchors.view(np.int64)
+                order = np.lexsort((anchors, doc))
+                doc, anchors = doc[order], anchors[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (anchors[1:] != anchors[:-1])
+                new = np.flatnonzero(new)
+                own = pa.array(doc[new] + start)
+                found = {c: batch.column(i + 1).take(own) for i, c in enumerate(ROW)}
+                yield record_batch(ANCHORS, found | {"anchor": anchors[new], "n": np.diff(np.append(new, len(doc)))})
+
+    return rows.select("text", *ROW).mapInArrow(run, ANCHORS)
+
+
+def _recurring_groups(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of whole groups of one anchor, in order, the rows of those that recur, with their part."""
+    anchor = rows["anchor"]
+    begins = np.ones(len(anchor), bool)
+    begins[1:] = anchor[1:] != anchor[:-1]
+    new = begins.copy()  # equal rows count once
+    for c in ROW:
+        new[1:] |= rows[c][1:] != rows[c][:-1]
+    rows, begins = {c: x[new] for c, x in rows.items()}, np.flatnonzero(begins[new])
+    sizes = np.diff(np.append(begins, len(rows["anchor"])))
+    total = np.add.reduceat(rows["n"].astype(np.int64), begins) if len(begins) else sizes
+    index = np.arange(len(rows["anchor"])) - np.repeat(begins, sizes)
+    part = np.where(np.repeat(total > HOT_ROWS, sizes), index // HOT_ROWS, -1)
+    recurs = np.repeat(total > 1, sizes)
+    return {c: x[recurs] for c, x in (rows | {"part": part}).items() if c != "n"}
+
+
+def recurring_anchors(anchors: DataFrame) -> DataFrame:
+    """``RECURRING``: the anchors of two places or more, back at their rows.
+
+    The rows of an anchor stream by in order; no more than ``HOT_ROWS`` and a batch are held.
     """
-    ordered = (
-        candidate_segments(docs, key, text)
-        .repartition("anchor")
-        .select("key", "row", "seg", "known", F.posexplode_outer("phrases").alias("off", "phrase"))
-        .sortWithinPartitions("phrase", "key", (F.col("seg") + F.col("off")))
-        .select("phrase", "key", "row", "seg", F.coalesce("off", F.lit(0)).alias("off"), "known")
-    )
+    names = [x.split()[0] for x in ANCHORS.split(", ")]
 
-    def tell_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None  # phrase, key and place of the first window of the last phrase
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.zeros(0, bool if c == "none" else np.int64) for c in names}
+        hot, index = None, 0  # an anchor that is known to be hot, and its rows so far
         for batch in batches:
-            known = batch.column(5).to_numpy()
-            settled = known > 0
-            key, row, seg, off = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
-            out = [(key[settled], row[settled], seg[settled], (1 << known[settled]) - 1)]
-            open_ = ~settled
-            phrase = pa.compute.fill_null(batch.column(0), 0).to_numpy()[open_]
-            key, row, seg, off = (x[open_] for x in (key, row, seg, off))
-            if len(phrase):
-                place = seg + off
-                new = np.ones(len(phrase), bool)
-                new[1:] = phrase[1:] != phrase[:-1]
-                new[0] = head is None or phrase[0] != head[0]
-                starts = np.flatnonzero(new)
-                first_key, first_place = (np.repeat(x[starts], np.diff(np.append(starts, len(x)))) for x in (key, place))
-                if not new[0]:  # goes on with the phrase of the batch before
-                    going = starts[0] if len(starts) else len(phrase)
-                    first_key = np.concatenate([np.full(going, head[1], key.dtype), first_key])
-                    first_place = np.concatenate([np.full(going, head[2], place.dtype), first_place])
-                later = (key != first_key) | (place != first_place)
-                out.append((key[later], row[later], seg[later], np.left_shift(1, off[later])))
-                head = phrase[-1], first_key[-1], first_place[-1]
-            names = [x.split()[0] for x in FLAGS.split(",")]
-            yield record_batch(FLAGS, dict(zip(names, map(np.concatenate, zip(*out)))))
-
-    flags = ordered.mapInArrow(tell_apart, FLAGS)
-    # equal rows give equal windows, so masks are united and not added
-    segments = flags.groupBy("key", "row", "seg").agg(F.bit_or("later").alias("later"))
-    return segments.groupBy("key", "row").agg(F.collect_list(F.struct("seg", "later")).alias("places"))
+            rows = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+            if hot is not None:
+                to = int(np.searchsorted(rows["anchor"], hot, "right"))
+                more = {c: x[:to] for c, x in rows.items() if c != "n"}
+                yield record_batch(RECURRING, more | {"part": (index + np.arange(to)) // HOT_ROWS})
+                index += to
+                rows = {c: x[to:] for c, x in rows.items()}
+            if not len(rows["anchor"]):
+                continue
+            hot = None
+            rows = {c: np.concatenate([held[c], x]) for c, x in rows.items()}
+            last = int(np.searchsorted(rows["anchor"], rows["anchor"][-1]))
+            yield record_batch(RECURRING, _recurring_groups({c: x[:last] for c, x in rows.items()}))
+            held = {c: x[last:] for c, x in rows.items()}
+            if len(held["anchor"]) > HOT_ROWS:
+                hot, index = held["anchor"][0], len(held["anchor"])
+                more = {c: x for c, x in held.items() if c != "n"}
+                yield record_batch(RECURRING, more | {"part": np.arange(index) // HOT_ROWS})
+                held = {c: x[:0] for c, x in held.items()}
+        yield record_batch(RECURRING, _recurring_groups(held))
+
+    ordered = anchors.repartition("anchor").sortWithinPartitions("anchor", *ROW).select(*names)
+    return ordered.mapInArrow(run, RECURRING)
+
+
+def _pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of spans, which may overlap, as strings."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.ascontiguousarray(buf[ranges(starts, sizes)])
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), buffers)
+
+
+def recurring_segments(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """``SEGMENTS`` of rows with the list of their recurring anchors (``anchors``).
+
+    Columns ``kept`` are read so that the exchange below is that of the last join, too.
+    """
+
+    def of_text(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        return mix(anchor ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+
+    def run(texts, others):
+        words = words_of(texts)
+        at = words.gram_starts(WINDOW)
+        lists = others[0]
+        entries = lists.flatten()
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+        known = of_text(np.repeat(np.arange(len(texts)), sizes), entries.field("anchor").to_numpy().view(np.uint64))
+        parts = entries.field("part").to_numpy().astype(np.int64)
+        order = np.argsort(known)
+        known, parts = known[order], parts[order]
+        anchors = window_anchors(words.hashes(), at)[1] if len(at) else np.zeros(0, np.uint64)
+        own = of_text(words.doc[at], anchors)
+        place = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        live = known[place] == own if len(known) else np.zeros(len(at), bool)
+        at, anchors, parts = at[live], anchors[live], parts[place[live]]
+        first, size = segments(words, at, anchors)
+        begin, part = at[first], parts[first]
+        doc = words.doc[begin]
+        offset = begin - words.bounds[doc]
+        rows_ = pa.array(doc)
+        return {
+            "anchor": anchors[first].view(np.int64),
+            "part": np.where(part < 0, -1, part << 32 | offset >> HOT_PLACES),
+            "place": offset,
+            "words": _pieces(words.buf, words.starts[begin], words.ends[begin + size + WINDOW - 2]),
+        } | {c: others[1 + i].take(rows_) for i, c in enumerate(ROW)}
+
+    return map_texts(rows, ["text", "anchors", *ROW, *kept], SEGMENTS, run)
+
 
+def exact_letters(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each block of ``STRIDE`` words, equal for equal words and for no others."""
+    grams = gram_hashes(hashes, np.arange(len(hashes) - STRIDE + 1), STRIDE)
+    _, first, letter = np.unique(grams, return_index=True, return_inverse=True)
+    n = len(grams)
+    if any((codes[k : n + k] != codes[first[letter] + k]).any() for k in range(STRIDE)):
+        blocks = np.stack([codes[k : n + k] for k in range(STRIDE)], axis=1)
+        letter = np.unique(blocks, axis=0, return_inverse=True)[1].reshape(-1)
+    return letter
 
-def _runs(flags: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of each run of set flags that stays in one text."""
-    edge = np.zeros(len(flags), bool)
-    edge[1:] = doc[1:] != doc[:-1]
-    begins = np.flatnonzero(flags & (edge | ~np.concatenate([[False], flags[:-1]])))
-    stops = np.flatnonzero(flags & (np.append(edge[1:], True) | ~np.append(flags[1:], False)))
-    return begins, stops - begins + 1
 
+def compiled(patterns: list[str]):
+    """The automaton of a shard; it gives the number of a pattern."""
+    from ahocorasick import STORE_INTS, Automaton
+
+    automaton = Automaton(STORE_INTS)
+    for k, pattern in enumerate(patterns):
+        automaton.add_word(pattern, k)
+    automaton.make_automaton()
+    return automaton
 
-def repeats_in_slice(texts: pa.Array, places: pa.Array) -> tuple[np.ndarray, Words]:
-    """For each word of the slice whether it is in a window that also starts earlier.
 
-    Runs of later windows are the passages that the automaton looks for.
+def located(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """``(window, pattern)`` of all occurrences of recurring windows, in one text each."""
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = words.gram_starts(WINDOW)
+    if len(at) < 2:
+        return nothing
+    codes, distinct = distinct_spans(words.buf, words.starts, words.ends)
+    buf, offsets = text_bytes(distinct.cast(pa.large_string()))
+    hashes = byte_hashes(buf, offsets[:-1], offsets[1:])[codes]
+    _, window, n = np.unique(gram_hashes(hashes, at, WINDOW), return_inverse=True, return_counts=True)
+    again = at[n[window] > 1]
+    if not len(again):
+        return nothing
+    letters = (exact_letters(codes, hashes) + FIRST_LETTER).astype("<u4")
+    steps = np.arange(0, WINDOW, STRIDE)
+    n_letters = len(steps)
+    string = letters[again[:, None] + steps].tobytes().decode("utf-32-le")
+    patterns = list(dict.fromkeys(string[i : i + n_letters] for i in range(0, len(string), n_letters)))
+    automaton = compiled(patterns)
+    places, found = [], []
+    for phase in range(STRIDE):
+        string = letters[phase::STRIDE].tobytes().decode("utf-32-le")
+        matches = np.array(list(automaton.iter(string)) if automaton.kind else [], np.int64).reshape(-1, 2)
+        places.append(phase + STRIDE * (matches[:, 0] - n_letters + 1))
+        found.append(matches[:, 1])
+    places, found = np.concatenate(places), np.concatenate(found)
+    whole = words.doc[places] == words.doc[places + WINDOW - 1]
+    return places[whole], found[whole]
+
+
+def later_windows(texts: pa.Array, key: np.ndarray, none: np.ndarray, place: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words of segments, and the windows (places of their first words) that also start earlier.
+
+    ``place`` is that of a segment in its text.
+    """
+    words = words_of(texts)
+    window, pattern = located(words)
+    doc = words.doc[window]
+    of = none[doc], key[doc], place[doc] + window - words.bounds[doc]
+    order = np.lexsort((of[2], of[1], ~of[0], pattern))
+    pattern, window = pattern[order], window[order]
+    of = [x[order] for x in of]
+    begins = np.ones(len(pattern), bool)
+    begins[1:] = pattern[1:] != pattern[:-1]
+    begins = np.flatnonzero(begins)
+    first = np.repeat(begins, np.diff(np.append(begins, len(pattern))))
+    return words, window[np.any([x != x[first] for x in of], axis=0)]
+
+
+def _settled(rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+    """``LOCATED`` of the segments of whole groups; and which segments hold a first window.
+
+    Later windows are bits of a mask. Windows of a divided anchor that are first here go on,
+    each by itself.
     """
-    from ahocorasick import STORE_ANY, Automaton
+    rows = rows.combine_chunks()
+    column = {c: rows[c].to_numpy() for c in ("part", "key", "row", "place")}
+    none = rows["none"].to_numpy().astype(bool)
+    words, later = later_windows(rows["words"].combine_chunks(), column["key"], none, column["place"])
+    masks = np.zeros(rows.num_rows, np.int64)
+    doc = words.doc[later]
+    np.bitwise_or.at(masks, doc, 1 << (later - words.bounds[doc]))
+    some = np.flatnonzero(masks)
+    at = words.gram_starts(WINDOW)
+    is_first = np.ones(len(at), bool)
+    is_first[np.searchsorted(at, later)] = False
+    at = at[is_first]
+    holds = np.zeros(rows.num_rows, bool)
+    holds[words.doc[at]] = True
+    at = at[column["part"][words.doc[at]] >= 0]
+    doc = words.doc[at]
+    pieces = _pieces(words.buf, words.starts[at], words.ends[at + WINDOW - 1])
+    hashes = gram_hashes(words.hashes(), at, WINDOW) if len(at) else np.zeros(0, np.uint64)
+    both = np.concatenate([some, doc])
+    n = len(some)
+    spread = mix(column["row"][some].view(np.uint64) ^ column["place"][some].astype(np.uint64))
+    out = {
+        "spread": np.concatenate([spread, hashes]).view(np.int64),
+        "part": np.full(len(both), -1),
+        "key": column["key"][both],
+        "none": none[both],
+        "row": column["row"][both],
+        "place": np.concatenate([column["place"][some], column["place"][doc] + at - words.bounds[doc]]),
+        "later": np.concatenate([masks[some], np.zeros(len(doc), np.int64)]),
+        "words": pa.concat_arrays([pa.nulls(n, pa.large_string()), pieces]),
+    }
+    return record_batch(LOCATED, out), holds
+
+
+def shards(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.RecordBatch]:
+    """``LOCATED`` of rows that come in order of their groups; a batch of groups is a shard.
+
+    The last group is held back until it is whole. A very large one is settled in parts,
+    each with the segments before it that hold a first window.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        same = np.ones(rows.num_rows, bool)
+        for c in group:
+            values = rows[c].to_numpy()
+            same &= values == values[-1]
+        last = int(same.argmax())
+        if last:
+            yield _settled(rows.slice(0, last))[0]
+            rows = rows.slice(last)
+        if rows.num_rows > CARRY_ROWS:
+            found, holds = _settled(rows)
+            yield found
+            rows = rows.filter(pa.array(holds))
+        held = rows
+    if held is not None:
+        yield _settled(held)[0]
+
+
+def later_places(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """``key, none, row, places`` of rows with windows that also start earlier.
+
+    A place is a segment with a bit mask of those windows.
+    """
+    lists = recurring_anchors(row_anchors(rows)).groupBy(*ROW).agg(
+        F.collect_list(F.struct("anchor", "part")).alias("anchors")
+    )
+    moved = recurring_segments(rows.join(lists.hint("merge"), ROW), kept)
+    order = [F.desc("none"), "key", "place"]
+
+    def first_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return shards(batches, ["anchor", "part"])
+
+    def second_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def windows() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = pa.compute.is_null(batch.column("words"))
+                ready.append(batch.filter(done))
+                yield batch.filter(pa.compute.invert(done))
+
+        ready: list[pa.RecordBatch] = []
+        for found in shards(windows(), ["spread"]):
+            yield from ready
+            ready.clear()
+            yield found
+        yield from ready
+
+    in_shards = (
+        moved.repartition("anchor", "part").sortWithinPartitions("anchor", "part", *order)
+        .mapInArrow(first_shards, LOCATED)
+    )
+    again = (
+        in_shards.repartition("spread").sortWithinPartitions("spread", *order)
+        .mapInArrow(second_shards, LOCATED)
+    )
+    # equal rows give equal windows, so masks are united and not added
+    masks = again.groupBy(*ROW, "place").agg(F.bit_or("later").alias("later"))
+    return masks.groupBy(*ROW).agg(F.collect_list(F.struct("place", "later")).alias("places"))
+
 
+def words_in_repeats(texts: pa.Array, places: pa.Array) -> tuple[np.ndarray, Words]:
+    """For each word of the slice whether it is in a window that also starts earlier."""
     words = words_of(texts)
-    n = len(words.starts)
-    later = np.zeros(n, bool)
+    covered = np.zeros(len(words.starts) + 1, np.int64)
     found = places.flatten()
-    if not len(found) or not n:
-        return later, words
-    counts = pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy()
-    base = np.repeat(words.bounds[:-1], counts) + found.field("seg").to_numpy()
-    masks = found.field("later").to_numpy()
-    for off in range(SEGMENT):
-        later[base[masks >> off & 1 == 1] + off] = True
-    hashes = words.hashes()
-    letters = (gram_hashes(hashes, np.arange(max(0, n - STRIDE + 1)), STRIDE) >> np.uint64(44)).astype(np.uint32)
-    letters = np.minimum(letters + FIRST_LETTER, 0x10FFFF).astype("<u4")
-    automaton = Automaton(STORE_ANY)
-    for start, size in zip(*(x.tolist() for x in _runs(later, words.doc))):
-        # the windows of the run, in whole letters; as many windows as they hold
-        n_letters = (size + WINDOW - 1) // STRIDE
-        passage = letters[start : start + STRIDE * n_letters : STRIDE].tobytes().decode("utf-32-le")
-        automaton.add_word(passage, max(size, automaton.get(passage, 0)))
-    automaton.make_automaton()
-    seen = np.zeros(n + 1, np.int64)
-    for doc in np.flatnonzero(counts).tolist():
-        low, high = int(words.bounds[doc]), int(words.bounds[doc + 1])
-        for phase in range(STRIDE):
-            string = letters[low + phase : high - STRIDE + 1 : STRIDE].tobytes().decode("utf-32-le")
-            for end, size in automaton.iter(string):
-                n_letters = (size + WINDOW - 1) // STRIDE
-                at = low + phase + STRIDE * (end - n_letters + 1)
-                seen[at] += 1
-                seen[min(at + size, n)] -= 1
-    # a later window that was located goes
-    gone = np.flatnonzero((np.cumsum(seen)[:-1] > 0) & later)
-    covered = np.zeros(n + 1, np.int64)
-    covered[gone] += 1
-    covered[gone + WINDOW] -= 1
+    if len(found):
+        counts = pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy()
+        base = np.repeat(words.bounds[:-1], counts) + found.field("place").to_numpy()
+        masks = found.field("later").to_numpy()
+        for off in range(SEGMENT):
+            later = base[masks >> off & 1 == 1] + off
+            np.add.at(covered, later, 1)
+            np.add.at(covered, later + WINDOW, -1)
     return np.cumsum(covered)[:-1] > 0, words
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", rejoin: bool = True) -> DataFrame:
     """Columns ``keep``, ``n_words``, ``n_removed`` and ``kept_text`` of every document.
 
     A word goes if a window that covers it also starts earlier: in a document with a
-    smaller key, or before in the same one. What is left is joined by single spaces.
-    Null and empty texts have no words; a null key counts as smallest.
+    smaller key, or before in the same one. What is left is joined by single spaces;
+    without ``rejoin``, a text that loses nothing stays as it is. Null and empty texts have no
+    words; a null key counts as smallest; rows of one key are one document, so equal
+    places in them do not count against each other. An empty table gives no rows.
     """
-    places = recurring_places(docs, key, text)
     # names of the caller's columns cannot clash with these
     kept = [(f"k{i}", dict(docs.dtypes)[c], c) for i, c in enumerate(keep)]
+    names = [name for name, _, _ in kept]
     rows = docs.select(
-        F.col(text).alias("_text"),
-        *identity(key, text),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.coalesce(F.col(key).cast("bigint"), F.lit(0).cast("bigint")).alias("key"),
+        F.col(key).isNull().alias("none"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"),
         *[F.col(c).alias(name) for name, _, c in kept],
-    ).join(places.hint("merge"), ["key", "row"], "left")  # alike at every size
+    )
+    found = rows.join(later_places(rows, names).hint("merge"), ROW, "left")  # alike at every size
     schema = ",".join(
         [f"{name} {kind}" for name, kind, _ in kept]
         + ["n_words bigint", "n_removed bigint", "kept_text string"]
     )
 
     def run(texts, others):
-        gone, words = repeats_in_slice(texts, others[0])
+        gone, words = words_in_repeats(texts, others[0])
         sums = np.concatenate([[0], np.cumsum(gone)])
         removed = sums[words.bounds[1:]] - sums[words.bounds[:-1]]
         raw, offsets, bounds = words.buf.tobytes(), words.offsets.tolist(), words.bounds.tolist()
         left = (~gone).tolist()
         out = []
         for d, n in enumerate(removed.tolist()):
-            own = raw[offsets[d] : offsets[d + 1]].split()
-            out.append(b" ".join(compress(own, left[bounds[d] : bounds[d + 1]]) if n else own))
+            whole = raw[offsets[d] : offsets[d + 1]]
+            if n:
+                whole = b" ".join(compress(whole.split(), left[bounds[d] : bounds[d + 1]]))
+            elif rejoin:
+                whole = b" ".join(whole.split())
+            out.append(whole)
         return {
             "n_words": np.diff(words.bounds),
             "n_removed": removed,
             "kept_text": pa.array(out, pa.binary()).cast(pa.string()),
         } | {name: column for (name, _, _), column in zip(kept, others[1:])}
 
-    found = map_texts(rows, ["_text", "places", *[name for name, _, _ in kept]], schema, run)
+    found = map_texts(found, ["text", "places", *names], schema, run)
     return found.select(
         *[F.col(name).alias(c) for name, _, c in kept], "n_words", "n_removed", "kept_text"
     )
@@ -342,17 +487,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages; texts that lose nothing stay as they are.
 
     A text that loses words is what is left, joined by single spaces, and its
-    ``n_chars``, if there is such a column, is counted anew.
+    ``n_chars``, if there is such a column, is counted anew. A null text stays null.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if c != "text"]
     hidden = {c: free_name(docs, f"in_{i}") for i, c in enumerate(columns)}
-    renamed = docs.select(*[F.col(c).alias(hidden[c]) for c in columns])
-    found = remove_repeats(renamed, list(hidden.values()), hidden["doc_id"], hidden["text"])
-    lost = F.col("n_removed") > 0
-    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
-    return found.select(
-        *[
-            (F.when(lost, new[c]).otherwise(F.col(hidden[c])) if c in new else F.col(hidden[c])).alias(c)
-            for c in columns
-        ]
+    null = free_name(docs, "null_text")
+    renamed = docs.select(
+        "text", F.col("text").isNull().alias(null), *[F.col(c).alias(hidden[c]) for c in columns]
     )
+    found = remove_repeats(renamed, [null, *hidden.values()], hidden["doc_id"], "text", rejoin=False)
+    lost = F.col("n_removed") > 0
+
+    def column(c: str):
+        if c == "text":
+            return F.when(~F.col(null), F.col("kept_text"))
+        if c == "n_chars":
+            return F.when(lost, F.char_length("kept_text").cast(dict(docs.dtypes)[c])).otherwise(F.col(hidden[c]))
+        return F.col(hidden[c])
+
+    return found.select(*[column(c).alias(c) for c in docs.columns])

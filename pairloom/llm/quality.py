@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.samples import MAX_SAMPLE, one_of_each, sample_rows
-from pairloom.llm.spans import byte_hashes, mix, segment_sums, words_of
+from pairloom.llm.spans import byte_hashes, mix, segment_sums, words_of, worker_cache
 from pairloom.llm.tables import free_name, map_texts
 
 SYMBOLS = "#*$%&|<>"  # fixed value
@@ -54,6 +54,7 @@ def text_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
     )
 
     def run(texts, others):
+        worker_cache(None)
         words = words_of(texts)
         buf, offsets, bounds = words.buf, words.offsets, words.bounds
         n_docs = len(offsets) - 1

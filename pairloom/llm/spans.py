@@ -174,6 +174,14 @@ class Words:
     def hashes(self, lower: bool = False) -> np.ndarray:
         return byte_hashes(lower_ascii(self.buf) if lower else self.buf, self.starts, self.ends)
 
+    def of_texts(self, low: int, high: int) -> Words:
+        """The words of texts ``low`` to ``high``, which is not included."""
+        a, b = self.bounds[low], self.bounds[high]
+        return Words(
+            self.buf, self.starts[a:b], self.ends[a:b], self.doc[a:b] - low,
+            self.bounds[low : high + 1] - a, self.offsets[low : high + 1],
+        )
+
     def gram_starts(self, n: int) -> np.ndarray:
         """Words with which ``n`` words of one text begin."""
         at = np.arange(max(0, len(self.starts) - n + 1))
