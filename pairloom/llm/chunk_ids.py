@@ -11,18 +11,21 @@ at ``POOL_CHUNKS`` or ``POOL_BYTES``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-from pairloom.llm.spans import byte_hashes, chunk_starts, distinct_spans, ranges, text_bytes, worker_cache
+from pairloom.llm.spans import SPACE, byte_hashes, chunk_starts, distinct_spans, ranges, text_bytes, worker_cache
 
 POOL_CHUNKS = 1_000_000
 POOL_BYTES = 32 << 20  # of chunks and of ids, each
 CALL_CHUNKS = 1 << 14  # given to the encoder at once
+JOINED = 256  # chunks in a text for the library, which takes long for each text
 
 
 def _concatenated(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,10 +39,10 @@ def _concatenated(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class ChunkPool:
     def __init__(
         self,
-        encode: Callable[[list[str]], Sequence[Sequence[int]]],
+        encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
         breaks: bytes | None = None,
     ):
-        self.encode = encode
+        self.encode = encode  # of chunks (bytes): all ids, one after the other, and how many each has
         self.breaks = breaks
         self.clear()
 
@@ -55,10 +58,10 @@ class ChunkPool:
         """``(ids, counts)`` of chunks."""
         lengths, parts = [], [np.zeros(0, np.int32)]
         for at in range(0, len(chunks), CALL_CHUNKS):
-            found = self.encode(chunks.slice(at, CALL_CHUNKS).cast(pa.large_string()).to_pylist())
-            lengths.extend(map(len, found))
-            parts.append(np.fromiter(chain.from_iterable(found), np.int32))
-        return np.concatenate(parts), np.array(lengths, np.int64)
+            ids, counts = self.encode(chunks.slice(at, CALL_CHUNKS))
+            parts.append(ids)
+            lengths.append(counts)
+        return np.concatenate(parts), np.concatenate([np.zeros(0, np.int64), *lengths])
 
     def _known(self, hashes: np.ndarray, chunks: pa.Array) -> np.ndarray:
         """Entry of each chunk, -1 if the pool has other bytes or nothing under its hash."""
@@ -118,21 +121,65 @@ class ChunkPool:
 WHOLE = r"[\x1c-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|<\|"
 
 
+def flat_ids(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), np.int32), np.array(list(map(len, lists)), np.int64)
+
+
+def _joined_texts(chunks: pa.Array, joined: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts of ``joined`` chunks each, how many chunks each has, and the characters of each chunk."""
+    buf, at = _concatenated(chunks)
+    chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    raw, cuts = buf.tobytes(), [*range(0, len(chunks), joined), len(chunks)]
+    bounds = at[cuts].tolist()
+    return [raw[a:b].decode() for a, b in zip(bounds, bounds[1:])], np.diff(cuts), np.diff(chars[at])
+
+
+def encode_joined(tokenizer, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of chunks, of which ``JOINED`` at a time are one text for the library.
+
+    A chunk that begins with white space and does not end with it is encoded alike behind any
+    other such chunk; the others are texts of their own. Places of the ids in the text
+    tell the chunks apart.
+    """
+    buf, at = _concatenated(chunks)
+    alone = ~SPACE[buf[at[:-1]]] | SPACE[buf[at[1:] - 1]]
+    order = np.argsort(alone, kind="stable")
+    n = len(order) - int(alone.sum())
+    parts = [
+        _joined_texts(chunks.take(pa.array(order[:n])), JOINED),
+        _joined_texts(chunks.take(pa.array(order[n:])), 1),
+    ]
+    texts, in_group, size = parts[0][0] + parts[1][0], *(np.concatenate(x) for x in zip(*(p[1:] for p in parts)))
+    found = tokenizer.encode_batch(texts, add_special_tokens=False)
+    ids, counts = flat_ids([x.ids for x in found])
+    starts = np.fromiter(map(itemgetter(0), chain.from_iterable(x.offsets for x in found)), np.int64, len(ids))
+    # places in all texts of this call, one after the other
+    ends = np.cumsum(size)
+    first = np.concatenate([[0], ends])[np.cumsum(in_group) - in_group]
+    last = ends[np.cumsum(in_group) - 1] - 1
+    owner = np.searchsorted(ends, np.minimum(starts + np.repeat(first, counts), np.repeat(last, counts)), "right")
+    if (np.diff(owner) < 0).any():
+        raise ValueError("ids do not stand in the order of their chunks")
+    per_chunk = np.bincount(owner, minlength=len(order))
+    begins = np.cumsum(per_chunk) - per_chunk
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return ids[ranges(begins[place], per_chunk[place])], per_chunk[place]
+
+
 def tokenizers_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Encoder of a ``tokenizers`` file; the vocabulary is loaded once in a process."""
 
     def load():
+        # a task has one core: threads of the library would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-
-        def encode(texts: list[str]) -> list[list[int]]:
-            return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        return ChunkPool(encode)
+        return tokenizer, ChunkPool(lambda chunks: encode_joined(tokenizer, chunks))
 
     def encode_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        pool = worker_cache("tokenizer:" + path, load)
+        tokenizer, pool = worker_cache("tokenizer:" + path, load)
         texts = pa.compute.fill_null(texts, "")
         whole = pa.compute.match_substring_regex(texts, WHOLE)
         if not pa.compute.any(whole).as_py():
@@ -140,15 +187,16 @@ def tokenizers_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.n
         rest = pa.compute.if_else(whole, "", texts)
         ids, bounds = pool.encode_texts(rest)
         at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-        own = pool.encode(texts.take(pa.array(at)).to_pylist())
+        whole_texts = texts.take(pa.array(at)).to_pylist()
+        own, own_counts = flat_ids([x.ids for x in tokenizer.encode_batch(whole_texts, add_special_tokens=False)])
         counts = np.diff(bounds)
-        counts[at] = list(map(len, own))
+        counts[at] = own_counts
         out = np.empty(int(counts.sum()), np.int32)
         after = np.concatenate([[0], np.cumsum(counts)])
         of_whole = np.zeros(len(out), bool)
         of_whole[ranges(after[at], counts[at])] = True
         out[~of_whole] = ids
-        out[of_whole] = np.concatenate([np.asarray(x, np.int32) for x in own])
+        out[of_whole] = own
         return out, after
 
     return encode_texts

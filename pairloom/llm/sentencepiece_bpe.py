@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from pairloom.llm.chunk_ids import ChunkPool
+from pairloom.llm.chunk_ids import ChunkPool, flat_ids
 from pairloom.llm.spans import worker_cache
 from pairloom.llm.tables import map_texts
 
@@ -110,7 +110,11 @@ class PieceModel:
 def piece_pool(path: str) -> tuple[PieceModel, ChunkPool]:
     def load():
         model = PieceModel(path)
-        return model, ChunkPool(model.encode_checked, b" \n")
+
+        def encode(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            return flat_ids(model.encode_checked(chunks.cast(pa.large_string()).to_pylist()))
+
+        return model, ChunkPool(encode, b" \n")
 
     return worker_cache("pieces:" + path, load)
 

@@ -21,8 +21,8 @@ SLICE_BYTES = 1 << 20  # of text at once; a longer text is a slice of its own
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD6E8FEB86659FD95
 _LONG = 512
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
 
 
 def worker_cache(name: str | None, make: Callable = dict):
@@ -153,7 +153,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def solid_places(buf: np.ndarray) -> np.ndarray:
     """Places of the bytes that are no white space."""
-    return np.flatnonzero(~_SPACE[buf])
+    return np.flatnonzero(~SPACE[buf])
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
@@ -203,7 +203,7 @@ def runs_of(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def words_of(texts: pa.Array) -> Words:
     buf, offsets = text_bytes(texts)
-    starts, ends = runs_of(~_SPACE[buf], offsets)
+    starts, ends = runs_of(~SPACE[buf], offsets)
     bounds = np.searchsorted(starts, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     return Words(buf, starts, ends, doc, bounds, offsets)
@@ -211,7 +211,7 @@ def words_of(texts: pa.Array) -> Words:
 
 def chunk_starts(buf: np.ndarray, offsets: np.ndarray, breaks: bytes | None = None) -> np.ndarray:
     """Starts of chunks: white space (or ``breaks``), if any, and what follows, within a text."""
-    table = _SPACE
+    table = SPACE
     if breaks is not None:
         table = np.zeros(256, bool)
         table[list(breaks)] = True

@@ -91,7 +91,7 @@ def test_pool_tells_equal_hashes_apart(monkeypatch):
     from pairloom.llm import chunk_ids
 
     monkeypatch.setattr(chunk_ids, "byte_hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
-    pool = chunk_ids.ChunkPool(lambda chunks: [list(c.encode()) for c in chunks])
+    pool = chunk_ids.ChunkPool(lambda chunks: chunk_ids.flat_ids([list(c) for c in chunks.to_pylist()]))
     for texts in (["a bb", "bb a", "", "ccc"], ["ccc bb", "d a"]):
         ids, bounds = pool.encode_texts(pa.array(texts))
         assert [bytes(ids[x:y].tolist()).decode() for x, y in zip(bounds, bounds[1:])] == texts
