@@ -47,24 +47,35 @@ def assign_batches(seqs: DataFrame, batch_size: int, position: str = "position")
     )
 
 
+def batch_widths(batched: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """Add ``src_width`` and ``tgt_width``, the largest ``src_lengths`` and ``tgt_lengths`` of the batch.
+
+    ``keys`` tell the batches apart. The rows need not have their tokens yet.
+    """
+    batch = Window.partitionBy(*keys)
+    return batched.withColumns(
+        {f"{side}_width": F.max(f"{side}_lengths").over(batch) for side in ("src", "tgt")}
+    )
+
+
+def pad_to_width(batched: DataFrame, pad: int = 0) -> DataFrame:
+    """Pad each side with ``pad`` to the width of its batch, which goes."""
+    return batched.withColumns(
+        {
+            "source": arrays.pad_right(F.col("source"), F.col("src_width"), pad),
+            "target": arrays.pad_right(F.col("target"), F.col("tgt_width"), pad),
+        }
+    ).drop("src_width", "tgt_width")
+
+
 def pad_batches(
     batched: DataFrame, pad: int = 0, keys: Sequence[str] = ("batch_id",)
 ) -> DataFrame:
     """Pad each side with ``pad`` to the longest sequence of the batch, and add
     the lengths before padding (``src_lengths``, ``tgt_lengths``). ``keys``
     tell the batches apart."""
-    batch = Window.partitionBy(*keys)
-    lengths = batched.withColumns(
-        {"src_lengths": F.size("source"), "tgt_lengths": F.size("target")}
-    ).withColumns(
-        {"_src": F.max("src_lengths").over(batch), "_tgt": F.max("tgt_lengths").over(batch)}
-    )
-    return lengths.withColumns(
-        {
-            "source": arrays.pad_right(F.col("source"), F.col("_src"), pad),
-            "target": arrays.pad_right(F.col("target"), F.col("_tgt"), pad),
-        }
-    ).drop("_src", "_tgt")
+    lengths = {"src_lengths": F.size("source"), "tgt_lengths": F.size("target")}
+    return pad_to_width(batch_widths(batched.withColumns(lengths), keys), pad)
 
 
 def collate(
@@ -78,9 +89,11 @@ def collate(
 
     ``mask_from="length"`` masks by position, for vocabularies in which the pad
     id is a real token. The target masks cover the full target, one longer than
-    its shifted forms; ``shifted_masks`` adds masks of that length.
+    its shifted forms; ``shifted_masks`` adds masks of that length. Rows that have the
+    widths of their batches (``batch_widths``) are padded without a shuffle.
     """
-    padded = pad_batches(batched, pad, keys)
+    known = "src_width" in batched.columns
+    padded = pad_to_width(batched, pad) if known else pad_batches(batched, pad, keys)
 
     def masks(side: str, ids: str) -> dict[str, Column]:
         if mask_from == "length":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.prefix import int_div, row_positions
 from pairloom.operators.segment import loader_keys
-from pairloom.session import join_null_safe
+from pairloom.session import join_null_safe, materialise
 
 
 def rank_shards(shards: DataFrame, world_size: int) -> DataFrame:
@@ -29,7 +29,8 @@ def rank_sequences(seqs: DataFrame, world_size: int, position: str = "position")
     keys = loader_keys(seqs)
     # a constant key stands for a table without language pair and split
     one = seqs.withColumn("_one", F.lit(0))
-    totals = one.groupBy("_one", *keys).agg(F.count(F.lit(1)).alias("_total"))
+    # a row for each language pair and split: written, so that the planner broadcasts it
+    totals = materialise(one.groupBy("_one", *keys).agg(F.count(F.lit(1)).alias("_total")), "totals")
     placed = join_null_safe(one, totals, ["_one", *keys])
     total = F.col("_total")
     missing = F.pmod(-total, F.lit(world_size))

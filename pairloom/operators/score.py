@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from pairloom.functions.stems import stemmed
 from pairloom.operators.matching import clipped_matches, matches_and_chunks, rows_of
 from pairloom.operators.prefix import int_div
 
@@ -86,44 +87,57 @@ def bleu_corpus(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 # --- METEOR ----------------------------------------------------------------------
 
 
-def _one_stage(c: pa.Array, r: pa.Array) -> pa.Array:
-    return rows_of(matches_and_chunks([(c, r)]))
-
-
-def _two_stages(c: pa.Array, r: pa.Array, cc: pa.Array, rc: pa.Array) -> pa.Array:
-    return rows_of(matches_and_chunks([(c, r), (cc, rc)]))
+def _stages(*forms: pa.Array) -> pa.Array:
+    """One stage for each pair of forms."""
+    return rows_of(matches_and_chunks(list(zip(forms[::2], forms[1::2]))))
 
 
 def canonical_tokens(
-    pairs: DataFrame, key: str, column: str, canonical: DataFrame, out: str
+    pairs: DataFrame, key: str, columns: dict[str, str], canonical: DataFrame
 ) -> DataFrame:
-    """Add ``out``: the tokens of ``column`` as the table ``(token, canonical)``
-    maps them, themselves where it does not. ``key`` identifies a row."""
-    mapped = (
-        pairs.select(key, F.posexplode(column).alias("pos", "token"))
-        .withColumn("token", F.lower("token"))
-        .join(canonical, "token", "left")
-        .groupBy(key)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("pos", F.coalesce("canonical", "token").alias("token")))
-            ).alias("_mapped")
-        )
-        .select(key, F.col("_mapped.token").alias(out))
+    """Add, for each of ``columns`` (output to input), the tokens as the table ``(token,
+    canonical)`` maps them, themselves where it does not. ``key`` identifies a row.
+
+    A token is one row for each text that has it: its places travel as an array, and the
+    planner broadcasts the table or splits what is left of the skew.
+    """
+    outputs = list(columns)
+    sides = F.array(
+        *[F.struct(F.lit(i).alias("side"), F.col(columns[o]).alias("tokens")) for i, o in enumerate(outputs)]
+    )
+    places = (
+        pairs.select(key, F.inline(sides))
+        .select(key, "side", F.posexplode("tokens").alias("pos", "token"))
+        .groupBy(key, "side", F.lower("token").alias("token"))
+        .agg(F.collect_list("pos").alias("places"))
     )
+    named = places.join(canonical, "token", "left").select(
+        key, "side", F.explode("places").alias("pos"), F.coalesce("canonical", "token").alias("token")
+    )
+    mapped = named.groupBy(key).agg(
+        *[
+            F.sort_array(F.collect_list(F.when(F.col("side") == i, F.struct("pos", "token")))).alias(o)
+            for i, o in enumerate(outputs)
+        ]
+    ).select(key, *[F.col(f"{o}.token").alias(o) for o in outputs])
     empty = F.array().cast("array<string>")
-    return pairs.join(mapped, key, "left").withColumn(out, F.coalesce(out, empty))
+    joined = pairs.join(mapped, key, "left")
+    return joined.withColumns({o: F.coalesce(o, empty) for o in outputs})
 
 
 def meteor(
-    pairs: DataFrame, canonical: DataFrame | None = None, key: str = "pair_id"
+    pairs: DataFrame,
+    canonical: DataFrame | None = None,
+    key: str = "pair_id",
+    stems: bool = False,
 ) -> DataFrame:
     """Add ``matches``, ``chunks`` and ``meteor`` for token arrays ``candidate``
     and ``reference``, compared in lower case.
 
-    The exact stage always runs. With a table ``(token, canonical)`` of unique
-    tokens, a second stage matches what is left by the canonical form (stems,
-    or one name for a set of synonyms).
+    The exact stage always runs. With ``stems``, a second stage matches what is left by
+    stems; with a table ``(token, canonical)`` of unique tokens, the last stage matches what
+    is still left by its canonical form (one name for a set of synonyms). Stems are
+    made in place, without a shuffle.
     """
     lower = pairs.withColumns(
         {
@@ -132,12 +146,13 @@ def meteor(
         }
     )
     forms = ["_c", "_r"]
+    if stems:
+        lower = lower.withColumns({"_cs": stemmed("_c"), "_rs": stemmed("_r")})
+        forms += ["_cs", "_rs"]
     if canonical is not None:
-        lower = canonical_tokens(lower, key, "_c", canonical, "_cc")
-        lower = canonical_tokens(lower, key, "_r", canonical, "_rc")
+        lower = canonical_tokens(lower, key, {"_cc": "_c", "_rc": "_r"}, canonical)
         forms += ["_cc", "_rc"]
-    stages = _two_stages if canonical is not None else _one_stage
-    counted = lower.withColumn("_counts", arrow_udf(stages, "array<bigint>")(*forms)).select(
+    counted = lower.withColumn("_counts", arrow_udf(_stages, "array<bigint>")(*forms)).select(
         *pairs.columns,
         F.get("_counts", F.lit(0)).alias("matches"),
         F.get("_counts", F.lit(1)).alias("chunks"),

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.tokenizers import ByteTokenizer
 from pairloom.operators import pack, segment, tokens
+from pairloom.operators.marker_index import build_index
 from pairloom.operators.prefix import int_div, number_rows
 from pairloom.operators.vocabulary import build_vocabulary
 from pairloom.session import materialise, new_path
+from pairloom.sources.archives import write_archives
 from pairloom.sources.pairs import align_lines
 from pairloom.sources.shards import read_shards, write_shards
 
@@ -186,6 +188,84 @@ def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def noisy_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run log among other output: notes, losses that are no numbers, steps out of range."""
+    lines = run_log_lines(spark, sf_dir)
+    step = F.substring_index("line", " ", 1)
+    number = step.cast("bigint")
+    return lines.select(
+        F.when(number % 11 == 3, F.concat(step, F.lit(" note resumed")))
+        .when(number % 13 == 5, F.concat(step, F.lit(" val n/a")))
+        .when(number % 17 == 7, F.concat(step, F.lit("0000000000000000000 "), F.substring_index("line", " ", -2)))
+        .otherwise(F.col("line")).alias("line")
+    )
+
+
+def runs_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the logs of many runs, one for each user: ``run, line``."""
+    kind = F.when(F.col("event_type") == "view", "val").otherwise("train")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run"),
+        F.concat_ws(" ", "event_id", kind, F.col("value").cast("string")).alias("line"),
+    )
+
+
+def archived_documents(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of zip archives with the documents of each source as members."""
+
+    def write(path: str) -> None:
+        documents = table(spark, sf_dir, "documents").select(
+            F.col("source").alias("archive"),
+            F.concat_ws(".", "doc_id", "lang").alias("member"),
+            F.col("text").alias("content"),
+        )
+        write_archives(documents, path)
+
+    return _once(spark, sf_dir, "archives", write)
+
+
+def loaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All language pairs and splits with a number, in order, and how many there are."""
+
+    def write(path: str) -> None:
+        each = shards(spark, sf_dir).select("lang_pair", "split").distinct()
+        number_rows(each, ["lang_pair", "split"], "number").write.parquet(path)
+
+    return spark.read.parquet(_once(spark, sf_dir, "loaders", write))
+
+
+def indexed_shards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The flat shards in folders of their own, and the index of their markers."""
+
+    def write_runs(path: str) -> None:
+        keys = segment.shard_keys(flat_shards(spark, sf_dir))
+        flat_shards(spark, sf_dir).repartition(*keys).sortWithinPartitions(*keys, "side", "pos").write.partitionBy(
+            *keys
+        ).parquet(path)
+
+    runs = read_shards(spark, _once(spark, sf_dir, "shard-folders", write_runs))
+
+    def write_index(path: str) -> None:
+        build_index(runs, BYTES.eos_id).write.parquet(path)
+
+    return runs, spark.read.parquet(_once(spark, sf_dir, "marker-index", write_index))
+
+
+def inflected_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``predictions`` with endings put to plain words of the candidate."""
+    words = F.split("tgt_text", " ")
+
+    def inflected(w, i):
+        ending = F.when(i % 3 == 1, "ing").when(i % 5 == 2, "s").otherwise("")
+        return F.when(i % 7 == 6, F.lit(None)).when(F.regexp_like(w, F.lit("^[A-Za-z]+$")), F.concat(w, ending)).otherwise(w)
+
+    return conversation_pairs(spark, sf_dir).select(
+        "conv_id", "turn",
+        F.filter(F.transform(words, inflected), lambda w: w.isNotNull()).alias("candidate"),
+        words.alias("reference"),
+    )
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies as references, and as candidates without every 7th word."""
     words = F.split("tgt_text", " ")

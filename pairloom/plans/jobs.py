@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.config import AlignedIngest, Ingest, Loader
 from pairloom.functions import arrays
 from pairloom.functions.tokenizers import Tokenizer
 from pairloom.operators import batch, pack, ranks, score, segment, tokens
+from pairloom.operators.permutation import place_of_row
 from pairloom.operators.prefix import row_positions
-from pairloom.session import materialise
+from pairloom.session import join_null_safe, materialise
 from pairloom.sources import lines
 from pairloom.sources.shards import read_shards, shards_exist, write_shards
 
@@ -92,22 +93,23 @@ def shard_sequences(shards: DataFrame, marker_at: str, max_len: int | None = Non
     marker included when it is first, left out when it is last.
     """
 
-    def ids(column: str):
-        whole = F.col(column)
-        if marker_at == "last":
-            whole = F.slice(whole, F.lit(1), F.greatest(F.size(whole) - 1, F.lit(0)))
-        return whole if max_len is None else arrays.truncate(whole, max_len)
-
     placed = row_positions(shards, "pair_id", "seq_id", by=segment.shard_keys(shards))
     return segment.number_sequences(placed).select(
         *segment.shard_keys(shards),
         "seq_id",
         F.col("n").alias("position"),
-        ids("src_ids").alias("source"),
-        ids("tgt_ids").alias("target"),
+        _side_ids("src_ids", marker_at, max_len).alias("source"),
+        _side_ids("tgt_ids", marker_at, max_len).alias("target"),
     )
 
 
+def _side_ids(column: str, marker_at: str, max_len: int | None) -> Column:
+    ids = F.col(column)
+    if marker_at == "last":
+        ids = F.slice(ids, F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0)))
+    return ids if max_len is None else arrays.truncate(ids, max_len)
+
+
 def batches(
     spark: SparkSession,
     shards: str,
@@ -121,31 +123,44 @@ def batches(
     row_in_batch``, its optimiser step, and the training columns.
 
     Each language pair and split is ranked and batched by itself; without a name
-    all of them are read.
+    all of them are read. Numbers, places, ranks, batches and widths are found on keys and
+    lengths alone; the tokens move once, to the rows that ask for them. The shuffle is
+    computed from the numbers, without a sort.
     """
     wanted = {"lang_pair": lang_pair, "split": split}
-    found = shard_sequences(
-        read_shards(spark, shards, **{k: v for k, v in wanted.items() if v is not None}),
-        marker_at,
-        options.max_seq_len,
+    stored = read_shards(spark, shards, **{k: v for k, v in wanted.items() if v is not None})
+    shard, loader = segment.shard_keys(stored), segment.loader_keys(stored)
+    sides = {
+        "source": _side_ids("src_ids", marker_at, options.max_seq_len),
+        "target": _side_ids("tgt_ids", marker_at, options.max_seq_len),
+    }
+    lengths = stored.select(
+        *shard, "pair_id", F.size(sides["source"]).alias("src_lengths"), F.size(sides["target"]).alias("tgt_lengths")
     )
+    narrow = materialise(row_positions(lengths, "pair_id", "seq_id", by=shard), "lengths")
+    numbered = segment.number_sequences(narrow)
     if options.shuffle:
-        found = batch.shuffled_positions(
-            found.withColumnRenamed("position", "n"),
-            "n",
-            options.seed,
-            epoch,
-            by=segment.loader_keys(found),
-        ).drop("n")
-    ranked = ranks.rank_sequences(found, options.world_size)
+        totals = materialise(
+            narrow.groupBy(*loader).agg(F.count(F.lit(1)).alias("_total")), "totals"
+        )
+        place = place_of_row(F.col("n"), F.col("_total"), options.seed, epoch)
+        numbered = join_null_safe(numbered, totals, loader).withColumn("position", place).drop("_total")
+    else:
+        numbered = numbered.withColumn("position", F.col("n"))
+    ranked = ranks.rank_sequences(numbered, options.world_size)
     assigned = batch.assign_batches(ranked, options.batch_size, "rank_row")
-    keys = (*segment.loader_keys(found), "rank", "batch_id")
-    collated = batch.collate(assigned, options.pad_id, keys=keys)
+    keys = (*loader, "rank", "batch_id")
+    sized = batch.batch_widths(assigned, keys).drop("n", "position", "rank_row", "src_lengths", "tgt_lengths")
+    tokens_ = stored.select(*shard, "pair_id", *[ids.alias(c) for c, ids in sides.items()])
+    rows = join_null_safe(sized, tokens_, [*shard, "pair_id"]).withColumns(
+        {"src_lengths": F.size("source"), "tgt_lengths": F.size("target")}
+    )
+    collated = batch.collate(rows.drop("pair_id"), options.pad_id, keys=keys)
     seq_len = options.step_seq_len if options.max_seq_len is None else options.max_seq_len
     accumulation = batch.accumulation_steps(
         options.batch_size, seq_len, options.world_size, options.tokens_per_step
     )
-    return batch.step_plan(collated, accumulation).drop("position", "rank_row")
+    return batch.step_plan(collated, accumulation)
 
 
 def scores(predictions: DataFrame, vectors: DataFrame | None = None) -> DataFrame:

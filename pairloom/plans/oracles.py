@@ -6,7 +6,9 @@ Common steps are named tables; each query names those it needs.
 from __future__ import annotations
 
 from pairloom.functions.text import SPACE_CLASS
+from pairloom.operators.permutation import PRIME, round_keys
 from pairloom.plans.inputs import CHUNK, MAX_LEN, SHARD_SIZE
+from pairloom.plans.stem_sql import stems
 
 BATCH_SIZE = 8
 FULL_STOP = ord(".") + 3
@@ -382,6 +384,62 @@ STEPS["meteor_scores"] = """
                 ON m.conv_id = p.conv_id AND m.turn = p.turn
               GROUP BY p.conv_id, p.turn, candidate, reference)"""
 NEEDS["meteor_scores"] = ["predicted", "word_matches"]
+# METEOR with stems: what the exact stage leaves is matched by stems
+STEPS["inflected"] = """
+        SELECT conv_id, turn, string_split(tgt_text, ' ') AS reference,
+               list_filter(list_transform(string_split(tgt_text, ' '), lambda w, i:
+                   CASE WHEN i % 7 = 0 THEN NULL WHEN NOT regexp_full_match(w, '[A-Za-z]+') THEN w
+                        WHEN i % 3 = 2 THEN w || 'ing' WHEN i % 5 = 3 THEN w || 's' ELSE w END),
+                   lambda w: w IS NOT NULL) AS candidate
+        FROM conversation_pairs"""
+STEPS["inflected_words"] = """
+        SELECT conv_id, turn, side, lower(unnest(tokens)) AS token, generate_subscripts(tokens, 1) AS pos
+        FROM (SELECT conv_id, turn, 'c' AS side, candidate AS tokens FROM inflected
+              UNION ALL SELECT conv_id, turn, 'r', reference FROM inflected)"""
+STEPS["distinct_words"] = "SELECT DISTINCT token FROM inflected_words"
+STEPS["stems"] = stems("distinct_words")
+
+
+def _met(words: str, form: str) -> str:
+    """Pairs of places: the k-th last of a form with the k-th last of the other side."""
+    numbered = f"""(SELECT *, row_number() OVER (PARTITION BY conv_id, turn, side, {form} ORDER BY pos DESC) AS k
+                    FROM {words})"""
+    return f"""
+        SELECT conv_id, turn, c.pos AS c, r.pos AS r
+        FROM (SELECT * FROM {numbered} WHERE side = 'c') c JOIN (SELECT * FROM {numbered} WHERE side = 'r') r
+             USING (conv_id, turn, {form}, k)"""
+
+
+STEPS["met_exactly"] = _met("inflected_words", "token")
+STEPS["words_left"] = """
+        SELECT w.conv_id, w.turn, w.side, w.pos, stem
+        FROM inflected_words w JOIN stems USING (token)
+        WHERE NOT EXISTS (SELECT 1 FROM met_exactly m WHERE m.conv_id = w.conv_id AND m.turn = w.turn
+                          AND CASE WHEN w.side = 'c' THEN m.c ELSE m.r END = w.pos)"""
+STEPS["met_by_stem"] = _met("words_left", "stem")
+STEPS["met"] = """
+        SELECT conv_id, turn, c, c - lag(c) OVER w = 1 AND r - lag(r) OVER w = 1 AS goes_on
+        FROM (SELECT * FROM met_exactly UNION ALL SELECT * FROM met_by_stem)
+        WINDOW w AS (PARTITION BY conv_id, turn ORDER BY c)"""
+STEPS["stem_scores"] = STEPS["meteor_scores"].replace("predicted", "inflected").replace("word_matches", "met")
+NEEDS |= {
+    "inflected": ["conversation_pairs"],
+    "inflected_words": ["inflected"],
+    "distinct_words": ["inflected_words"],
+    "stems": ["distinct_words"],
+    "met_exactly": ["inflected_words"],
+    "words_left": ["inflected_words", "stems", "met_exactly"],
+    "met_by_stem": ["words_left"],
+    "met": ["met_exactly", "met_by_stem"],
+    "stem_scores": ["inflected", "met"],
+}
+STEPS["noisy_log"] = """
+        SELECT CASE WHEN event_id % 11 = 3 THEN event_id || ' note resumed'
+                    WHEN event_id % 13 = 5 THEN event_id || ' val n/a'
+                    WHEN event_id % 17 = 7 THEN event_id || '0000000000000000000 ' || rest
+                    ELSE event_id || ' ' || rest END AS line
+        FROM (SELECT event_id, CASE WHEN event_type = 'view' THEN 'val' ELSE 'train' END || ' ' || value AS rest
+              FROM events)"""
 STEPS["plain"] = f"""
         SELECT pair_id, lang_pair, src_text, tgt_text,
                {_n_bytes('src_text')} AS n_src, {_n_bytes('tgt_text')} AS n_tgt
@@ -398,34 +456,64 @@ STEPS["ordered_files"] = _in_order("file_batches", "batch", "tok")
 STEPS["greedy_files"] = _greedy("ordered_files", "batch").replace(
     "FROM greedy g", "FROM greedy_files g"
 )
-STEPS["shuffled"] = """
-        SELECT shard_idx, seq_id, source[1:256] AS source, target[1:256] AS target,
-               row_number() OVER (ORDER BY md5('7:2:' || n), n) - 1 AS position
-        FROM sequences WHERE lang_pair = 'fr-zz' AND split = 'train'"""
-STEPS["slots"] = """
-        SELECT shard_idx, seq_id, source, target, position + turn * total AS slot
-        FROM shuffled, (SELECT count(*) AS total FROM shuffled), (VALUES (0), (1), (2)) AS t(turn)
-        WHERE position + turn * total < total + (3 - total % 3) % 3"""
-STEPS["loaded"] = f"""
-        SELECT *, list_resize(source, max(len(source)) OVER b, 0) AS src,
-               list_resize(target, max(len(target)) OVER b, 0) AS tgt
-        FROM (SELECT *, slot % 3 AS rank, (slot // 3) // {BATCH_SIZE} AS batch_id,
-                     (slot // 3) % {BATCH_SIZE} AS row_in_batch FROM slots)
-        WINDOW b AS (PARTITION BY rank, batch_id)"""
+def _moved_by(half: str, key: tuple[int, int, int]) -> str:
+    mixed = f"((({half}) % {PRIME} * {key[0]} + {key[1]}) % {PRIME})"
+    return f"(xor({mixed}, {mixed} >> 15) * {key[2]} % {PRIME})"
+
+
+def _permuted(x: str, source: str) -> str:
+    """``source`` (with ``total``) and ``y``, where the network sends ``x``."""
+    columns, left, right = [f"{x} % a AS h0", f"{x} // a AS g0"], "h0", "g0"
+    for i, key in enumerate(round_keys(7, 2)):
+        if i % 2 == 0:
+            columns.append(f"({left} + {_moved_by(right, key)}) % a AS h{i + 1}")
+            left = f"h{i + 1}"
+        else:
+            columns.append(f"({right} + {_moved_by(left, key)}) % b AS g{i + 1}")
+            right = f"g{i + 1}"
+    return f"""
+        SELECT lang_pair, split, n, total, {right} * a + {left} AS y
+        FROM (SELECT *, {', '.join(columns)}
+              FROM (SELECT *, CAST(ceil(sqrt(total)) AS BIGINT) AS a,
+                           (total + CAST(ceil(sqrt(total)) AS BIGINT) - 1) // CAST(ceil(sqrt(total)) AS BIGINT) AS b
+                    FROM {source}))"""
+
+
+STEPS["numbers"] = "SELECT lang_pair, split, n, total FROM sequences JOIN totals USING (lang_pair, split)"
+STEPS["greedy_walk"] = f"""
+        {_permuted('n', 'numbers')}
+        UNION ALL
+        {_permuted('y', '(SELECT * FROM greedy_walk WHERE y >= total)')}"""
+STEPS["permuted"] = "SELECT lang_pair, split, n, y AS position FROM greedy_walk WHERE y < total"
+STEPS["in_order"] = """
+        SELECT lang_pair, split, shard_idx, seq_id, source, target, n AS position FROM sequences"""
 STEPS["shuffled_all"] = """
-        SELECT lang_pair, split, shard_idx, seq_id, source, target,
-               row_number() OVER (PARTITION BY lang_pair, split ORDER BY md5('7:2:' || n), n) - 1 AS position
-        FROM sequences"""
-STEPS["slots_all"] = """
+        SELECT lang_pair, split, shard_idx, seq_id, source, target, position
+        FROM sequences JOIN permuted USING (lang_pair, split, n)"""
+
+
+def _slots(source: str) -> str:
+    return f"""
         SELECT lang_pair, split, shard_idx, seq_id, source, target, position + turn * total AS slot
-        FROM shuffled_all JOIN totals USING (lang_pair, split), (VALUES (0), (1), (2)) AS t(turn)
+        FROM {source} JOIN totals USING (lang_pair, split), (VALUES (0), (1), (2)) AS t(turn)
         WHERE position + turn * total < total + (3 - total % 3) % 3"""
-STEPS["loaded_all"] = f"""
+
+
+def _loaded(source: str) -> str:
+    return f"""
         SELECT *, list_resize(source, max(len(source)) OVER b, 0) AS src,
                list_resize(target, max(len(target)) OVER b, 0) AS tgt
         FROM (SELECT *, slot % 3 AS rank, (slot // 3) // {BATCH_SIZE} AS batch_id,
-                     (slot // 3) % {BATCH_SIZE} AS row_in_batch FROM slots_all)
+                     (slot // 3) % {BATCH_SIZE} AS row_in_batch FROM {source})
         WINDOW b AS (PARTITION BY lang_pair, split, rank, batch_id)"""
+
+
+STEPS |= {
+    "slots": _slots("in_order"),
+    "loaded": _loaded("slots"),
+    "slots_all": _slots("shuffled_all"),
+    "loaded_all": _loaded("slots_all"),
+}
 NEEDS |= {
     "plain": ["numbered_pairs"],
     "ordered_plain": ["plain"],
@@ -434,10 +522,13 @@ NEEDS |= {
     "file_batches": ["one_file"],
     "ordered_files": ["file_batches"],
     "greedy_files": ["ordered_files"],
-    "shuffled": ["sequences"],
-    "slots": ["shuffled"],
+    "numbers": ["sequences", "totals"],
+    "greedy_walk": ["numbers"],
+    "permuted": ["greedy_walk"],
+    "in_order": ["sequences"],
+    "slots": ["in_order", "totals"],
     "loaded": ["slots"],
-    "shuffled_all": ["sequences"],
+    "shuffled_all": ["sequences", "permuted"],
     "slots_all": ["shuffled_all", "totals"],
     "loaded_all": ["slots_all"],
 }
@@ -466,7 +557,7 @@ ORACLES = {
         "greedy_files",
     ),
     "loader_batches": _query(
-        f"""SELECT CAST(rank AS BIGINT) AS rank, CAST(batch_id AS BIGINT) AS batch_id,
+        f"""SELECT lang_pair, split, CAST(rank AS BIGINT) AS rank, CAST(batch_id AS BIGINT) AS batch_id,
                    CAST(row_in_batch AS BIGINT) AS row_in_batch,
                    CAST(batch_id // 2 AS BIGINT) AS step, CAST(batch_id % 2 AS BIGINT) AS micro_step,
                    shard_idx, seq_id, {_text('src')} AS source,
@@ -666,6 +757,21 @@ ORACLES = {
                      CAST(sum({_n_bytes('text')}) AS BIGINT) AS tokens
               FROM documents GROUP BY lang)""",
     "runlog_parse": _query("SELECT step, split, loss FROM runlog", "runlog"),
+    "runlog_rejects": _query(
+        r"""SELECT * FROM (
+               SELECT line, CASE WHEN NOT regexp_full_match(line, '\d+ (val|train) \S+') THEN 'no entry'
+                          WHEN try_cast(string_split(line, ' ')[1] AS BIGINT) IS NULL THEN 'step out of range'
+                          WHEN try_cast(string_split(line, ' ')[3] AS DOUBLE) IS NULL THEN 'loss is no number'
+                      END AS reason
+               FROM noisy_log)
+           WHERE reason IS NOT NULL""",
+        "noisy_log",
+    ),
+    "runlog_runs": """
+        SELECT user_id AS run, CAST(event_id AS BIGINT) AS step, value AS loss, min(value) OVER before AS best_before,
+               coalesce(value < min(value) OVER before, true) AS is_best
+        FROM events WHERE event_type = 'view'
+        WINDOW before AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "runlog_mean_loss": _query(
         """SELECT epoch, split, round(avg(loss), 4) AS mean_loss, count(*) AS batches
            FROM (SELECT *, CAST(step // 1000 AS BIGINT) AS epoch FROM runlog)
@@ -711,12 +817,14 @@ ORACLES = {
     ),
     "segment_suffix": _query(_CUT_AT_STOPS, "cut"),
     "sequence_lookup": _query(
-        """SELECT idx, lang_pair, split, shard_idx, seq_id, len(source) AS src_length
-           FROM (SELECT CAST(event_id AS BIGINT) AS idx, 'train' AS split,
-                        (['en-xx', 'en-zz', 'fr-zz'])[event_id % 3 + 1] AS lang_pair FROM events)
-           JOIN totals USING (lang_pair, split)
+        f"""SELECT CAST(event_id AS BIGINT) AS idx, lang_pair, split, shard_idx, seq_id,
+                  len(source) AS src_length, len(target) AS tgt_length,
+                  md5({_text("list_concat(source, target)")}) AS tokens_md5
+           FROM events
+           JOIN (SELECT *, row_number() OVER (ORDER BY lang_pair, split) - 1 AS number, count(*) OVER () AS loaders
+                 FROM totals) ON event_id % loaders = number
            JOIN sequences USING (lang_pair, split)
-           WHERE n = idx % total""",
+           WHERE n = event_id % total""",
         "totals",
     ),
     "batch_assign": _query(
@@ -776,6 +884,9 @@ ORACLES = {
            FROM sequences""",
         "sequences",
     ),
+    "shuffle_permutation": _query(
+        "SELECT lang_pair, split, n, position, n AS back FROM permuted", "permuted"
+    ),
     "argmax_decode": _query("SELECT pair_id, pos, id FROM argmax", "argmax"),
     "decode_predictions": _query(
         """SELECT a.pair_id, coalesce(string_agg(v.token, ' ' ORDER BY a.pos), '') AS text
@@ -804,6 +915,10 @@ ORACLES = {
         "SELECT conv_id, turn, matches, chunks, round(meteor, 4) AS meteor FROM meteor_scores",
         "meteor_scores",
     ),
+    "meteor_stem": _query(
+        "SELECT conv_id, turn, matches, chunks, round(meteor, 4) AS meteor FROM stem_scores",
+        "stem_scores",
+    ),
     "bert_score_pairs": _query(
         """SELECT pair_id, round(precision, 4) AS precision, round(recall, 4) AS recall,
                   round(f1, 4) AS f1

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from pairloom.config import AlignedIngest, Ingest, Loader
 from pairloom.functions import arrays, text
-from pairloom.operators import batch, pack, profile, ranks, score, segment, tokens, vocabulary
+from pairloom.operators import (
+    batch,
+    marker_index,
+    pack,
+    permutation,
+    profile,
+    ranks,
+    score,
+    segment,
+    tokens,
+    vocabulary,
+)
 from pairloom.plans import inputs, jobs
 from pairloom.plans.inputs import BYTES, MAX_LEN
 from pairloom.session import materialise, new_path
@@ -96,23 +102,11 @@ def manifest_files(spark, sf_dir):
     return archives.manifest_files(manifests)
 
 
-def _zipped(name: pa.Array, body: pa.Array) -> pa.Array:
-    out = []
-    for member, content in zip(name.to_pylist(), body.to_pylist()):
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr(member, content)
-        out.append(buffer.getvalue())
-    return pa.array(out, pa.binary())
-
-
 def archive_lines(spark, sf_dir):
-    documents = inputs.table(spark, sf_dir, "documents")
-    member = F.concat_ws(".", "doc_id", "lang")
-    packed = documents.select(
-        F.concat("source", F.lit(".zip")).alias("path"), arrow_udf(_zipped, "binary")(member, "text").alias("content")
-    )
-    return archives.zip_lines(packed)
+    """Lines of the members of archives that lie in the shared folder."""
+    listed = spark.read.format("binaryFile").load(inputs.archived_documents(spark, sf_dir)).select("path", "length")
+    name = F.regexp_replace(lines.base_name(F.col("path")), r"-\d+\.zip$", ".zip")
+    return archives.zip_lines(listed).select(name.alias("path"), "member", "line_no", "line")
 
 
 def shard_listing(spark, sf_dir):
@@ -195,12 +189,10 @@ def aligned_ingest(spark, sf_dir):
 
 
 def loader_batches(spark, sf_dir):
-    """One epoch of one language pair for three ranks, with all training columns."""
-    options = Loader(BATCH_SIZE, 256, tokens_per_step=12_288, world_size=WORLD_SIZE, seed=7)
-    rows = jobs.batches(
-        spark, inputs.shards_path(spark, sf_dir), "fr-zz", "train", epoch=2, options=options
-    )
-    return _training_columns(rows)
+    """The batches of all language pairs and splits for three ranks, in the order of the shards."""
+    options = Loader(BATCH_SIZE, tokens_per_step=12_288, world_size=WORLD_SIZE, shuffle=False)
+    rows = jobs.batches(spark, inputs.shards_path(spark, sf_dir), options=options)
+    return _training_columns(rows, *LOADER)
 
 
 def loader_epoch(spark, sf_dir):
@@ -400,6 +392,17 @@ def runlog_parse(spark, sf_dir):
     return _run_log(spark, sf_dir)
 
 
+def runlog_rejects(spark, sf_dir):
+    """Lines of a noisy log that are no entries, with the reason."""
+    return runlog.rejects(inputs.noisy_log_lines(spark, sf_dir))
+
+
+def runlog_runs(spark, sf_dir):
+    """The best loss of each of many runs, followed over its validations."""
+    log = runlog.parse(inputs.runs_log(spark, sf_dir))
+    return runlog.best_so_far(log, by=["run"]).select("run", "step", "loss", "best_before", "is_best")
+
+
 def runlog_mean_loss(spark, sf_dir):
     means = runlog.mean_loss(_run_log(spark, sf_dir), 1000)
     return means.withColumn("mean_loss", F.round("mean_loss", 4))
@@ -465,16 +468,24 @@ def segment_suffix(spark, sf_dir):
 
 
 def sequence_lookup(spark, sf_dir):
-    requests = inputs.table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("idx"),
-        F.element_at(
-            F.array(*map(F.lit, ("en-xx", "en-zz", "fr-zz"))), (F.col("event_id") % 3 + 1).cast("int")
-        ).alias("lang_pair"),
-        F.lit("train").alias("split"),
-    )
-    found = segment.lookup(inputs.loaded_sequences(spark, sf_dir), requests)
-    return found.select(
-        "idx", *SHARD, "seq_id", F.size("source").cast("bigint").alias("src_length")
+    """Sequences asked for by number, of all language pairs and splits, with their tokens."""
+    loaders = inputs.loaders(spark, sf_dir)
+    runs, index = inputs.indexed_shards(spark, sf_dir)
+    requests = (
+        inputs.table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"))
+        .withColumn("number", F.pmod("idx", F.lit(max(1, loaders.count()))))
+        .join(loaders, "number").drop("number")
+    )
+    found = materialise(marker_index.located(index, requests), "located")
+    ranges = materialise(marker_index.token_ranges(index, found.select(*SHARD, "seq_id").distinct()), "ranges")
+    sequences = marker_index.read_sequences(runs, ranges, inputs.CHUNK).select(
+        *SHARD, "seq_id",
+        F.size("source").cast("bigint").alias("src_length"),
+        F.size("target").cast("bigint").alias("tgt_length"),
+        F.md5(as_text(F.concat("source", "target"))).alias("tokens_md5"),
+    )
+    return found.join(sequences, [*SHARD, "seq_id"]).select(
+        "idx", *SHARD, "seq_id", "src_length", "tgt_length", "tokens_md5"
     )
 
 
@@ -545,6 +556,17 @@ def shuffle_epoch(spark, sf_dir):
     return batch.shuffled_positions(found, "n", seed=7, epoch=2, by=LOADER)
 
 
+def shuffle_permutation(spark, sf_dir):
+    """A shuffle computed from the numbers alone, and the way back."""
+    seqs = inputs.loaded_sequences(spark, sf_dir).select(*LOADER, "n")
+    totals = materialise(seqs.groupBy(*LOADER).agg(F.count(F.lit(1)).alias("total")), "totals")
+    placed = seqs.join(totals, LOADER).withColumn(
+        "position", permutation.place_of_row(F.col("n"), F.col("total"), 7, 2)
+    )
+    back = permutation.row_of_place(F.col("position"), F.col("total"), 7, 2)
+    return placed.select(*LOADER, "n", "position", back.alias("back"))
+
+
 # --- decoding and scores -------------------------------------------------------------------
 
 
@@ -587,6 +609,11 @@ def meteor_exact(spark, sf_dir):
     return scored.select(*KEYS, "matches", "chunks", F.round("meteor", 4).alias("meteor"))
 
 
+def meteor_stem(spark, sf_dir):
+    scored = score.meteor(inputs.inflected_predictions(spark, sf_dir), stems=True)
+    return scored.select(*KEYS, "matches", "chunks", F.round("meteor", 4).alias("meteor"))
+
+
 def _bert_scores(spark, sf_dir):
     return score.bert_score(inputs.token_vectors(spark, sf_dir))
 
@@ -680,6 +707,8 @@ QUERIES = {
         marker_positions,
         token_length_profile,
         runlog_parse,
+        runlog_rejects,
+        runlog_runs,
         runlog_mean_loss,
         runlog_best,
         runlog_best_step,
@@ -701,12 +730,14 @@ QUERIES = {
         rank_sequences,
         shard_head,
         shuffle_epoch,
+        shuffle_permutation,
         argmax_decode,
         decode_predictions,
         decode_roundtrip,
         bleu_sentence,
         bleu_corpus,
         meteor_exact,
+        meteor_stem,
         bert_score_pairs,
         bert_score_mean,
         stream_ingest,

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.functions.stems import stem
 from pairloom.functions.tokenizers import ByteTokenizer
 from pairloom.operators import score
 
@@ -31,8 +32,8 @@ def bleu(c, r):
     return brevity * math.exp(sum(logs) / 4)
 
 
-def meteor(c, r, canonical=None):
-    stages = [lambda t: t] + ([lambda t: canonical.get(t, t)] if canonical else [])
+def meteor(c, r, canonical=None, stems=False):
+    stages = [lambda t: t] + ([stem] if stems else []) + ([lambda t: canonical.get(t, t)] if canonical else [])
     left_c, left_r, matches = list(enumerate(c)), list(enumerate(r)), []
     for form in stages:
         for i in range(len(left_c) - 1, -1, -1):
@@ -101,6 +102,20 @@ def test_meteor_is_that_of_plain_python(spark, random_cases, canonical):
         assert r["meteor"] == pytest.approx(want[2])
 
 
+@pytest.mark.parametrize("canonical", [None, {"cat": "animal", "dogs": "animal", "hopping": "jump", "jumped": "jump"}])
+def test_meteor_with_stems(spark, canonical):
+    """Three stages at most; tokens that differ in their ending, in both sides and many times."""
+    rng = random.Random(5)
+    words = ["cats", "cat", "Hopping", "hop", "hoped", "dogs", "jumped", "relational", "relate", "the", "é", "hop."]
+    cases = [([rng.choice(words) for _ in range(rng.randint(0, 12))], [rng.choice(words) for _ in range(rng.randint(0, 12))]) for _ in range(150)]
+    lookup = canonical and spark.createDataFrame(list(canonical.items()), "token string, canonical string")
+    rows = score.meteor(table(spark, cases).repartition(3), lookup, stems=True).collect()
+    assert len(rows) == len(cases)
+    for r in rows:
+        want = meteor(*cases[r["pair_id"]], canonical, True)
+        assert (r["matches"], r["chunks"]) == want[:2] and r["meteor"] == pytest.approx(want[2])
+
+
 def test_bert_score_of_long_short_and_empty_sides(spark):
     rng = np.random.default_rng(4)
     sizes = {0: (3, 5), 1: (1300, 700), 2: (4, 0)}

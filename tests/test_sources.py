@@ -164,3 +164,23 @@ def test_throughput_without_time_is_null(spark):
     steps = spark.createDataFrame([(0, 2.0), (1, 0.0)], "step bigint, dt double")
     rows = runlog.throughput(steps, 64, 256, 32, 1).orderBy("step").collect()
     assert [r["tokens_per_sec"] for r in rows] == [524288 / 2, None]
+
+
+def test_lines_that_are_no_entries_are_told(spark):
+    lines_ = ["5 val 1.5", "5 val abc", "note", "", None, "99999999999999999999 train 1", "7 train NaN", " 8 val 1"]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(lines_)], "line string, at int")
+    assert [r["at"] for r in runlog.parse(df).orderBy("at").collect()] == [0, 6]
+    reasons = {r["at"]: r["reason"] for r in runlog.rejects(df).collect()}
+    assert reasons == {1: "loss is no number", 2: "no entry", 3: "no entry", 4: "no line", 5: "step out of range", 7: "no entry"}
+
+
+def test_many_runs(spark):
+    rows = [("a", 0, 5.0), ("a", 225, 4.0), ("a", 225, 3.5), ("b", 0, 9.0), ("b", 450, 9.5), (None, 0, 1.0)]
+    log = spark.createDataFrame([(r, s, "val", x) for r, s, x in rows], "run string, step bigint, split string, loss double")
+    best = {(r["run"], r["step"], r["loss"]): r["is_best"] for r in runlog.best_so_far(log, by=["run"]).collect()}
+    assert best == {("a", 0, 5.0): True, ("a", 225, 3.5): True, ("a", 225, 4.0): False, ("b", 0, 9.0): True, ("b", 450, 9.5): False, (None, 0, 1.0): True}
+    assert {r["run"]: (r["step"], r["loss"]) for r in runlog.best_step(log, ["run"]).collect()} == {"a": (225, 3.5), "b": (0, 9.0), None: (0, 1.0)}
+    saved = {(r["run"], r["step"]) for r in runlog.events(log, ["run"]).where("saves").collect()}
+    assert saved == {("a", 225), ("b", 450), (None, 0)}
+    means = {(r["run"], r["epoch"]): r["mean_loss"] for r in runlog.mean_loss(log, 300, by=["run"]).collect()}
+    assert means[("a", 0)] == pytest.approx(12.5 / 3) and means[(None, 0)] == 1.0
