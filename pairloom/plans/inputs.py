@@ -9,6 +9,7 @@ from pairloom.functions.tokenizers import ByteTokenizer
 from pairloom.operators import pack, segment, tokens
 from pairloom.operators.marker_index import build_index
 from pairloom.operators.prefix import int_div, number_rows
+from pairloom.operators.subwords import count_chunks, learn_merges
 from pairloom.operators.vocabulary import build_vocabulary
 from pairloom.session import materialise, new_path
 from pairloom.sources.archives import write_archives
@@ -20,6 +21,7 @@ MAX_LEN = 512  # tokens a side, where filtering or truncating is the feature
 SHARD_SIZE = 20_000  # tokens
 SEGMENT_ROWS = 64  # of the packing, so that its tree has levels on small data too
 CHUNK = 1000
+MERGES = 24
 BYTES = ByteTokenizer()
 
 _written: dict[tuple[str, str, str], str] = {}
@@ -180,6 +182,19 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_vocabulary(texts, "text")
 
 
+def merges_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the byte-pair merges of the conversations are written: ``rank, left, right, n``."""
+
+    def write(path: str) -> None:
+        texts = conversation_pairs(spark, sf_dir).select(F.explode(F.array("src_text", "tgt_text")).alias("text"))
+        learned = learn_merges(count_chunks(texts, "text"), MERGES)
+        rows = [(i, *merge) for i, merge in enumerate(learned)]
+        schema = "rank bigint, left string, right string, n bigint"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+
+    return _once(spark, sf_dir, "merges", write)
+
+
 def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines of a run log: views are validations."""
     kind = F.when(F.col("event_type") == "view", "val").otherwise("train")

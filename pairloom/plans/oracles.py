@@ -595,6 +595,19 @@ ORACLES = {
         "meteor_scores",
         "bert_scores",
     ),
+    "ingest_resumed": _shards(_SUMMARY, _BY_SHARD),
+    "subword_roundtrip": _query("SELECT conv_id, turn, src_text, tgt_text FROM conversation_pairs", "conversation_pairs"),
+    "segment_table_function": _query(
+        f"""SELECT lang_pair, split, shard_idx, 'src' AS side, seq_id, {_text('source')} AS tokens FROM sequences
+            UNION ALL
+            SELECT lang_pair, split, shard_idx, 'tgt', seq_id, {_text('target')} FROM sequences""",
+        "sequences",
+    ),
+    "stream_runs": """
+        SELECT user_id AS run, CAST(event_id AS BIGINT) AS step, value AS loss,
+               coalesce(value < min(value) OVER before, true) AS is_best
+        FROM events WHERE event_type = 'view'
+        WINDOW before AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "shard_summary": _shards(_SUMMARY, _BY_SHARD),
     "file_pairs": _query(
         """SELECT a.file_no, a.name AS src_name, b.name AS tgt_name
@@ -944,3 +957,6 @@ ORACLES = {
     ),
     "stream_runlog": _query(_BEST, "runlog"),
 }
+
+# the same shards, in whatever order the pairs arrive
+ORACLES["stream_unordered"] = ORACLES["stream_ingest"]

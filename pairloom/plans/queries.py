@@ -16,16 +16,19 @@ from pairloom.operators import (
     ranks,
     score,
     segment,
+    segment_function,
+    subwords,
     tokens,
     vocabulary,
 )
-from pairloom.plans import inputs, jobs
+from pairloom.plans import inputs, jobs, resume
 from pairloom.plans.inputs import BYTES, MAX_LEN
 from pairloom.session import materialise, new_path
 from pairloom.sources import archives, lines, runlog, shards
 from pairloom.sources import pairs as pair_sources
 from pairloom.streaming import ingest as stream_ingest_job
 from pairloom.streaming import runlog as stream_runlog_job
+from pairloom.streaming import runs, unordered
 
 MARKER = BYTES.eos_id
 FULL_STOP = ord(".") + 3
@@ -188,6 +191,15 @@ def aligned_ingest(spark, sf_dir):
     )
 
 
+def ingest_resumed(spark, sf_dir):
+    """An ingest that is stopped after a wave and goes on."""
+    out = new_path(spark, "resumed")
+    pairs = inputs.all_pairs(spark, sf_dir)
+    for waves in (1, None):
+        resume.ingest(pairs, out, BYTES, inputs.SHARD_SIZE, shards_per_wave=5, max_waves=waves)
+    return shards.shard_summary(shards.read_shards(spark, f"{out}/data"))
+
+
 def loader_batches(spark, sf_dir):
     """The batches of all language pairs and splits for three ranks, in the order of the shards."""
     options = Loader(BATCH_SIZE, tokens_per_step=12_288, world_size=WORLD_SIZE, shuffle=False)
@@ -239,6 +251,23 @@ def tokenize_words(spark, sf_dir):
     return encoded.select(*KEYS, as_text("src_ids").alias("src"), as_text("tgt_ids").alias("tgt"))
 
 
+def subword_merges(spark, sf_dir):
+    """The first merges of the conversations, with the count of each pair when it was merged."""
+    return spark.read.parquet(inputs.merges_path(spark, sf_dir))
+
+
+def subword_roundtrip(spark, sf_dir):
+    """Texts that went through the ids of the learned merges and back."""
+    learned = subword_merges(spark, sf_dir).orderBy("rank").collect()
+    tokenizer = subwords.SubwordTokenizer([(r["left"], r["right"]) for r in learned])
+    encoded = tokens.encode_pairs(inputs.conversation_pairs(spark, sf_dir), tokenizer)
+    return encoded.select(
+        *KEYS,
+        tokenizer.decode(F.col("src_ids")).alias("src_text"),
+        tokenizer.decode(F.col("tgt_ids")).alias("tgt_text"),
+    )
+
+
 def mark_prefix(spark, sf_dir):
     encoded = tokens.encode_pairs(inputs.conversation_pairs(spark, sf_dir), BYTES, "first")
     return encoded.select(*KEYS, as_text("src_ids").alias("src"), as_text("tgt_ids").alias("tgt"))
@@ -459,6 +488,16 @@ def segment_prefix(spark, sf_dir):
     )
 
 
+def segment_table_function(spark, sf_dir):
+    """The same sequences, side by side, by a table function in SQL."""
+    spark.udtf.register("segment_tokens", segment_function.SegmentTokens)
+    found = spark.sql(
+        "SELECT * FROM segment_tokens(TABLE({runs}), marker => {marker}, marker_at => 'first')",
+        runs=inputs.flat_shards(spark, sf_dir), marker=MARKER,
+    )
+    return found.select(*SHARD, "side", "seq_id", as_text("tokens").alias("tokens"))
+
+
 def segment_suffix(spark, sf_dir):
     """The streams cut before their full stops."""
     found = segment.sequences(inputs.flat_shards(spark, sf_dir), FULL_STOP, "last", strict=False)
@@ -667,6 +706,40 @@ def stream_runlog(spark, sf_dir):
     return rows.select("step", "loss", "best_before", "is_best")
 
 
+def _in_any_order(df: DataFrame, key: str):
+    """The rows in three parts that have nothing to do with their order."""
+    for part in range(3):
+        yield df.where(F.pmod(F.xxhash64(key), F.lit(3)) == part)
+
+
+def stream_unordered(spark, sf_dir):
+    """Pairs arrive in three parts in any order; the shards are those of the batch job."""
+    base = new_path(spark, "stream")
+    pairs = inputs.numbered_pairs(spark, sf_dir)
+    for part in _in_any_order(pairs, "pair_id"):
+        part.write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(pairs.schema).parquet(f"{base}/in")
+        for query in unordered.ingest(arriving, f"{base}/out", f"{base}/state", BYTES, None, inputs.SHARD_SIZE):
+            query.awaitTermination()
+    unordered.finish(spark, f"{base}/out", BYTES)
+    return shards.shard_summary(shards.read_shards(spark, f"{base}/out/shards"))
+
+
+def stream_runs(spark, sf_dir):
+    """The logs of many runs arrive in three parts in any order; late lines correct what was said."""
+    base = new_path(spark, "stream")
+    log = inputs.runs_log(spark, sf_dir)
+    for part in _in_any_order(log, "line"):
+        part.write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(log.schema).parquet(f"{base}/in")
+        (
+            runs.changes(arriving).writeStream.format("parquet").outputMode("append")
+            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+    return runs.current(spark.read.parquet(f"{base}/out"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -683,12 +756,15 @@ QUERIES = {
         nested_ingest,
         ingest_rejects,
         aligned_ingest,
+        ingest_resumed,
         loader_batches,
         loader_epoch,
         score_report,
         strip_pairs,
         tokenize_bytes,
         tokenize_words,
+        subword_merges,
+        subword_roundtrip,
         mark_prefix,
         mark_suffix,
         token_range_violations,
@@ -718,6 +794,7 @@ QUERIES = {
         pack_batched,
         split_assign,
         segment_prefix,
+        segment_table_function,
         segment_suffix,
         sequence_lookup,
         batch_assign,
@@ -742,5 +819,7 @@ QUERIES = {
         bert_score_mean,
         stream_ingest,
         stream_runlog,
+        stream_unordered,
+        stream_runs,
     )
 }

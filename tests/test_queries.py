@@ -28,7 +28,9 @@ def in_order(columns, rows):
 
 
 def test_every_query_of_the_library_has_its_sql():
-    assert set(QUERIES) == set(ORACLES)
+    # merges are learned in many rounds: SQL cannot express that, test_subwords.py has a plain learner
+    assert set(QUERIES) - set(ORACLES) == {"subword_merges"}
+    assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
