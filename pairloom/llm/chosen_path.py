@@ -11,7 +11,7 @@
 3. Clusters are checked on full sets, each set moving once: pairs in the order of
    estimated similarity, passing over those already connected. A cluster of more than
    ``NODE_SETS`` sets is cut into blocks, and every pair of blocks is checked, so no
-   task grows with the cluster.
+   task grows with the cluster; a cluster of many shingles is cut, too.
 4. Links that hold give the components.
 
 Nodes that are still large at ``MAX_DEPTH`` become one cluster each, so nothing is
@@ -38,6 +38,7 @@ COORDINATES = 64
 TREES = 10
 BRANCHES = 2
 NODE_SETS = 2048
+UNIT_SHINGLES = 4 << 20  # of a block of a cluster, about
 MAX_DEPTH = 6
 #: Estimates below these are no candidates: five deviations under the threshold.
 NODE_ESTIMATE = 0.62  # of COORDINATES tokens
@@ -236,10 +237,16 @@ def _in_unit(rows: pa.Table) -> pa.Table:
     return _table(forest.links(keys))
 
 
-def check_links(docs: DataFrame, clusters: DataFrame, key: str, text: str, node_sets: int = NODE_SETS) -> DataFrame:
-    """Links ``a, b`` between sets of a cluster (``node, component``) that hold the threshold."""
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / node_sets).cast("int")
+def check_links(
+    docs: DataFrame, clusters: DataFrame, sizes: DataFrame, key: str, text: str, node_sets: int = NODE_SETS
+) -> DataFrame:
+    """Links ``a, b`` between sets of a cluster (``node, component``) that hold the threshold.
+
+    ``sizes`` has the ``n_shingles`` of each set (``key``).
+    """
+    sized = clusters.join(sizes.select(F.col("key").alias("node"), "n_shingles").hint("merge"), "node")
+    sizes = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("n") / node_sets), F.ceil(F.col("total") / UNIT_SHINGLES)).cast("int")
     placed = (
         clusters.join(sizes, "component")
         .select(
@@ -273,8 +280,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
 
     Texts without words are linked with nothing. Rows with one key count as one
     document; null keys do so too, and are smaller than any other. Other columns
-    are not read.
+    are not read. Keys must not span all of 64 bits (both ends at once); an empty table
+    gives no rows.
     """
+    # null keys take the smallest number: make room for them
+    low, high = docs.agg(F.min(key), F.max(key)).first()
+    shift = 1 if low == NO_KEY else 0
+    if shift and high == -NO_KEY - 1:
+        raise ValueError("keys span all of 64 bits")
+    docs = docs.select((F.col(key) + shift).alias("shifted"), F.col(text).alias("whole"))
+    key, text = "shifted", "whole"
     described = materialise(describe(docs, key, text), "described")
     same = ["sum1", "sum2", "n_shingles"]
     classes = materialise(
@@ -282,9 +297,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
         .agg(F.min("key").alias("first"), F.min_by("tokens", "key").alias("tokens")),
         "classes",
     )
-    sets = classes.select(F.col("first").alias("key"), "tokens")
-    clusters = components(candidate_links(sets, trees, node_sets))
-    links = check_links(docs, clusters, key, text, node_sets)
+    sets = classes.select(F.col("first").alias("key"), "tokens", "n_shingles")
+    clusters = components(candidate_links(sets.drop("n_shingles"), trees, node_sets))
+    links = check_links(docs, clusters, sets, key, text, node_sets)
     # a key of several rows ties their classes
     rows = described.select("key", *same).join(
         classes.select(*same, "first").hint("merge"), same, "left"
@@ -297,7 +312,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     found = rows.join(whole.hint("merge"), F.col("first") == F.col("node"), "left").select(
         "key", "n_shingles", F.coalesce("component", "first", "key").alias("component")
     )
-    real = lambda c: F.when(F.col(c) != NO_KEY, F.col(c))
+    real = lambda c: F.when(F.col(c) != NO_KEY, F.col(c) - shift)
     return found.select(
         real("key").alias("doc_id"), "n_shingles", real("component").alias("component_id"),
         (F.col("key") == F.col("component")).alias("kept"),

@@ -15,7 +15,9 @@ A phrase is a window of ``WINDOW`` words that starts at two places or more.
 4. Places return to their rows as bit masks, and every later window loses its words.
 
 The letters of an automaton are blocks of ``STRIDE`` words of its shard, numbered exactly; a
-window is four letters, and a shard is read in ``STRIDE`` phases, one for each start.
+window is four letters, and a shard is read in ``STRIDE`` phases, one for each start. A letter is
+written in ``DIGITS`` characters, each with an alphabet of its own: nodes with few children
+are fast, and no match can begin inside a letter.
 
 Places are compared by key, a null key being smaller than any other, and belong to a row,
 which is a key with the digest of a text. Texts move once: both joins with them read the
@@ -54,7 +56,7 @@ SEGMENT = WINDOW - ANCHOR + 1  # windows that can share an anchor
 HOT_ROWS = 4096
 HOT_PLACES = 14  # bits: an anchor of one long text is divided by place
 CARRY_ROWS = 4 * HOT_ROWS  # of one group before a part of it is settled
-FIRST_LETTER = 1 << 16  # letters are characters from here on, without surrogates
+DIGITS, DIGIT_BITS = 3, 7
 ROW = ["key", "none", "row"]
 ANCHORS = "anchor bigint, key bigint, none boolean, row bigint, n int"
 RECURRING = "key bigint, none boolean, row bigint, anchor bigint, part int"
@@ -239,6 +241,15 @@ def exact_letters(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return letter
 
 
+def written(letters: np.ndarray) -> np.ndarray:
+    """The characters of each letter, the highest digit first."""
+    if len(letters) and int(letters.max()) >> DIGITS * DIGIT_BITS:
+        raise ValueError("a shard has too many letters")
+    digits = np.arange(DIGITS)
+    values = letters[:, None] >> DIGIT_BITS * digits[::-1] & ((1 << DIGIT_BITS) - 1)
+    return (values + (digits + 1 << DIGIT_BITS)).astype("<u4")
+
+
 def compiled(patterns: list[str]):
     """The automaton of a shard; it gives the number of a pattern."""
     from ahocorasick import STORE_INTS, Automaton
@@ -263,17 +274,17 @@ def located(words: Words) -> tuple[np.ndarray, np.ndarray]:
     again = at[n[window] > 1]
     if not len(again):
         return nothing
-    letters = (exact_letters(codes, hashes) + FIRST_LETTER).astype("<u4")
+    letters = written(exact_letters(codes, hashes))
     steps = np.arange(0, WINDOW, STRIDE)
-    n_letters = len(steps)
+    size = DIGITS * len(steps)
     string = letters[again[:, None] + steps].tobytes().decode("utf-32-le")
-    patterns = list(dict.fromkeys(string[i : i + n_letters] for i in range(0, len(string), n_letters)))
+    patterns = list(dict.fromkeys(string[i : i + size] for i in range(0, len(string), size)))
     automaton = compiled(patterns)
     places, found = [], []
     for phase in range(STRIDE):
         string = letters[phase::STRIDE].tobytes().decode("utf-32-le")
         matches = np.array(list(automaton.iter(string)) if automaton.kind else [], np.int64).reshape(-1, 2)
-        places.append(phase + STRIDE * (matches[:, 0] - n_letters + 1))
+        places.append(phase + STRIDE * ((matches[:, 0] + 1) // DIGITS - len(steps)))
         found.append(matches[:, 1])
     places, found = np.concatenate(places), np.concatenate(found)
     whole = words.doc[places] == words.doc[places + WINDOW - 1]

@@ -1,28 +1,34 @@
 """Document fingerprints of closed syncmers, in DataFrame functions alone.
 
-A text is a sequence of words (a long one in pieces of ``PIECE`` characters). Of its
+A text is a sequence of words (a long one in pieces of ``PIECE`` characters), with ``K - 1``
+marks before and behind it, so that the shortest text has anchors by the same rule. Of its
 runs of ``K`` words those are anchors whose smallest inner run of ``S`` words, by
 hash, lies at an edge: the choice needs no context. An element of a fingerprint is
 an anchor with the distance from the anchor before it, so that elements match where
 the same anchors follow each other at the same places. Likeness is the part of the
-larger fingerprint that both have.
+larger fingerprint that both have. A text without words has no elements.
 
-Texts of fewer than ``SHORT`` words, or without an anchor, have the hashes of their
-words as elements.
+The next document is found on keys and digests alone. It sends its elements and the
+characters that are asked for to the document before it; texts move once, and both joins
+with them read the same exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.prefix import row_positions
+from pairloom.operators.prefix import number_rows
 from pairloom.session import materialise
 
 K, S = 6, 2
-SHORT = 18
 PIECE = 16
-BLOCK_ROWS = 256  # documents of a block, on average, when keys are spread evenly
+IDENTITY = ["key", "none", "digest"]
+
+
+def marks(side: str) -> Column:
+    """Hashes that stand for the words before or behind a text; no word has white space."""
+    return F.array(*[F.xxhash64(F.lit(f"\n{side}{i}")) for i in range(K - 1)])
 
 
 def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -44,6 +50,15 @@ def with_elements(df: DataFrame, texts: list[str]) -> DataFrame:
             for x in texts
         },
     )
+    # a text without words stays without
+    df = held(
+        df.withColumnsRenamed({f"{x}_h": f"{x}_w" for x in texts}),
+        {
+            f"{x}_h": F.when(F.size(f"{x}_w") > 0, F.concat(marks("<"), F.col(f"{x}_w"), marks(">")))
+            .otherwise(F.col(f"{x}_w"))
+            for x in texts
+        },
+    )
 
     def runs(x: str) -> Column:
         h = F.col(f"{x}_h")
@@ -62,8 +77,7 @@ def with_elements(df: DataFrame, texts: list[str]) -> DataFrame:
             inner = F.least(*[F.get(g, i + k) for k in range(1, last)])
             return F.least(F.get(g, i), F.get(g, i + last)) <= inner
 
-        every = F.filter(F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))), at_edge)
-        return F.when(n >= SHORT, every).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))), at_edge)
 
     df = held(df, {f"{x}_at": anchors(x) for x in texts})
 
@@ -75,12 +89,10 @@ def with_elements(df: DataFrame, texts: list[str]) -> DataFrame:
                 F.slice(h, p + 1, K), p - F.coalesce(F.when(j > 0, F.get(at, j - 1)), p)
             ),
         )
-        return F.array_distinct(
-            F.when(F.size(at) > 0, chosen).otherwise(F.transform(h, lambda w: F.hash(w)))
-        )
+        return F.array_distinct(chosen)
 
     df = held(df, {f"{x}_el": elements(x) for x in texts})
-    return df.drop(*[f"{x}_{part}" for x in texts for part in ("h", "g", "at")])
+    return df.drop(*[f"{x}_{part}" for x in texts for part in ("w", "h", "g", "at")])
 
 
 def fingerprint(elements: str) -> Column:
@@ -93,43 +105,50 @@ def likeness(a: str, b: str) -> Column:
     return F.when(larger > 0, F.size(F.array_intersect(a, b)) / larger).otherwise(F.lit(1.0))
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, next`` of every row, next being the text after it in order of key.
+def followers(rows: DataFrame) -> DataFrame:
+    """Identity of each document with that of the one before it (``p_…``) and its ``quarter``.
 
-    The first text follows the last one. Null keys come first, equal keys in the order
-    of their texts. Rows meet in blocks of keys; only the last row of a block looks
-    for the first of the next block that has rows.
+    In order of keys, null keys first, equal keys in the order of their digests; the first
+    one follows the last one. Rows equal in key and text are one document.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    span = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high, n = span[0] or 0, span[1] or 0, span[2]
-    width = min((high - low) // max(1, n // BLOCK_ROWS) + 1, (1 << 63) - 1)
-    # a null key is in a block before all others
-    block = F.coalesce(F.expr(f"doc_id div {width}"), F.lit(low // width - 2))
-    rows = rows.withColumn("block", block)
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    ordered = rows.select(
-        "*",
-        F.lead("text").over(order).alias("next"),
-        F.row_number().over(order).alias("place"),
+    each = rows.groupBy(*IDENTITY).agg(F.max(F.char_length("text")).alias("n_chars"))
+    order = each.withColumn("has_key", ~F.col("none"))
+    numbered = materialise(number_rows(order, ["has_key", "key", "digest"], "position"), "numbered")
+    n = max(1, numbered.count())
+    before = numbered.select(
+        F.pmod(F.col("position") + 1, F.lit(n)).alias("position"),
+        *[F.col(c).alias(f"p_{c}") for c in IDENTITY],
+        (F.col("n_chars") / 4).cast("int").alias("quarter"),
     )
-    blocks = materialise(row_positions(rows.select("block").distinct(), "block"), "blocks")
-    n_blocks = blocks.count()
-    after = materialise(
-        blocks.select(
-            "block", F.pmod(F.col("position") + 1, F.lit(max(1, n_blocks))).alias("position")
-        ).join(blocks.withColumnRenamed("block", "next_block"), "position").drop("position"),
-        "blocks-after",
+    found = numbered.select("position", *IDENTITY).join(before.hint("merge"), "position")
+    return materialise(found.drop("position"), "followers")
+
+
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text``, ``head`` and ``next_el`` of every row.
+
+    ``head`` are the first characters of the next document, as many as a quarter of the row's;
+    ``next_el`` are the elements of the next document.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(
+        F.coalesce(F.col(key), F.lit(0)).alias("key"),
+        F.col(key).isNull().alias("none"),
+        F.xxhash64(whole).alias("digest"),
+        whole.alias("text"),
     )
-    firsts = ordered.where("place = 1").select(
-        F.col("block").alias("next_block"), F.col("text").alias("next")
+    sent = rows.join(followers(rows).hint("merge"), IDENTITY)
+    sent = with_elements(sent, ["text"]).select(
+        *[F.col(f"p_{c}").alias(c) for c in IDENTITY],
+        F.struct(F.expr("left(text, quarter)").alias("head"), F.col("text_el").alias("el")).alias("next"),
     )
-    lasts = (
-        ordered.where("next is null").select("doc_id", "text", "block")
-        .join(after, "block").join(firsts, "next_block")
+    one = sent.groupBy(*IDENTITY).agg(F.any_value("next").alias("next"))
+    return rows.join(one.hint("merge"), IDENTITY).select(
+        F.when(~F.col("none"), F.col("key")).alias("doc_id"),
+        "text",
+        F.col("next.head").alias("head"),
+        F.col("next.el").alias("next_el"),
     )
-    names = ("doc_id", "text", "next")
-    return ordered.where("next is not null").select(*names).union(lasts.select(*names))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,18 +156,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Edited: the last quarter of the characters (rounded down) gives way to as many
     from the beginning of the next document. A null text is empty. Repeated rows give
-    a row each; other columns are not read.
+    a row each, with the same result; other columns are not read. An empty table gives no rows.
     """
     n = F.char_length("text")
     quarter = (n / 4).cast("int")
     rows = with_next(docs, key, text).select(
         "doc_id",
         "text",
-        "next",
+        "next_el",
         n.cast("bigint").alias("n_chars"),
-        F.concat(F.left("text", n - quarter), F.left("next", quarter)).alias("edited"),
+        F.concat(F.left("text", n - quarter), F.col("head")).alias("edited"),
     )
-    rows = with_elements(rows, ["text", "edited", "next"])
+    rows = with_elements(rows, ["text", "edited"])
     return rows.select(
         "doc_id",
         "n_chars",

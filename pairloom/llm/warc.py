@@ -173,7 +173,7 @@ def write_archives(
     ).withColumn("is_page", F.col("html").isNotNull().cast("int"))
     keys = ("digest", "is_page", "url")
     ranged = (
-        everything.repartitionByRange(F.col("page_id").asc_nulls_first())
+        everything.repartitionByRange(F.col("page_id").asc_nulls_first(), "digest")
         .sortWithinPartitions(F.col("page_id").asc_nulls_first(), *keys)
         .select("page_id", "url", "html", "digest", "refers_to", "is_page", F.spark_partition_id().cast("bigint").alias("task"))
     )

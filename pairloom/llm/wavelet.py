@@ -192,8 +192,8 @@ def write_shards(
     """Write the ids of all texts in ascending order of ``doc_id``; return the manifest.
 
     A null text is empty; every document ends with ``end_id``. Null keys come first,
-    equal keys in the order of their texts. The table is range partitioned, so only
-    a range's own rows meet in one task. Manifest: ``seq`` (order of shards),
+    equal keys in the order of the digests of their texts. The table is range partitioned by
+    key and digest, so only a range's own rows meet in one task. Manifest: ``seq`` (order of shards),
     ``path``, ``n_docs``, ``n_tokens``, ``start`` (ids in all shards before).
     """
     encode = tokenizers_encoder(tokenizer)
@@ -237,10 +237,10 @@ def write_shards(
             yield close()
 
     ranged = (
-        docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .withColumn("task", F.spark_partition_id().cast("bigint"))
+        docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("digest"))
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), "digest")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "digest")
+        .select("text", "doc_id", F.spark_partition_id().cast("bigint").alias("task"))
     )
     manifest = materialise(ranged.mapInArrow(run, MANIFEST), "token-manifest")
     return ordered_prefix(

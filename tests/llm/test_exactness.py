@@ -122,7 +122,7 @@ def test_pieces_of_awkward_rows(awkward):
 
 def test_files_and_packs_of_awkward_rows(awkward):
     rows, df = awkward
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = [(r["doc_id"], r["text"]) for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
     ids = ids_of([t for _, t in order], WORDS)
     starts = np.cumsum([0, *map(len, ids)])
     found = wavelet.token_files(df, WORDS, 2).collect()
@@ -163,6 +163,21 @@ def test_hot_passages(spark, monkeypatch, hot_rows, records):
     assert {k: (r["n_words"], r["n_removed"], r["kept_sha256"]) for k, r in found.items()} == brute_repeats(rows)
 
 
+def test_near_duplicates_of_extreme_keys_and_large_units(spark, monkeypatch):
+    """The smallest key is a key; null keys are smaller; clusters are cut by shingles."""
+    monkeypatch.setattr(chosen_path, "UNIT_SHINGLES", 150)
+    base = sentence(120).split()
+    low = -(1 << 63)
+    rows = [(k, " ".join(base[:j] + ["new"] + base[j + 1 :])) for j, k in enumerate([low, low + 1, 5, 7])]
+    rows += [(9, sentence(120)), (None, " ".join(base)), (11, sentence(30)), (None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = chosen_path.near_duplicates(df).collect()
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in found if r["n_shingles"]}
+    assert got == {low: (None, False), low + 1: (None, False), 5: (None, False), 7: (None, False), 9: (9, True), 11: (11, True), None: (None, True)}
+    keyed = chosen_path.near_duplicates(df.where("doc_id is not null")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in keyed} == {low: low, low + 1: low, 5: low, 7: low, 9: 9, 11: 11}
+
+
 def test_only_the_automaton_removes(spark, monkeypatch):
     """With an automaton of other patterns nothing is later."""
     passage = sentence(40)

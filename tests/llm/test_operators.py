@@ -352,6 +352,12 @@ def test_near_duplicates_with_null_and_repeated_keys(spark):
     assert chosen_path.keep_one_of_each(df).count() == 3
 
 
+def alike(a: str, b: str) -> float:
+    """Likeness from the elements in two fingerprint strings."""
+    x, y = set(a.split()), set(b.split())
+    return len(x & y) / max(len(x), len(y)) if x or y else 1.0
+
+
 def test_syncmers(spark, docs, texts, empty):
     found = by_id(syncmers.fingerprints(docs))
     strings = [t or "" for t in texts]
@@ -363,39 +369,52 @@ def test_syncmers(spark, docs, texts, empty):
         assert row["n_chars"] == len(text)
         assert row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert seen.setdefault(text, row["fingerprint"]) == row["fingerprint"]
-        assert 0 <= row["near_next"] <= 1 and 0 <= row["near_edited"] <= 1
-        if text == after:
-            assert row["near_next"] == 1
+        assert bool(row["fingerprint"]) == bool(WORD.findall(text))
+        assert abs(row["near_edited"] - alike(row["fingerprint"], row["edited_fingerprint"])) < 1e-12
+        following = found[(i + 1) % len(strings) * 3]["fingerprint"]
+        assert abs(row["near_next"] - alike(row["fingerprint"], following)) < 1e-12
+    fingerprint_of = dict(zip(strings, (found[i * 3]["fingerprint"] for i in range(len(strings)))))
+    assert len(set(fingerprint_of.values())) == len({tuple(WORD.findall(t)) for t in strings})
     long = [found[i * 3] for i, t in enumerate(strings) if len(WORD.findall(t)) > 100 and i not in (14, 16)]
     assert np.mean([r["near_edited"] for r in long]) > 0.6
     assert syncmers.fingerprints(empty).count() == 0
 
 
-def test_syncmers_in_plain_python(spark):
-    """The choice of anchors, with Spark's own hash of each run of words."""
-    text = sentence(60)
-    words = text.split()
+@pytest.mark.parametrize("n", [1, 3, 60])
+def test_syncmers_in_plain_python(spark, n):
+    """The choice of anchors, with Spark's own hash of each run of words, between the marks."""
+    text = sentence(n)
+    marks = [[f"\n{side}{i}" for i in range(5)] for side in "<>"]
+    words = [*marks[0], *text.split(), *marks[1]]
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     hashed = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
     h = [r[0] for r in hashed.orderBy("i").select(F.xxhash64("w")).collect()]
-    pairs = spark.createDataFrame(list(zip(range(59), h, h[1:])), "i int, a bigint, b bigint")
+    pairs = spark.createDataFrame(list(zip(range(len(h)), h, h[1:])), "i int, a bigint, b bigint")
     g = [r[0] for r in pairs.orderBy("i").select(F.xxhash64("a", "b")).collect()]
-    at = [i for i in range(55) if min(g[i : i + 5]) in (g[i], g[i + 4])]
+    at = [i for i in range(len(h) - 5) if min(g[i : i + 5]) in (g[i], g[i + 4])]
     runs = [(j, h[p : p + 6], p - at[j - 1] if j else 0) for j, p in enumerate(at)]
     expected = [
         r[0]
         for r in spark.createDataFrame(runs, "j int, h array<bigint>, gap int").orderBy("j").select(F.hash("h", "gap")).collect()
     ]
     row = syncmers.fingerprints(df).first()
-    assert row["fingerprint"] == " ".join(map(str, dict.fromkeys(expected)))
+    assert expected and row["fingerprint"] == " ".join(map(str, dict.fromkeys(expected)))
     assert row["near_next"] == 1.0  # the only document follows itself
 
 
-def test_next_document_over_blocks(spark):
-    keys = [-(2**62), -5, 0, 1, 2, 3, 900, 2**62, 2**62 + 1]
-    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "doc_id bigint, text string")
-    found = {r["text"]: r["next"] for r in syncmers.with_next(df).collect()}
-    assert found == {f"t{i}": f"t{(i + 1) % len(keys)}" for i in range(len(keys))}
+def test_next_document(spark):
+    """Keys far apart, null keys, keys that are repeated with other texts and with the same one."""
+    keys = [None, None, -(2**63), -5, 0, 1, 1, 2, 900, 2**62, 2**63 - 1]
+    rows = [(k, f"text number {i} of them") for i, k in enumerate(keys)]
+    df = spark.createDataFrame([*rows, rows[4], rows[0]], "doc_id bigint, text string").repartition(3)
+    order = [r["text"] for r in df.distinct().orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    found = syncmers.with_next(df).collect()
+    assert len(found) == len(rows) + 2
+    for r in found:
+        after = order[(order.index(r["text"]) + 1) % len(order)]
+        assert r["head"] == after[: len(r["text"]) // 4]
+    got = {(r["doc_id"], r["text"]) for r in found}
+    assert got == set(rows)
 
 
 def pages_table(spark, rows):
