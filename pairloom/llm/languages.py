@@ -208,8 +208,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str], language: str = "la
 
     def run(texts, others):
         worker_cache(None)
-        lettered = pa.compute.if_else(pa.compute.fill_null(others[0], False), texts, None)
-        names, scores = infer(Model(*broadcast.value), lettered)
+        names, scores = infer(Model(*broadcast.value), texts)
+        lettered = pa.compute.fill_null(others[0], False).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(~lettered).tolist():
+            names[i], scores[i] = UNKNOWN, 0.0
         return {"lang": names, "score": scores} | {c: v for (c, _), v in zip(kept, others[1:])}
 
     found = map_texts(docs, ["text", F.col("text").rlike(r"\p{L}"), *keep], schema, run)

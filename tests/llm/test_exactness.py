@@ -263,6 +263,19 @@ def test_no_language_is_dropped(spark):
     assert np.mean([r["lang_pred"] == f"l{r['doc_id'] // 4:03d}" for r in found]) > 0.97
 
 
+def test_languages_of_many_slices(spark, monkeypatch):
+    """Slices in the middle of a batch, with texts that are null or have no letter."""
+    monkeypatch.setattr(spans, "SLICE_BYTES", 60)
+    monkeypatch.setattr(spans.slices, "__defaults__", (60,))
+    rows = [(i, spoken(l, 6) if i % 7 else (None, "12 3", "")[i % 3], l) for i, l in enumerate(np.tile(["aa", "bb"], 60).tolist())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)
+    found = by_id(languages.predict(df))
+    for key, text, lang in rows:
+        assert found[key]["lang_pred"] == (lang if text and not text.startswith("12") else "und")
+    kept = languages.keep_known(df.withColumn("lang_score", F.lit("x")))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [k for k, t, _ in rows if t and not t.startswith("12")]
+
+
 def plain_ftrl(rows, labels):
     z, n = collections.defaultdict(float), collections.defaultdict(float)
     bias = 1 << toxicity.BITS
