@@ -139,9 +139,11 @@ def _recurring_groups(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         new[1:] |= rows[c][1:] != rows[c][:-1]
     rows, begins = {c: x[new] for c, x in rows.items()}, np.flatnonzero(begins[new])
     sizes = np.diff(np.append(begins, len(rows["anchor"])))
-    total = np.add.reduceat(rows["n"].astype(np.int64), begins) if len(begins) else sizes
-    index = np.arange(len(rows["anchor"])) - np.repeat(begins, sizes)
-    part = np.where(np.repeat(total > HOT_ROWS, sizes), index // HOT_ROWS, -1)
+    n = rows["n"].astype(np.int64)
+    total = np.add.reduceat(n, begins) if len(begins) else sizes
+    before = np.cumsum(n) - n
+    before -= np.repeat(before[begins], sizes)
+    part = np.where(np.repeat(total > HOT_ROWS, sizes), before // HOT_ROWS, -1)
     recurs = np.repeat(total > 1, sizes)
     return {c: x[recurs] for c, x in (rows | {"part": part}).items() if c != "n"}
 
@@ -150,19 +152,21 @@ def recurring_anchors(anchors: DataFrame) -> DataFrame:
     """``RECURRING``: the anchors of two places or more, back at their rows.
 
     The rows of an anchor stream by in order; no more than ``HOT_ROWS`` and a batch are held.
+    A part of a hot anchor has about ``HOT_ROWS`` places.
     """
     names = [x.split()[0] for x in ANCHORS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {c: np.zeros(0, bool if c == "none" else np.int64) for c in names}
-        hot, index = None, 0  # an anchor that is known to be hot, and its rows so far
+        hot, index = None, 0  # an anchor that is known to be hot, and its places so far
         for batch in batches:
             rows = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
             if hot is not None:
                 to = int(np.searchsorted(rows["anchor"], hot, "right"))
-                more = {c: x[:to] for c, x in rows.items() if c != "n"}
-                yield record_batch(RECURRING, more | {"part": (index + np.arange(to)) // HOT_ROWS})
-                index += to
+                more = {c: x[:to] for c, x in rows.items()}
+                places = index + np.cumsum(more.pop("n").astype(np.int64))
+                yield record_batch(RECURRING, more | {"part": (places - rows["n"][:to]) // HOT_ROWS})
+                index = int(places[-1]) if to else index
                 rows = {c: x[to:] for c, x in rows.items()}
             if not len(rows["anchor"]):
                 continue
@@ -172,9 +176,10 @@ def recurring_anchors(anchors: DataFrame) -> DataFrame:
             yield record_batch(RECURRING, _recurring_groups({c: x[:last] for c, x in rows.items()}))
             held = {c: x[last:] for c, x in rows.items()}
             if len(held["anchor"]) > HOT_ROWS:
-                hot, index = held["anchor"][0], len(held["anchor"])
-                more = {c: x for c, x in held.items() if c != "n"}
-                yield record_batch(RECURRING, more | {"part": np.arange(index) // HOT_ROWS})
+                more = dict(held)
+                places = np.cumsum(more.pop("n").astype(np.int64))
+                yield record_batch(RECURRING, more | {"part": (places - held["n"]) // HOT_ROWS})
+                hot, index = held["anchor"][0], int(places[-1])
                 held = {c: x[:0] for c, x in held.items()}
         yield record_batch(RECURRING, _recurring_groups(held))
 
