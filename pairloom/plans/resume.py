@@ -2,7 +2,9 @@
 
 Three things lie in the output folder: ``plan``, the counted pairs with their shards, written once;
 ``data``, the shards, written in waves; and ``log``, a row for each shard of a wave that was
-written to its end: its pairs, tokens and a digest of its rows. A restart looks at the shards of the
+written to its end: its pairs, tokens and a digest of its rows. Each wave of a call has twice the shards
+of the one before, so that waves are few however many shards there are, and a stop never
+loses more than about what the call has written before it. A restart looks at the shards of the
 log again, keeps those that still are what the log says, and writes all others.
 """
 
@@ -65,7 +67,7 @@ def ingest(
 ) -> int:
     """Strip, tokenise, pack and write ``pair_id, lang_pair, src_text, tgt_text``; returns the shards written.
 
-    ``max_waves`` stops after so many waves. The pairs of a restart must be those of the start;
+    ``shards_per_wave`` are the shards of the first wave. ``max_waves`` stops after so many waves. The pairs of a restart must be those of the start;
     once the plan is written they are not read again. ``data`` holds the shards.
     """
     spark = pairs.sparkSession
@@ -81,14 +83,16 @@ def ingest(
     n = numbered.count()
     written, wave = 0, 0
     while written < n and (max_waves is None or wave < max_waves):
-        last = written + shards_per_wave
+        last = written + (shards_per_wave << wave)
         own = numbered.where((F.col("number") >= written) & (F.col("number") < last)).drop("number")
-        placed = plan.join(own, PARTITIONS).repartition("lang_pair", "shard_idx")
+        placed = plan.join(own, PARTITIONS).repartition("lang_pair", "shard_idx").sortWithinPartitions(
+            *PARTITIONS, "pair_id"  # texts, before their ids are made
+        )
         encoded = tokens.encode_pairs(placed, tokenizer, "first").select(
             *PARTITIONS, "pair_id", "src_ids", "tgt_ids", "n_src", "n_tgt"
         )
         (  # shards that were half written before are replaced
-            encoded.sortWithinPartitions(*PARTITIONS, "pair_id").write.mode("overwrite")
+            encoded.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(f"{out}/data")
         )
         stated = _stated(_data(spark, out).join(own, PARTITIONS)).withColumn("options", F.lit(options))
