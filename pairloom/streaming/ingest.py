@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.functions.tokenizers import Tokenizer
 from pairloom.operators import pack, tokens
-from pairloom.sources.shards import PARTITIONS
+from pairloom.sources.shards import FOLDERS
 
 STATE_SCHEMA = "grp string, open_tokens bigint, shard bigint"
 
@@ -39,8 +39,8 @@ def ingest(
         kept = tokens.within_length(counted, max_len)
         carried = _state(spark, out, epoch - 1)
         packed = pack.pack_greedy(kept, shard_size, carry=carried)
-        # one file for each shard and epoch; texts move, not their ids
-        placed = packed.repartition("lang_pair", "shard_idx")
+        # files hold many shards, each shard in one file of the epoch; texts move, not their ids
+        placed = packed.repartition("lang_pair", "shard_idx").sortWithinPartitions("lang_pair", "shard_idx", "pair_id")
         encoded = tokens.encode_pairs(placed, tokenizer, "first").withColumn(
             "split", pack.split_name()
         )
@@ -48,7 +48,7 @@ def ingest(
         (
             encoded.drop("src_text", "tgt_text")
             .write.mode("overwrite")
-            .partitionBy(*PARTITIONS)
+            .partitionBy(*FOLDERS)
             .parquet(target)
         )
         written = spark.read.schema(encoded.drop("src_text", "tgt_text").schema).parquet(target)
