@@ -83,23 +83,29 @@ def ordered_prefix(
         *by,
         "_block",
         *[
-            _combine(op, F.col(f"_g_{name}"), F.col(f"_b_{name}")).alias(f"_off_{name}")
+            _combine(op, F.col(f"_g_{name}"), F.col(f"_b_{name}")).alias(inputs[name])
             for name, (op, _) in values.items()
         ],
     )
+    # the offset of a block comes before its rows in the same window: the rows move once
     frame = (
         Window.partitionBy(*by, "_block")
-        .orderBy(*order)
+        .orderBy("_row", *order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
-    return join_null_safe(rows, offsets, [*by, "_block"]).select(
-        *df.columns,
-        *[
-            _combine(
-                op, F.col(f"_off_{name}"), _AGGREGATE[op](inputs[name]).over(frame)
-            ).alias(name)
-            for name, (op, _) in values.items()
-        ],
+    both = rows.withColumn("_row", F.lit(1)).unionByName(
+        offsets.withColumn("_row", F.lit(0)), allowMissingColumns=True
+    )
+
+    def running(name: str, op: str) -> Column:
+        value = _AGGREGATE[op](inputs[name]).over(frame)
+        return F.coalesce(value, F.lit(0)) if op == "sum" else value
+
+    placed = both.select(
+        *df.columns, "_row", *[running(name, op).alias(f"_out_{name}") for name, (op, _) in values.items()]
+    )
+    return placed.where(F.col("_row") == 1).select(
+        *df.columns, *[F.col(f"_out_{name}").alias(name) for name in values]
     )
 
 
