@@ -26,6 +26,7 @@ from pairloom.session import join_null_safe, materialise
 
 SEGMENT_ROWS = 1 << 22
 FAN = 16
+SEGMENTS_PER_TASK = 64  # of small segments; more where the shuffle has fewer partitions
 
 _STEPS_SCHEMA = "grp string, seg bigint, total bigint, missing array<bigint>, left array<bigint>, closed array<bigint>"
 _ENTRY_SCHEMA = "grp string, seg bigint, missing bigint, shard bigint"
@@ -208,7 +209,9 @@ def greedy_bounds(
     width = min(segment_rows, max(64, 8 * (high - low + 1) // shards))
     width = 1 << (width.bit_length() - 1)
 
-    rows = rows.withColumn("seg", int_div(F.col("ord"), segment_rows) - first)
+    # segments are small in bytes, yet each is a call: tasks by their number, not by bytes
+    tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-segments // SEGMENTS_PER_TASK))
+    rows = rows.withColumn("seg", int_div(F.col("ord"), segment_rows) - first).repartition(tasks, "grp", "seg")
     in_segments = rows.groupBy("grp", "seg")
 
     # up: reduce the segments, then groups of them, until one group holds all
