@@ -11,7 +11,7 @@ from pairloom.operators.marker_index import build_index
 from pairloom.operators.prefix import int_div, number_rows
 from pairloom.operators.subwords import count_chunks, learn_merges
 from pairloom.operators.vocabulary import build_vocabulary
-from pairloom.session import materialise, new_path
+from pairloom.session import materialise, new_path, read_bucketed, write_bucketed
 from pairloom.sources.archives import write_archives
 from pairloom.sources.pairs import align_lines
 from pairloom.sources.shards import read_shards, write_shards
@@ -159,17 +159,23 @@ def flat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(path: str) -> None:
         runs = segment.runs_of_pairs(shards(spark, sf_dir))
-        segment.rechunk(runs, CHUNK).write.parquet(path)
+        chunks = segment.rechunk(runs, CHUNK)
+        write_bucketed(chunks, path, segment.shard_keys(chunks))
 
-    return spark.read.parquet(_once(spark, sf_dir, "flat", write))
+    return read_bucketed(spark, _once(spark, sf_dir, "flat", write))
 
 
 def loaded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences found in the flat shards, numbered in their language pair and split."""
 
     def write(path: str) -> None:
-        found = segment.sequences(flat_shards(spark, sf_dir), BYTES.eos_id, "first")
-        segment.number_sequences(materialise(found, "sequences")).write.parquet(path)
+        flat = flat_shards(spark, sf_dir)
+        found = segment.sequences(flat, BYTES.eos_id, "first")
+        # every marker begins a sequence, on both sides
+        counts = segment.stream_profile(flat.where("side = 'src'"), BYTES.eos_id).select(
+            *segment.shard_keys(flat), F.col("n_markers").alias("_count")
+        )
+        segment.number_sequences(found, materialise(counts, "shard-counts")).write.parquet(path)
 
     return spark.read.parquet(_once(spark, sf_dir, "sequences", write))
 
@@ -255,7 +261,7 @@ def indexed_shards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     def write_runs(path: str) -> None:
         keys = segment.shard_keys(flat_shards(spark, sf_dir))
         flat_shards(spark, sf_dir).repartition(*keys).sortWithinPartitions(*keys, "side", "pos").write.partitionBy(
-            *keys
+            *segment.loader_keys(flat_shards(spark, sf_dir))
         ).parquet(path)
 
     runs = read_shards(spark, _once(spark, sf_dir, "shard-folders", write_runs))

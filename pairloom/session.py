@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -52,3 +53,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def write_bucketed(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Write ``df`` at ``path`` so that rows of equal ``keys`` lie in one bucket.
+
+    What groups the rows by ``keys``, and by more than them, reads the buckets (``read_bucketed``)
+    without moving rows again.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(n, *keys)  # each task has one bucket and writes one file
+    placed.write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(_table_of(path))
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.table(_table_of(path))
+
+
+def _table_of(path: str) -> str:
+    return "pairloom_" + re.sub(r"\W", "_", path.rstrip("/").rsplit("/", 1)[-1])
