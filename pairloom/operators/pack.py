@@ -26,7 +26,7 @@ from pairloom.session import join_null_safe, materialise
 
 SEGMENT_ROWS = 1 << 22
 FAN = 16
-SEGMENTS_PER_TASK = 64  # of small segments; more where the shuffle has fewer partitions
+CALL_ROWS = 1 << 12  # keys of the small segments that a call takes together
 
 _STEPS_SCHEMA = "grp string, seg bigint, total bigint, missing array<bigint>, left array<bigint>, closed array<bigint>"
 _ENTRY_SCHEMA = "grp string, seg bigint, missing bigint, shard bigint"
@@ -40,11 +40,14 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64, copy=False)
 
 
-def _segment_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Order keys and running token totals of one segment."""
-    keys, tokens = _column(table, "ord"), _column(table, "tok")
-    order = np.argsort(keys, kind="stable")
-    return keys[order], np.cumsum(tokens[order])
+def _segment_rows(table: pa.Table):
+    """Segments of rows in order: each with its order keys and running token totals."""
+    segs, keys, tokens = (_column(table, c) for c in ("seg", "ord", "tok"))
+    order = np.lexsort((keys, segs))
+    segs, keys, tokens = segs[order], keys[order], tokens[order]
+    found, starts = np.unique(segs, return_index=True)
+    for seg, a, b in zip(found.tolist(), starts, [*starts[1:], len(segs)]):
+        yield seg, keys[a:b], np.cumsum(tokens[a:b])
 
 
 def _steps_of_rows(ends: np.ndarray, size: int):
@@ -122,8 +125,9 @@ def _read_steps(table: pa.Table):
 
 def _reduce_rows(size: int) -> Callable:
     def reduce(key, table):
-        _, ends = _segment_rows(table)
-        return _steps_table(key[0].as_py(), key[1].as_py(), _steps_of_rows(ends, size))
+        return pa.concat_tables(
+            [_steps_table(key[0].as_py(), seg, _steps_of_rows(ends, size)) for seg, _, ends in _segment_rows(table)]
+        ).combine_chunks()
 
     return reduce
 
@@ -150,8 +154,7 @@ def _hand_down(key, children, entry):
 
 
 def _place_bounds(size: int, width: int) -> Callable:
-    def place(key, rows, missing: int, shard: int) -> pa.Table:
-        keys, ends = _segment_rows(rows)
+    def place(group: str | None, keys: np.ndarray, ends: np.ndarray, missing: int, shard: int) -> pa.Table:
         at = int(np.searchsorted(ends, missing))
         closing = []
         while at < len(ends):
@@ -163,7 +166,7 @@ def _place_bounds(size: int, width: int) -> Callable:
         highs = np.searchsorted(closing, (blocks + 1) * width)
         return pa.table(
             [
-                pa.array([key[0].as_py()] * len(blocks), pa.string()),
+                pa.array([group] * len(blocks), pa.string()),
                 pa.array(blocks),
                 pa.array(lows + shard, pa.int64()),
                 pa.array(
@@ -178,9 +181,15 @@ def _place_bounds(size: int, width: int) -> Callable:
 
 def _from_entry(size: int, width: int) -> Callable:
     place = _place_bounds(size, width)
-    return lambda key, rows, entry: place(
-        key, rows, entry.column("missing")[0].as_py(), entry.column("shard")[0].as_py()
-    )
+
+    def placed(key, rows, entry):
+        entries = dict(zip(entry.column("seg").to_pylist(), zip(*(entry.column(c).to_pylist() for c in ("missing", "shard")))))
+        group = key[0].as_py()
+        return pa.concat_tables(
+            [place(group, keys, ends, *entries[seg]) for seg, keys, ends in _segment_rows(rows)]
+        ).combine_chunks()
+
+    return placed
 
 
 def greedy_bounds(
@@ -209,10 +218,13 @@ def greedy_bounds(
     width = min(segment_rows, max(64, 8 * (high - low + 1) // shards))
     width = 1 << (width.bit_length() - 1)
 
-    # segments are small in bytes, yet each is a call: tasks by their number, not by bytes
-    tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-segments // SEGMENTS_PER_TASK))
-    rows = rows.withColumn("seg", int_div(F.col("ord"), segment_rows) - first).repartition(tasks, "grp", "seg")
-    in_segments = rows.groupBy("grp", "seg")
+    # a call takes many small segments, or a large one; tasks go by their number, not by bytes
+    bundle = max(1, CALL_ROWS // segment_rows)
+    calls = -(-segments // bundle)
+    tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), calls)
+    seg = int_div(F.col("ord"), segment_rows) - first
+    rows = rows.withColumns({"seg": seg, "call": int_div(seg, bundle)}).repartition(tasks, "grp", "call")
+    in_calls = rows.groupBy("grp", "call")
 
     # up: reduce the segments, then groups of them, until one group holds all
     levels: list[DataFrame] = []
@@ -222,7 +234,7 @@ def greedy_bounds(
             grouped = levels[-1].withColumn("up", int_div(F.col("seg"), fan)).groupBy("grp", "up")
             table = grouped.applyInArrow(_reduce_steps(size), _STEPS_SCHEMA)
         else:
-            table = in_segments.applyInArrow(_reduce_rows(size), _STEPS_SCHEMA)
+            table = in_calls.applyInArrow(_reduce_rows(size), _STEPS_SCHEMA)
         levels.append(materialise(table, "pack-steps"))
         count = -(-count // fan)
 
@@ -247,7 +259,8 @@ def greedy_bounds(
             .cogroup(entry.withColumnRenamed("seg", "up").groupBy("grp", "up"))
             .applyInArrow(_hand_down, _ENTRY_SCHEMA)
         )
-    bounds = in_segments.cogroup(entry.groupBy("grp", "seg")).applyInArrow(
+    entry = entry.withColumn("call", int_div(F.col("seg"), bundle))
+    bounds = in_calls.cogroup(entry.groupBy("grp", "call")).applyInArrow(
         _from_entry(size, width), _BOUNDS_SCHEMA
     )
     return materialise(bounds, "pack-bounds"), width
