@@ -18,6 +18,8 @@ from pyspark.sql.functions import arrow_udf
 # Fixed values of the published byte scheme, also used for the word tokeniser.
 PAD_ID, EOS_ID, UNK_ID, FIRST_ID = 0, 1, 2, 3
 
+DECODED_IDS = 1 << 20  # about so many are decoded in one step
+
 WORD_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 
 
@@ -53,6 +55,15 @@ def _byte_encode(text: pa.Array) -> pa.Array:
 
 
 def _byte_decode(ids: pa.Array) -> pa.Array:
+    """Texts of a batch, some of its rows at a time: the steps take many times the room of a text."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    last = int(ends[-1]) if len(ends) else 0
+    cuts = np.unique(np.searchsorted(ends, np.arange(DECODED_IDS, last, DECODED_IDS)) + 1)
+    at = [0, *cuts[cuts < len(ids)].tolist(), len(ids)]
+    return pa.concat_arrays([_decode_rows(ids.slice(a, b - a)) for a, b in zip(at, at[1:])])
+
+
+def _decode_rows(ids: pa.Array) -> pa.Array:
     flat = ids.flatten()
     if pc.any(pc.greater(flat, FIRST_ID + 255)).as_py():
         raise ValueError("an id is no byte")

@@ -1,7 +1,9 @@
 """What grows with the input alone: files, waves, and moves of rows."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pairloom.functions import tokenizers
 from pairloom.functions.tokenizers import ByteTokenizer
 from pairloom.operators import pack, prefix, segment, tokens
 from pairloom.plans import resume
@@ -68,3 +70,15 @@ def test_tokens_move_once_into_chunks_and_once_into_sequences(spark, tmp_path):
     assert moves(stored) == 0
     want = sorted((r["shard_idx"], list(r["src_ids"]), list(r["tgt_ids"])) for r in rows.collect())
     assert sorted((r["shard_idx"], list(r["source"]), list(r["target"])) for r in stored.collect()) == want
+
+
+def test_a_batch_is_decoded_some_rows_at_a_time(monkeypatch):
+    texts = ["ab", None, "", "\u00e9" * 9, "x", "yz" * 5, None, "end"]
+    ids = tokenizers._byte_encode(pa.array(texts))
+    steps, decode = [], tokenizers._decode_rows
+    monkeypatch.setattr(tokenizers, "DECODED_IDS", 6)
+    monkeypatch.setattr(tokenizers, "_decode_rows", lambda part: steps.append(len(part)) or decode(part))
+    assert tokenizers._byte_decode(ids).to_pylist() == texts
+    assert len(steps) > 2 and sum(steps) == len(texts)
+    assert tokenizers._byte_decode(ids.slice(3, 3)).to_pylist() == texts[3:6]
+    assert tokenizers._byte_decode(ids.slice(0, 0)).to_pylist() == []
