@@ -112,3 +112,25 @@ def test_late_lines_correct_the_best(spark, tmp_path, seed):
     batch = runlog.best_so_far(runlog.parse(spark.createDataFrame(lines, schema)), by=["run"]).collect()
     key = lambda r: repr((r["run"], r["step"], r["loss"], r["is_best"]))
     assert sorted(map(key, found)) == sorted(map(key, batch))
+
+
+def test_many_runs_share_a_state(spark, tmp_path):
+    """Numbers beyond those of a double beside a null, in as many states as there are buckets."""
+    rng = random.Random(4)
+    names = [2**60 + i for i in range(40)] + [None]
+    lines = [(run, f"{step} val {rng.randint(1, 9) / 2}") for run in names for step in range(6)]
+    rng.shuffle(lines)
+    schema = "run bigint, line string"
+    for part in (lines[:100], lines[100:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changed = runs.changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), buckets=3)
+        assert dict(changed.dtypes)["run"] == "bigint"
+        query = changed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")
+        ).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    found = runs.current(spark.read.parquet(str(tmp_path / "out"))).collect()
+    batch = runlog.best_so_far(runlog.parse(spark.createDataFrame(lines, schema)), by=["run"]).collect()
+    key = lambda r: repr((r["run"], r["step"], r["loss"], r["is_best"]))
+    assert sorted(map(key, found)) == sorted(map(key, batch)) and len(found) == len(lines)
