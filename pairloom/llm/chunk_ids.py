@@ -3,7 +3,9 @@
 The three tokenizers used here never join a word with white space behind it. A
 chunk (white space and the word after it) is therefore encoded without looking at
 its neighbours, and the ids of a text are those of its chunks in order. The chunks of a
-slice are told apart by their bytes. The Python process keeps a pool of chunks over
+slice are told apart by their bytes. Where no token of the ``tokenizers`` files reaches from
+an ASCII letter or digit into a mark behind it, a chunk ends there, and where they lower-case, A to Z
+do so before, so that fewer chunks are distinct. The Python process keeps a pool of chunks over
 batches and tasks of a job: it is looked up by hash, and a chunk whose bytes are not
 those of the pool's counts as new. Only new ones reach the encoder. The pool is emptied
 at ``POOL_CHUNKS`` or ``POOL_BYTES``.
@@ -15,12 +17,13 @@ import os
 from collections.abc import Callable, Sequence
 from itertools import chain
 from operator import itemgetter
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-from pairloom.llm.spans import SPACE, byte_hashes, chunk_starts, distinct_spans, ranges, text_bytes, worker_cache
+from pairloom.llm.spans import SPACE, byte_hashes, chunk_starts, distinct_spans, lower_ascii, ranges, text_bytes, worker_cache
 
 POOL_CHUNKS = 1_000_000
 POOL_BYTES = 32 << 20  # of chunks and of ids, each
@@ -41,9 +44,11 @@ class ChunkPool:
         self,
         encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
         breaks: bytes | None = None,
+        at_marks: bool = False,
+        lower: bool = False,
     ):
         self.encode = encode  # of chunks (bytes): all ids, one after the other, and how many each has
-        self.breaks = breaks
+        self.breaks, self.at_marks, self.lower = breaks, at_marks, lower
         self.clear()
 
     def clear(self) -> None:
@@ -98,7 +103,9 @@ class ChunkPool:
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)``: ids of all texts, and where those of each text begin."""
         buf, offsets = text_bytes(texts)
-        starts = chunk_starts(buf, offsets, self.breaks)
+        if self.lower:  # not before bytes of other characters, which may be marks that join the letter
+            buf = np.where(np.append(buf[1:] < 0x80, True), lower_ascii(buf), buf)
+        starts = chunk_starts(buf, offsets, self.breaks, self.at_marks)
         codes, chunks = distinct_spans(buf, starts, np.append(starts[1:], len(buf)))
         if len(self.hashes) + len(chunks) > POOL_CHUNKS or max(len(self.bytes), 4 * len(self.ids)) > POOL_BYTES:
             self.clear()
@@ -176,7 +183,9 @@ def tokenizers_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.n
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        return tokenizer, ChunkPool(lambda chunks: encode_joined(tokenizer, chunks))
+        norm = tokenizer.normalizer
+        lower = norm is not None and norm.normalize_str(ascii_uppercase) == ascii_lowercase
+        return tokenizer, ChunkPool(lambda chunks: encode_joined(tokenizer, chunks), at_marks=True, lower=lower)
 
     def encode_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         tokenizer, pool = worker_cache("tokenizer:" + path, load)

@@ -23,6 +23,10 @@ _STEP = 0xD6E8FEB86659FD95
 _LONG = 512
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+_ALNUM, _MARK = 1, 2  # of ASCII; a mark is neither letter nor digit, white space or control
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _ALNUM
 
 
 def worker_cache(name: str | None, make: Callable = dict):
@@ -209,8 +213,13 @@ def words_of(texts: pa.Array) -> Words:
     return Words(buf, starts, ends, doc, bounds, offsets)
 
 
-def chunk_starts(buf: np.ndarray, offsets: np.ndarray, breaks: bytes | None = None) -> np.ndarray:
-    """Starts of chunks: white space (or ``breaks``), if any, and what follows, within a text."""
+def chunk_starts(
+    buf: np.ndarray, offsets: np.ndarray, breaks: bytes | None = None, at_marks: bool = False
+) -> np.ndarray:
+    """Starts of chunks: white space (or ``breaks``), if any, and what follows, within a text.
+
+    ``at_marks`` begins one at an ASCII mark behind an ASCII letter or digit, too.
+    """
     table = SPACE
     if breaks is not None:
         table = np.zeros(256, bool)
@@ -218,6 +227,9 @@ def chunk_starts(buf: np.ndarray, offsets: np.ndarray, breaks: bytes | None = No
     space = table[buf]
     begins = space.copy()
     begins[1:] &= ~space[:-1]
+    if at_marks:
+        kind = _KIND[buf]
+        begins[1:] |= (kind[1:] == _MARK) & (kind[:-1] == _ALNUM)
     begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     return np.flatnonzero(begins)
 
