@@ -55,7 +55,10 @@ STRIDE = 5
 SEGMENT = WINDOW - ANCHOR + 1  # windows that can share an anchor
 HOT_ROWS = 4096
 HOT_PLACES = 14  # bits: an anchor of one long text is divided by place
-CARRY_ROWS = 4 * HOT_ROWS  # of one group before a part of it is settled
+SHARD_BYTES = 1 << 20  # of words that are settled at once; a larger group is a shard of its own
+CARRY_ROWS, CARRY_BYTES = 4 * HOT_ROWS, 4 * SHARD_BYTES  # of one group before a part of it is settled
+PIECE_BYTES = 1 << 18  # copied at once, since places of bytes take eight times their room
+FIRST_ROWS = 1 << 14  # windows that are first in their shard, in a batch
 DIGITS, DIGIT_BITS = 3, 7
 ROW = ["key", "none", "row"]
 ANCHORS = "anchor bigint, key bigint, none boolean, row bigint, n int"
@@ -190,9 +193,14 @@ def recurring_anchors(anchors: DataFrame) -> DataFrame:
 def _pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The bytes of spans, which may overlap, as strings."""
     sizes = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.ascontiguousarray(buf[ranges(starts, sizes)])
-    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    data, at = np.empty(offsets[-1], np.uint8), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
+        one = slice(starts[at], ends[at])
+        data[offsets[at] : offsets[to]] = buf[one if to == at + 1 else ranges(starts[at:to], sizes[at:to])]
+        at = to
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
     return pa.Array.from_buffers(pa.large_string(), len(sizes), buffers)
 
 
@@ -315,7 +323,7 @@ def later_windows(texts: pa.Array, key: np.ndarray, none: np.ndarray, place: np.
     return words, window[np.any([x != x[first] for x in of], axis=0)]
 
 
-def _settled(rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+def _settled(rows: pa.Table) -> tuple[Iterator[pa.RecordBatch], np.ndarray]:
     """``LOCATED`` of the segments of whole groups; and which segments hold a first window.
 
     Later windows are bits of a mask. Windows of a divided anchor that are first here go on,
@@ -328,7 +336,6 @@ def _settled(rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
     masks = np.zeros(rows.num_rows, np.int64)
     doc = words.doc[later]
     np.bitwise_or.at(masks, doc, 1 << (later - words.bounds[doc]))
-    some = np.flatnonzero(masks)
     at = words.gram_starts(WINDOW)
     is_first = np.ones(len(at), bool)
     is_first[np.searchsorted(at, later)] = False
@@ -336,52 +343,54 @@ def _settled(rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
     holds = np.zeros(rows.num_rows, bool)
     holds[words.doc[at]] = True
     at = at[column["part"][words.doc[at]] >= 0]
-    doc = words.doc[at]
-    pieces = _pieces(words.buf, words.starts[at], words.ends[at + WINDOW - 1])
-    hashes = gram_hashes(words.hashes(), at, WINDOW) if len(at) else np.zeros(0, np.uint64)
-    both = np.concatenate([some, doc])
-    n = len(some)
-    spread = mix(column["row"][some].view(np.uint64) ^ column["place"][some].astype(np.uint64))
-    out = {
-        "spread": np.concatenate([spread, hashes]).view(np.int64),
-        "part": np.full(len(both), -1),
-        "key": column["key"][both],
-        "none": none[both],
-        "row": column["row"][both],
-        "place": np.concatenate([column["place"][some], column["place"][doc] + at - words.bounds[doc]]),
-        "later": np.concatenate([masks[some], np.zeros(len(doc), np.int64)]),
-        "words": pa.concat_arrays([pa.nulls(n, pa.large_string()), pieces]),
-    }
-    return record_batch(LOCATED, out), holds
+
+    def found(spread: np.ndarray, doc: np.ndarray, place: np.ndarray, later: np.ndarray, pieces: pa.Array) -> pa.RecordBatch:
+        out = {"spread": spread.view(np.int64), "part": np.full(len(doc), -1), "none": none[doc], "place": place, "later": later}
+        return record_batch(LOCATED, out | {c: column[c][doc] for c in ("key", "row")} | {"words": pieces})
+
+    def batches() -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(masks)
+        spread = mix(column["row"][some].view(np.uint64) ^ column["place"][some].astype(np.uint64))
+        yield found(spread, some, column["place"][some], masks[some], pa.nulls(len(some), pa.large_string()))
+        hashes = gram_hashes(words.hashes(), at, WINDOW) if len(at) else np.zeros(0, np.uint64)
+        for k in range(0, len(at), FIRST_ROWS):
+            first = at[k : k + FIRST_ROWS]
+            doc = words.doc[first]
+            pieces = _pieces(words.buf, words.starts[first], words.ends[first + WINDOW - 1])
+            place = column["place"][doc] + first - words.bounds[doc]
+            yield found(hashes[k : k + FIRST_ROWS], doc, place, np.zeros(len(doc), np.int64), pieces)
+
+    return batches(), holds
 
 
 def shards(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.RecordBatch]:
-    """``LOCATED`` of rows that come in order of their groups; a batch of groups is a shard.
+    """``LOCATED`` of rows that come in order of their groups; the groups of ``SHARD_BYTES`` of words are a shard.
 
     The last group is held back until it is whole. A very large one is settled in parts,
-    each with the segments before it that hold a first window.
+    each with the segments before it that hold a first window; a part is as large as what is
+    held of those before, so that no segment is settled often.
     """
-    held = None
+    held, kept = None, (0, 0)  # rows and bytes of the held group that were settled
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows])
-        same = np.ones(rows.num_rows, bool)
-        for c in group:
-            values = rows[c].to_numpy()
-            same &= values == values[-1]
-        last = int(same.argmax())
-        if last:
-            yield _settled(rows.slice(0, last))[0]
-            rows = rows.slice(last)
-        if rows.num_rows > CARRY_ROWS:
-            found, holds = _settled(rows)
-            yield found
-            rows = rows.filter(pa.array(holds))
-        held = rows
+        for at, words in slices(batch.column("words"), SHARD_BYTES):
+            rows = pa.Table.from_batches([batch.slice(at, len(words))])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            same = np.ones(rows.num_rows, bool)
+            for c in group:
+                values = rows[c].to_numpy()
+                same &= values == values[-1]
+            last = int(same.argmax())
+            if last:
+                yield from _settled(rows.slice(0, last))[0]
+                rows, kept = rows.slice(last), (0, 0)
+            if rows.num_rows > max(CARRY_ROWS, 2 * kept[0]) or rows["words"].nbytes > max(CARRY_BYTES, 2 * kept[1]):
+                found, holds = _settled(rows)
+                yield from found
+                rows = rows.filter(pa.array(holds))
+                kept = rows.num_rows, rows["words"].nbytes
+            held = rows
     if held is not None:
-        yield _settled(held)[0]
+        yield from _settled(held)[0]
 
 
 def later_places(rows: DataFrame, kept: list[str]) -> DataFrame:

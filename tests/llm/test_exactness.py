@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -331,3 +332,50 @@ def test_chunks_end_before_marks(monkeypatch, path):
     chunk_ids.tokenizers_encoder(path)(pa.array([" one one, one. one! ONE one; (one) two-one"]))
     assert sum(b"one" in chunk.lower() for chunk in given) <= (4 if path == BYTE else 3)
     spans.worker_cache(None)
+
+
+def segment_batch(anchor, part, words):
+    n = np.arange(len(words))
+    columns = {"anchor": anchor, "part": part, "key": n, "none": n < 0, "row": n, "place": n * 0, "words": words}
+    return phrases.record_batch(phrases.SEGMENTS, columns)
+
+
+def test_segments_settle_by_their_bytes(monkeypatch):
+    """Long words: a batch of segments is many shards, and no group is cut."""
+    texts = [" ".join(f"{i}x{j}".ljust(600, "w") for j in range(32)) for i in range(200)]
+    batch = segment_batch(np.repeat(np.arange(200), 2), np.full(400, -1), [t for t in texts for _ in range(2)])
+    settled, sizes = phrases._settled, []
+    monkeypatch.setattr(phrases, "_settled", lambda rows: (sizes.append(rows["words"].nbytes), settled(rows))[1])
+    found = pa.Table.from_batches(phrases.shards(iter([batch]), ["anchor", "part"])).to_pydict()
+    assert found["key"] == list(range(1, 400, 2)) and set(found["later"]) == {(1 << phrases.SEGMENT) - 1}
+    assert max(sizes) < 1.1 * phrases.SHARD_BYTES < batch.nbytes / 6
+
+
+def test_first_windows_of_a_large_group():
+    """Windows that go on by themselves come in bounded batches, each of them about twice at most."""
+    n = 3 * phrases.CARRY_ROWS // 2
+    texts = [" ".join(f"{i}x{j}" for j in range(32)) for i in range(n)]
+    texts[-1] = texts[0]
+    batches = [segment_batch(np.zeros(n), np.zeros(n), texts).slice(at, 10_000) for at in range(0, n, 10_000)]
+    found = list(phrases.shards(iter(batches), ["anchor", "part"]))
+    assert max(b.num_rows for b in found) <= phrases.FIRST_ROWS
+    rows = [r for b in found for r in b.to_pylist()]
+    later = [(r["key"], r["later"]) for r in rows if r["words"] is None]
+    assert later == [(n - 1, (1 << phrases.SEGMENT) - 1)]
+    first = collections.Counter((r["key"], r["place"], r["words"]) for r in rows if r["words"] is not None)
+    assert len(first) == (n - 1) * phrases.SEGMENT and max(first.values()) <= 3
+    assert all(" ".join(texts[k].split(" ")[p : p + phrases.WINDOW]) == w for k, p, w in first)
+
+
+def test_pieces_take_little_more_than_their_bytes():
+    buf = np.frombuffer(("abcdefghi " * 100_000).encode(), np.uint8)
+    starts = np.append(np.arange(0, 900_000, 10), 0)
+    ends = np.append(starts[:-1] + 100, len(buf))  # overlapping ones, and one that is larger than a block
+    tracemalloc.start()
+    pieces = phrases._pieces(buf, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    raw = buf.tobytes()
+    assert pieces.to_pylist() == [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+    assert peak < 3 * int((ends - starts).sum())
+    assert len(phrases._pieces(buf, starts[:0], ends[:0])) == 0
