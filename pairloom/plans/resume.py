@@ -6,6 +6,10 @@ written to its end: its pairs, tokens and a digest of its rows. Each wave of a c
 of the one before, so that waves are few however many shards there are, and a stop never
 loses more than about what the call has written before it. A restart looks at the shards of the
 log again, keeps those that still are what the log says, and writes all others.
+
+A folder of ``data`` is what a wave replaces. It holds one shard, or so many neighbours that there are
+about ``FOLDERS`` of them, since the driver keeps a list of all folders and files. The plan says
+which; a shard that is not what the log says is written again with the others of its folder.
 """
 
 from __future__ import annotations
@@ -15,11 +19,14 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.tokenizers import Tokenizer
 from pairloom.operators import pack, tokens
-from pairloom.operators.prefix import number_rows
+from pairloom.operators.prefix import int_div, number_rows, ordered_prefix
 from pairloom.session import materialise
-from pairloom.sources.shards import PARTITIONS, shards_exist
+from pairloom.sources.shards import IN_FOLDER, PARTITIONS, number_in_folders, read_shards, shards_exist
 
 SHARDS_PER_WAVE = 1000
+FOLDERS = 512  # and at most two more for each language pair
+FOLDER_TOKENS = 10**8  # of many shards; a folder is written by one task
+FOLDER = ["lang_pair", "split", "folder"]
 LOG = "lang_pair string, split string, shard_idx bigint, pairs bigint, tokens bigint, digest bigint, options string"
 
 
@@ -34,7 +41,20 @@ def _stated(stored: DataFrame) -> DataFrame:
 
 
 def _data(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/data").withColumn("shard_idx", F.col("shard_idx").cast("bigint"))
+    return read_shards(spark, f"{out}/data")
+
+
+def _data_of(spark: SparkSession, out: str, folders: DataFrame) -> DataFrame:
+    """The shards of some folders; the others are not read."""
+    stored = spark.read.parquet(f"{out}/data").withColumn("shard_idx", F.col("shard_idx").cast("bigint"))
+    return number_in_folders(stored.join(folders.withColumnRenamed("folder", "shard_idx"), PARTITIONS))
+
+
+def _shards_per_folder(counted: DataFrame, shard_size: int) -> int:
+    """For about ``FOLDERS`` folders; shards are as many as their pairs and tokens allow, at most."""
+    most = F.least(F.count(F.lit(1)), int_div(F.sum(F.col("n_src") + F.col("n_tgt")), shard_size) + 1)
+    shards = counted.groupBy("lang_pair").agg(most.alias("n")).agg(F.sum("n")).first()[0] or 0
+    return max(1, min(-(-shards // FOLDERS), FOLDER_TOKENS // shard_size))
 
 
 def _has_files(spark: SparkSession, path: str) -> bool:
@@ -67,36 +87,46 @@ def ingest(
 ) -> int:
     """Strip, tokenise, pack and write ``pair_id, lang_pair, src_text, tgt_text``; returns the shards written.
 
-    ``shards_per_wave`` are the shards of the first wave. ``max_waves`` stops after so many waves. The pairs of a restart must be those of the start;
-    once the plan is written they are not read again. ``data`` holds the shards.
+    ``shards_per_wave`` are the shards of the first wave, with those that complete its last folder.
+    ``max_waves`` stops after so many waves. The pairs of a restart must be those of the start;
+    once the plan is written they are not read again. ``data`` holds the shards (``read_shards``).
     """
     spark = pairs.sparkSession
     options = f"{type(tokenizer).__name__}, {shard_size} tokens"
     if not shards_exist(spark, f"{out}/plan"):
         counted = materialise(tokens.count_tokens(tokens.strip_pairs(pairs), tokenizer, "first"), "counted-pairs")
+        width = _shards_per_folder(counted, shard_size)
         packed = pack.pack_greedy(counted, shard_size).withColumn("split", pack.split_name())
-        packed.write.mode("overwrite").parquet(f"{out}/plan")
+        packed.withColumn("folder", int_div(F.col("shard_idx"), width) * width).write.mode("overwrite").parquet(f"{out}/plan")
     plan = spark.read.parquet(f"{out}/plan")
-    wanted = plan.select(*PARTITIONS).distinct()
-    missing = wanted.join(kept_shards(spark, out, options), PARTITIONS, "left_anti")
-    numbered = materialise(number_rows(missing, PARTITIONS, "number"), "missing-shards")
-    n = numbered.count()
-    written, wave = 0, 0
+    if "folder" not in plan.columns:  # a plan of before had a folder for each shard
+        plan = plan.withColumn("folder", F.col("shard_idx"))
+    kept = kept_shards(spark, out, options).withColumn("kept", F.lit(1))
+    wanted = plan.select(*PARTITIONS, "folder").distinct().join(kept, PARTITIONS, "left")
+    missing = wanted.groupBy(*FOLDER).agg(F.count(F.lit(1)).alias("shards"), F.count("kept").alias("kept"))
+    numbered = number_rows(missing.where("kept < shards").drop("kept"), FOLDER, "number")
+    before = {"before": ("sum", F.col("shards"))}
+    folders = materialise(ordered_prefix(numbered, "number", before, inclusive=False), "missing-folders")
+    many = plan.where(F.col("shard_idx") != F.col("folder")).limit(1).count() > 0
+    n = folders.agg(F.sum("shards")).first()[0] or 0
+    written, wave, size = 0, 0, shards_per_wave
     while written < n and (max_waves is None or wave < max_waves):
-        last = written + (shards_per_wave << wave)
-        own = numbered.where((F.col("number") >= written) & (F.col("number") < last)).drop("number")
-        placed = plan.join(own, PARTITIONS).repartition("lang_pair", "shard_idx").sortWithinPartitions(
-            *PARTITIONS, "pair_id"  # texts, before their ids are made
-        )
+        in_wave = folders.where((F.col("before") >= written) & (F.col("before") < written + size))
+        own = in_wave.select(*FOLDER)
+        of_folders = plan.join(own, FOLDER).withColumn(IN_FOLDER, F.col("shard_idx") - F.col("folder"))
+        placed = of_folders.withColumn("shard_idx", F.col("folder")).repartition(
+            "lang_pair", "shard_idx"
+        ).sortWithinPartitions(*PARTITIONS, IN_FOLDER, "pair_id")  # texts, before their ids are made
         encoded = tokens.encode_pairs(placed, tokenizer, "first").select(
-            *PARTITIONS, "pair_id", "src_ids", "tgt_ids", "n_src", "n_tgt"
+            *PARTITIONS, *[IN_FOLDER] * many, "pair_id", "src_ids", "tgt_ids", "n_src", "n_tgt"
         )
         (  # shards that were half written before are replaced
             encoded.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(f"{out}/data")
         )
-        stated = _stated(_data(spark, out).join(own, PARTITIONS)).withColumn("options", F.lit(options))
+        stated = _stated(_data_of(spark, out, own)).withColumn("options", F.lit(options))
         names = [f.split()[0] for f in LOG.split(", ")]
         stated.select(*names).write.mode("append").parquet(f"{out}/log")
-        written, wave = min(n, last), wave + 1
+        own_shards = in_wave.agg(F.sum("shards")).first()[0]
+        written, wave, size = written + own_shards, wave + 1, 2 * own_shards
     return written

@@ -1,5 +1,7 @@
 """What grows with the input alone: files, waves, and moves of rows."""
 
+import shutil
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -49,6 +51,44 @@ def test_a_resumed_ingest_has_few_waves(spark, tmp_path, monkeypatch):
     assert len(waves) == 6  # 1, 2, 4, 8, 16, 9
 
 
+def test_a_resumed_ingest_has_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resume, "FOLDERS", 4, raising=False)
+    both = pairs(spark, 40).union(pairs(spark, 9).withColumn("lang_pair", F.lit("c-d")))
+    out = tmp_path / "out"
+    folders = lambda: sorted(out.glob("data/lang_pair=*/split=*/shard_idx=*"))
+    rows = lambda: sorted(
+        (r["lang_pair"], r["split"], r["shard_idx"], r["pair_id"], len(r["src_ids"]), len(r["tgt_ids"]))
+        for r in shards.read_shards(spark, str(out / "data")).collect()
+    )
+    ingest = lambda waves=None: resume.ingest(both, str(out), BYTES, 1, shards_per_wave=1, max_waves=waves)
+    first = ingest(1)
+    assert len(rows()) == first < 49
+    assert first + ingest() == 49 and ingest() == 0
+    assert len(folders()) <= 8  # it is 49 with a folder for each shard
+    want = [(lp, "train" if i else "val", i, i, 10, 11) for lp, n in (("a-b", 40), ("c-d", 9)) for i in range(n)]
+    assert rows() == sorted(want)
+    # a folder that is lost, and a shard that is lost from a folder of many
+    held = {path: spark.read.parquet(str(path)).collect() for path in folders()}
+    lost, cut = [path for path in folders() if len(held[path]) > 2][:2]
+    shutil.rmtree(lost)
+    spark.createDataFrame(held[cut][1:], spark.read.parquet(str(cut)).schema).write.mode("overwrite").parquet(str(cut))
+    assert len(rows()) == 49 - len(held[lost]) - 1
+    assert ingest() == len(held[lost]) + len(held[cut])
+    assert rows() == sorted(want)
+
+
+def test_a_plan_without_folders_has_one_for_each_shard(spark, tmp_path, monkeypatch):
+    """An ingest that was begun when every shard had a folder."""
+    out = str(tmp_path / "out")
+    packed(spark, 12).write.parquet(f"{out}/plan")
+    monkeypatch.setattr(resume, "FOLDERS", 4, raising=False)
+    assert resume.ingest(pairs(spark, 12), out, BYTES, 1, shards_per_wave=2, max_waves=1) == 2
+    assert resume.ingest(pairs(spark, 12), out, BYTES, 1) == 10
+    assert len(list((tmp_path / "out").glob("data/*/*/shard_idx=*"))) == 12
+    found = {r["pair_id"]: r["shard_idx"] for r in shards.read_shards(spark, f"{out}/data").collect()}
+    assert found == {i: i for i in range(12)}
+
+
 def test_rows_move_once_for_their_running_total(spark):
     df = spark.range(50).withColumn("g", F.when(F.col("id") > 9, "hot")).repartition(3)
     placed = prefix.row_positions(df, "id", by=["g"])
